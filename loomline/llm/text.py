@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that a helper handles at once; bounds a task's memory.
 CHUNK_BYTES = 2 << 20
@@ -115,6 +116,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - low
 
 
+def lowered(column: pa.Array) -> np.ndarray:
+    """The bytes of :func:`utf8` in lower case, each character in its place.
+
+    The few characters whose lower case has another length stay as they are.
+    """
+    column = column.fill_null("") if column.null_count else column
+    data, offsets = utf8(column)
+    low, after = utf8(pc.utf8_lower(column))
+    if np.array_equal(offsets, after):
+        return low
+    keep = lambda c: x if len((x := c.lower()).encode()) == len(c.encode()) else c
+    return np.frombuffer("".join(map(keep, data.tobytes().decode())).encode(), np.uint8)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of text or one row."""
     for batch in batches:

@@ -67,7 +67,7 @@ def _buckets(spans: T.Spans, start: np.ndarray, end: np.ndarray):
 
 def _tokens(column: pa.Array):
     data, offsets = T.utf8(column)
-    low = T.LOWER[data]
+    low = T.lowered(column)
     start, end, doc = T.words(low, offsets, T.IS_APART)
     return data, offsets, start, end, doc, T.Spans(low)
 
