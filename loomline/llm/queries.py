@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, secrets, simhash, toxicity, url_filters, warc
+from . import chat, decontamination, mixing, quality_rules, secrets, simhash, toxicity, url_filters, warc
 from .common import shared_folder, table
 
 
@@ -47,6 +47,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.role_repair(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality_rules.ratio_weights(docs, table(spark, sf_dir, "labels").where("quality = 1"))
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
 }
 
