@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality_rules, secrets, simhash, toxicity, url_filters, warc
+from . import chat, decontamination, mixing, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filters, warc
 from .common import shared_folder, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
