@@ -22,7 +22,7 @@ the last one's end.
    where equal hashes are the repeats. So one task never holds a large group,
    and no pairs are made.
 
-Bitmaps of at most ``2**BITMAP_BITS`` bits carry heads and texts that matter to
+Bitmaps of at most ``2**BITMAP_BITS`` (see common) bits carry heads and texts that matter to
 the next scan; what passes one by chance is dropped by an exact join or count.
 
 Null texts are empty, and texts under LENGTH bytes lose nothing. Strings never
@@ -42,13 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut
+from .common import bitmap, cut, in_bitmap, text_keys
 
 LENGTH = 400
 HEAD = 128
 SPAN = LENGTH - HEAD  # the farthest that a string starts before its suffix
 GROUP_ROWS = 2000
-BITMAP_BITS = 27
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -110,38 +109,12 @@ class Tuples:
         self.at = np.where(follows & (value < least[np.maximum(self.first - 1, 0)]), entered, self.at)
         for k in np.flatnonzero((h[self.at] != value) | (self.at > entered)).tolist():  # strings across documents mislead at a start
             self.at[k] = self.first[k] + int(np.argmin(h[self.first[k] : entered[k] + 1]))
-        self.key = h[self.at]
+        self.key = T.mix(h[self.at] + np.uint64(1))  # least hashes are small, and bitmaps go by the top bits
 
     def contexts(self) -> np.ndarray:
         return self.spans.hash(self.first, self.last + LENGTH)
 
 
-def _text_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    digests = b"".join(xxhash.xxh3_128_digest((v.as_py() or "").encode()) for v in column)
-    pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
-    return pair[:, 0], pair[:, 1]
-
-
-def _bits(n: int) -> int:
-    return min(BITMAP_BITS, max(16, int(16 * n).bit_length()))
-
-
-def bitmap(values: DataFrame, column: str):
-    """A broadcast bitmap of the top bits of a long column; at most 2**BITMAP_BITS bits."""
-    bits = _bits(values.count())
-    place = F.shiftrightunsigned(F.col(column), 64 - bits)
-    words = values.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["word"].to_numpy()] = words["bit"].to_numpy()
-    return values.sparkSession.sparkContext.broadcast((bits, out.view(np.uint64)))
-
-
-def _in(shared, values: np.ndarray) -> np.ndarray:
-    bits, words = shared.value
-    place = values.view(np.uint64) >> np.uint64(64 - bits)
-    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 _CHUNK = 1 << 20
 OCCURRENCES = "t1 long, t2 long, first long, key long, back long, strings long, context long"
 
@@ -161,12 +134,12 @@ def _occurrences(docs: DataFrame, heads, with_bytes: bool = False) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
         tuples = Tuples(part.column("text"))
-        keep = np.flatnonzero(_in(heads, tuples.key))
+        keep = np.flatnonzero(in_bitmap(heads, tuples.key))
         if not len(keep):
             return None
         doc, first, last = tuples.doc[keep], tuples.first[keep], tuples.last[keep]
         used, place = np.unique(doc, return_inverse=True)
-        t1, t2 = _text_keys(part.column("text").take(pa.array(used)))
+        t1, t2 = text_keys(part.column("text").take(pa.array(used)))
         out = {"t1": t1[place], "t2": t2[place], "first": first - tuples.offsets[doc], "key": tuples.key[keep].view(np.int64), "back": tuples.at[keep] - first, "strings": last - first + 1, "context": tuples.spans.hash(first, last + LENGTH).view(np.int64)}
         if with_bytes:
             raw = tuples.data.tobytes()
@@ -341,13 +314,13 @@ def _split(docs: DataFrame) -> tuple[DataFrame, "function"]:
     keyed = docs.withColumns({"_t1": F.lit(0).cast("long"), "_t2": F.lit(0).cast("long")}).schema
 
     def chosen(part: pa.RecordBatch) -> pa.RecordBatch:
-        t1, t2 = _text_keys(part.column("text"))
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(t1), pa.array(t2)], names=keyed.names).filter(pa.array(_in(shared, t1)))
+        t1, t2 = text_keys(part.column("text"))
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(t1), pa.array(t2)], names=keyed.names).filter(pa.array(in_bitmap(shared, t1)))
 
     lists = ranges.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
     lists = lists.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("r.start").alias("_starts"), F.col("r.stop").alias("_stops"))
     some = docs.mapInArrow(T.mapper(chosen), keyed).join(lists, ["_t1", "_t2"], "left")
-    return some, lambda column: pa.array(~_in(shared, _text_keys(column)[0]))
+    return some, lambda column: pa.array(~in_bitmap(shared, text_keys(column)[0]))
 
 
 _NO_RANGES = np.zeros((0, 2), np.int64)

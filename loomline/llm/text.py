@@ -104,6 +104,21 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def shingles(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each run of n words; a shorter document is one run."""
+    at = np.flatnonzero(doc[: max(len(h) - n + 1, 0)] == doc[n - 1 :])
+    out, of = [grams(h, n)[at]], [doc[at]]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else at
+    size = np.diff(np.r_[first, len(doc)])
+    for m in range(1, n):
+        short = first[size == m]
+        out.append(grams(h, m)[short] if len(short) else h[:0])
+        of.append(doc[short])
+    out, of = np.concatenate(out), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return out[order], of[order]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its document offsets; null counts as empty."""
     column = column.fill_null("") if column.null_count else column
