@@ -14,15 +14,22 @@ hash of doc_id, to whole words: whole copies and one partial copy. So a
 source's total is within a few words of its target, and reruns agree.
 
 Null texts have size 0 and nothing is taken of them. A null source is a source
-of its own, ranked last. Repeated rows count each. Extra columns are ignored.
+of its own, ranked last. Repeated rows count each. Extra columns are ignored
+by :func:`mixed` and kept by :func:`mixture`.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import text as T
 from .common import cut
 
 WEIGHTS = (5, 2, 1)
@@ -34,10 +41,15 @@ TOLERANCE, STEPS = 1e-9, 60
 LONGEST_STEP = 8.0
 
 
+def _size_and_key():
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return size, F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size) with size in words; ``key`` names the source, null included."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("key"), size.alias("size"))
+    size, key = _size_and_key()
+    return docs.select(F.col("doc_id").cast("long"), key.alias("key"), size.alias("size"))
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -85,17 +97,63 @@ def multipliers(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("key", "lam")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies, partial_words, taken) for each document."""
-    measured = cut(sizes(docs))
+def solved(measured: DataFrame) -> DataFrame:
+    """(key, source_size, target, mean, lam) of each source, from :func:`sizes`."""
     histogram = cut(measured.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = cut(targets(histogram.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
     means = histogram.where("size > 0").groupBy("key").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     goals = cut(goals.join(means, "key", "left"))
-    solved = goals.join(multipliers(histogram, goals), "key", "left")
-    rate = F.when(F.col("source_size") == 0, 0.0).when(F.col("lam").isNull(), float(MAX_COPIES)).otherwise(_rate(F.col("lam") * F.col("size") / F.col("mean")))
-    u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = F.least(F.floor(F.col("rate") * F.col("size") + u), F.col("size") * MAX_COPIES).cast("long")
-    out = measured.join(solved, "key").withColumn("rate", rate).withColumn("taken", taken)
+    return cut(goals.join(multipliers(histogram, goals), "key", "left"))
+
+
+def _rounded(doc_id, size, source_size, mean, lam):
+    """Rate of a document, and the words taken of it."""
+    rate = F.when(source_size == 0, 0.0).when(lam.isNull(), float(MAX_COPIES)).otherwise(_rate(lam * size / mean))
+    u = F.pmod(F.xxhash64(F.lit("mix"), doc_id.cast("long")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rate, F.least(F.floor(rate * size + u), size * MAX_COPIES).cast("long")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, rate, copies, partial_words, taken) for each document."""
+    measured = cut(sizes(docs))
+    out = measured.join(solved(measured), "key")
+    rate, taken = _rounded(*map(F.col, ("doc_id", "size", "source_size", "mean", "lam")))
+    out = out.withColumn("rate", rate).withColumn("taken", taken)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
     return out.select("doc_id", "size", "source_size", "target", "rate", whole.alias("copies"), (F.col("taken") - whole * F.col("size")).alias("partial_words"), "taken")
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix itself: a row for each copy, the partial one cut behind its last word, with ``copy`` and ``copy_words``.
+
+    Sources that fit Spark's broadcast limit are joined without moving texts.
+    """
+    goals = solved(sizes(docs)).select(F.col("key").alias("_key"), F.col("source_size").alias("_total"), F.col("mean").alias("_mean"), F.col("lam").alias("_lam"))
+    size, key = _size_and_key()
+    rated = docs.withColumn("_size", size).withColumn("_key", key).join(goals, "_key")
+    _, taken = _rounded(*map(F.col, ("doc_id", "_size", "_total", "_mean", "_lam")))
+    names = docs.schema.names
+    rated = rated.withColumn("_taken", taken).where("_taken > 0").select(*[F.col(f"`{c}`") for c in names], "_size", "_taken")
+    schema = docs.withColumns({"copy": F.lit(0).cast("long"), "copy_words": F.lit(0).cast("long")}).schema
+
+    def copies(part: pa.RecordBatch) -> pa.RecordBatch:
+        size, taken = part.column("_size").to_numpy(), part.column("_taken").to_numpy()
+        n = -(-taken // size)
+        row = np.repeat(np.arange(len(n)), n)
+        copy = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+        used = np.where(copy * size[row] <= taken[row], size[row], taken[row] % size[row])
+        out = [part.column(c).take(pa.array(row)) for c in names]
+        at = names.index("text")
+        texts = out[at].to_pylist()
+        for i in np.flatnonzero(used < size[row]).tolist():
+            texts[i] = texts[i][: next(islice(_WORD.finditer(texts[i]), int(used[i]) - 1, None)).end()]
+        out[at] = pa.array(texts, out[at].type)
+        if "n_chars" in names:
+            was = out[names.index("n_chars")].to_pylist()
+            out[names.index("n_chars")] = pa.array([len(t) if u < z else w for t, u, z, w in zip(texts, used, size[row], was)], out[names.index("n_chars")].type)
+        return pa.RecordBatch.from_arrays([*out, pa.array(copy), pa.array(used)], names=schema.names)
+
+    return rated.mapInArrow(T.mapper(copies), schema)
