@@ -1,10 +1,589 @@
-"""Every registered query of the library itself, with its DuckDB twin."""
+"""Every registered query of the library itself, with its DuckDB twin where SQL can say it."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import entities as E
+from ..operators import compress, evaluate, graph, learn, measure, retrieval, windows
+from ..operators.windows import CLASSES
+from ..sources import eventlog, knowledge
+from ..streaming import windows as streams
+from .twins import CONSENSUS, ENTITIES, LABELS, LINES, MASK, RECORDS, THREAD, TOKENS, found, q, scores, thread_group
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Windows that an entity may stand in and still lead to neighbours, neighbours kept, pool sizes.
+MOST_WINDOWS, NEIGHBORS = 40, 4
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its twin."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _labels(lines: DataFrame) -> DataFrame:
+    return windows.window_types(lines).withColumn("label", windows.primary_label(F.col("types")))
+
+
+def _entities(lines: DataFrame) -> DataFrame:
+    return E.entity_rows(lines, ["wid", "log_idx"])
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    line = F.col("raw_line")
+    named = F.transform(E.clean_entities(line), lambda e: F.concat_ws(":", e["type"], e["value"]))
+    return lines.select("wid", "log_idx", "ts_s", "raw_line", E.thread(line).alias("thread"), compress.template_mask(E.message(line)).alias("template"), named.alias("entities"))
+
+
+def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress.compress_windows(_records(eventlog.lines(spark, sf_dir)))
+
+
+def _window_entity(lines: DataFrame) -> DataFrame:
+    return _entities(lines).select("wid", F.concat_ws(":", "entity_type", "entity").alias("entity")).distinct()
+
+
+_WE = f"WITH {ENTITIES}, we AS (SELECT DISTINCT wid, entity_type || ':' || entity AS entity FROM ents)"
+
+
+# Windows, labels, splits
+
+
+@query(f"WITH {LINES} SELECT stream, wid, log_idx, event_id, raw_line FROM lines")
+def count_windows(spark, sf_dir):
+    return eventlog.lines(spark, sf_dir).select("stream", "wid", "log_idx", "event_id", "raw_line")
+
+
+@query(f"WITH {LINES}, {LABELS} SELECT wid, array_to_string(types, ',') AS types, label FROM labelled")
+def primary_label(spark, sf_dir):
+    return _labels(eventlog.lines(spark, sf_dir)).select("wid", F.array_join("types", ",").alias("types"), "label")
+
+
+_SPLIT = f"""WITH {LINES}, {LABELS}, r AS (SELECT wid, label, count(*) OVER (PARTITION BY label) AS n,
+ row_number() OVER (PARTITION BY label ORDER BY md5('42:' || wid), wid) AS i FROM labelled),
+split AS (SELECT wid, label, CASE WHEN i <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r)"""
+
+
+def _split(lines: DataFrame) -> DataFrame:
+    return windows.stratified_split(_labels(lines).select("wid", "label"), "wid", "label")
+
+
+@query(_SPLIT + " SELECT * FROM split")
+def stratified_split(spark, sf_dir):
+    return _split(eventlog.lines(spark, sf_dir))
+
+
+@query(_SPLIT + " SELECT label, split, count(*) AS n FROM split GROUP BY ALL")
+def split_counts(spark, sf_dir):
+    return _split(eventlog.lines(spark, sf_dir)).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RANKED = f"WITH {LINES}, {LABELS}, r AS (SELECT wid, label, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || wid), wid) AS i FROM labelled)"
+
+
+@query(_RANKED + " SELECT wid, label FROM r WHERE i <= greatest(1, floor(20 * n / total))")
+def stratified_sample(spark, sf_dir):
+    return windows.stratified_sample(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), "wid", "label", 20)
+
+
+@query(_RANKED + " SELECT wid, label FROM r WHERE i <= 2")
+def sample_per_class(spark, sf_dir):
+    return windows.sample_per_class(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), "wid", "label", 2)
+
+
+# Lines, templates, compression
+
+
+@query(f"WITH {LINES} SELECT event_id, thread, msg AS message FROM said")
+def message_strip(spark, sf_dir):
+    return eventlog.lines(spark, sf_dir).select("event_id", E.thread(F.col("raw_line")).alias("thread"), E.message(F.col("raw_line")).alias("message"))
+
+
+@query(f"WITH {LINES} SELECT {MASK} AS template, count(*) AS size FROM said GROUP BY ALL")
+def template_catalog(spark, sf_dir):
+    return eventlog.lines(spark, sf_dir).groupBy(compress.template_mask(E.message(F.col("raw_line"))).alias("template")).agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(f"WITH {ENTITIES}, {RECORDS} SELECT wid, template, count, raw_line, raw_line_last, first_ts, last_ts, array_to_string(entities, '|') AS entities FROM comp")
+def window_compress(spark, sf_dir):
+    return _compressed(spark, sf_dir).select("wid", "template", "count", "raw_line", "raw_line_last", "first_ts", "last_ts", F.array_join("entities", "|").alias("entities"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT wid, log_idx, ts_s, {MASK} AS template FROM said),
+ s AS (SELECT *, CASE WHEN template IS NOT DISTINCT FROM lag(template) OVER (PARTITION BY wid ORDER BY ts_s, log_idx) THEN 0 ELSE 1 END AS st FROM m),
+ r AS (SELECT *, CAST(sum(st) OVER (PARTITION BY wid ORDER BY ts_s, log_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM s)
+ SELECT wid, run, min(template) AS template, count(*) AS count, min(ts_s) AS first_ts, max(ts_s) AS last_ts FROM r GROUP BY wid, run""")
+def window_compress_runs(spark, sf_dir):
+    return compress.compress_runs(_records(eventlog.lines(spark, sf_dir)))
+
+
+@query(f"""WITH {ENTITIES}, {RECORDS}, {LABELS}, z AS (SELECT wid, sum(count) AS b, count(*) AS a FROM comp GROUP BY wid)
+ SELECT label, count(*) AS windows, CAST(sum(b) AS BIGINT) AS lines, CAST(sum(a) AS BIGINT) AS records, round(sum(a) / sum(b), 6) AS kept, round(avg(a), 6) AS mean_records,
+ list_sort(list(a))[CAST(floor(count(*) * 0.5::DOUBLE) AS INT) + 1] AS p50, list_sort(list(a))[CAST(floor(count(*) * 0.9::DOUBLE) AS INT) + 1] AS p90 FROM z JOIN labelled USING (wid) GROUP BY label""")
+def compress_stats_by_class(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    return compress.compression_stats(compress.compress_windows(_records(lines)), _labels(lines).select("wid", "label"))
+
+
+# Entities, tokens, coverage
+
+
+@query(f"""WITH {LINES}, s AS (SELECT event_id, raw_line, thread, {found(E.PEER, 2)} AS pn, {found(E.PEER, 1)} AS pi, {found(E.NODE_ID)} AS own, nullif(regexp_extract(raw_line, {q(E.ENDPOINT_IP)}, 1), '') AS ip FROM said)
+ SELECT event_id, array_to_string(list_sort(list_distinct({found(E.REGION)} || {found(E.REGION_TO_IP)})), ',') AS regions,
+ array_to_string(list_sort(list_distinct(own || pn)), ',') AS nodes,
+ array_to_string(list_sort(list_distinct(list_transform(list_zip(pn, pi), lambda x: x[1] || '=' || x[2]) || CASE WHEN ip IS NULL THEN [] ELSE list_transform(list_filter(own, lambda n: NOT list_contains(pn, n)), lambda n: n || '=' || ip) END)), ',') AS node_ips,
+ array_to_string(list_sort(list_distinct({CONSENSUS})), ',') AS groups, thread FROM s""")
+def entities_structured(spark, sf_dir):
+    parts = E.structured(F.col("raw_line"))
+    return eventlog.lines(spark, sf_dir).select("event_id", *[F.array_join(parts[k], ",").alias(k) for k in ("regions", "nodes", "node_ips", "groups")], parts["thread"].alias("thread"))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT thread, {thread_group('thread')} AS thread_group FROM said")
+def thread_normalize(spark, sf_dir):
+    thread = E.thread(F.col("raw_line"))
+    return eventlog.lines(spark, sf_dir).select(thread.alias("thread"), E.normal_thread(thread).alias("thread_group")).distinct()
+
+
+@query("WITH " + LINES + ", t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS subsystem FROM said WHERE regexp_matches(msg, {q(p)})" for n, p in E.SUBSYSTEMS) + ") SELECT subsystem, count(*) AS n FROM t GROUP BY ALL")
+def subsystem_tags(spark, sf_dir):
+    return eventlog.lines(spark, sf_dir).select(F.explode(E.subsystems(E.message(F.col("raw_line")))).alias("subsystem")).groupBy("subsystem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tokens(spark, sf_dir):
+    return compress.token_frequency(eventlog.lines(spark, sf_dir).select(E.tokens(E.message(F.col("raw_line"))).alias("tokens")))
+
+
+_DF = f"WITH {LINES}, t AS (SELECT unnest({TOKENS}) AS token FROM said), df AS (SELECT token, count(*) AS n, len(regexp_extract_all(token, '[a-zA-Z]+|[0-9]+|[^a-zA-Z0-9]+')) AS complexity FROM t GROUP BY token)"
+
+
+@query(_DF + " SELECT token, n, complexity FROM df")
+def token_df(spark, sf_dir):
+    return _tokens(spark, sf_dir).withColumn("complexity", E.token_complexity(F.col("token")))
+
+
+@query(_DF + " SELECT token, n FROM df WHERE n >= 5 AND complexity >= 2")
+def valid_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir).where((F.col("n") >= 5) & (E.token_complexity(F.col("token")) >= 2))
+
+
+@query(_DF + f""", l AS (SELECT event_id, {TOKENS} AS tokens FROM said), v AS (SELECT list(token) AS valid FROM df WHERE n >= 5 AND complexity >= 2),
+ x AS (SELECT event_id, unnest(tokens) AS token FROM l) SELECT event_id, string_agg(token, ',' ORDER BY token) AS statistical FROM x WHERE token IN (SELECT token FROM df WHERE n >= 5 AND complexity >= 2) GROUP BY event_id""")
+def statistical_entities(spark, sf_dir):
+    rows = eventlog.lines(spark, sf_dir).select("event_id", F.explode(E.tokens(E.message(F.col("raw_line")))).alias("token"))
+    valid = valid_tokens(spark, sf_dir).select("token")
+    return rows.join(valid, "token", "left_semi").groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list("token")), ",").alias("statistical"))
+
+
+@query(f"WITH {ENTITIES} SELECT entity_type, entity, count(*) AS n FROM ents GROUP BY ALL")
+def entities_clean(spark, sf_dir):
+    return _entities(eventlog.lines(spark, sf_dir)).groupBy("entity_type", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COVERED = _SPLIT.replace(LINES, ENTITIES) + ", cov AS (SELECT entity_type, entity, count(DISTINCT wid) AS coverage FROM ents JOIN split USING (wid) WHERE split = 'train' GROUP BY ALL)"
+
+
+def _train_coverage(lines):
+    train = _split(lines).where("split = 'train'").select("wid")
+    return compress.entity_coverage(_entities(lines).join(train, "wid", "left_semi"))
+
+
+@query(_COVERED + " SELECT * FROM cov")
+def entity_coverage(spark, sf_dir):
+    return _train_coverage(eventlog.lines(spark, sf_dir))
+
+
+@query(_COVERED + " SELECT wid, log_idx, entity_type, entity FROM ents SEMI JOIN (SELECT * FROM cov WHERE coverage >= 2) c USING (entity_type, entity)")
+def coverage_filter(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    return compress.coverage_filter(_entities(lines), _train_coverage(lines), 2).select("wid", "log_idx", "entity_type", "entity")
+
+
+@query(_COVERED + " SELECT l.wid, count(*) AS lines, count(*) FILTER (WHERE k.wid IS NULL) AS without FROM lines l LEFT JOIN (SELECT DISTINCT wid, log_idx FROM ents SEMI JOIN (SELECT * FROM cov WHERE coverage >= 20) c USING (entity_type, entity)) k ON l.wid = k.wid AND l.log_idx = k.log_idx GROUP BY l.wid")
+def zero_entity_records(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    kept = compress.coverage_filter(_entities(lines), _train_coverage(lines), 20).select("wid", "log_idx").distinct().withColumn("has", F.lit(1))
+    return lines.join(kept, ["wid", "log_idx"], "left").groupBy("wid").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("has").isNull()).alias("without"))
+
+
+@query(f"""WITH {ENTITIES}, t AS (SELECT wid, count(*) AS total FROM lines GROUP BY wid), c AS (SELECT wid, entity_type, entity, count(*) AS lines FROM ents GROUP BY ALL)
+ SELECT wid, entity_type, entity, c.lines, round(c.lines * 100.0::DOUBLE / total, 2) AS percent, CASE WHEN c.lines * 100.0::DOUBLE / total > 50 THEN 'high' WHEN c.lines * 100.0::DOUBLE / total > 10 THEN 'medium' ELSE 'low' END AS level FROM c JOIN t USING (wid)""")
+def entity_frequency_levels(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    return compress.frequency_levels(_entities(lines), lines.groupBy("wid").agg(F.count(F.lit(1)).alias("total")))
+
+
+# Graph
+
+
+_NODES = f"""WITH {ENTITIES}, {LABELS}, nodes AS (SELECT 'Window' AS node_type, 'Window:' || wid AS node_id, wid AS content FROM labelled
+ UNION SELECT 'Anomaly', 'Anomaly:' || label, label FROM labelled UNION SELECT 'LogInstance', 'LogInstance:' || wid || '_' || log_idx, left(raw_line, 200) FROM lines
+ UNION SELECT entity_type, entity_type || ':' || entity, entity FROM ents),
+ edges AS (SELECT 'Window:' || wid AS src, 'LogInstance:' || wid || '_' || log_idx AS dst, 'CONTAINS' AS relation FROM lines
+ UNION SELECT 'Window:' || wid, entity_type || ':' || entity, 'CONTAINS' FROM ents UNION SELECT 'LogInstance:' || wid || '_' || log_idx, entity_type || ':' || entity, 'ASSOCIATED_WITH' FROM ents
+ UNION SELECT 'Window:' || wid, 'Anomaly:' || label, 'HAS_ANOMALY' FROM labelled)"""
+
+
+def _graph(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    labels, ents = _labels(lines).select("wid", "label"), _entities(lines)
+    return graph.nodes(labels, lines, ents), graph.edges(labels, lines, ents)
+
+
+@query(_NODES + " SELECT * FROM nodes")
+def kg_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0]
+
+
+@query(_NODES + " SELECT * FROM edges")
+def kg_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@query(_NODES + " SELECT 'node' AS kind, node_type AS type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relation, count(*) FROM edges GROUP BY ALL")
+def kg_stats(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    count = F.count(F.lit(1)).alias("n")
+    return nodes.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("type")).agg(count).union(edges.groupBy(F.lit("edge"), "relation").agg(count))
+
+
+@query(_NODES + " SELECT dst AS src, src AS dst, 'REVERSE_ASSOCIATED_WITH' AS relation FROM edges WHERE relation = 'ASSOCIATED_WITH'")
+def reverse_edges(spark, sf_dir):
+    return graph.reverse(_graph(spark, sf_dir)[1], "ASSOCIATED_WITH")
+
+
+@query(f"""WITH {ENTITIES} SELECT DISTINCT r.entity AS region, g.entity AS consensus_group FROM ents r JOIN ents g ON r.entity_type = 'DataRegion' AND g.entity_type = 'ConsensusGroup'
+ AND regexp_extract(r.entity, '^DataRegion:([0-9]+)$', 1) = regexp_extract(g.entity, '^DataRegion:([0-9]+)$', 1) AND regexp_extract(r.entity, '^DataRegion:([0-9]+)$', 1) <> ''""")
+def belongs_to(spark, sf_dir):
+    return graph.belongs_to(_entities(eventlog.lines(spark, sf_dir)))
+
+
+@query(_WE + " SELECT entity, count(*) AS windows, string_agg(wid, ',' ORDER BY wid) AS wids FROM we GROUP BY entity")
+def inverted_index(spark, sf_dir):
+    return _window_entity(eventlog.lines(spark, sf_dir)).groupBy("entity").agg(F.count(F.lit(1)).alias("windows"), F.array_join(F.sort_array(F.collect_list("wid")), ",").alias("wids"))
+
+
+@query(_WE + f" SELECT entity, count(*) AS coverage FROM we GROUP BY entity HAVING count(*) > {MOST_WINDOWS}")
+def hot_entities(spark, sf_dir):
+    return graph.hot_entities(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS)
+
+
+@query(_WE + f", {scores(MOST_WINDOWS)} SELECT wid, neighbor, score, rank FROM ranked WHERE rank <= {NEIGHBORS}")
+def window_topk_neighbors(spark, sf_dir):
+    return graph.top_neighbors(graph.shared_entity_scores(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS), NEIGHBORS)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_topk_neighbors(spark, sf_dir)
+
+
+_SAME = _WE.replace("we AS (SELECT DISTINCT wid, ", f"{LABELS}, we AS (SELECT DISTINCT wid, label, ").replace("FROM ents)", "FROM ents JOIN labelled USING (wid))")
+
+
+@query(_SAME + f", {scores(MOST_WINDOWS, 'AND a.label = b.label')} SELECT wid, neighbor, score, rank FROM ranked WHERE rank <= {NEIGHBORS}")
+def sameclass_neighbors(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    known = _window_entity(lines).join(_labels(lines).select("wid", "label"), "wid")
+    return graph.top_neighbors(graph.shared_entity_scores(known, MOST_WINDOWS, ["label"]), NEIGHBORS)
+
+
+def _with_split(sql: str) -> str:
+    return sql.replace(ENTITIES, _SPLIT.removeprefix("WITH ").replace(LINES, ENTITIES))
+
+
+@query(_with_split(_WE) + f""", {scores(MOST_WINDOWS)} SELECT wid, neighbor, score, rank, row_number() OVER (PARTITION BY wid ORDER BY score DESC, neighbor) AS pool_rank FROM
+ (SELECT r.* FROM ranked r JOIN split s ON s.wid = r.neighbor WHERE r.rank <= 20 AND s.split <> 'test') QUALIFY pool_rank <= {NEIGHBORS}""")
+def pool_neighbors(spark, sf_dir):
+    """The index keeps 20 neighbours; of these, those of the pool that is allowed. Cut first, then filtered."""
+    lines = eventlog.lines(spark, sf_dir)
+    index = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS), 20)
+    pool = _split(lines).where("split <> 'test'").select(F.col("wid").alias("neighbor"))
+    return graph.top_neighbors(index.withColumnRenamed("rank", "index_rank").join(pool, "neighbor", "left_semi"), NEIGHBORS).select("wid", "neighbor", "score", F.col("index_rank").alias("rank"), F.col("rank").alias("pool_rank"))
+
+
+_EGO = _WE + f""", {scores(MOST_WINDOWS)}, tg AS (SELECT wid AS target, neighbor AS wid FROM ranked WHERE rank <= {NEIGHBORS} UNION SELECT wid, wid FROM lines),
+ le AS (SELECT wid, log_idx, entity_type || ':' || entity AS entity FROM ents), ego AS (SELECT DISTINCT target, wid, log_idx, entity FROM tg JOIN le USING (wid)),
+ num AS (SELECT *, dense_rank() OVER (PARTITION BY target ORDER BY wid) - 1 AS window_no, dense_rank() OVER (PARTITION BY target ORDER BY wid, log_idx) - 1 AS line_no, dense_rank() OVER (PARTITION BY target ORDER BY entity) - 1 AS entity_no FROM ego)"""
+
+
+def _ego(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS), NEIGHBORS)
+    targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
+    return graph.ego_edges(targets, _entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+
+
+@query(_EGO + " SELECT target, wid, log_idx, entity, window_no, line_no, entity_no FROM num")
+def ego_subgraph_edges(spark, sf_dir):
+    return _ego(spark, sf_dir)
+
+
+@query(_EGO + " SELECT target, count(DISTINCT wid) AS windows, count(DISTINCT (wid, log_idx)) AS lines, count(DISTINCT entity) AS entities, count(*) AS edges FROM num GROUP BY target HAVING count(DISTINCT wid) + count(DISTINCT (wid, log_idx)) + count(DISTINCT entity) <= 200000")
+def ego_subgraph_sizes(spark, sf_dir):
+    sizes = _ego(spark, sf_dir).groupBy("target").agg(F.count_distinct("window_no").alias("windows"), F.count_distinct("line_no").alias("lines"), F.count_distinct("entity_no").alias("entities"), F.count(F.lit(1)).alias("edges"))
+    return sizes.where(F.col("windows") + F.col("lines") + F.col("entities") <= 200_000)
+
+
+@query(_EGO + " SELECT target, log_idx, entity, dense_rank() OVER (PARTITION BY target ORDER BY log_idx) - 1 AS line_no, dense_rank() OVER (PARTITION BY target ORDER BY entity) - 1 AS entity_no FROM ego WHERE wid = target")
+def single_window_strip(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    own = lines.select("wid", "wid").distinct().toDF("target", "wid")
+    return graph.ego_edges(own, _entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity"))).select("target", "log_idx", "entity", "line_no", "entity_no")
+
+
+@query("SELECT user_id AS node_id, event_type AS key, arg_max(props, event_id) AS value FROM events WHERE props IS NOT NULL GROUP BY ALL")
+def node_upsert_merge(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return graph.upsert(events.select(F.col("user_id").alias("node_id"), F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("at")))
+
+
+@query("SELECT l_orderkey AS src, l_partkey AS dst, count(*) AS count, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL")
+def edge_multiset(spark, sf_dir):
+    """Edges with multiplicity, the shape of a compressed record, over a large table."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.groupBy(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query(_SPLIT + " SELECT wid, label FROM split WHERE split <> 'train'")
+def resume_antijoin(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    return knowledge.remaining(_labels(lines).select("wid", "label"), _split(lines).where("split = 'train'"), "wid")
+
+
+# Weights, reports, pooling
+
+
+_PREDICTED = f"WITH {LINES}, {LABELS}, p AS (SELECT wid, label, coalesce(types[2], label) AS pred FROM labelled)"
+
+
+def _predictions(spark, sf_dir):
+    return _labels(eventlog.lines(spark, sf_dir)).select("wid", "label", F.coalesce(F.get("types", F.lit(1)), "label").alias("pred"))
+
+
+@query(f"WITH {LINES}, {LABELS}, c AS (SELECT label, count(*) AS n FROM labelled GROUP BY label), r AS (SELECT label, n, (SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n) AS raw, (SELECT count(*) FROM c) AS k FROM c) SELECT label, n, round(least(raw * k / (SELECT sum(raw) FROM r), 1.5), 6) AS weight FROM r")
+def class_weights(spark, sf_dir):
+    return measure.class_weights(_labels(eventlog.lines(spark, sf_dir)), 1.5)
+
+
+@query(_PREDICTED + " SELECT label, " + ", ".join(f"count(*) FILTER (WHERE pred = '{c}') AS pred_{c}" for c in CLASSES) + " FROM p GROUP BY label")
+def confusion_matrix(spark, sf_dir):
+    return measure.confusion(_predictions(spark, sf_dir), CLASSES)
+
+
+_REPORT = _PREDICTED + """, c AS (SELECT label AS c FROM p UNION SELECT pred FROM p), r AS (SELECT c AS label, (SELECT count(*) FROM p WHERE label = c) AS support, (SELECT count(*) FROM p WHERE pred = c) AS predicted, (SELECT count(*) FROM p WHERE pred = c AND label = c) AS hit FROM c),
+ rep AS (SELECT label, support, round(coalesce(hit / nullif(predicted, 0), 0), 6) AS precision, round(coalesce(hit / nullif(support, 0), 0), 6) AS recall, round(coalesce(2.0::DOUBLE * hit / nullif(support + predicted, 0), 0), 6) AS f1 FROM r)"""
+
+
+@query(_REPORT + " SELECT * FROM rep")
+def class_report(spark, sf_dir):
+    return measure.class_report(_predictions(spark, sf_dir))
+
+
+@query(_REPORT + " SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM rep")
+def prf_macro(spark, sf_dir):
+    return measure.macro(measure.class_report(_predictions(spark, sf_dir)))
+
+
+@query(_PREDICTED + " SELECT round(avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0 END), 6) AS agreement, count(*) AS n FROM p")
+def agreement_rate(spark, sf_dir):
+    return _predictions(spark, sf_dir).agg(F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 6).alias("agreement"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LINES}, {LABELS}, s AS (SELECT wid, avg(CASE WHEN event_type = label THEN 1.0::DOUBLE ELSE 0 END) AS p FROM lines JOIN labelled USING (wid) GROUP BY wid) SELECT round(avg(-pow(1 - greatest(p, 1e-12), 1.0) * ln(greatest(p, 1e-12))), 6) AS focal_loss FROM s")
+def focal_loss(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    shares = lines.join(_labels(lines).select("wid", "label"), "wid").groupBy("wid").agg(F.avg((F.col("event_type") == F.col("label")).cast("double")).alias("p"))
+    return measure.focal_loss(shares.withColumn("weight", F.lit(1.0)))
+
+
+@query(f"""WITH {ENTITIES}, {RECORDS}, x AS (SELECT wid, template, count, first_ts, first_idx, unnest(generate_series(1, count)) AS copy FROM comp),
+ o AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY first_ts, first_idx, template, copy) - 1 AS pos FROM x) SELECT wid, template, count(*) AS copies, min(pos) AS first_pos, round(avg(pos), 6) AS mean_pos FROM o WHERE pos < 40 GROUP BY wid, template""")
+def count_expand_meanpool(spark, sf_dir):
+    copies = measure.expanded(_compressed(spark, sf_dir), 40)
+    return copies.groupBy("wid", "template").agg(F.count(F.lit(1)).alias("copies"), F.min("pos").alias("first_pos"), F.round(F.avg("pos"), 6).alias("mean_pos"))
+
+
+@query("WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim, round(avg(CAST(x AS DOUBLE)), 6) AS value FROM x GROUP BY ALL")
+def mean_vectors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("embedding").alias("vec"))
+    return measure.mean_vectors(rows, "label").select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query("WITH t AS (SELECT user_id, max(value) AS m FROM events GROUP BY user_id) SELECT user_id, round(sum(exp((value - m) / 100) * value) / sum(exp((value - m) / 100)), 4) AS pooled FROM events JOIN t USING (user_id) GROUP BY user_id")
+def attention_pool(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("score", F.col("value") / 100)
+    return measure.attention_pool(rows, "user_id", "score", "value").withColumn("pooled", F.round("pooled", 4))
+
+
+# Retrieval, texts, clusters
+
+
+def _vectors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
+    return queries, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+_DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+def _top(on: str, boost: str, k: int) -> str:
+    return f"""SELECT qid, id, round(sim, 6) AS sim, rank FROM (SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY round(sim * {boost}, 9) DESC, id) AS rank FROM
+ (SELECT a.vec_id AS qid, b.vec_id AS id, {_DOT} AS sim FROM embeddings a JOIN embeddings b ON {on} WHERE a.vec_id % 50 = 0)) WHERE rank <= {k}"""
+
+
+@query(_top("true", "1", 10))
+def cosine_topk(spark, sf_dir):
+    queries, base = _vectors(spark, sf_dir)
+    return retrieval.cosine_topk(queries.drop("label"), base, 10)
+
+
+@query(_top("a.label = b.label", "(1 / sqrt(1 + id % 3))", 5))
+def class_filtered_specificity_topk(spark, sf_dir):
+    """Entries of the query's class, ranked by similarity over the root of how many classes an entry has."""
+    return retrieval.cosine_topk(*_vectors(spark, sf_dir), 5, on="label", boost=1 / F.sqrt(1 + F.col("id") % 3))
+
+
+@query("""SELECT doc_id, concat_ws(chr(10), 'Title: ' || source, 'Symptom: ' || left(text, 80), 'Root cause: ' || lang, CASE WHEN n_chars > 500 THEN 'Fix: shorten | split' END, 'Anomaly classes: ' || lang, CASE WHEN doc_id % 2 = 0 THEN 'Tags: even' END) AS entry FROM documents""")
+def entry_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    none = F.array().cast("array<string>")
+    rows = docs.select(
+        "doc_id", F.col("source").alias("title"), F.substring("text", 1, 80).alias("symptom"), F.col("lang").alias("root_cause"),
+        F.when(F.col("n_chars") > 500, F.array(F.lit("shorten"), F.lit("split"))).otherwise(none).alias("fix"), F.array("lang").alias("classes"), none.alias("subsystems"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("even"))).otherwise(none).alias("tags"),
+    )
+    return rows.select("doc_id", retrieval.entry_text(rows).alias("entry"))
+
+
+_CONTEXT = f"""WITH {ENTITIES}, {RECORDS}, {LABELS}, k AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY count DESC, first_idx, template) AS r FROM comp),
+ ctx AS (SELECT c.wid, CAST(sum(c.count) AS BIGINT) AS log_count_original, count(*) AS log_count, (SELECT string_agg('  [x' || k.count || '] ' || left(k.template, 200), chr(10) ORDER BY r) FROM k WHERE k.wid = c.wid AND r <= 5) AS top_templates FROM comp c GROUP BY c.wid),
+ fe AS (SELECT wid, entity, count(DISTINCT log_idx) AS n FROM ents GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY n DESC, entity) AS r FROM fe),
+ fq AS (SELECT wid, string_agg(entity || '(x' || n || ')', ', ' ORDER BY r) AS entities FROM fr WHERE r <= 5 GROUP BY wid)"""
+
+
+@query(_CONTEXT + " SELECT wid, log_count_original, log_count, top_templates, entities FROM ctx LEFT JOIN fq USING (wid)")
+def window_context(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    context = retrieval.window_context(compress.compress_windows(_records(lines)))
+    return context.join(retrieval.frequent_entities(_entities(lines), 5), "wid", "left")
+
+
+@query(_CONTEXT + " SELECT wid, 'Predicted anomaly: ' || label || chr(10) || 'Top log templates by count:' || chr(10) || top_templates || coalesce(chr(10) || 'Frequent entities: ' || entities, '') AS query FROM ctx JOIN labelled USING (wid) LEFT JOIN fq USING (wid)")
+def prompt_text(spark, sf_dir):
+    context = window_context(spark, sf_dir).join(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), "wid")
+    return context.select("wid", retrieval.retrieval_query(context).alias("query"))
+
+
+@query(f"""WITH ev AS ({_top("a.label = b.label", "1", 5)}), l AS (SELECT ev.*, e.label FROM ev JOIN embeddings e ON e.vec_id = qid), t AS (SELECT qid AS wid, label, string_agg(CAST(id % 4 AS VARCHAR), '|' ORDER BY CAST(id % 4 AS VARCHAR)) AS fingerprint, max(CASE WHEN rank = 1 THEN sim END) AS score FROM l WHERE rank <= 2 GROUP BY qid, label),
+ c AS (SELECT label, fingerprint, count(*) AS size, arg_min(wid, {{'s': -score, 'w': wid}}) AS rep FROM t GROUP BY label, fingerprint), n AS (SELECT *, row_number() OVER (ORDER BY size DESC, label, fingerprint) AS cluster FROM c)
+ SELECT wid, label, fingerprint, cluster, size, wid = rep AS is_representative FROM t JOIN n USING (label, fingerprint)""")
+def fingerprint_clusters(spark, sf_dir):
+    queries, base = _vectors(spark, sf_dir)
+    evidence = retrieval.cosine_topk(queries, base, 5, on="label").join(queries.select("qid", "label"), "qid")
+    return retrieval.fingerprint_clusters(evidence.select(F.col("qid").alias("wid"), "label", (F.col("id") % 4).cast("string").alias("id"), "sim", "rank"), 2)
+
+
+# Reports
+
+
+_REPORTED = """SELECT event_id, 'Do it (see TS‑' || (k % 12) || ') and (see AB-' || k || '), Tuple ' || (k % 6) || ', tuple ' || (k % 3) || '; SET CONFIGURATION ''heap_' || event_type || '_size''=' || k || ', SHOW ' || upper(event_type) || '. FLUSH `' || event_type || '_pool_size`' AS text, k, event_type"""
+_EVIDENCE = "['TS-' || (k % 5), 'TS-' || (k % 12), 'AB-' || (k % 40)]"
+_KNOWN_IDS = [f"TS-{i}" for i in range(12)] + [f"AB-{i}" for i in range(50)]
+_REPORTS = f"WITH {LINES}, rep AS ({_REPORTED} FROM lines), n AS (SELECT *, regexp_replace(text, '[‐‑–—]', '-', 'g') AS t, {_EVIDENCE} AS evidence FROM rep), cited AS (SELECT *, list_sort(list_distinct(regexp_extract_all(t, {q(evaluate.CITED_ID)}, 1))) AS ids, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.CITED_RANK)}, 1), lambda x: CAST(x AS BIGINT)))) AS ranks FROM n)"
+
+
+def _reports(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    text = _REPORTED.removeprefix("SELECT event_id, ").split(" AS text")[0].replace("''", "\\'")
+    return lines.select("event_id", F.expr(text).alias("text"), F.expr(_EVIDENCE.replace("[", "array(").replace("]", ")")).alias("evidence"))
+
+
+@query(_REPORTS + " SELECT event_id, array_to_string(ids, ',') AS cited_ids, array_to_string(list_transform(ranks, lambda x: CAST(x AS VARCHAR)), ',') AS cited_ranks FROM cited")
+def citations(spark, sf_dir):
+    return evaluate.citations(_reports(spark, sf_dir)).select("event_id", F.array_join("cited_ids", ",").alias("cited_ids"), F.array_join(F.transform("cited_ranks", lambda n: n.cast("string")), ",").alias("cited_ranks"))
+
+
+_ALL_IDS = "[" + ", ".join(map(q, _KNOWN_IDS)) + "]"
+
+
+@query(_REPORTS + f""" SELECT event_id, CAST(len(list_filter(ids, lambda x: list_contains(evidence, x))) AS BIGINT) AS valid_ids, CAST(len(list_filter(ids, lambda x: NOT list_contains(evidence, x) AND list_contains({_ALL_IDS}, x))) AS BIGINT) AS existing_ids,
+ CAST(len(list_filter(ids, lambda x: NOT list_contains(evidence, x) AND NOT list_contains({_ALL_IDS}, x))) AS BIGINT) AS bogus_ids, CAST(len(list_filter(ranks, lambda x: x >= 1 AND x <= len(list_distinct(evidence)))) AS BIGINT) AS valid_ranks, CAST(len(list_filter(ranks, lambda x: x < 1 OR x > len(list_distinct(evidence)))) AS BIGINT) AS invalid_ranks FROM cited""")
+def citation_validity(spark, sf_dir):
+    judged = evaluate.citation_validity(evaluate.citations(_reports(spark, sf_dir)), F.array(*map(F.lit, _KNOWN_IDS)))
+    return judged.select("event_id", "valid_ids", "existing_ids", "bogus_ids", "valid_ranks", "invalid_ranks")
+
+
+_COMMANDS = ["SHOW VIEW", "SHOW CLICK STREAM", "FLUSH"]
+_SETTINGS = ["heap_view_size", "view_pool_size", "click_pool_size"]
+
+
+@query(_REPORTS + f""", m AS (SELECT event_id, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.CONFIG_SET)}, 1) || regexp_extract_all(t, {q(evaluate.CONFIG_QUOTED)}, 1), lambda x: lower(x)))) AS s, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.COMMAND)}, 1), lambda x: upper(trim(x))))) AS c FROM n)
+ SELECT event_id, array_to_string(s, ',') AS settings, array_to_string(c, ',') AS commands, array_to_string(list_filter(s, lambda x: NOT list_contains([{', '.join(map(q, _SETTINGS))}], x)), ',') AS unknown_settings,
+ array_to_string(list_filter(c, lambda x: NOT ({' OR '.join(f"starts_with(x, {q(k)}) OR starts_with({q(k)}, x)" for k in _COMMANDS)})), ',') AS unknown_commands FROM m""")
+def hallucination_antijoin(spark, sf_dir):
+    rows = _reports(spark, sf_dir)
+    rows = rows.select("event_id", *[c.alias(k) for k, c in evaluate.mentions(F.col("text")).items()])
+    return rows.select("event_id", F.array_join("settings", ",").alias("settings"), F.array_join("commands", ",").alias("commands"), F.array_join(evaluate.unknown_settings(F.col("settings"), _SETTINGS), ",").alias("unknown_settings"), F.array_join(evaluate.unknown_commands(F.col("commands"), _COMMANDS), ",").alias("unknown_commands"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE contains(lower(text), 'que') OR contains(lower(text), 'the')) AS hits FROM documents GROUP BY lang")
+def keyword_hits(spark, sf_dir):
+    hit = evaluate.keyword_hit(F.col("text"), F.array(F.lit("QUE"), F.lit("the")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+
+
+@query("SELECT n_regionkey AS code, n_nationkey % 3 AS class_pos, n_nationkey AS pos, n_name AS name FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 3, n_nationkey) = 1")
+def status_code_dedupe(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return knowledge.first_class(nation.select(F.col("n_regionkey").alias("code"), (F.col("n_nationkey") % 3).alias("class_pos"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name")))
+
+
+# Not for SQL: template trees, learning, streams
+
+
+@query()
+def drain_templates(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir).select(compress.template_mask(E.message(F.col("raw_line"))).alias("masked"))
+    return learn.match_templates(lines, learn.mine_templates(lines)).groupBy("template").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query()
+def spark_ml_classifier(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    context = retrieval.window_context(compress.compress_windows(_records(lines))).join(_split(lines), "wid")
+    predicted = learn.classify(learn.text_vectors(context.select("wid", "label", "split", "top_templates"), "top_templates"), "label")
+    return measure.class_report(predicted.where("split <> 'train'").select("label", "pred"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
+    """Run a streaming plan over the events to its end and return what it wrote."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-")
+    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = source.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.expr(f"'f' || (user_id % {eventlog.STREAMS})").alias("stream"))
+    out = build(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query(f"WITH {LINES} SELECT stream, n // {eventlog.WINDOW_LINES} AS window_no, n % {eventlog.WINDOW_LINES} AS log_idx, event_id FROM numbered")
+def stream_count_windows(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda rows: streams.stream_count_windows(rows, eventlog.WINDOW_LINES), "append")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query()
+def stream_time_windows(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda rows: streams.stream_time_windows(rows), "append")
