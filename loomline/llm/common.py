@@ -39,6 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores before it as it takes not to clash with a column, letter case aside."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     """All rows if there are at most ``bound``, else about ``bound`` of them, chosen by a hash of ``key``."""
     n = df.count()

@@ -15,7 +15,7 @@ source's total is within a few words of its target, and reruns agree.
 
 Null texts have size 0 and nothing is taken of them. A null source is a source
 of its own, ranked last. Repeated rows count each. Extra columns are ignored
-by :func:`mixed` and kept by :func:`mixture`.
+by :func:`mixed` and kept by :func:`mixture`, but for its own two.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut
+from .common import cut, fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -131,19 +131,21 @@ def mixture(docs: DataFrame) -> DataFrame:
 
     Sources that fit Spark's broadcast limit are joined without moving texts.
     """
-    goals = solved(sizes(docs)).select(F.col("key").alias("_key"), F.col("source_size").alias("_total"), F.col("mean").alias("_mean"), F.col("lam").alias("_lam"))
+    docs = docs.drop("copy", "copy_words")
+    k, n, total, mean, lam, taken_of = fresh(docs, "_key", "_size", "_total", "_mean", "_lam", "_taken")
+    goals = solved(sizes(docs)).select(F.col("key").alias(k), F.col("source_size").alias(total), F.col("mean").alias(mean), F.col("lam").alias(lam))
     size, key = _size_and_key()
-    rated = docs.withColumn("_size", size).withColumn("_key", key).join(goals, "_key")
-    _, taken = _rounded(*map(F.col, ("doc_id", "_size", "_total", "_mean", "_lam")))
+    rated = docs.withColumn(n, size).withColumn(k, key).join(goals, k)
+    _, taken = _rounded(*map(F.col, ("doc_id", n, total, mean, lam)))
     names = docs.schema.names
-    rated = rated.withColumn("_taken", taken).where("_taken > 0").select(*[F.col(f"`{c}`") for c in names], "_size", "_taken")
+    rated = rated.withColumn(taken_of, taken).where(F.col(taken_of) > 0).select(*[F.col(f"`{c}`") for c in names], n, taken_of)
     schema = docs.withColumns({"copy": F.lit(0).cast("long"), "copy_words": F.lit(0).cast("long")}).schema
 
     def copies(part: pa.RecordBatch) -> pa.RecordBatch:
-        size, taken = part.column("_size").to_numpy(), part.column("_taken").to_numpy()
-        n = -(-taken // size)
-        row = np.repeat(np.arange(len(n)), n)
-        copy = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+        size, taken = part.column(len(names)).to_numpy(), part.column(len(names) + 1).to_numpy()
+        times = -(-taken // size)
+        row = np.repeat(np.arange(len(times)), times)
+        copy = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + 1
         used = np.where(copy * size[row] <= taken[row], size[row], taken[row] % size[row])
         out = [part.column(c).take(pa.array(row)) for c in names]
         at = names.index("text")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from . import text as T
-from .common import bitmap, cut, in_bitmap, text_keys
+from .common import bitmap, cut, fresh, in_bitmap, text_keys
 from .components import components
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
@@ -199,12 +199,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     ids = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.mapper(keys), "doc_id long, t long").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("rows")))
     placed = ids.join(components(text_links(docs)), F.col("t") == F.col("node"), "left").withColumn("group", F.coalesce("root", "t"))
-    groups = placed.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "t")).alias("one"), F.sum("rows").alias("n")).where("n > 1").select("group", F.col("one.doc_id").alias("one_id"), F.col("one.t").alias("one_t"))
+    groups = cut(placed.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "t")).alias("one"), F.sum("rows").alias("n")).where("n > 1").select("group", F.col("one.doc_id").alias("one_id"), F.col("one.t").alias("one_t")))
     stays = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("t") == F.col("one_t"))
+    key, key_id, key_t, one = fresh(docs, "_key", "_id", "_t", "_one")
     # Of these rows the first kind goes; of the second, repeated, one stays.
-    judged = cut(placed.join(groups, "group").where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), stays.alias("_one")))
-    shared = bitmap(judged.select("_t").distinct(), "_t")
-    keyed = docs.withColumn("_key", F.lit(0).cast("long")).schema
+    judged = cut(placed.join(groups, "group").where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias(key_id), F.col("t").alias(key_t), stays.alias(one)))
+    shared = bitmap(judged.select(key_t).distinct(), key_t)
+    keyed = docs.withColumn(key, F.lit(0).cast("long")).schema
 
     def clear(part: pa.RecordBatch) -> pa.RecordBatch:
         return part.filter(pa.array(~in_bitmap(shared, text_keys(part.column("text"))[0])))
@@ -213,8 +214,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         t = text_keys(part.column("text"))[0]
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(t)], names=keyed.names).filter(pa.array(in_bitmap(shared, t)))
 
-    doubt = docs.mapInArrow(T.mapper(in_doubt), keyed).join(judged, (F.col("_key") == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    doubt = docs.mapInArrow(T.mapper(in_doubt), keyed).join(judged, (F.col(key) == F.col(key_t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)), "left")
     names = [F.col(f"`{c}`") for c in schema.names]
-    single = doubt.where("_one is null").select(*names)
-    repeated = doubt.where("_one").dropDuplicates(["_id", "_t"]).select(*names)
+    single = doubt.where(F.col(one).isNull()).select(*names)
+    repeated = doubt.where(F.col(one)).dropDuplicates([key_id, key_t]).select(*names)
     return docs.mapInArrow(T.mapper(clear), schema).union(single).union(repeated)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import bitmap, cut, in_bitmap, text_keys
+from .common import bitmap, cut, fresh, in_bitmap, text_keys
 
 LENGTH = 400
 HEAD = 128
@@ -307,19 +307,23 @@ def _merged(ranges: np.ndarray) -> np.ndarray:
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+_STARTS, _STOPS = "__range_starts", "__range_stops"
+
+
 def _split(docs: DataFrame) -> tuple[DataFrame, "function"]:
     """Documents whose text may have ranges, with these; and a test of a column for the others."""
     ranges = cut(repeated_ranges(docs))
     shared = bitmap(ranges.select("t1").distinct(), "t1")
-    keyed = docs.withColumns({"_t1": F.lit(0).cast("long"), "_t2": F.lit(0).cast("long")}).schema
+    k1, k2 = fresh(docs, "_t1", "_t2")
+    keyed = docs.withColumns({k1: F.lit(0).cast("long"), k2: F.lit(0).cast("long")}).schema
 
     def chosen(part: pa.RecordBatch) -> pa.RecordBatch:
         t1, t2 = text_keys(part.column("text"))
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(t1), pa.array(t2)], names=keyed.names).filter(pa.array(in_bitmap(shared, t1)))
 
     lists = ranges.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
-    lists = lists.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("r.start").alias("_starts"), F.col("r.stop").alias("_stops"))
-    some = docs.mapInArrow(T.mapper(chosen), keyed).join(lists, ["_t1", "_t2"], "left")
+    lists = lists.select(F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("r.start").alias(_STARTS), F.col("r.stop").alias(_STOPS))
+    some = docs.mapInArrow(T.mapper(chosen), keyed).join(lists, [k1, k2], "left")
     return some, lambda column: pa.array(~in_bitmap(shared, text_keys(column)[0]))
 
 
@@ -328,7 +332,7 @@ _NO_RANGES = np.zeros((0, 2), np.int64)
 
 def _cuts(part: pa.RecordBatch):
     """Text bytes and merged ranges of each row."""
-    for text, starts, stops in zip(part.column("text"), part.column("_starts"), part.column("_stops")):
+    for text, starts, stops in zip(part.column("text"), part.column(_STARTS), part.column(_STOPS)):
         data = (text.as_py() or "").encode()
         if starts.as_py():
             yield data, _merged(np.column_stack([starts.values.to_numpy(), stops.values.to_numpy()]))
