@@ -60,9 +60,9 @@ def _prints(part: pa.RecordBatch) -> pa.RecordBatch | None:
     h, of = h[new], of[new]
     first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     size = np.diff(np.r_[first, len(h)])
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    fp = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    ones = np.zeros((len(first), 64), np.int64)
+    T.count_bits(h, np.repeat(np.arange(len(first)), size), ones)
+    fp = T.over_half(ones, size).view(np.int64)
     views = []
     for row in _ORDERS:
         views.append(_majority(*(np.minimum.reduceat(h * odd, first) for odd in row)))

@@ -57,8 +57,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    weights = quality_rules.ratio_weights(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return quality_rules.quality_report(docs, weights)
+    ratio = quality_rules.fitted_ratio(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return quality_rules.quality_report(docs, ratio)
 
 
 QUERIES = {

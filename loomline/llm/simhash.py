@@ -32,6 +32,7 @@ from .components import components
 BUCKET_ROWS = 4096
 FREE_BITS = 14
 SEED = 42
+_BLOCK = 1 << 16  # hashes held at once
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALL = (1 << 64) - 1
 
@@ -42,31 +43,36 @@ def _signed(x: int) -> int:
 
 def fingerprint_array(texts: pa.Array, shingle: int) -> np.ndarray:
     """Fingerprints of a string column."""
-    h: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
     one = xxhash.xxh64_intdigest
+    counts, ones = np.zeros(len(texts), np.int64), np.zeros((len(texts), 64), np.int64)
+    h: list[int] = []
+    of: list[np.ndarray] = []
+
+    def flush():
+        if h:
+            T.count_bits(np.array(h, np.uint64), np.concatenate(of), ones)
+            h.clear()
+            of.clear()
+
     for k, value in enumerate(texts):
         words = (value.as_py() or "").encode().translate(_LOWER).split()
-        if not words:
-            continue
         line = b" ".join(words)
         if len(words) <= shingle:
-            h.append(one(line, SEED))
-            counts[k] = 1
+            counts[k] = bool(words)
+            h += [one(line, SEED)] * bool(words)
+            of.append(np.full(int(counts[k]), k))
             continue
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        end = np.cumsum(size) - 1
-        start = (end - size + 1)[: len(words) - shingle + 1].tolist()
-        h += [one(line[a:b], SEED) for a, b in zip(start, end[shingle - 1 :].tolist())]
-        counts[k] = len(start)
-    out = np.zeros(len(texts), np.uint64)
-    at = np.flatnonzero(counts)
-    if len(at):
-        first = np.cumsum(counts[at]) - counts[at]
-        bits = np.unpackbits(np.array(h, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        out[at] = np.packbits(2 * ones > counts[at][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        start = np.r_[0, end[:-1] + 1]
+        counts[k] = len(words) - shingle + 1
+        for at in range(0, int(counts[k]), _BLOCK):
+            to = min(at + _BLOCK, int(counts[k]))
+            h += [one(line[a:b], SEED) for a, b in zip(start[at:to].tolist(), end[at + shingle - 1 : to + shingle - 1].tolist())]
+            of.append(np.full(to - at, k))
+            if len(h) >= _BLOCK:
+                flush()
+    flush()
+    return T.over_half(ones, counts)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

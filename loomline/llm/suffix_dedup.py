@@ -119,34 +119,58 @@ _CHUNK = 1 << 20
 OCCURRENCES = "t1 long, t2 long, first long, key long, back long, strings long, context long"
 
 
+def _sliced(part: pa.RecordBatch):
+    """Texts with the row and the byte at which each starts. A long text comes in slices.
+
+    Slices overlap by LENGTH - 1 bytes, so each string is in exactly one. A
+    tuple may be cut in two by that; its contexts are then sorted, not counted.
+    """
+    column = part.column("text")
+    if part.num_rows > 1 or len(T.utf8(column)[0]) <= 2 * _CHUNK:
+        yield column, np.arange(part.num_rows), 0
+        return
+    data = T.utf8(column)[0]
+    for at in range(0, len(data) - LENGTH + 1, _CHUNK):
+        yield pa.array([data[at : at + _CHUNK + LENGTH - 1].tobytes()], pa.large_binary()), np.zeros(1, np.int64), at
+
+
 def _heads(docs: DataFrame) -> DataFrame:
     """The head of every tuple; a task sums equal ones of a chunk."""
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        key, n = np.unique(Tuples(part.column("text")).key, return_counts=True)
-        return pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": n})
+    def run(batches):
+        for part in T.chunks(batches, limit=_CHUNK):
+            for column, _, _ in _sliced(part):
+                key, n = np.unique(Tuples(column).key, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": n})
 
-    return docs.select("text").mapInArrow(T.mapper(run, limit=_CHUNK), "key long, n long")
+    return docs.select("text").mapInArrow(run, "key long, n long")
 
 
 def _occurrences(docs: DataFrame, heads, with_bytes: bool = False) -> DataFrame:
     """The tuples whose head passes the bitmap, with their document and where they stand in it."""
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        tuples = Tuples(part.column("text"))
+    def found(part, column, row, base) -> pa.RecordBatch | None:
+        tuples = Tuples(column)
         keep = np.flatnonzero(in_bitmap(heads, tuples.key))
         if not len(keep):
             return None
         doc, first, last = tuples.doc[keep], tuples.first[keep], tuples.last[keep]
         used, place = np.unique(doc, return_inverse=True)
-        t1, t2 = text_keys(part.column("text").take(pa.array(used)))
-        out = {"t1": t1[place], "t2": t2[place], "first": first - tuples.offsets[doc], "key": tuples.key[keep].view(np.int64), "back": tuples.at[keep] - first, "strings": last - first + 1, "context": tuples.spans.hash(first, last + LENGTH).view(np.int64)}
+        t1, t2 = text_keys(part.column("text").take(pa.array(row[used])))
+        out = {"t1": t1[place], "t2": t2[place], "first": base + first - tuples.offsets[doc], "key": tuples.key[keep].view(np.int64), "back": tuples.at[keep] - first, "strings": last - first + 1, "context": tuples.spans.hash(first, last + LENGTH).view(np.int64)}
         if with_bytes:
             raw = tuples.data.tobytes()
             out["bytes"] = pa.array([raw[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())], pa.binary())
         return pa.RecordBatch.from_pydict(out)
 
-    return docs.select("text").mapInArrow(T.mapper(run, limit=_CHUNK), OCCURRENCES + (", bytes binary" if with_bytes else ""))
+    def run(batches):
+        for part in T.chunks(batches, limit=_CHUNK):
+            for column, row, base in _sliced(part):
+                out = found(part, column, row, base)
+                if out is not None:
+                    yield out
+
+    return docs.select("text").mapInArrow(run, OCCURRENCES + (", bytes binary" if with_bytes else ""))
 
 
 _SAME = ["key", "back", "strings", "context"]

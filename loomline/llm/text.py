@@ -104,6 +104,20 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def count_bits(h: np.ndarray, of: np.ndarray, ones: np.ndarray) -> None:
+    """Add to row ``of`` of ``ones`` (64 columns) the set bits of each hash; equal rows stand together. Works in blocks."""
+    for at in range(0, len(h), 1 << 16):
+        some, rows = h[at : at + (1 << 16)], of[at : at + (1 << 16)]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[rows[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+
+
+def over_half(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints: a bit is set if it is in over half of a row's hashes."""
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def shingles(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each run of n words; a shorter document is one run."""
     at = np.flatnonzero(doc[: max(len(h) - n + 1, 0)] == doc[n - 1 :])

@@ -11,8 +11,8 @@ Of records with equal payloads of ``REVISIT_BYTES`` or more, that with the
 largest page_id is the response and the others revisit it. Rows that repeat
 that page_id, too, are all responses; rows with a null page_id revisit a
 non-null one. Null html is an empty payload, a null url has no target header,
-and a null page_id no page header; all come back as they were. No rows, no
-archives. Extra columns are ignored.
+and a null page_id no page header. Spaces, controls and characters beyond ASCII
+are percent-encoded in a url's header. No rows, no archives. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ REVISIT_BYTES = 1000
 SKIPPABLE = 0x184D2A5D
 DICT_BYTES, TRAIN_ROWS = 16 << 10, 200
 LEVEL = 3
+_PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))  # the rest of a url is percent-encoded in its header
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, error string"
@@ -59,7 +61,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     block = head if revisit else head + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", DATE)]
     if url is not None:
-        fields.append(("WARC-Target-URI", quote(url, safe="!#$&'()*+,/:;=?@[]~-._")))
+        fields.append(("WARC-Target-URI", quote(url, safe=_PRINTABLE)))
     if page_id is not None:
         fields.append(("WARC-Page-ID", str(page_id)))
     fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
@@ -76,7 +78,7 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict((b"".join(samples)[:DICT_BYTES] or b"WARC/1.1").ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def archive_frames(records) -> "iterator of bytes":
+def archive_frames(records: Iterable[bytes]) -> Iterator[bytes]:
     """The leading dictionary frame and a frame for each record."""
     records = iter(records)
     first = [r for _, r in zip(range(TRAIN_ROWS), records)]

@@ -52,6 +52,15 @@ def test_equals_brute_force(spark, monkeypatch, seed, group):
     assert sum(w[1] for w in want)
 
 
+def test_long_texts_come_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(S, "_CHUNK", 1500)
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdef ") for _ in range(3000))
+    values = ["".join(rng.choice("abcdef ") for _ in range(n)) + shared + "".join(rng.choice("abcdef ") for _ in range(n)) for n in (100, 2777, 5000)] + ["ab" * 4000]
+    got = by_id(S.removals(docs(spark, values)))
+    assert [tuple(got[i][k] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(values))] == brute(values)
+
+
 def test_owner_is_the_leftmost_least_head():
     tuples = S.Tuples(pa.array([t or "" for t in passages(3, 30)]))
     starts = np.arange(len(tuples.data) - S.HEAD + 1)
