@@ -15,7 +15,7 @@ from loomline.llm.common import cut, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the n-gram ratio go."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return quality_rules.quality_filter(docs, quality_rules.ratio_weights(docs, trusted))
+    return quality_rules.quality_filter(docs, quality_rules.fitted_ratio(docs, trusted))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
