@@ -74,4 +74,40 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _strength(level: str) -> str:
+    """The method of moments over a CTE with bad, n and the parent's mean p."""
+    low, high = url_filters.LEAST_STRENGTH, url_filters.MOST_STRENGTH
+    return f"""(SELECT coalesce(CASE WHEN total > noise AND spread > noise THEN least(greatest((total - noise) / (spread - noise) - 1, {low}), {high}) ELSE {high} END, {high})::DOUBLE AS m FROM
+ (SELECT sum(n * pow(bad / n - p, 2)) AS spread, sum(p * (1 - p)) AS noise, sum(n * p * (1 - p)) AS total FROM {level} WHERE n > 0))"""
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+_RULES = sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))
+_SECOND = ", ".join(f"'{x}'" for x in url_filters.SECOND_LEVEL)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP6_SQL = rf"""WITH urls AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+out AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h0 AS (SELECT host, sum(coalesce(bad, 0))::DOUBLE AS bad, count(bad)::DOUBLE AS n FROM urls LEFT JOIN out USING (page_id) GROUP BY host),
+h1 AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM h0),
+h2 AS (SELECT *, len(l) AS c, CASE WHEN len(l) >= 3 AND l[-2] IN ({_SECOND}) AND length(l[-1]) = 2 THEN 2 ELSE 1 END AS keep, regexp_matches(bare, '^[0-9.]+$') AS num FROM h1),
+h AS (SELECT host, bad, n, CASE WHEN num OR c = 1 THEN bare ELSE array_to_string(l[c - keep + 1:], '.') END AS suffix, CASE WHEN num OR c <= keep THEN bare ELSE array_to_string(l[c - keep:], '.') END AS domain FROM h2),
+d AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY ALL), s AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY ALL),
+s1 AS (SELECT *, (SELECT (coalesce(sum(bad), 0) + {url_filters.PRIOR_RATE * url_filters.PRIOR_COUNT}::DOUBLE) / (coalesce(sum(n), 0) + {url_filters.PRIOR_COUNT}::DOUBLE) FROM s) AS p FROM s),
+s2 AS (SELECT suffix, (bad + m * p) / (n + m) AS p FROM s1, {_strength("s1")}),
+d1 AS (SELECT d.*, p FROM d JOIN s2 USING (suffix)), d2 AS (SELECT suffix, domain, (bad + m * p) / (n + m) AS p FROM d1, {_strength("d1")}),
+h3 AS (SELECT h.*, p FROM h JOIN d2 USING (suffix, domain)), h4 AS (SELECT host, n + m AS w, (bad + m * p) / (n + m) AS mean FROM h3, {_strength("h3")}),
+r AS (SELECT host, mean, mean - {url_filters.Z}::DOUBLE * sqrt(mean * (1 - mean) / (w + 1)) AS low FROM h4)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for _, h, p in _RULES)} END AS rule,
+ CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{k}'" for k, h, p in _RULES)} WHEN low > {url_filters.BAD_RATE} THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS bad_rate, round(low, 6) AS bad_rate_low FROM urls JOIN r USING (host)"""
+
+OP7_SQL = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE payload_bytes >= {warc.REVISIT_BYTES} GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM p LEFT JOIN g USING (payload_digest, payload_bytes)"""
+
+#: The others hash words, fit models, search or iterate; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_warc": OP7_SQL}

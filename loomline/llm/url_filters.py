@@ -9,8 +9,8 @@ parents. A url is blocked if the lower posterior bound (mean less ``Z``
 standard deviations) of its host's bad rate is above ``BAD_RATE``.
 
 Null urls and urls without ``://`` have empty host and path and share the
-empty host. Repeated rows count each. Without labels the prior is even, and
-everything without a rule is allowed. Extra columns are ignored.
+empty host. Repeated rows count each. Without labels everything without a
+rule is allowed. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 Z = 1.645
 BAD_RATE = 0.25
+#: What is thought of all pages before any label.
+PRIOR_RATE, PRIOR_COUNT = 0.1, 2.0
 #: Limits of a level's prior strength, in pseudo-observations.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 #: (verdict, host, path)
@@ -88,7 +90,7 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     host = with_levels(labelled.groupBy("host").agg(F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.count("bad").alias("n")))
     domain = host.groupBy("suffix", "domain").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffix = domain.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    root = suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("p"))
+    root = suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + PRIOR_RATE * PRIOR_COUNT) / (F.coalesce(F.sum("n"), F.lit(0)) + PRIOR_COUNT)).alias("p"))
     level = suffix.crossJoin(F.broadcast(root))
     mean = (F.col("bad") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m"))
     level = level.crossJoin(F.broadcast(_strength(level, []))).select("suffix", mean.alias("p"))
