@@ -90,3 +90,49 @@ def ego_edges(targets: DataFrame, line_entities: DataFrame) -> DataFrame:
 def upsert(node_updates: DataFrame) -> DataFrame:
     """(node_id, key, value) merged from updates with ``at``: the last value of each key that is not null wins."""
     return node_updates.where("value is not null").groupBy("node_id", "key").agg(F.max_by("value", "at").alias("value"))
+
+
+def global_ids(node_table: DataFrame) -> DataFrame:
+    """Adds ``number``: dense ids from 0 within each node type, in order of node_id.
+
+    A type's nodes are numbered by counts of ranges of the id's hash: rows are
+    ranked within a bucket, and a running sum over the buckets gives offsets,
+    so no task ranks a whole type. Order: bucket, then node_id.
+    """
+    bucketed = node_table.withColumn("_bucket", F.substring(F.md5("node_id"), 1, 2))
+    counts = bucketed.groupBy("node_type", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("node_type").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("node_type", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("node_type", "_bucket").orderBy("node_id"))
+    return bucketed.join(offsets, ["node_type", "_bucket"]).withColumn("number", F.col("_before") + rank - 1).drop("_bucket", "_before")
+
+
+def fanned_out(line_entities: DataFrame, lines: DataFrame) -> DataFrame:
+    """Older edges: every entity of a window goes with every line of it. Grows with lines times entities of a window."""
+    return lines.select("wid", "log_idx").distinct().join(line_entities.select("wid", "entity").distinct(), "wid")
+
+
+def touching_lines(targets: DataFrame, line_entities: DataFrame) -> DataFrame:
+    """(target, wid, log_idx): the target's own lines, and those of its other windows that hold an entity of the target."""
+    rows = targets.join(line_entities, "wid")
+    own = line_entities.select(F.col("wid").alias("target"), "entity").distinct()
+    return rows.where("target = wid").select("target", "wid", "log_idx").union(rows.where("target <> wid").join(own, ["target", "entity"], "left_semi").select("target", "wid", "log_idx")).distinct()
+
+
+def sampled_lines(target_lines: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` lines of each target, its own first, the others in a hash order."""
+    key = F.md5(F.concat_ws(":", "target", "wid", F.col("log_idx").cast("string")))
+    rank = F.row_number().over(W.partitionBy("target").orderBy((F.col("target") != F.col("wid")).cast("int"), key))
+    return target_lines.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def hops(near: DataFrame, n: int) -> DataFrame:
+    """(wid, neighbor, hop): what is reached in up to n steps over (wid, neighbor), by the fewest."""
+    reached = near.select("wid", "neighbor").distinct().withColumn("hop", F.lit(1))
+    edge = reached
+    for hop in range(2, n + 1):
+        step = near.select(F.col("wid").alias("neighbor"), F.col("neighbor").alias("next")).distinct()
+        edge = edge.select("wid", "neighbor").join(step, "neighbor").where("wid <> next").select("wid", F.col("next").alias("neighbor")).distinct()
+        edge = edge.join(reached, ["wid", "neighbor"], "left_anti").withColumn("hop", F.lit(hop))
+        reached = reached.union(edge)
+    return reached

@@ -63,3 +63,34 @@ def attention_pool(rows: DataFrame, key: str, score: str, value: str) -> DataFra
     top = rows.groupBy(key).agg(F.max(score).alias("_top"))
     e = F.exp(F.col(score) - F.col("_top"))
     return rows.join(top, key).groupBy(key).agg((F.sum(e * F.col(value)) / F.sum(e)).alias("pooled"))
+
+
+def lookup_vectors(rows: DataFrame, vectors: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds the vector of each key, zeros where there is none, and ``missing``."""
+    joined = rows.join(vectors.select(key, "vec"), key, "left")
+    return joined.withColumn("missing", F.col("vec").isNull()).withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), size)))
+
+
+def positional_encoding(size: int, position="pos"):
+    """The sinusoids of a position: sine at even places, cosine at odd ones."""
+    p = F.col(position).cast("double")
+    places = [(F.sin if i % 2 == 0 else F.cos)(p * F.lit(10000.0 ** (-(i - i % 2) / size))) for i in range(size)]
+    return F.array(*places)
+
+
+def report_metrics(reports: DataFrame, by: list[str]) -> DataFrame:
+    """Ratios of checked reports by class: cited at all, valid citations, keyword hits, mean length. Nothing cited counts as valid."""
+    cited = F.sum(F.col("valid_ids") + F.col("existing_ids") + F.col("bogus_ids"))
+    return reports.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("reports"),
+        F.round(F.avg((F.col("valid_ids") + F.col("existing_ids") + F.col("bogus_ids") > 0).cast("double")), 6).alias("citation_rate"),
+        F.round(F.when(cited > 0, F.sum("valid_ids") / cited).otherwise(1.0), 6).alias("valid_share"),
+        F.round(F.when(cited > 0, F.sum(F.col("valid_ids") + F.col("existing_ids")) / cited).otherwise(1.0), 6).alias("real_share"),
+        F.round(F.avg(F.col("hit").cast("double")), 6).alias("keyword_rate"),
+        F.round(F.avg(F.length("text")), 6).alias("mean_chars"),
+    )
+
+
+def mistakes(predictions: DataFrame, label: str) -> DataFrame:
+    """Where the rows of one label went wrong, most frequent first."""
+    return predictions.where((F.col("label") == label) & (F.col("pred") != label)).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))

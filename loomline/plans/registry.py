@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entities as E
+from ..functions import names
 from ..operators import compress, evaluate, graph, learn, measure, retrieval, windows
 from ..operators.windows import CLASSES
 from ..sources import eventlog, knowledge
@@ -550,6 +551,118 @@ def status_code_dedupe(spark, sf_dir):
     return knowledge.first_class(nation.select(F.col("n_regionkey").alias("code"), (F.col("n_nationkey") % 3).alias("class_pos"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name")))
 
 
+# Ids, lookups, sizes
+
+
+@query(_NODES + """ , o AS (SELECT node_type, node_id, row_number() OVER (PARTITION BY node_type ORDER BY left(md5(node_id), 2), node_id) - 1 AS number FROM (SELECT DISTINCT node_type, node_id FROM nodes)) SELECT * FROM o""")
+def kg_global_ids(spark, sf_dir):
+    return graph.global_ids(_graph(spark, sf_dir)[0].select("node_type", "node_id").distinct())
+
+
+@query(_WE + " SELECT wid, count(*) AS edges FROM (SELECT DISTINCT wid, log_idx FROM lines) l JOIN we USING (wid) GROUP BY wid")
+def kg_fanned_out_edges(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    ents = _entities(lines).select("wid", F.concat_ws(":", "entity_type", "entity").alias("entity"))
+    return graph.fanned_out(ents, lines).groupBy("wid").agg(F.count(F.lit(1)).alias("edges"))
+
+
+_TOUCH = _EGO + ", own AS (SELECT DISTINCT wid AS target, entity FROM le), touch AS (SELECT DISTINCT target, wid, log_idx FROM tg JOIN le USING (wid) WHERE target = wid OR (target, entity) IN (SELECT (target, entity) FROM own))"
+
+
+def _touching(spark, sf_dir):
+    lines = eventlog.lines(spark, sf_dir)
+    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS), NEIGHBORS)
+    targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
+    return graph.touching_lines(targets, _entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+
+
+@query(_TOUCH + " SELECT target, wid, count(*) AS lines FROM touch GROUP BY ALL")
+def ego_touching_lines(spark, sf_dir):
+    return _touching(spark, sf_dir).groupBy("target", "wid").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(_TOUCH + " SELECT target, wid, log_idx FROM touch QUALIFY row_number() OVER (PARTITION BY target ORDER BY CASE WHEN target <> wid THEN 1 ELSE 0 END, md5(target || ':' || wid || ':' || log_idx)) <= 60")
+def ego_sampled_lines(spark, sf_dir):
+    return graph.sampled_lines(_touching(spark, sf_dir), 60)
+
+
+@query(_WE + f""", {scores(MOST_WINDOWS)}, e AS (SELECT wid, neighbor FROM ranked WHERE rank <= 2), h2 AS (SELECT DISTINCT a.wid, b.neighbor FROM e a JOIN e b ON a.neighbor = b.wid WHERE a.wid <> b.neighbor)
+ SELECT wid, neighbor, 1 AS hop FROM e UNION ALL SELECT wid, neighbor, 2 FROM h2 WHERE (wid, neighbor) NOT IN (SELECT (wid, neighbor) FROM e)""")
+def two_hop_neighbors(spark, sf_dir):
+    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS), 2)
+    return graph.hops(near, 2)
+
+
+@query("WITH d AS (SELECT doc_id, coalesce(e.embedding, [0.0 FOR i IN range(64)]::FLOAT[]) AS vec, e.vec_id IS NULL AS missing FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id) SELECT doc_id, missing, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE) * x)), 4) AS norm FROM d")
+def lookup_vectors(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return measure.lookup_vectors(docs, vectors, "doc_id", 64).select("doc_id", "missing", F.round(retrieval.dot(F.col("vec"), F.col("vec")), 4).alias("norm"))
+
+
+@query(f"WITH {ENTITIES}, {RECORDS}, c AS (SELECT l.wid, l.log_idx, greatest(coalesce(c.count, 1), 1) AS count FROM recs l LEFT JOIN comp c ON c.wid = l.wid AND c.first_idx = l.log_idx) SELECT count, count(*) AS n FROM c GROUP BY count")
+def count_histogram(spark, sf_dir):
+    """Lines that open a record have its count, all others 1."""
+    lines = eventlog.lines(spark, sf_dir)
+    counts = compress.compress_windows(_records(lines)).select("wid", F.col("first_idx").alias("log_idx"), "count")
+    counted = lines.select("wid", "log_idx").join(counts, ["wid", "log_idx"], "left")
+    return counted.groupBy(F.greatest(F.coalesce("count", F.lit(1)), F.lit(1)).alias("count")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ENTITIES} SELECT entity_type, count(DISTINCT entity) AS entities, count(DISTINCT wid) AS windows, count(*) AS line_entities FROM ents GROUP BY ALL")
+def corpus_counts(spark, sf_dir):
+    return _entities(eventlog.lines(spark, sf_dir)).groupBy("entity_type").agg(F.count_distinct("entity").alias("entities"), F.count_distinct("wid").alias("windows"), F.count(F.lit(1)).alias("line_entities"))
+
+
+@query(_DF + " SELECT token, n FROM df ORDER BY n DESC, token LIMIT 5000")
+def top_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir).orderBy(F.desc("n"), "token").limit(5000)
+
+
+@query(_COVERED + " SELECT * FROM cov ORDER BY coverage DESC, entity_type, entity LIMIT 20000")
+def top_coverage(spark, sf_dir):
+    return _train_coverage(eventlog.lines(spark, sf_dir)).orderBy(F.desc("coverage"), "entity_type", "entity").limit(20000)
+
+
+@query(_NODES + """ SELECT node_id, regexp_replace(node_id, '^[^:]*:', '') AS content, left(translate(node_id, ':/', '__'), 80) AS short_id,
+ NOT regexp_matches(content, '[:=]') AND regexp_matches(content, '[A-Za-z]{3}') AS semantic FROM (SELECT DISTINCT node_id, regexp_replace(node_id, '^[^:]*:', '') AS content FROM nodes)""")
+def node_names(spark, sf_dir):
+    ids = _graph(spark, sf_dir)[0].select("node_id").distinct()
+    return ids.select("node_id", names.content(F.col("node_id")).alias("content"), names.short_id(F.col("node_id")).alias("short_id"), names.is_semantic(names.content(F.col("node_id"))).alias("semantic"))
+
+
+@query(f"WITH {LINES}, {LABELS} SELECT wid, CASE label WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 6 END AS code FROM labelled")
+def label_codes(spark, sf_dir):
+    return _labels(eventlog.lines(spark, sf_dir)).select("wid", names.label_code(F.col("label")).alias("code"))
+
+
+@query(f"WITH {LINES}, p AS (SELECT DISTINCT log_idx AS pos FROM lines) SELECT pos, " + ", ".join(f"round({'sin' if i % 2 == 0 else 'cos'}(pos * {10000.0 ** (-(i - i % 2) / 8)!r}::DOUBLE), 6) AS d{i}" for i in range(8)) + " FROM p")
+def positional_encoding(spark, sf_dir):
+    rows = eventlog.lines(spark, sf_dir).select(F.col("log_idx").alias("pos")).distinct().withColumn("v", measure.positional_encoding(8))
+    return rows.select("pos", *[F.round(F.get("v", F.lit(i)), 6).alias(f"d{i}") for i in range(8)])
+
+
+@query(_PREDICTED + " SELECT pred, count(*) AS n FROM p WHERE label = 'error' AND pred <> 'error' GROUP BY pred")
+def class_mistakes(spark, sf_dir):
+    return measure.mistakes(_predictions(spark, sf_dir), "error")
+
+
+@query(_REPORTS + f""", v AS (SELECT event_type, text, list_filter(ids, lambda x: list_contains(evidence, x)) AS a, list_filter(ids, lambda x: NOT list_contains(evidence, x) AND list_contains({_ALL_IDS}, x)) AS b, ids, contains(lower(text), 'pool') AND event_type <> 'error' AS hit FROM cited)
+ SELECT event_type, count(*) AS reports, round(avg(CASE WHEN len(ids) > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS citation_rate, round(CASE WHEN sum(len(ids)) > 0 THEN sum(len(a)) / sum(len(ids)) ELSE 1.0 END, 6) AS valid_share,
+ round(CASE WHEN sum(len(ids)) > 0 THEN sum(len(a) + len(b)) / sum(len(ids)) ELSE 1.0 END, 6) AS real_share, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS keyword_rate, round(avg(length(text)), 6) AS mean_chars FROM v GROUP BY event_type""")
+def report_metrics(spark, sf_dir):
+    judged = evaluate.citation_validity(evaluate.citations(_reports(spark, sf_dir)), F.array(*map(F.lit, _KNOWN_IDS)))
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    rows = judged.join(kinds, "event_id").withColumn("hit", evaluate.keyword_hit(F.col("text"), F.array(F.lit("POOL"))) & (F.col("event_type") != "error"))
+    return measure.report_metrics(rows, ["event_type"])
+
+
+@query(_CONTEXT + " SELECT wid, '[stub report] prompt of ' || length(top_templates) || ' characters' AS report FROM ctx")
+def stub_reports(spark, sf_dir):
+    context = retrieval.window_context(_compressed(spark, sf_dir))
+    return context.select("wid", names.stub_report(F.col("top_templates")).alias("report"))
+
+
 # Not for SQL: template trees, learning, streams
 
 

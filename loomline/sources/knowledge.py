@@ -106,3 +106,18 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
     evidence = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_evidence.json").text(folder, wholetext=True).select(stem.alias("stem"), F.col("value").alias("evidence_json"))
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_explanation.md").text(folder, wholetext=True).select(stem.alias("stem"), F.col("value").alias("text"))
     return evidence.join(texts, "stem", "left")
+
+
+def write_with_parameters(df: DataFrame, path: str, parameters: dict[str, str]) -> None:
+    """Write a table with the parameters that made it, kept as a one-row table beside it."""
+    df.write.parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame(sorted(parameters.items()), "name string, value string").coalesce(1).write.parquet(f"{path}/parameters")
+
+
+def read_compatible(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame:
+    """The rows of such a table, if its parameters are as wanted."""
+    have = {r.name: r.value for r in spark.read.parquet(f"{path}/parameters").collect()}
+    wrong = {k: (have.get(k), v) for k, v in wanted.items() if have.get(k) != v}
+    if wrong:
+        raise ValueError(f"made with other parameters (have, wanted): {wrong}")
+    return spark.read.parquet(f"{path}/rows")
