@@ -186,7 +186,10 @@ def _classes(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
 
 
 def _sorted_common(rows: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by group and bytes, and each one's common prefix with the one before (-1 across groups)."""
+    """Order of the rows by group and bytes, and each one's common prefix with the one before (-1 across groups).
+
+    Suffixes come sorted from the shuffle, which costs one pass here.
+    """
     order = np.array(sorted(range(len(rows)), key=lambda i: (group[i], rows[i])), np.int64)
     table = np.zeros((len(rows), width), np.uint8)
     size = np.empty(len(rows), np.int64)
@@ -296,7 +299,8 @@ def _settled_by_sorting(members: DataFrame) -> DataFrame:
         small = known.where(~large & (F.col("low") < F.col("high"))).drop("n")
         one = known.where((F.col("low") == F.col("high")) & F.col("single"))
         at = F.col("first") + F.col("back") - F.col("low")
-        part = small.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_induced_of_sorted, FOUND).union(one.select("t1", "t2", at.alias("start"), (at + LENGTH).alias("stop")))
+        suffix = F.expr("substring(bytes, cast(back + 1 as int))")
+        part = small.repartition(*_GROUP).sortWithinPartitions(*_GROUP, suffix).mapInArrow(_induced_of_sorted, FOUND).union(one.select("t1", "t2", at.alias("start"), (at + LENGTH).alias("stop")))
         found = part if found is None else found.union(part)
         if sizes.where(large & (F.col("low") < F.col("high"))).isEmpty():
             return found
