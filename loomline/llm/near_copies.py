@@ -7,9 +7,9 @@ That alone misses most pairs at similarity 0.8, so each text also has
 ``VIEWS`` SimHashes of samples of four shingles, those that come first under
 four hash orders. Near copies share one with probability
 ``1 - (1 - s**4)**VIEWS``: 0.995 at 0.8. Texts that share one are compared by
-sketches: all shingles up to ``SKETCH``, beyond that those under a power of two
-of the hash range, so a sketch has half of ``SKETCH`` at least and is exact for
-short texts. A bucket emits a spanning forest of its links, never pairs.
+sketches of 32 bits a shingle: all up to ``SKETCH``, beyond that those under a
+power of two of the hash range, so a sketch has about half of ``SKETCH`` at least
+and is exact for short texts. A bucket emits a spanning forest of its links, never pairs.
 
 A bucket of more than ``BUCKET_ROWS`` texts is dealt in blocks of that size by
 hash, each with the bucket's ``PIVOTS`` lowest hashes: links between blocks go
@@ -33,12 +33,12 @@ from .common import bitmap, cut, fresh, in_bitmap, text_keys
 from .components import components
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
-VIEWS, SKETCH = 10, 256
+VIEWS, SKETCH = 10, 512
 BUCKET_ROWS, PIVOTS = 8192, 256
 _LEVELS = 40
 _ORDERS = np.random.default_rng(7).integers(0, 2**63, (VIEWS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-PRINT = "t long, fp long, views array<long>, level int, sketch array<long>"
+PRINT = "t long, fp long, views array<long>, level int, sketch array<int>"
 
 
 def _majority(a, b, c, d):
@@ -74,17 +74,17 @@ def _prints(part: pa.RecordBatch) -> pa.RecordBatch | None:
             k += 1
             n = int(np.searchsorted(mine, np.uint64(1 << (64 - k))))
         levels.append(k)
-        sketches.append(mine[:n].view(np.int64))
+        sketches.append((mine[:n] >> np.uint64(32)).astype(np.uint32).view(np.int32))
     t1, _ = text_keys(column.take(pa.array(of[first])))
-    return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(fp), pa.array(list(np.stack(views, axis=1).view(np.int64)), pa.list_(pa.int64())), pa.array(levels, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["t", "fp", "views", "level", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(fp), pa.array(list(np.stack(views, axis=1).view(np.int64)), pa.list_(pa.int64())), pa.array(levels, pa.int32()), pa.array(sketches, pa.list_(pa.int32()))], names=["t", "fp", "views", "level", "sketch"])
 
 
 def _under(sketch: np.ndarray, level: int) -> int:
-    return len(sketch) if not level else int(np.searchsorted(sketch, np.uint64(1 << (64 - level))))
+    return len(sketch) if not level else int(np.searchsorted(sketch, np.uint32(1 << (32 - level))))
 
 
 def similar(a: np.ndarray, b: np.ndarray, la: int, lb: int) -> float:
-    """Jaccard similarity of two sketches (sorted hashes) at the coarser of their levels."""
+    """Jaccard similarity of two sketches (upper halves of hashes, sorted) at the coarser of their levels."""
     level = max(la, lb)
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / max(_under(a, level) + _under(b, level) - common, 1)
@@ -146,7 +146,7 @@ def _links_of_sorted(batches):
     def links(table: pa.Table) -> pa.RecordBatch:
         number, t, level = bucket(table), table["t"].to_numpy(), table["level"].to_numpy()
         lists = table["sketch"].combine_chunks()
-        flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        flat, offsets = lists.values.to_numpy().view(np.uint32), lists.offsets.to_numpy()
         first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
         out = []
         for a, z in zip(first.tolist(), np.r_[first[1:], len(number)].tolist()):

@@ -22,18 +22,20 @@ the last one's end.
    where equal hashes are the repeats. So one task never holds a large group,
    and no pairs are made.
 
-Bitmaps of at most ``2**BITMAP_BITS`` (see common) bits carry heads and texts that matter to
-the next scan; what passes one by chance is dropped by an exact join or count.
+Bitmaps of at most ``2**BITMAP_BITS`` bits (see common) carry heads and texts
+that matter to the next scan; what passes one by chance is dropped by an exact
+join or count.
 
 Null texts are empty, and texts under LENGTH bytes lose nothing. Strings never
 cross documents. These are told apart by a 128-bit hash of their text, since
-equal texts have equal results, so repeated rows are each other's copies. Extra columns are ignored by
-:func:`removals` and kept by :func:`without_repeats`.
+equal texts have equal results, so repeated rows are each other's copies. Extra
+columns are ignored by :func:`removals` and kept by :func:`without_repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -251,7 +253,6 @@ def _repeats(table: pa.Table) -> pa.Table:
 def _induced_of_sorted(batches):
     """Groups of a partition sorted by group; a few thousand contexts at a time, groups whole."""
     held: list[pa.RecordBatch] = []
-
     rows = 0
     for batch in batches:
         for part in (batch.slice(k, GROUP_ROWS) for k in range(0, batch.num_rows, GROUP_ROWS)):
@@ -338,7 +339,7 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 _STARTS, _STOPS = "__range_starts", "__range_stops"
 
 
-def _split(docs: DataFrame) -> tuple[DataFrame, "function"]:
+def _split(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.Array], pa.Array]]:
     """Documents whose text may have ranges, with these; and a test of a column for the others."""
     ranges = cut(repeated_ranges(docs))
     shared = bitmap(ranges.select("t1").distinct(), "t1")
