@@ -148,8 +148,11 @@ def _heads(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long")
 
 
-def _occurrences(docs: DataFrame, heads, with_bytes: bool = False) -> DataFrame:
-    """The tuples whose head passes the bitmap, with their document and where they stand in it."""
+def _occurrences(docs: DataFrame, heads, texts=None) -> DataFrame:
+    """The tuples whose head passes the bitmap, with their document and where they stand in it.
+
+    With a bitmap of ``texts`` only those that pass it are read, and the bytes of contexts come, too.
+    """
 
     def found(part, column, row, base) -> pa.RecordBatch | None:
         tuples = Tuples(column)
@@ -160,19 +163,23 @@ def _occurrences(docs: DataFrame, heads, with_bytes: bool = False) -> DataFrame:
         used, place = np.unique(doc, return_inverse=True)
         t1, t2 = text_keys(part.column("text").take(pa.array(row[used])))
         out = {"t1": t1[place], "t2": t2[place], "first": base + first - tuples.offsets[doc], "key": tuples.key[keep].view(np.int64), "back": tuples.at[keep] - first, "strings": last - first + 1, "context": tuples.spans.hash(first, last + LENGTH).view(np.int64)}
-        if with_bytes:
+        if texts is not None:
             raw = tuples.data.tobytes()
             out["bytes"] = pa.array([raw[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())], pa.binary())
         return pa.RecordBatch.from_pydict(out)
 
     def run(batches):
         for part in T.chunks(batches, limit=_CHUNK):
+            if texts is not None:
+                part = part.filter(pa.array(in_bitmap(texts, text_keys(part.column("text"))[0])))
+                if not part.num_rows:
+                    continue
             for column, row, base in _sliced(part):
                 out = found(part, column, row, base)
                 if out is not None:
                     yield out
 
-    return docs.select("text").mapInArrow(run, OCCURRENCES + (", bytes binary" if with_bytes else ""))
+    return docs.select("text").mapInArrow(run, OCCURRENCES + (", bytes binary" if texts is not None else ""))
 
 
 _SAME = ["key", "back", "strings", "context"]
@@ -318,9 +325,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     open_heads = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("key"))
     if open_heads.isEmpty():
         return whole
-    ones = classes.join(open_heads, "key").select(*_SAME, "one.*", (F.col("n") == 1).alias("single"))
-    # The bytes of one occurrence of each context; further ones of a settled context are not asked for.
-    texts = _occurrences(docs, bitmap(open_heads, "key"), with_bytes=True).dropDuplicates(["t1", "t2", "first"])
+    # One occurrence stands for each context, and only the texts with such occurrences are read for their bytes.
+    ones = cut(classes.join(open_heads, "key").select(*_SAME, "one.*", (F.col("n") == 1).alias("single")))
+    texts = _occurrences(docs, bitmap(open_heads, "key"), bitmap(ones.select("t1").distinct(), "t1")).dropDuplicates(["t1", "t2", "first"])
     members = ones.join(texts.select("t1", "t2", "first", "bytes"), ["t1", "t2", "first"])
     return whole.union(_settled_by_sorting(members))
 
