@@ -177,7 +177,7 @@ def _links_of_sorted(batches):
 
 def text_links(docs: DataFrame) -> DataFrame:
     """Edges (u, v) between text hashes that join all near copies."""
-    prints = docs.select("text").mapInArrow(T.mapper(_prints, limit=1 << 20), PRINT)
+    prints = docs.select("text").mapInArrow(T.mapper(_prints), PRINT)
     prints = cut(prints.groupBy("t").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "sketch")]))
     near = components(simhash.links(prints.select("fp").distinct(), RADIUS))
     whole = prints.select("t", "fp").join(near, F.col("fp") == F.col("node"), "left").select("t", F.lit(VIEWS).alias("view"), F.coalesce("root", "fp").alias("value"))

@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": fingerprint_array(part.column("text"), shingle).view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.mapper(run, limit=1 << 20), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.mapper(run), "doc_id long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:

@@ -117,7 +117,7 @@ class Tuples:
         return self.spans.hash(self.first, self.last + LENGTH)
 
 
-_CHUNK = 1 << 20
+_CHUNK = T.CHUNK_BYTES
 OCCURRENCES = "t1 long, t2 long, first long, key long, back long, strings long, context long"
 
 
