@@ -8,7 +8,8 @@ twice, literally (letter case aside) and as templates; a template needs
 joined with those of the benchmark by hash. Literal matches count as they are.
 Template matches count if their slots are consistent: along one alignment of
 an item with a document, every value of the item is replaced by one value, and
-no two of its values by the same one. So a question with other numbers or
+no two of its values by the same one; windows that match literally there are
+left out of this. So a question with other numbers or
 names is found, and a chance fit of placeholders is not.
 
 A document is contaminated by an item if the matched windows cover
@@ -139,7 +140,7 @@ def windows(rows: DataFrame, screens=None) -> DataFrame:
         fit = (holders > 0) & (holders <= WINDOW - LEAST_LITERAL)
         if screens is not None:
             exact = _passes(literal, screens.value[0])
-            fit &= ~exact & _passes(template, screens.value[1])
+            fit &= _passes(template, screens.value[1])
         else:
             exact = np.ones(len(at), bool)
         if not exact.any() and not fit.any():
@@ -171,7 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = windows(_keyed(docs, "doc_id"), screens).drop("n_tokens").join(theirs, ["literal", "key"])
     hits = hits.withColumn("line", F.col("pos") - F.col("item_pos")).withColumn("pairs", F.arrays_zip("item_slots", "slots"))
     line = ["id", "text_key", "item_id", "n_tokens", "line"]
-    lined = hits.groupBy(*line).agg(F.sort_array(F.collect_set("item_pos")).alias("at"), F.sort_array(F.collect_set(F.when(F.col("literal"), F.col("item_pos")))).alias("exact_at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    changed = F.collect_set(F.when(~F.col("literal"), F.struct("item_pos", "pairs")))
+    lined = hits.groupBy(*line).agg(F.sort_array(F.collect_set("item_pos")).alias("at"), F.sort_array(F.collect_set(F.when(F.col("literal"), F.col("item_pos")))).alias("exact_at"), changed.alias("changed"))
+    # Windows that match literally on this line say nothing of the others' slots.
+    changed = F.filter("changed", lambda w: ~F.array_contains("exact_at", w["item_pos"]))
+    lined = lined.withColumn("pairs", F.array_distinct(F.flatten(F.transform(changed, lambda w: w["pairs"]))))
     one_way = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
     lined = lined.withColumn("at", F.when(one_way("item_slots") & one_way("slots"), F.col("at")).otherwise(F.col("exact_at")))
     pair = lined.groupBy("id", "text_key", "item_id", "n_tokens").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.size(F.array_distinct(F.flatten(F.collect_list("exact_at")))).cast("long").alias("literal_windows")).where(F.size("at") > 0)

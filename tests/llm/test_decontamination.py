@@ -52,6 +52,19 @@ def test_the_join_without_a_screen_agrees(spark, monkeypatch):
     assert pairs() == first
 
 
+def test_siblings_and_half_verbatim_items_with_and_without_a_screen(spark, monkeypatch):
+    sibling = QUESTION.replace("Boston", "Denver").replace("60", "85").replace("Maria", "Anna")
+    tom = "At noon the farmer asked Tom to count all the sheep on the green hill and later in the evening he thanked Tom for the work and gave him a loaf of bread"
+    half = "Tom".join(tom.split("Tom")[:2]) + "Jim" + tom.split("Tom")[2]
+    frame, items = docs(spark, [QUESTION, half]), bench(spark, [(1, QUESTION), (2, sibling), (3, tom)])
+    pairs = lambda: sorted((r.doc_id, r.item_id, r.covered_tokens, r.n_tokens) for r in D.contaminated(frame, items).collect())
+    first = pairs()
+    n = len(tom.split())
+    assert [p[:2] for p in first] == [(0, 1), (0, 2), (1, 3)] and first[2][2:] == (n, n)
+    monkeypatch.setattr(D, "SCREEN_WINDOWS", 0)
+    assert pairs() == first
+
+
 def test_empty_tables(spark):
     assert D.contaminated(empty(spark), bench(spark)).collect() == []
     assert D.contaminated(docs(spark), bench(spark, [])).collect() == []
