@@ -9,9 +9,13 @@ multiplier a source. The convex dual is separable in these, and a guarded
 Newton iteration solves it: each step is one aggregation over a histogram of
 (source, size), and the multipliers stay in a table, so sources may be many.
 
-A rate times the size is rounded, up with the probability of its fraction by a
-hash of doc_id, to whole words: whole copies and one partial copy. So a
-source's total is within a few words of its target, and reruns agree.
+Rates are rounded to whole copies, so texts are never cut. The documents of one
+source and size have one rate; they get the whole part of it each, and those
+with the lowest hashes a copy more. How many do is settled on the table of
+(source, size), from the longest size down: what a size is off its rates is
+carried on to shorter ones (``_carried``). So a source is off its target by a
+short document or less, unless it has little besides a few long ones, and
+reruns agree. Rows alike in doc_id, source and text are rounded together.
 
 Null texts have size 0 and nothing is taken of them. A null source is a source
 of its own, ranked last. Repeated rows count each. Extra columns are ignored
@@ -20,16 +24,12 @@ by :func:`mixed` and kept by :func:`mixture`, but for its own two.
 
 from __future__ import annotations
 
-import re
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import text as T
 from .common import cut, fresh
 
 WEIGHTS = (5, 2, 1)
@@ -39,6 +39,8 @@ MAX_COPIES = 2
 TOLERANCE, STEPS = 1e-9, 60
 #: Longest step of a multiplier, against overshooting where the dual is flat.
 LONGEST_STEP = 8.0
+#: Bits of the hash that picks documents for a copy more, and documents of one size ranked at once for it.
+PICK_BITS, PICKED = 62, 512
 
 
 def _size_and_key():
@@ -46,10 +48,14 @@ def _size_and_key():
     return size, F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))
 
 
+def _pick():
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), "text"), 64 - PICK_BITS)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) with size in words; ``key`` names the source, null included."""
+    """(doc_id, key, size, pick) with size in words; ``key`` names the source, null included, ``pick`` is a hash of the row."""
     size, key = _size_and_key()
-    return docs.select(F.col("doc_id").cast("long"), key.alias("key"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), key.alias("key"), size.alias("size"), _pick().alias("pick"))
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -97,65 +103,92 @@ def multipliers(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("key", "lam")
 
 
-def solved(measured: DataFrame) -> DataFrame:
-    """(key, source_size, target, mean, lam) of each source, from :func:`sizes`."""
-    histogram = cut(measured.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
+def solved(histogram: DataFrame) -> DataFrame:
+    """(key, source_size, target, mean, lam) of each source, from (key, size, n)."""
     goals = cut(targets(histogram.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
     means = histogram.where("size > 0").groupBy("key").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     goals = cut(goals.join(means, "key", "left"))
     return cut(goals.join(multipliers(histogram, goals), "key", "left"))
 
 
-def _rounded(doc_id, size, source_size, mean, lam):
-    """Rate of a document, and the words taken of it."""
-    rate = F.when(source_size == 0, 0.0).when(lam.isNull(), float(MAX_COPIES)).otherwise(_rate(lam * size / mean))
-    u = F.pmod(F.xxhash64(F.lit("mix"), doc_id.cast("long")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rate, F.least(F.floor(rate * size + u), size * MAX_COPIES).cast("long")
+def _carried(batches):
+    """Of each (key, size), sorted by key and falling size, how many copies its documents get together.
+
+    What a size is off goes to the next one, up to a copy of that; the rest, left by much
+    longer documents, is spread over all shorter ones by the ``room`` they have upwards or
+    the words (``floor``) they have downwards, itself included. A copy goes up or down
+    rather than leave more than those can make good.
+    """
+    last, off, far = None, 0.0, 0.0
+    for part in batches:
+        got = []
+        for key, size, n, rate, room, floor in zip(*(part.column(c).to_pylist() for c in ("key", "size", "n", "rate", "room", "floor"))):
+            if key != last:
+                last, off, far = key, 0.0, 0.0
+            near = min(max(off, -size), size)
+            far += off - near
+            shift = max(min(far / room, 1.0), 0.0) * (MAX_COPIES - rate) + min(max(far / floor, -1.0), 0.0) * rate if room > 0 and floor > 0 else 0.0
+            far -= n * size * shift
+            words = n * size * (rate + shift) + near
+            least, most = np.floor(rate + shift + 1e-9), np.ceil(rate + shift - 1e-9)
+            copies = min(max(np.floor(words / size + 0.5), n * least), n * most)
+            up, down = room - n * size * (MAX_COPIES - rate), floor - n * size * rate
+
+            def beyond(m):  # words that the shorter ones can't make good
+                left = words + far - m * size
+                return round(max(left - up, -down - left, 0.0), 3), abs(m - copies)
+
+            got.append(int(min((m for m in (copies - 1, copies, copies + 1) if n * least <= m <= n * most), key=beyond)))
+            off = words - got[-1] * size
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.int64())], names=[*part.schema.names, "got"])
+
+
+def rounded(measured: DataFrame) -> DataFrame:
+    """(key, size, source_size, target, rate, whole, below): a document of that source and size gets ``whole`` copies, and one more if its ``pick`` is under ``below``."""
+    histogram = cut(measured.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
+    rate = F.when(F.col("source_size") == 0, 0.0).when(F.col("lam").isNull(), float(MAX_COPIES)).otherwise(_rate(F.col("lam") * F.col("size") / F.col("mean")))
+    rated = histogram.join(solved(histogram), "key").withColumn("rate", rate).select("key", "size", "n", "source_size", "target", "rate")
+    # A source of w words has at most sqrt(2 w) sizes, so one task can go through them.
+    shorter = W.partitionBy("key").orderBy("size")
+    room, floor = F.sum(F.col("n") * F.col("size") * (MAX_COPIES - F.col("rate"))), F.sum(F.col("n") * F.col("size") * F.col("rate"))
+    worded = rated.where("size > 0").withColumn("room", room.over(shorter)).withColumn("floor", floor.over(shorter))
+    worded = worded.repartition("key").sortWithinPartitions("key", F.desc("size"))
+    worded = worded.mapInArrow(_carried, worded.withColumn("got", F.lit(0).cast("long")).schema)
+    worded = cut(worded.withColumn("whole", F.expr("got div n")).withColumn("more", F.expr("got % n")))
+    # The pick of the last document that gets more: first its bucket of hashes, then its rank within that.
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("n") / F.lit(float(PICKED)))), F.lit(0)), F.lit(PICK_BITS)).cast("int")
+    some = worded.where("more > 0").select("key", "size", "more", bits.alias("bits"))
+    placed = cut(measured.join(some, ["key", "size"]).withColumn("bucket", F.expr(f"shiftright(pick, {PICK_BITS} - bits)")).select("key", "size", "more", "bucket", "pick"))
+    up_to = F.sum("rows").over(W.partitionBy("key", "size").orderBy("bucket"))
+    buckets = placed.groupBy("key", "size", "more", "bucket").agg(F.count(F.lit(1)).alias("rows")).withColumn("up_to", up_to)
+    buckets = buckets.where("up_to >= more and up_to - rows < more").select("key", "size", "bucket", (F.col("more") - F.col("up_to") + F.col("rows")).alias("rank"))
+    ranked = placed.drop("more").join(buckets, ["key", "size", "bucket"]).withColumn("at", F.row_number().over(W.partitionBy("key", "size").orderBy("pick")))
+    last = ranked.where(F.col("at") == F.col("rank")).select("key", "size", (F.col("pick") + 1).alias("last"))
+    out = worded.join(last, ["key", "size"], "left").withColumn("below", F.coalesce("last", F.lit(0).cast("long")))
+    names = ["key", "size", "source_size", "target", "rate", "whole", "below"]
+    wordless = rated.where("size = 0").withColumns({"whole": F.lit(0).cast("long"), "below": F.lit(0).cast("long")})
+    return cut(out.select(*names).unionByName(wordless.select(*names)))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies, partial_words, taken) for each document."""
+    """(doc_id, size, source_size, target, rate, copies, partial_words, taken) for each document; no copy is partial."""
     measured = cut(sizes(docs))
-    out = measured.join(solved(measured), "key")
-    rate, taken = _rounded(*map(F.col, ("doc_id", "size", "source_size", "mean", "lam")))
-    out = out.withColumn("rate", rate).withColumn("taken", taken)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", "rate", whole.alias("copies"), (F.col("taken") - whole * F.col("size")).alias("partial_words"), "taken")
-
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+    out = measured.join(rounded(measured), ["key", "size"])
+    copies = F.col("whole") + (F.col("pick") < F.col("below")).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), F.lit(0).cast("long").alias("partial_words"), (copies * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The mix itself: a row for each copy, the partial one cut behind its last word, with ``copy`` and ``copy_words``.
+    """The mix itself: a row for each copy of a document, whole, with ``copy`` and ``copy_words``.
 
-    Sources that fit Spark's broadcast limit are joined without moving texts.
+    A table of (source, size) that fits Spark's broadcast limit is joined without moving texts.
     """
     docs = docs.drop("copy", "copy_words")
-    k, n, total, mean, lam, taken_of = fresh(docs, "_key", "_size", "_total", "_mean", "_lam", "_taken")
-    goals = solved(sizes(docs)).select(F.col("key").alias(k), F.col("source_size").alias(total), F.col("mean").alias(mean), F.col("lam").alias(lam))
+    k, n, p, whole, below = fresh(docs, "_key", "_size", "_pick", "_whole", "_below")
+    plan = rounded(cut(sizes(docs))).where("whole > 0 or below > 0").select(F.col("key").alias(k), F.col("size").alias(n), F.col("whole").alias(whole), F.col("below").alias(below))
     size, key = _size_and_key()
-    rated = docs.withColumn(n, size).withColumn(k, key).join(goals, k)
-    _, taken = _rounded(*map(F.col, ("doc_id", n, total, mean, lam)))
-    names = docs.schema.names
-    rated = rated.withColumn(taken_of, taken).where(F.col(taken_of) > 0).select(*[F.col(f"`{c}`") for c in names], n, taken_of)
-    schema = docs.withColumns({"copy": F.lit(0).cast("long"), "copy_words": F.lit(0).cast("long")}).schema
-
-    def copies(part: pa.RecordBatch) -> pa.RecordBatch:
-        size, taken = part.column(len(names)).to_numpy(), part.column(len(names) + 1).to_numpy()
-        times = -(-taken // size)
-        row = np.repeat(np.arange(len(times)), times)
-        copy = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + 1
-        used = np.where(copy * size[row] <= taken[row], size[row], taken[row] % size[row])
-        out = [part.column(c).take(pa.array(row)) for c in names]
-        at = names.index("text")
-        texts = out[at].to_pylist()
-        for i in np.flatnonzero(used < size[row]).tolist():
-            texts[i] = texts[i][: next(islice(_WORD.finditer(texts[i]), int(used[i]) - 1, None)).end()]
-        out[at] = pa.array(texts, out[at].type)
-        if "n_chars" in names:
-            was = out[names.index("n_chars")].to_pylist()
-            out[names.index("n_chars")] = pa.array([len(t) if u < z else w for t, u, z, w in zip(texts, used, size[row], was)], out[names.index("n_chars")].type)
-        return pa.RecordBatch.from_arrays([*out, pa.array(copy), pa.array(used)], names=schema.names)
-
-    return rated.mapInArrow(T.mapper(copies), schema)
+    rated = docs.withColumn(p, _pick()).withColumn(n, size).withColumn(k, key).join(plan, [k, n])
+    names = [F.col(f"`{c}`") for c in docs.schema.names]
+    times = F.col(whole) + (F.col(p) < F.col(below)).cast("long")
+    copies = rated.withColumn(whole, times).where(F.col(whole) > 0)
+    return copies.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(whole))).alias("copy"), F.col(n).alias("copy_words"))

@@ -69,3 +69,28 @@ def test_columns_of_the_same_name(spark):
 def test_no_words_and_empty_table(spark):
     assert {r.taken for r in mixing.mixed(docs(spark, ["", None, " "])).collect()} == {0}
     assert mixing.mixed(empty(spark)).collect() == [] == mixing.mixture(empty(spark)).collect()
+
+
+def test_only_whole_texts(spark):
+    rng = random.Random(3)
+    values = [prose(rng, rng.choice([40, rng.randint(1, 200)])) for _ in range(1200)] + [prose(rng, 4000)]
+    frame = docs(spark, values)
+    rows = mixing.mixture(frame).collect()
+    assert all(r.text == values[r.doc_id] and r.n_chars == len(r.text) for r in rows)
+    copies = defaultdict(list)
+    for r in rows:
+        copies[r.doc_id].append(r.copy)
+    got = by_id(mixing.mixed(frame))
+    assert {k: sorted(c) for k, c in copies.items()} == {k: list(range(1, r["copies"] + 1)) for k, r in got.items() if r["copies"]}
+    assert all(abs(r["copies"] - r["rate"]) < 1.2 for r in got.values())
+    for source in range(3):
+        mine = [r for k, r in got.items() if k % 3 == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 20
+
+
+def test_many_documents_of_one_size(spark, monkeypatch):
+    frame = spark.range(3000).selectExpr("id as doc_id", "concat('one two three ', id) as text", "if(id < 1000, 'a', 'b') as source")
+    taken = mixing.mixed(frame).where("source_size > 4000").groupBy().agg({"taken": "sum", "target": "max"}).first()
+    monkeypatch.setattr(mixing, "PICKED", 4)
+    again = mixing.mixed(frame).where("source_size > 4000").groupBy().agg({"taken": "sum", "target": "max"}).first()
+    assert taken == again and abs(taken["sum(taken)"] - taken["max(target)"]) <= 2
