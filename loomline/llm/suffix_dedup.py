@@ -10,12 +10,12 @@ the last one's end.
 
 1. Suffixes whose head occurs once are dropped: nothing they own repeats.
 2. Equal contexts repeat as a whole and are settled by counting.
-3. Different contexts with one head are sorted, by the suffix to the right and
-   by what precedes it to the left, and neighbours' common-prefix lengths are
-   taken. A string that starts x bytes before a suffix is induced from these:
-   it repeats if another context has an equal left run of x bytes and an equal
-   right run of LENGTH - x. Spark's shuffle sort is the external queue: it
-   spills sorted runs to disk and merges them.
+3. Different contexts with one head are sorted by suffix, and each carries the
+   length of its common prefix with the one before. From the order and common
+   prefixes of the suffixes that start x bytes before the sampled ones those of
+   x + 1 are induced, by the byte to the left; a string repeats if its suffix
+   shares LENGTH bytes with a neighbour. Spark's shuffle sort is the external
+   queue of the tuples: it spills sorted runs to disk and merges them.
 4. A head with more than ``GROUP_ROWS`` contexts recurses: the owned strings
    are halved by x, each half is dealt by a hash of the bytes that all its
    strings share, and so on until groups are small, or a half is one string,
@@ -30,6 +30,10 @@ Null texts are empty, and texts under LENGTH bytes lose nothing. Strings never
 cross documents. These are told apart by a 128-bit hash of their text, since
 equal texts have equal results, so repeated rows are each other's copies. Extra
 columns are ignored by :func:`removals` and kept by :func:`without_repeats`.
+
+LENGTH bytes may be more than a passage of many short words has, so
+:func:`removals` also reports the words that passages shared with other
+documents cover (see ``passages``); these are not removed.
 """
 
 from __future__ import annotations
@@ -45,6 +49,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import bitmap, cut, fresh, in_bitmap, text_keys
+from .passages import shared_words
 
 LENGTH = 400
 HEAD = 128
@@ -187,50 +192,73 @@ MEMBER = "t1 long, t2 long, first long, single boolean, back long, strings long,
 FOUND = "t1 long, t2 long, start long, stop long"
 
 
-def _classes(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
-    """Number of the class of each row: neighbours in the order with so long a common prefix are together."""
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(common < least)
-    return out
+class _Least:
+    """Least values of ranges of one array, by a table of powers of two."""
 
+    def __init__(self, values: np.ndarray):
+        self.rows = [values]
+        while 2 << (len(self.rows) - 1) <= len(values):
+            last, half = self.rows[-1], 1 << (len(self.rows) - 1)
+            self.rows.append(np.minimum(last[:-half], last[half:]))
 
-def _sorted_common(rows: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by group and bytes, and each one's common prefix with the one before (-1 across groups).
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Least of values[start:stop]; no range is empty."""
+        level = np.frexp((stop - start).astype(np.float64))[1] - 1
+        out = np.empty(len(start), np.int64)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.rows[k][start[at]], self.rows[k][stop[at] - (1 << k)])
+        return out
 
-    Suffixes come sorted from the shuffle, which costs one pass here.
-    """
-    order = np.array(sorted(range(len(rows)), key=lambda i: (group[i], rows[i])), np.int64)
-    table = np.zeros((len(rows), width), np.uint8)
-    size = np.empty(len(rows), np.int64)
-    for k, i in enumerate(order.tolist()):
-        row = rows[i][:width]
+
+def _common_prefixes(suffixes: list[bytes], group: np.ndarray) -> np.ndarray:
+    """Length of what each sorted suffix shares with the one before; -1 at the first of a group."""
+    table = np.zeros((len(suffixes), LENGTH), np.uint8)
+    size = np.empty(len(suffixes), np.int64)
+    for k, row in enumerate(suffixes):
+        row = row[:LENGTH]
         size[k] = len(row)
         table[k, : len(row)] = np.frombuffer(row, np.uint8)
-    common = np.full(len(rows), -1, np.int64)
-    if len(rows) > 1:
+    common = np.full(len(suffixes), -1, np.int64)
+    if len(suffixes) > 1:
         differs = table[1:] != table[:-1]
-        first = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
-        common[1:] = np.minimum(first, np.minimum(size[1:], size[:-1]))
-        common[1:][group[order[1:]] != group[order[:-1]]] = -1
-    return order, common
+        common[1:] = np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), LENGTH), np.minimum(size[1:], size[:-1]))
+        common[1:][group[1:] != group[:-1]] = -1
+    return common
 
 
 def induced(group: np.ndarray, back: np.ndarray, strings: np.ndarray, texts: list[bytes], low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
     """For each context, which of its strings stand in another context of its group, too.
 
-    Only strings that start low to high bytes before the suffix are decided.
+    The rows come sorted by group and suffix. One step to the left turns the
+    order of the suffixes that start x bytes before the sampled ones, with
+    their common prefixes, into that of x + 1: rows go stably into the bucket of
+    their next byte, and neighbours in a bucket share one byte more than the least
+    common prefix between them. A string that starts x bytes before is repeated
+    if its suffix shares LENGTH bytes with a neighbour. Rows that can't reach
+    that any more leave. Only strings low to high bytes before are decided.
     """
-    right_order, right = _sorted_common([t[b:] for t, b in zip(texts, back.tolist())], group, LENGTH)
-    left_order, left = _sorted_common([t[:b][::-1] for t, b in zip(texts, back.tolist())], group, SPAN)
     out = [np.zeros(n, bool) for n in strings.tolist()]
-    for x in range(int(low.min()), int(high.max()) + 1):
-        rows = np.flatnonzero((x <= back) & (x > back - strings) & (low <= x) & (x <= high))
-        if len(rows) < 2:
-            continue
-        pair = _classes(left_order, left, x)[rows] * (len(texts) + 1) + _classes(right_order, right, LENGTH - x)[rows]
-        _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
-        for r in rows[times[which] > 1].tolist():
+    ends = np.cumsum([len(t) for t in texts])
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    sampled = ends - [len(t) for t in texts] + back
+    row, common = np.arange(len(texts)), _common_prefixes([t[b:] for t, b in zip(texts, back.tolist())], group)
+    most = int(high.max())
+    for x in range(most + 1):
+        least = np.maximum(common, np.r_[common[1:], -1])  # the most that a row shares with a neighbour
+        for r in row[(least >= LENGTH) & (low[row] <= x) & (x <= high[row]) & (x <= back[row]) & (x > back[row] - strings[row])].tolist():
             out[r][back[r] - x] = True
+        at = np.flatnonzero((back[row] > x) & (high[row] > x) & (least + (high[row] - x) >= LENGTH))
+        if len(at) < 2:
+            break
+        of = group[row[at]] * 256 + flat[sampled[row[at]] - x - 1]
+        order = np.argsort(of, kind="stable")
+        at, of = at[order], of[order]
+        # Buckets keep the order, so a neighbour in one stood farther up in the last order.
+        same = np.flatnonzero(of[1:] == of[:-1])
+        after = np.where(group[row[at]][1:] == group[row[at]][:-1], 0, -1)
+        after[same] = _Least(common).of(at[same] + 1, at[same + 1] + 1) + 1
+        row, common = row[at], np.r_[-1, after]
     return out
 
 
@@ -343,14 +371,11 @@ def _merged(ranges: np.ndarray) -> np.ndarray:
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-_STARTS, _STOPS = "__range_starts", "__range_stops"
-
-
 def _split(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.Array], pa.Array]]:
-    """Documents whose text may have ranges, with these; and a test of a column for the others."""
+    """Documents whose text may have ranges, with these in the last two columns; and a test of a column for the others."""
     ranges = cut(repeated_ranges(docs))
     shared = bitmap(ranges.select("t1").distinct(), "t1")
-    k1, k2 = fresh(docs, "_t1", "_t2")
+    k1, k2, starts, stops = fresh(docs, "_t1", "_t2", "_starts", "_stops")
     keyed = docs.withColumns({k1: F.lit(0).cast("long"), k2: F.lit(0).cast("long")}).schema
 
     def chosen(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -358,7 +383,7 @@ def _split(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.Array], pa.Array]]:
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(t1), pa.array(t2)], names=keyed.names).filter(pa.array(in_bitmap(shared, t1)))
 
     lists = ranges.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
-    lists = lists.select(F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("r.start").alias(_STARTS), F.col("r.stop").alias(_STOPS))
+    lists = lists.select(F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("r.start").alias(starts), F.col("r.stop").alias(stops))
     some = docs.mapInArrow(T.mapper(chosen), keyed).join(lists, [k1, k2], "left")
     return some, lambda column: pa.array(~in_bitmap(shared, text_keys(column)[0]))
 
@@ -368,7 +393,7 @@ _NO_RANGES = np.zeros((0, 2), np.int64)
 
 def _cuts(part: pa.RecordBatch):
     """Text bytes and merged ranges of each row."""
-    for text, starts, stops in zip(part.column("text"), part.column(_STARTS), part.column(_STOPS)):
+    for text, starts, stops in zip(part.column("text"), part.column(part.num_columns - 2), part.column(part.num_columns - 1)):
         data = (text.as_py() or "").encode()
         if starts.as_py():
             yield data, _merged(np.column_stack([starts.values.to_numpy(), stops.values.to_numpy()]))
@@ -383,7 +408,7 @@ def _kept(data: bytes, ranges: np.ndarray) -> bytes:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """What is removed from each document, and a digest of what stays."""
+    """What is removed from each document, a digest of what stays, and the words of shared passages."""
     names = [c.split()[0] for c in REMOVED.split(", ")]
 
     def judged(ids, rows) -> pa.RecordBatch:
@@ -400,7 +425,9 @@ def removals(docs: DataFrame) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     some, other = _split(docs)
-    return some.mapInArrow(T.mapper(joined), REMOVED).union(docs.mapInArrow(T.mapper(untouched), REMOVED))
+    judged_all = some.mapInArrow(T.mapper(joined), REMOVED).union(docs.mapInArrow(T.mapper(untouched), REMOVED))
+    words = shared_words(docs).select(F.col("doc_id").alias("of"), "shared_words")
+    return judged_all.join(words, F.col("doc_id") == F.col("of"), "left").select(*names, F.coalesce("shared_words", F.lit(0)).cast("long").alias("passage_words"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

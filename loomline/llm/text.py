@@ -52,12 +52,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of arbitrary byte ranges of one buffer after one prefix pass."""
+    """Hashes of arbitrary ranges of one buffer of bytes, or of word hashes, after one prefix pass."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(n, "up")[:n], out=self.sums[1:])
+        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * _power(n, "up")[:n], out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(self.sums) - 1
