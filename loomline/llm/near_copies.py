@@ -7,13 +7,18 @@ That alone misses most pairs at similarity 0.8, so each text also has
 ``VIEWS`` SimHashes of samples of four shingles, those that come first under
 four hash orders. Near copies share one with probability
 ``1 - (1 - s**4)**VIEWS``: 0.995 at 0.8. Texts that share one are compared by
-sketches of 32 bits a shingle: all up to ``SKETCH``, beyond that those under a
-power of two of the hash range, so a sketch has about half of ``SKETCH`` at least
-and is exact for short texts. A bucket emits a spanning forest of its links, never pairs.
-
-A bucket of more than ``BUCKET_ROWS`` texts is dealt in blocks of that size by
-hash, each with the bucket's ``PIVOTS`` lowest hashes: links between blocks go
-through those or through other views. Links and components stay in Spark.
+sketches of 32 bits a shingle: all shingles up to ``SKETCH``, beyond that those
+under a power of two of the hash range, about half of ``SKETCH`` at least. A
+sketch that leaves out shingles decides only beyond ``DOUBT`` (three deviations
+and more); texts with pairs in between are compared again by all their
+shingles. A bucket emits a spanning forest of its links, never pairs.
+
+Texts of buckets of more than ``BUCKET_ROWS`` are dealt again by a prefix filter,
+which loses no pair: under one order of all shingles, rare ones first, texts at
+0.8 share one of the first fifth of theirs. If a shingle still has more
+than ``BUCKET_ROWS`` texts, blocks of them are linked through ``PIVOTS`` first;
+only where that leaves a group in several components the texts outside its
+largest one meet every block.
 
 Exact copies are one text, told by a 64-bit hash; null and empty are the same
 text. Of a group the row with the smallest (doc_id, hash) stays, one if rows
@@ -34,11 +39,12 @@ from .components import components
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
 VIEWS, SKETCH = 10, 512
-BUCKET_ROWS, PIVOTS = 8192, 256
-_LEVELS = 40
+DOUBT = (0.7, 0.9)
+BUCKET_ROWS, PIVOTS = 2048, 64
+ORDER_BITS = 20  # of the table of shingle counts by which the prefix filter orders
 _ORDERS = np.random.default_rng(7).integers(0, 2**63, (VIEWS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-PRINT = "t long, fp long, views array<long>, level int, sketch array<int>"
+PRINT = "t long, fp long, views array<long>, level int, kept int, shingles array<int>"
 
 
 def _majority(a, b, c, d):
@@ -66,7 +72,7 @@ def _prints(part: pa.RecordBatch) -> pa.RecordBatch | None:
     views = []
     for row in _ORDERS:
         views.append(_majority(*(np.minimum.reduceat(h * odd, first) for odd in row)))
-    levels, sketches = [], []
+    levels, kept = [], []
     for a, n in zip(first.tolist(), size.tolist()):
         mine = h[a : a + n]
         k = 0
@@ -74,70 +80,73 @@ def _prints(part: pa.RecordBatch) -> pa.RecordBatch | None:
             k += 1
             n = int(np.searchsorted(mine, np.uint64(1 << (64 - k))))
         levels.append(k)
-        sketches.append((mine[:n] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        kept.append(n)
     t1, _ = text_keys(column.take(pa.array(of[first])))
-    return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(fp), pa.array(list(np.stack(views, axis=1).view(np.int64)), pa.list_(pa.int64())), pa.array(levels, pa.int32()), pa.array(sketches, pa.list_(pa.int32()))], names=["t", "fp", "views", "level", "sketch"])
+    upper = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)], pa.int32()), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(fp), pa.array(list(np.stack(views, axis=1).view(np.int64)), pa.list_(pa.int64())), pa.array(levels, pa.int32()), pa.array(kept, pa.int32()), upper], names=[c.split()[0] for c in PRINT.split(", ")])
 
 
 def _under(sketch: np.ndarray, level: int) -> int:
     return len(sketch) if not level else int(np.searchsorted(sketch, np.uint32(1 << (32 - level))))
 
 
-def similar(a: np.ndarray, b: np.ndarray, la: int, lb: int) -> float:
-    """Jaccard similarity of two sketches (upper halves of hashes, sorted) at the coarser of their levels."""
-    level = max(la, lb)
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(_under(a, level) + _under(b, level) - common, 1)
-
+def forest(sketches: list[np.ndarray], levels: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest of the sure links within one bucket, and the rows that have pairs in doubt.
 
-def forest(sketches: list[np.ndarray], levels: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within one bucket.
-
-    A breadth-first search from the most central texts: a batch of those just
-    reached is compared with all not reached yet, as a product of incidence
-    matrices over the hashes that two or more texts have.
+    A breadth-first search from the most central texts: each text reached is
+    compared with all not reached yet, over the hashes that two or more have.
     """
     m = len(sketches)
-    if m == 2:
-        return [(0, 1)] if similar(*sketches, *levels.tolist()) >= SIMILARITY else []
     _, code, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-    number = np.cumsum(times > 1) - 1
     row = np.repeat(np.arange(m), [len(s) for s in sketches])
     shared = times[code] > 1
-    row, column = row[shared], number[code[shared]]
-    central = np.bincount(row, times[code[shared]], minlength=m)
-    width = int(number[-1]) + 1 if len(number) else 0
-    dense = np.zeros((m, max(width, 1)), np.uint8)
-    dense[row, column] = 1
-    highest = int(levels.max())
-    size = np.array([[_under(s, k) for k in range(highest + 1)] for s in sketches])
-    rest = np.argsort(-central, kind="stable")
+    row, code = row[shared], code[shared]
+    start = np.searchsorted(row, np.arange(m + 1))
+    central = np.bincount(row, times[code], minlength=m)
+    size = np.array([[_under(s, k) for k in range(int(levels.max()) + 1)] for s in sketches])
+    order = np.argsort(-central, kind="stable")
+    unreached, doubt = np.ones(m, bool), np.zeros(m, bool)
+    mark = np.zeros(len(times), bool)
     edges: list[tuple[int, int]] = []
-    frontier = np.zeros(0, np.int64)
-    while len(rest):
-        if not len(frontier):
-            frontier, rest = rest[:1], rest[1:]
-        batch, frontier = frontier[:128], frontier[128:]
-        left = dense[batch].astype(np.float32)
-        reached = np.full(len(rest), -1)
-        for at in range(0, len(rest), 1024):
-            other = rest[at : at + 1024]
-            common = left @ dense[other].astype(np.float32).T
-            level = np.maximum(levels[batch][:, None], levels[other][None, :])
-            both = size[batch[:, None], level] + size[other[None, :], level]
-            near = common >= SIMILARITY * np.maximum(both - common, 1) - 1e-6
-            reached[at : at + 1024] = np.where(near.any(axis=0), near.argmax(axis=0), -1)
-        found = reached >= 0
-        edges += zip(batch[reached[found]].tolist(), rest[found].tolist())
-        frontier, rest = np.concatenate([frontier, rest[found]]), rest[~found]
-    return edges
+    live_row, live_code, left = row, code, m
+    for root in order.tolist():
+        if not unreached[root]:
+            continue
+        unreached[root] = False
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            rest = np.flatnonzero(unreached)
+            if not len(rest):
+                return edges, doubt
+            if len(rest) < left // 2:
+                keep = unreached[live_row]
+                live_row, live_code, left = live_row[keep], live_code[keep], len(rest)
+            mine = code[start[x] : start[x + 1]]
+            mark[mine] = True
+            common = np.bincount(live_row[mark[live_code]], minlength=m)[rest]
+            mark[mine] = False
+            level = np.maximum(levels[x], levels[rest])
+            both = size[x, level] + size[rest, level]
+            near = common / np.maximum(both - common, 1) + 1e-9
+            sure = near >= np.where(level, DOUBT[1], SIMILARITY)
+            maybe = ~sure & (level > 0) & (near >= DOUBT[0])
+            if maybe.any():
+                doubt[x] = True
+                doubt[rest[maybe]] = True
+            edges += [(x, y) for y in rest[sure].tolist()]
+            todo += rest[sure].tolist()
+            unreached[rest[sure]] = False
+    return edges, doubt
 
 
 _BUCKET = ["view", "value", "block"]
+_FOUND = "u long, v long, view int, value long, block long"
+_HELD_BYTES = 8 << 20
 
 
 def _links_of_sorted(batches):
-    """Links within the buckets of a partition sorted by bucket; a bucket may span batches."""
+    """Links within the buckets of a partition sorted by bucket, which may span batches; texts in doubt as rows with no v."""
 
     def bucket(table: pa.Table) -> np.ndarray:
         columns = [table[k].to_numpy() for k in _BUCKET]
@@ -148,46 +157,134 @@ def _links_of_sorted(batches):
         lists = table["sketch"].combine_chunks()
         flat, offsets = lists.values.to_numpy().view(np.uint32), lists.offsets.to_numpy()
         first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-        out = []
+        u, v, at = [], [], []
         for a, z in zip(first.tolist(), np.r_[first[1:], len(number)].tolist()):
-            if z - a > 1:
-                out += [(t[a + i], t[a + j]) for i, j in forest([flat[offsets[k] : offsets[k + 1]] for k in range(a, z)], level[a:z])]
-        u, v = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            if z - a < 2:
+                continue
+            edges, doubt = forest([flat[offsets[k] : offsets[k + 1]] for k in range(a, z)], level[a:z])
+            unsure = t[a:z][doubt].tolist()
+            u += [t[a + i] for i, _ in edges] + unsure
+            v += [t[a + j] for _, j in edges] + [None] * len(unsure)
+            at += [a] * (len(edges) + len(unsure))
+        keys = [table[k].combine_chunks().take(pa.array(at, pa.int64())) for k in _BUCKET]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), *keys], names=["u", "v", *_BUCKET])
 
     held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
-            held.append(part)
-            rows += part.num_rows
-            if rows < 4096:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            number = bucket(table)
-            whole = int(np.searchsorted(number, number[-1]))
-            if whole:
-                yield links(table.slice(0, whole).combine_chunks())
-                held, rows = table.slice(whole).combine_chunks().to_batches(), len(number) - whole
-            else:
-                held = table.to_batches()
+    rows = size = 0
+    for part in _parts(batches):
+        held.append(part)
+        rows, size = rows + part.num_rows, size + part.nbytes
+        if rows < 4096 and size < _HELD_BYTES:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        number = bucket(table)
+        whole = int(np.searchsorted(number, number[-1]))
+        if whole:
+            yield links(table.slice(0, whole).combine_chunks())
+            table = table.slice(whole).combine_chunks()
+        held, rows, size = table.to_batches(), table.num_rows, table.nbytes if whole else 0
     if rows:
         yield links(pa.Table.from_batches(held).combine_chunks())
 
 
+def _compared(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (u, v) within the buckets of ``members`` (t, view, value, block), by sketches, then by all shingles."""
+
+    def linked(texts: DataFrame) -> DataFrame:
+        return texts.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "t").mapInArrow(_links_of_sorted, _FOUND)
+
+    sketch = F.slice("shingles", F.lit(1), F.col("kept")).alias("sketch")
+    found = cut(linked(members.select("t", *_BUCKET).join(prints.select("t", "level", sketch), "t")))
+    unsure = found.where("v is null").select(F.col("u").alias("t"), *_BUCKET).distinct()
+    whole = prints.select("t", F.lit(0).alias("level"), F.col("shingles").alias("sketch"))
+    return found.where("v is not null").select("u", "v").union(linked(unsure.join(whole, "t")).select("u", "v"))
+
+
+def _parts(batches):
+    for batch in batches:
+        yield from (batch.slice(k, 256) for k in range(0, batch.num_rows, 256))
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(t, value): the shingles of each text (t, shingles) of which texts at SIMILARITY share one."""
+    places = np.uint32(32 - ORDER_BITS)
+
+    def count(batches):
+        for batch in _parts(batches):
+            n = np.bincount(batch.column(0).flatten().to_numpy().view(np.uint32) >> places, minlength=1 << ORDER_BITS)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"place": at, "n": n[at]})
+
+    # At most 2**ORDER_BITS rows; any fixed counts give an order under which no pair is lost.
+    counts = texts.select("shingles").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << ORDER_BITS, np.int64)
+    table[counts["place"].to_numpy()] = counts["n"].to_numpy()
+    table = texts.sparkSession.sparkContext.broadcast(table)
+
+    def first(batches):
+        for batch in _parts(batches):
+            lists = batch.column("shingles")
+            t, size = batch.column("t").to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            flat, row = lists.flatten().to_numpy().view(np.uint32), np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, table.value[flat >> places], row))
+            rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            most = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
+            keep = rank < most[row]
+            yield pa.RecordBatch.from_pydict({"t": t[row[keep]], "value": flat[order][keep].astype(np.int64)})
+
+    return texts.select("t", "shingles").mapInArrow(first, "t long, value long")
+
+
+def _sized(spots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets (view, value) that one task can hold, and those of larger ones, with their number n."""
+    sizes = cut(spots.groupBy("view", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    known = spots.join(sizes, ["view", "value"])
+    return known.where(F.col("n") <= BUCKET_ROWS).withColumn("block", F.lit(0).cast("long")), known.where(F.col("n") > BUCKET_ROWS)
+
+
+def _of_hot(spots: DataFrame, prints: DataFrame) -> DataFrame | None:
+    """Links between texts of buckets (view, value) that are too large for a task; None if there are none."""
+    texts = cut(spots.select("t").distinct())
+    if texts.isEmpty():
+        return None
+    again = cut(_prefixes(texts.join(prints, "t")).select(F.lit(-1).alias("view"), "value", "t"))
+    small, large = _sized(again)
+    links = _compared(small, prints)
+    large = cut(large)
+    if large.isEmpty():
+        return links
+    blocks = F.ceil(F.col("n") / BUCKET_ROWS).cast("long")
+    own = F.pmod(F.xxhash64("t"), blocks)
+    pivot = F.pmod(F.xxhash64(F.lit("pivot"), "t"), F.col("n")) < PIVOTS
+    dealt = large.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))))
+    links = cut(links.union(_compared(dealt, prints)))
+    placed = large.join(components(links), F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t"))
+    parts = cut(placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("texts")))
+    most = parts.groupBy("value").agg(F.max(F.struct("texts", "root")).alias("most"), F.sum("texts").alias("all"))
+    most = cut(most.where("most.texts < all").select("value", F.col("most.root").alias("main"), (F.col("all") - F.col("most.texts")).alias("outside")))
+    if most.isEmpty():
+        return links
+    # Texts outside the largest component meet every block of texts, in a bucket for each pair of blocks.
+    half = BUCKET_ROWS // 2
+    rest = placed.join(most, "value").withColumn("own", F.pmod(F.xxhash64("t"), F.ceil(F.col("n") / half).cast("long"))).withColumn("out", F.ceil(F.col("outside") / half).cast("long"))
+    others = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / half).cast("long") - 1)
+    mine = F.pmod(F.xxhash64(F.lit("out"), "t"), F.col("out"))
+    pair = lambda block, out: block * F.lit(1 << 31) + out
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("out") - 1), lambda o: pair(F.col("own"), o))
+    meets = F.when(F.col("root") == F.col("main"), meets).otherwise(F.array_union(meets, F.transform(others, lambda b: pair(b, mine))))
+    return links.union(_compared(rest.withColumn("block", F.explode(meets)).select("t", *_BUCKET), prints))
+
+
 def text_links(docs: DataFrame) -> DataFrame:
     """Edges (u, v) between text hashes that join all near copies."""
     prints = docs.select("text").mapInArrow(T.mapper(_prints), PRINT)
-    prints = cut(prints.groupBy("t").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "sketch")]))
+    prints = cut(prints.groupBy("t").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "kept", "shingles")]))
     near = components(simhash.links(prints.select("fp").distinct(), RADIUS))
     whole = prints.select("t", "fp").join(near, F.col("fp") == F.col("node"), "left").select("t", F.lit(VIEWS).alias("view"), F.coalesce("root", "fp").alias("value"))
-    spots = prints.select("t", F.posexplode("views").alias("view", "value")).union(whole)
-    sizes = spots.groupBy("view", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = spots.join(sizes, ["view", "value"]).withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int"))
-    lowest = F.pmod(F.xxhash64(F.lit("pivot"), "t", "view"), F.col("n")) < PIVOTS
-    own = F.array(F.pmod(F.xxhash64("t", "view"), F.col("blocks")).cast("int"))
-    members = members.withColumn("block", F.explode(F.when((F.col("blocks") > 1) & lowest, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-    return members.select("t", *_BUCKET).join(prints.select("t", "level", "sketch"), "t").repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "t").mapInArrow(_links_of_sorted, "u long, v long")
+    small, large = _sized(prints.select("t", F.posexplode("views").alias("view", "value")).union(whole))
+    links = _compared(small, prints)
+    hot = _of_hot(large, prints)
+    return links if hot is None else links.union(hot)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -83,9 +84,10 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("rows", [8192, 6])
-def test_one_of_each_group_stays(spark, monkeypatch, rows):
+@pytest.mark.parametrize("rows, sketch", [(2048, 512), (6, 512), (2, 32)])
+def test_one_of_each_group_stays(spark, monkeypatch, rows, sketch):
     monkeypatch.setattr(near_copies, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(near_copies, "SKETCH", sketch)
     rng = random.Random(5)
     values = [prose(rng, rng.randint(30, 500)).lower() for _ in range(40)]
     family = list(range(40))
@@ -108,6 +110,44 @@ def test_one_of_each_group_stays(spark, monkeypatch, rows):
     assert set(rows) == set(first.values())
 
 
+@pytest.mark.parametrize("rows", [2048, 8])
+def test_links_join_all_near_copies(spark, monkeypatch, rows):
+    """Against brute force: texts of one template, of which some are near copies, in buckets that are too large."""
+    monkeypatch.setattr(near_copies, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(near_copies, "PIVOTS", 1)
+    monkeypatch.setattr(near_copies, "SKETCH", 64)
+    rng = random.Random(11)
+    template = prose(rng, 150).lower().split()
+    values = []
+    for _ in range(12):
+        own = prose(rng, rng.choice([10, 20, 40, 60])).lower().split()
+        for _ in range(5):
+            words = template + own
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"edit{rng.randint(0, 10**6)}"
+            values.append(" ".join(words))
+    sets = [shingles(v) for v in values]
+    keys = [int(k) for k in near_copies.text_keys(pa.array(values))[0]]
+    wanted = {frozenset((keys[i], keys[j])) for i in range(len(values)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    links = {frozenset((r.u, r.v)) for r in near_copies.text_links(docs(spark, values)).collect()}
+    assert links <= wanted
+
+    def joined(edges):
+        root = {k: k for k in keys}
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for edge in edges:
+            a, *b = edge
+            root[find(a)] = find(b[0] if b else a)
+        return {frozenset(k for k in keys if find(k) == find(x)) for x in keys}
+
+    assert joined(links) == joined(wanted) and len(joined(wanted)) > 1
+
+
 def test_repeated_rows_and_null_ids(spark):
     frame = docs(spark, ["one two three four five six seven"] * 3 + ["other words are here and there"]).drop("doc_id")
     frame = frame.selectExpr("cast(null as bigint) as doc_id", "*")
