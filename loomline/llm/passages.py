@@ -119,7 +119,8 @@ def shared_words(docs: DataFrame) -> DataFrame:
     doubtful = bitmap(parts.select("key").distinct(), "key")
     readers = _id_bitmap(parts.select("doc_id").distinct())
     rows = cut(_mapped(docs, "doc_id long, start long, passage long", _passages, lambda found, ids: in_bitmap(doubtful, found.key) & in_bitmap(readers, _hashed(ids))[found.doc]))
-    both = rows.groupBy("passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("passage")
+    # Written, so that the join by passage is one that Spark can split.
+    both = cut(rows.groupBy("passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("passage"))
     single = rows.join(both, "passage").select("doc_id", "start", (F.col("start") + WORDS).alias("stop"))
     return _covered(shared.union(single))
 
