@@ -2,18 +2,22 @@
 
 Each text is the first layer of a worklist. A layer is scanned with the three
 patterns and then unwrapped in every way that applies: percent escapes and
-Unicode escapes over the whole layer, base64 runs one by one, and compressed
-payloads (gzip, zlib, bz2, xz, Zstandard) inside those. New layers join the
-list until none is left; a layer seen before in the same text is dropped, so
-cycles end. Every layer carries a map of its positions to the text's, and a
-finding is reported at the span of the text that holds it. Unwrapped layers
-only add findings that touch unwrapped characters.
+Unicode escapes over the whole layer, base64 runs one by one (those broken over
+lines of one length joined), and compressed payloads (gzip, zlib, bz2, xz,
+Zstandard, of several members, too) in base64 or written as escaped bytes. New
+layers join the list until none is left. A layer with the text and place of one
+seen before is dropped, so cycles end, and each occurrence of a blob counts.
+Every layer carries a map of its positions to the text's, and a finding is
+reported at the span of the text that holds it. Unwrapped layers only add
+findings that touch unwrapped characters.
 
 Null texts count as empty, with no findings. Very long texts are scanned whole.
-What one text unwraps to is limited to ``MOST_UNWRAPPED`` characters, against
-decompression bombs; further layers are then scanned but not unwrapped, and
-what does not fit is left as it stands. Repeated rows are scanned one by one;
-:func:`scan` ignores extra columns and :func:`redact` keeps them.
+Against decompression bombs, a payload of over ``MOST_INFLATED`` bytes is scanned
+as a stream and not unwrapped further, and the layers of a text together hold at
+most ``LAYERS`` times its characters and MOST_INFLATED more; layers beyond that
+are scanned but not unwrapped. :func:`scan` says so of a row in ``truncated``.
+Repeated rows are scanned one by one; :func:`scan` ignores extra columns and
+:func:`redact` keeps them.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 from . import text as T
 
 KINDS = ("assign", "access", "hex")
-MOST_UNWRAPPED = 64 << 20
+MOST_INFLATED = 64 << 20
+LAYERS = 64
 #: Characters that a base64 run has at least to be tried.
 LEAST_RUN = 16
 
@@ -49,9 +55,18 @@ _PERCENT = re.compile(r"(?i)%[0-7][0-9a-f]|%[cd][0-9a-f]%[89ab][0-9a-f]|%e[0-9a-
 _UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PART = re.compile(r"[A-Za-z0-9+_-]{16,}={0,2}")
+# Words and paths may hang on a run by marks that are letters of one of the alphabets.
+_PARTS = [re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")]
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+# Escaped bytes that begin as a compressed payload does, in the manner of a URL or of a string literal.
+_URL_BYTES = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%(?:01|5[eE]|9[cC]|[dD][aA])|%[fF][dD]7zXZ|(?:%28|\()%[bB]5(?:%2[fF]|/)%[fF][dD]|BZh[1-9]1AY%26SY)(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])*")
+_LITERAL_BYTES = re.compile(r"(?:\\x1[fF]\\x8[bB]|x(?:\\x01|\^|\\x9[cC]|\\x[dD][aA])|\\x[fF][dD]7zXZ|\(\\x[bB]5/\\x[fF][dD]|BZh[1-9]1AY&SY)(?:\\x[0-9A-Fa-f]{2}|\\[\\'\"nrt0]|[\x20!#-\[\]-~])*")
+_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\?.")
+_LITERAL = re.compile(rb"\\x([0-9A-Fa-f]{2})|\\([\\'\"nrt0])")
+_PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"0": b"\0"}
 
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, truncated boolean"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -130,43 +145,82 @@ def _unicode(run: str) -> str | None:
         return None
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """The content of a compressed payload if it is one and fits."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            out = (one := zlib.decompressobj(47)).decompress(data, most)
-            return out if one.eof else None
-        if data[:3] == b"BZh":
-            out = (one := bz2.BZ2Decompressor()).decompress(data, most)
-            return out if one.eof else None
-        if data[:6] == b"\xfd7zXZ\0":
-            out = (one := lzma.LZMADecompressor()).decompress(data, most)
-            return out if one.eof else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as one:
-                out = one.read(most)
-                return out if not one.read(1) else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        pass
-    return None
+_PIECE = 1 << 14
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+_GZIP, _ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
 
 
-def _unpacked(run: str, most: int) -> str | None:
-    """The text inside a base64 run, through any compression, None if it holds none."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _opener(head: bytes, first: bool = True):
+    """A new decompressor for what begins with these bytes, None if it is no compressed payload. Zlib has no further members."""
+    if head[:2] == _GZIP or first and head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    return zstandard.ZstdDecompressor().decompressobj() if head[:4] == _ZSTD else None
+
+
+def _inflated(data: bytes):
+    """Pieces of the content of a payload, member by member, and how far each reaches; ValueError at a cut one."""
+    at = 0
+    while (one := _opener(data[at : at + 8], not at)) is not None:
+        while not one.eof:
+            step = data[at : at + _PIECE]
+            if not step:
+                raise ValueError("cut")
+            piece = one.decompress(step)
+            at += len(step) - len(one.unused_data)
+            yield piece, at
+
+
+def _whole(start: int, run: str, data: bytes) -> list[tuple[int, int, bytes]]:
+    """Escaped bytes up to the end of the payload; what follows it is none of its own."""
+    size = 0
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+        for _, size in _inflated(data):
+            pass
+    except _BROKEN:
+        return []
+    ends = [m.end() for m in _BYTE.finditer(run)]
+    return [(start, start + ends[size - 1], data[:size])] if 0 < size <= len(ends) else []
+
+
+def _opened(data: bytes) -> tuple[bytes, bool] | None:
+    """What is in a payload under all its compression, and whether there is more than that; None if one is broken."""
     seen = set()
-    while (inner := _inflate(data, most)) is not None:
+    while _opener(data[:8]) is not None:
         mark = hashlib.sha256(data).digest()
         if mark in seen:
             return None
         seen.add(mark)
-        data = inner
+        pieces, size = [], 0
+        try:
+            for piece, _ in _inflated(data):
+                pieces.append(piece)
+                size += len(piece)
+                if size > MOST_INFLATED:
+                    return data, True
+        except _BROKEN:
+            return None
+        data = b"".join(pieces)
+    return data, False
+
+
+def _kinds_in(data: bytes) -> set[str]:
+    """The kinds of findings in a payload that is too large to keep; pieces overlap by as much as they hold."""
+    kinds, tail = set(), b""
+    try:
+        for piece, _ in _inflated(data):
+            for at in range(0, len(piece), 1 << 20):
+                tail = tail[-(1 << 20) :] + piece[at : at + (1 << 20)]
+                kinds.update(k for k, *_ in base_spans(tail.decode(errors="replace")))
+    except _BROKEN:
+        pass
+    return kinds
+
+
+def _text_of(data: bytes) -> str | None:
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -174,27 +228,83 @@ def _unpacked(run: str, most: int) -> str | None:
     return text if text and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text) else None
 
 
-def all_spans(text: str) -> tuple[list, list]:
-    """The base findings of a text, and all findings with those of unwrapped layers, both in order."""
+def _decoded(run: str) -> bytes | None:
+    """The bytes that a base64 run stands for."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _unescaped(run: str) -> bytes:
+    return _LITERAL.sub(lambda m: bytes([int(m[1], 16)]) if m[1] else _PLAIN.get(m[2], m[2]), run.encode())
+
+
+def _joined_lines(text: str):
+    """Start, end and joined characters of base64 over several lines of one length, the last one shorter or not in it."""
+    for block in _WRAPPED.finditer(text):
+        lines = [m.span() for m in _LINE.finditer(text, *block.span())]
+        i = 0
+        while i < len(lines):
+            width, j = lines[i][1] - lines[i][0], i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            if width >= LEAST_RUN and width % 4 == 0:
+                ends = [j + 1] if j < len(lines) and lines[j][1] - lines[j][0] < width else []
+                yield [(lines[i][0], lines[k - 1][1], "".join(text[a:z] for a, z in lines[i:k])) for k in [*ends, *[j] * (j - i > 1)]]
+            i = j
+
+
+def _blobs(text: str):
+    """Lists of (start, end, bytes) to be tried in turn until one holds something: readings of one place."""
+    for choices in _joined_lines(text):
+        yield [(a, z, data) for a, z, run in choices if (data := _decoded(run)) is not None]
+    for m in _RUN.finditer(text):
+        if (data := _decoded(m[0])) is not None:
+            yield [(*m.span(), data)]
+        tried = {m.span()}
+        for parts in _PARTS if "/" in m[0] or "_" in m[0] or "-" in m[0] else []:
+            for part in parts.finditer(text, *m.span()):
+                if part.span() not in tried and (data := _decoded(part[0])) is not None:
+                    tried.add(part.span())
+                    yield [(*part.span(), data)]
+    if "%" in text:
+        for m in _URL_BYTES.finditer(text):
+            yield _whole(m.start(), m[0], unquote_to_bytes(m[0]))
+    if "\\x" in text:
+        for m in _LITERAL_BYTES.finditer(text):
+            yield _whole(m.start(), m[0], _unescaped(m[0]))
+
+
+def all_spans(text: str) -> tuple[list, list, bool]:
+    """The base findings of a text, all findings with those of unwrapped layers, both in order, and whether layers were too large to unwrap."""
     base = base_spans(text)
     found = set(base)
     first = _Layer(text, [0], [(0, len(text), False)])
-    todo, seen, left = [first], {text}, MOST_UNWRAPPED
+    todo, seen, left, truncated = [first], set(), MOST_INFLATED + LAYERS * len(text), False
     while todo:
         layer = todo.pop()
         new = [layer.replaced(_PERCENT, _percent) if "%" in layer.text else None, layer.replaced(_UNICODE, _unicode) if "\\" in layer.text or "&#" in layer.text else None]
-        for m in _RUN.finditer(layer.text):
-            # A path may hang runs together by slashes, so the parts are tried where the whole says nothing.
-            for part in [m] if "/" not in m[0] else [m, *_PART.finditer(layer.text, *m.span())]:
-                inner = _unpacked(part[0], left)
-                if inner is not None:
-                    new.append(_Layer(inner, [0], [(*layer.root(*part.span())[:2], True)]))
-                    if part is m:
-                        break
+        for choices in _blobs(layer.text):
+            for a, z, data in choices:
+                if (opened := _opened(data)) is None:
+                    continue
+                inner, more = opened
+                root = (*layer.root(a, z)[:2], True)
+                if more:
+                    truncated = True
+                    found.update((kind, *root[:2]) for kind in _kinds_in(inner))
+                    break
+                if (inner_text := _text_of(inner)) is not None:
+                    new.append(_Layer(inner_text, [0], [root]))
+                    break
         for one in new:
-            if one is None or one.text in seen:
+            if one is None or (mark := (hash(one.text), hash(tuple(one.starts)), hash(tuple(one.roots)))) in seen:
                 continue
-            seen.add(one.text)
+            seen.add(mark)
             for kind, a, z in base_spans(one.text):
                 start, end, unwrapped = one.root(a, z)
                 if unwrapped:
@@ -202,7 +312,9 @@ def all_spans(text: str) -> tuple[list, list]:
             if len(one.text) <= left:
                 left -= len(one.text)
                 todo.append(one)
-    return _ordered(base), _ordered(found)
+            else:
+                truncated = True
+    return _ordered(base), _ordered(found), truncated
 
 
 def _long_run(data: np.ndarray, offsets: np.ndarray, among: np.ndarray, least: int) -> np.ndarray:
@@ -231,9 +343,9 @@ def worth_a_look(column: pa.Array) -> np.ndarray:
 
 
 def _of(column: pa.Array):
-    """(base, all) findings for each text; None where there is nothing."""
+    """(base, all) findings for each text, and whether layers were left."""
     for text, look in zip(column, worth_a_look(column)):
-        yield all_spans(text.as_py()) if look else ([], [])
+        yield all_spans(text.as_py()) if look else ([], [], False)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -241,11 +353,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, (base, every) in zip(part.column("doc_id").to_pylist(), _of(part.column("text"))):
+        for doc_id, (base, every, truncated) in zip(part.column("doc_id").to_pylist(), _of(part.column("text"))):
             n = {k: sum(s[0] == k for s in base) for k in KINDS}
-            rows.append((doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base)))
+            rows.append((doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base), truncated))
         names = [c.split()[0] for c in SCANNED.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.mapper(run), SCANNED)
@@ -271,7 +383,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         column = part.column("text")
         texts, changed = column.to_pylist(), {}
-        for i, (_, every) in enumerate(_of(column)):
+        for i, (_, every, _) in enumerate(_of(column)):
             if every:
                 changed[i] = redacted(texts[i], every)
         if not changed:

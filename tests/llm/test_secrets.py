@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -51,6 +52,13 @@ LAYERS = {
     "base64 of url": lambda t: base64.b64encode(quote(t, safe="").encode()).decode(),
     "gzip": lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
     "zlib in base64 in base64": lambda t: base64.b64encode(base64.b64encode(zlib.compress(t.encode()))).decode(),
+    "two gzip members": lambda t: base64.b64encode(gzip.compress(t[:9].encode(), mtime=0) + gzip.compress(t[9:].encode(), mtime=0)).decode(),
+    "wrapped base64": lambda t: "\n".join(re.findall(".{1,24}", base64.b64encode(f"a longer text and {t} in it".encode()).decode())),
+    "wrapped gzip": lambda t: "\r\n  ".join(re.findall(".{1,64}", base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode())),
+    "glued": lambda t: "blob_" + base64.b64encode(f"{t}?>?>?>".encode()).decode(),
+    "glued by a dash": lambda t: "v1-" + base64.b64encode(t.encode()).decode(),
+    "gzip in a URL": lambda t: quote(gzip.compress(t.encode(), mtime=0), safe=""),
+    "zlib in a literal": lambda t: repr(zlib.compress(t.encode()))[2:-1],
     "zstd": lambda t: base64.b64encode(zstandard.compress(t.encode())).decode(),
 }
 
@@ -59,12 +67,41 @@ LAYERS = {
 def test_nested_layers_are_found_at_their_place(name):
     inner = LAYERS[name](SECRET)
     text = f"é and {inner} end"
-    _, found = S.all_spans(text)
+    _, found, _ = S.all_spans(text)
     spans = [text[a:z] for kind, a, z in found if kind == "assign"]
     assert spans and all(s in inner for s in spans)
     assert SECRET.split('"')[1] not in S.redacted(text, found)
 
 
+@pytest.mark.parametrize("copies", [2, 1000])
+def test_every_copy_of_a_blob_is_found(copies):
+    blob = base64.b64encode(quote(SECRET, safe="").encode()).decode()
+    text = " and then again ".join([blob] * copies)
+    _, found, truncated = S.all_spans(text)
+    assert {(a, z) for kind, a, z in found if kind == "assign"} == {m.span() for m in re.finditer(re.escape(blob), text)} and not truncated
+    assert blob not in S.redacted(text, found)
+
+
+def test_random_nestings():
+    rng, made = random.Random(3), list(LAYERS.values())
+    for _ in range(150):
+        inner = SECRET
+        for _ in range(rng.randint(1, 4)):
+            inner = rng.choice(made)(inner)
+        text = f"words before {inner} words after"
+        _, found, _ = S.all_spans(text)
+        at = text.index(inner)
+        assert any(kind == "assign" and at <= a and z <= at + len(inner) for kind, a, z in found), inner
+        assert "abcdef0123456789abcdef" not in S.redacted(text, found)
+
+
+def test_bombs_are_scanned_as_streams(monkeypatch):
+    monkeypatch.setattr(S, "MOST_INFLATED", 10_000)
+    blob = base64.b64encode(gzip.compress((" " * 50_000 + SECRET + " " * 50_000).encode(), mtime=0)).decode()
+    _, found, truncated = S.all_spans(f"x {blob} y")
+    assert truncated and ("assign", 2, 2 + len(blob)) in found
+
+
 def test_cycles_and_broken_layers_end():
     for text in ("%25" * 2000, "%2525252525", base64.b64encode(b"\x1f\x8b" + b"x" * 50).decode(), "A" * 5000, "\\ud800\\u", "&#99999999;&#x110000;"):
         S.all_spans(text)
