@@ -3,20 +3,25 @@
 Tokens are runs of letters and digits (a point or comma between digits stays
 inside). Numbers, units after a number and names (capitalised inside a
 sentence) become typed placeholders. Windows of ``WINDOW`` tokens are hashed
-twice, literally (letter case aside) and as templates; a template needs
-``LEAST_LITERAL`` tokens that are no placeholders. Windows of documents are
-joined with those of the benchmark by hash. Literal matches count as they are.
-Template matches count if their slots are consistent: along one alignment of
-an item with a document, every value of the item is replaced by one value, and
-no two of its values by the same one; windows that match literally there are
-left out of this. So a question with other numbers or
-names is found, and a chance fit of placeholders is not.
-
-A document is contaminated by an item if the matched windows cover
-``COVERAGE`` of the item's tokens, or ``LONG_RUN`` consecutive ones. Items of
-fewer than ``WINDOW`` tokens are not searched for. The benchmark's hashes go to
-every task as a screen if it has at most ``SCREEN_WINDOWS`` windows; beyond
-that all windows of the documents take part in the join.
+twice, literally (letter case aside) and as templates; a template needs one
+placeholder and ``WINDOW_LITERAL`` other tokens. Windows of documents are joined
+with those of the benchmark by hash. Literal matches count as they are. Template
+matches count if along their alignment of the item with the document
+
+- the matched windows hold ``LEAST_LITERAL`` tokens of the item that are no
+  placeholders, and
+- slots are consistent: every value of the item is replaced by one value, and no
+  two of its values by the same one; windows that match literally take part.
+
+So a question with other numbers or names is found, and a chance fit of
+placeholders is not. A document is contaminated by an item if the matched windows
+cover ``COVERAGE`` of the item's tokens, or ``LONG_RUN`` consecutive ones.
+
+An item of fewer than WINDOW tokens is one window of its own length, searched for
+in the same way; one of fewer than ``SHORTEST`` can't be told from common phrases
+and is not searched for. A screen of the benchmark's hashes goes to every task if
+it has at most ``SCREEN_WINDOWS`` windows; beyond that all windows of the
+documents take part in the join, with the same rows.
 
 Null and empty texts match nothing. Documents are told apart by doc_id and a
 64-bit hash of the text, so repeated rows give one result row. Extra columns
@@ -34,6 +39,8 @@ from . import text as T
 from .common import fresh
 
 WINDOW = 8
+SHORTEST = 4
+WINDOW_LITERAL = 2
 LEAST_LITERAL = 5
 COVERAGE = 0.5
 LONG_RUN = 13
@@ -52,7 +59,7 @@ _POINT = np.array([chr(c) in ".," for c in range(256)])
 _STOP = np.array([chr(c) in ".!?:;\n\"" for c in range(256)])
 NUMBER, UNIT, NAME = 1, 2, 3
 _HOLDER = T.mix(np.arange(4, dtype=np.uint64) + np.uint64(77))
-WINDOWS = "id long, text_key long, n_tokens long, pos long, literal boolean, key long, slots array<string>"
+WINDOWS = "id long, text_key long, n_tokens long, pos long, literal boolean, key long, slots array<string>, plain array<long>"
 
 
 def _hashes_of(words: list[str]) -> np.ndarray:
@@ -99,19 +106,19 @@ class Tokens:
         kind[(kind == 0) & capital & inside] = NAME
         self.kind = kind
 
-    def windows(self):
+    def windows(self, width: int):
         """First token, literal hash, template hash and number of placeholders of each window."""
-        m = len(self.start) - WINDOW + 1
+        m = len(self.start) - width + 1
         if m <= 0:
             empty = np.zeros(0, np.int64)
             return empty, empty.view(np.uint64), empty.view(np.uint64), empty
         holders = np.concatenate([[0], np.cumsum(self.kind > 0)])
-        at = np.flatnonzero(self.doc[:m] == self.doc[WINDOW - 1 :])
+        at = np.flatnonzero(self.doc[:m] == self.doc[width - 1 :])
         template = np.where(self.kind > 0, _HOLDER[self.kind], self.hash)
-        return at, T.grams(self.hash, WINDOW)[at], T.grams(template, WINDOW)[at], (holders[WINDOW:] - holders[:-WINDOW])[at]
+        return at, T.grams(self.hash, width)[at], T.grams(template, width)[at], (holders[width:] - holders[:-width])[at]
 
-    def slots(self, first: int) -> list[str]:
-        at = first + np.flatnonzero(self.kind[first : first + WINDOW])
+    def slots(self, first: int, width: int) -> list[str]:
+        at = first + np.flatnonzero(self.kind[first : first + width])
         return [f"{self.kind[k]}{self.low[self.start[k] : self.end[k]].tobytes().decode()}" for k in at]
 
 
@@ -131,30 +138,45 @@ def _passes(h: np.ndarray, screen) -> np.ndarray:
     return out
 
 
-def windows(rows: DataFrame, screens=None) -> DataFrame:
-    """Literal and template windows of (id, text_key, text), all or those that pass the broadcast screens."""
+def windows(rows: DataFrame, widths: list[int] | None = None, screens=None) -> DataFrame:
+    """Literal and template windows of (id, text_key, text).
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        tokens = Tokens(part.column("text"))
-        at, literal, template, holders = tokens.windows()
-        fit = (holders > 0) & (holders <= WINDOW - LEAST_LITERAL)
+    With ``widths`` those of each width, all or those that pass the broadcast
+    screens; without, those of items: of WINDOW tokens, or of all in a shorter text.
+    """
+
+    def of(part: pa.RecordBatch, tokens: Tokens, width: int, length: np.ndarray, lead: np.ndarray) -> pa.RecordBatch | None:
+        at, literal, template, holders = tokens.windows(width)
+        fit = (holders > 0) & (width - holders >= WINDOW_LITERAL)
+        exact = np.ones(len(at), bool)
+        if widths is None:
+            own = (length[tokens.doc[at]] == width) | (width == WINDOW)
+            exact, fit = exact & own, fit & own
         if screens is not None:
             exact = _passes(literal, screens.value[0])
             fit &= _passes(template, screens.value[1])
-        else:
-            exact = np.ones(len(at), bool)
         if not exact.any() and not fit.any():
             return None
-        first = np.concatenate([at[exact], at[fit]])
+        first, many = np.concatenate([at[exact], at[fit]]), int(exact.sum())
         doc = tokens.doc[first]
-        lead = np.searchsorted(tokens.doc, np.arange(part.num_rows + 1))
-        slots = [[]] * int(exact.sum()) + [tokens.slots(k) for k in at[fit].tolist()]
+        slots = [[]] * many + [tokens.slots(k, width) for k in at[fit].tolist()]
+        # Only the items' are asked for; positions count from the item's start.
+        plain = [[]] * many + [(k + np.flatnonzero(tokens.kind[k : k + width] == 0) - lead[d] if widths is None else []) for k, d in zip(at[fit].tolist(), doc[many:].tolist())]
         return pa.RecordBatch.from_arrays(
-            [part.column("id").take(pa.array(doc)), part.column("text_key").take(pa.array(doc)), pa.array(np.diff(lead)[doc]), pa.array(first - lead[doc]), pa.array(np.arange(len(first)) < exact.sum()), pa.array(np.concatenate([literal[exact], template[fit]]).view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-            names=["id", "text_key", "n_tokens", "pos", "literal", "key", "slots"],
+            [part.column("id").take(pa.array(doc)), part.column("text_key").take(pa.array(doc)), pa.array(length[doc]), pa.array(first - lead[doc]), pa.array(np.arange(len(first)) < many), pa.array(np.concatenate([literal[exact], template[fit]]).view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(plain, pa.list_(pa.int64()))],
+            names=[c.split()[0] for c in WINDOWS.split(", ")],
         )
 
-    return rows.mapInArrow(T.mapper(run), WINDOWS)
+    def run(batches):
+        for part in T.chunks(batches):
+            tokens = Tokens(part.column("text"))
+            lead = np.searchsorted(tokens.doc, np.arange(part.num_rows + 1))
+            for width in widths or range(SHORTEST, WINDOW + 1):
+                out = of(part, tokens, width, np.diff(lead), lead)
+                if out is not None:
+                    yield out
+
+    return rows.mapInArrow(run, WINDOWS)
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -163,30 +185,28 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, covered_tokens, n_tokens, longest_run, literal_windows) of each contaminated pair."""
-    theirs = windows(_keyed(benchmark, "item_id")).select(F.col("id").alias("item_id"), "n_tokens", F.col("pos").alias("item_pos"), "literal", "key", F.col("slots").alias("item_slots"))
-    screens = None
+    theirs = windows(_keyed(benchmark, "item_id")).select(F.col("id").alias("item_id"), "n_tokens", F.col("pos").alias("item_pos"), "literal", "key", F.col("slots").alias("item_slots"), "plain")
+    screens, width = None, F.least(F.lit(WINDOW).cast("long"), F.col("n_tokens"))
+    widths = sorted(r.width for r in theirs.select(width.alias("width")).distinct().collect())  # WINDOW - SHORTEST + 1 at most
     if theirs.count() <= SCREEN_WINDOWS:
         known = theirs.select("literal", "key").toArrow()
         key, literal = known["key"].to_numpy().view(np.uint64), known["literal"].to_numpy()
         screens = docs.sparkSession.sparkContext.broadcast((_screen(key[literal]), _screen(key[~literal])))
-    hits = windows(_keyed(docs, "doc_id"), screens).drop("n_tokens").join(theirs, ["literal", "key"])
+    hits = windows(_keyed(docs, "doc_id"), widths or [WINDOW], screens).drop("n_tokens", "plain").join(theirs, ["literal", "key"])
     hits = hits.withColumn("line", F.col("pos") - F.col("item_pos")).withColumn("pairs", F.arrays_zip("item_slots", "slots"))
     line = ["id", "text_key", "item_id", "n_tokens", "line"]
-    changed = F.collect_set(F.when(~F.col("literal"), F.struct("item_pos", "pairs")))
-    lined = hits.groupBy(*line).agg(F.sort_array(F.collect_set("item_pos")).alias("at"), F.sort_array(F.collect_set(F.when(F.col("literal"), F.col("item_pos")))).alias("exact_at"), changed.alias("changed"))
-    # Windows that match literally on this line say nothing of the others' slots.
-    changed = F.filter("changed", lambda w: ~F.array_contains("exact_at", w["item_pos"]))
-    lined = lined.withColumn("pairs", F.array_distinct(F.flatten(F.transform(changed, lambda w: w["pairs"]))))
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    lined = hits.groupBy(*line).agg(F.sort_array(F.collect_set("item_pos")).alias("at"), F.sort_array(F.collect_set(F.when(F.col("literal"), F.col("item_pos")))).alias("exact_at"), flat("pairs").alias("pairs"), flat("plain").alias("plain"))
     one_way = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    lined = lined.withColumn("at", F.when(one_way("item_slots") & one_way("slots"), F.col("at")).otherwise(F.col("exact_at")))
+    lined = lined.withColumn("at", F.when(one_way("item_slots") & one_way("slots") & (F.size("plain") >= LEAST_LITERAL), F.col("at")).otherwise(F.col("exact_at")))
     pair = lined.groupBy("id", "text_key", "item_id", "n_tokens").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.size(F.array_distinct(F.flatten(F.collect_list("exact_at")))).cast("long").alias("literal_windows")).where(F.size("at") > 0)
     # Tokens that the windows cover, and the longest run of tokens whose windows overlap or touch.
-    start = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("longest"), F.lit(-WINDOW - 1).cast("long").alias("last"))
+    start = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("longest"), (-F.lit(WINDOW) - 1).cast("long").alias("last"))
 
     def step(acc, pos):
         gap = pos - acc["last"]
-        run = F.when(gap <= WINDOW, acc["run"] + gap).otherwise(F.lit(WINDOW))
-        return F.struct((acc["covered"] + F.least(gap, F.lit(WINDOW))).cast("long").alias("covered"), run.cast("long").alias("run"), F.greatest(acc["longest"], run).cast("long").alias("longest"), pos.alias("last"))
+        run = F.when(gap <= width, acc["run"] + gap).otherwise(width)
+        return F.struct((acc["covered"] + F.least(gap, width)).cast("long").alias("covered"), run.cast("long").alias("run"), F.greatest(acc["longest"], run).cast("long").alias("longest"), pos.alias("last"))
 
     pair = pair.withColumn("fit", F.aggregate("at", start, step))
     found = pair.select(F.col("id").alias("doc_id"), "text_key", "item_id", F.col("fit.covered").alias("covered_tokens"), "n_tokens", F.col("fit.longest").alias("longest_run"), "literal_windows")
@@ -195,6 +215,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    (key,) = fresh(docs, "_contaminated")
-    bad = contaminated(docs, benchmark).select(F.col("text_key").alias(key)).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col(key), "left_anti")
+    key, of = fresh(docs, "_contaminated", "_of")
+    bad = contaminated(docs, benchmark).select(F.col("text_key").alias(key), F.col("doc_id").alias(of)).distinct()
+    return docs.join(bad, (F.xxhash64(docs["text"]) == F.col(key)) & docs["doc_id"].cast("long").eqNullSafe(F.col(of)), "left_anti")

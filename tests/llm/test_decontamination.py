@@ -1,4 +1,5 @@
 import random
+import re
 
 from loomline.llm import decontamination as D
 
@@ -60,11 +61,96 @@ def test_siblings_and_half_verbatim_items_with_and_without_a_screen(spark, monke
     pairs = lambda: sorted((r.doc_id, r.item_id, r.covered_tokens, r.n_tokens) for r in D.contaminated(frame, items).collect())
     first = pairs()
     n = len(tom.split())
-    assert [p[:2] for p in first] == [(0, 1), (0, 2), (1, 3)] and first[2][2:] == (n, n)
+    assert [p[:2] for p in first] == [(0, 1), (0, 2), (1, 3)] and n / 2 <= first[2][2] < n
     monkeypatch.setattr(D, "SCREEN_WINDOWS", 0)
     assert pairs() == first
 
 
+def test_items_shorter_than_a_window(spark):
+    items = bench(spark, [(1, "What is the capital of France"), (2, "name the seven seas"), (3, "how so"), (4, "Where did the poor old Tom go")])
+    frame = docs(spark, ["He asked: what is the capital of France?", "they name the seven seas", "how so", "Where did the poor old Jim go", "what is the capital of Spain", "the seven seas"])
+    got = sorted((r.doc_id, r.item_id, r.covered_tokens) for r in D.contaminated(frame, items).collect())
+    assert got == [(0, 1, 6), (1, 2, 4), (3, 4, 7), (4, 1, 6)]
+
+
+def plain_tokens(text):
+    """(lower case, kind) of each token, read word by word."""
+    out, before = [], 0
+    for m in re.finditer(r"(?:[0-9A-Za-z\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", text or ""):
+        token, low = m[0], m[0].lower()
+        number = token[0] in "0123456789" or low in D.NUMBER_WORDS
+        gap = text[before : m.start()]
+        if number:
+            kind = 1
+        elif out and out[-1][1] == 1 and low in D.UNITS:
+            kind = 2
+        else:
+            kind = 3 * bool(out and not set(gap) & set('.!?:;\n"') and ("A" <= token[0] <= "Z" or "À" <= token[0] <= "Þ"))
+        out.append((low, kind))
+        before = m.end()
+    return out
+
+
+def brute(texts, items):
+    found = set()
+    for i, text in enumerate(texts):
+        doc = plain_tokens(text)
+        for item_id, item_text in items:
+            item = plain_tokens(item_text)
+            n, width = len(item), min(len(item), D.WINDOW)
+            if n < D.SHORTEST:
+                continue
+            windows = set()
+            for line in range(-n, len(doc)):
+                exact, fit, pairs, words = set(), set(), set(), set()
+                for p in range(n - width + 1):
+                    if not 0 <= p + line <= len(doc) - width:
+                        continue
+                    a, b = item[p : p + width], doc[p + line : p + line + width]
+                    if [x for x, _ in a] == [x for x, _ in b]:
+                        exact.add(p)
+                    held = [k for k, (_, kind) in enumerate(a) if kind]
+                    if held and width - len(held) >= D.WINDOW_LITERAL and [k or x for x, k in a] == [k or x for x, k in b]:
+                        fit.add(p)
+                        pairs |= {(a[k], b[k]) for k in held}
+                        words |= {p + k for k in range(width) if k not in held}
+                consistent = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}) and len(words) >= D.LEAST_LITERAL
+                windows |= exact | (fit if consistent else set())
+            tokens = {p + k for p in windows for k in range(width)}
+            longest = run = 0
+            for k in range(n):
+                run = run + 1 if k in tokens else 0
+                longest = max(longest, run)
+            if tokens and (2 * len(tokens) >= n or longest >= D.LONG_RUN):
+                found.add((i, item_id, len(tokens), n))
+    return found
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    names, words = ["Tom", "Ann", "Rome", "Oslo", "Émile"], "the man of a house near that old road went in with two red dogs and more".split()
+
+    def piece(n):
+        return " ".join(rng.choice(names) if rng.random() < 0.3 else f"{rng.randint(1, 99)} {rng.choice(['km', 'kg', 'days', 'men'])}" if rng.random() < 0.2 else rng.choice(words) for _ in range(n))
+
+    items = [(k, piece(rng.randint(2, 24)) + rng.choice(["", "?", "."])) for k in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            tokens = rng.choice(items)[1].split()
+            swap = {name: rng.choice(names) for name in names} | {str(k): str(rng.randint(1, 99)) for k in range(100)}
+            if rng.random() < 0.7:
+                tokens = [swap.get(t, t) if rng.random() < 0.9 else t for t in tokens]
+            parts += [piece(rng.randint(0, 10)), " ".join(tokens[rng.randint(0, 4) :])]
+        texts.append(rng.choice([" ", ". "]).join(parts))
+    want = brute(texts, items)
+    got = {(r.doc_id, r.item_id, r.covered_tokens, r.n_tokens) for r in D.contaminated(docs(spark, texts), bench(spark, items)).collect()}
+    assert got == want and len(want) > 20
+    monkeypatch.setattr(D, "SCREEN_WINDOWS", 0)
+    assert {(r.doc_id, r.item_id, r.covered_tokens, r.n_tokens) for r in D.contaminated(docs(spark, texts), bench(spark, items)).collect()} == want
+
+
 def test_empty_tables(spark):
     assert D.contaminated(empty(spark), bench(spark)).collect() == []
     assert D.contaminated(docs(spark), bench(spark, [])).collect() == []
