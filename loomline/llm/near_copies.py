@@ -13,12 +13,13 @@ sketch that leaves out shingles decides only beyond ``DOUBT`` (three deviations
 and more); texts with pairs in between are compared again by all their
 shingles. A bucket emits a spanning forest of its links, never pairs.
 
-Texts of buckets of more than ``BUCKET_ROWS`` are dealt again by a prefix filter,
-which loses no pair: under one order of all shingles, rare ones first, texts at
-0.8 share one of the first fifth of theirs. If a shingle still has more
-than ``BUCKET_ROWS`` texts, blocks of them are linked through ``PIVOTS`` first;
-only where that leaves a group in several components the texts outside its
-largest one meet every block.
+Buckets of more than ``BUCKET_ROWS`` texts are dealt in blocks, linked through
+``PIVOTS``. Where that leaves one in several components its texts are dealt again by a
+prefix filter, which loses no pair: under one order of all shingles, rare ones
+first, texts at 0.8 share one of the first fifth of theirs. If a shingle has more
+than BUCKET_ROWS texts, blocks and pivots come first, too, and then the texts
+outside the largest component meet every block. Buckets whose texts are of one
+component already are passed over in every round.
 
 Exact copies are one text, told by a 64-bit hash; null and empty are the same
 text. Of a group the row with the smallest (doc_id, hash) stays, one if rows
@@ -40,7 +41,7 @@ from .components import components
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
 VIEWS, SKETCH = 10, 512
 DOUBT = (0.7, 0.9)
-BUCKET_ROWS, PIVOTS = 2048, 64
+BUCKET_ROWS, PIVOTS, FIRST_VIEWS = 2048, 64, 3
 ORDER_BITS = 20  # of the table of shingle counts by which the prefix filter orders
 _ORDERS = np.random.default_rng(7).integers(0, 2**63, (VIEWS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -235,56 +236,80 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     return texts.select("t", "shingles").mapInArrow(first, "t long, value long")
 
 
-def _sized(spots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of the buckets (view, value) that one task can hold, and those of larger ones, with their number n."""
-    sizes = cut(spots.groupBy("view", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    known = spots.join(sizes, ["view", "value"])
-    return known.where(F.col("n") <= BUCKET_ROWS).withColumn("block", F.lit(0).cast("long")), known.where(F.col("n") > BUCKET_ROWS)
+def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Rows (t, ...) with the component that each text is in by now."""
+    if links is None:
+        return rows.withColumn("root", F.col("t"))
+    return rows.join(components(links), F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t")).drop("node")
 
 
-def _of_hot(spots: DataFrame, prints: DataFrame) -> DataFrame | None:
-    """Links between texts of buckets (view, value) that are too large for a task; None if there are none."""
-    texts = cut(spots.select("t").distinct())
-    if texts.isEmpty():
-        return None
-    again = cut(_prefixes(texts.join(prints, "t")).select(F.lit(-1).alias("view"), "value", "t"))
-    small, large = _sized(again)
-    links = _compared(small, prints)
-    large = cut(large)
-    if large.isEmpty():
-        return links
+def _open(rows: DataFrame) -> DataFrame:
+    """Members (t, view, value, root) of the buckets that hold texts of two components, with the number n of their texts."""
+    sizes = rows.groupBy("view", "value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(cut(sizes.where("low < high").select("view", "value", "n")), ["view", "value"])
+
+
+def _more(links: DataFrame | None, found: DataFrame) -> DataFrame:
+    return cut(found if links is None else links.union(found))
+
+
+def _blocks(large: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links within the blocks of large buckets and with their pivots."""
     blocks = F.ceil(F.col("n") / BUCKET_ROWS).cast("long")
-    own = F.pmod(F.xxhash64("t"), blocks)
+    own = F.array(F.pmod(F.xxhash64("t"), blocks))
     pivot = F.pmod(F.xxhash64(F.lit("pivot"), "t"), F.col("n")) < PIVOTS
-    dealt = large.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))))
-    links = cut(links.union(_compared(dealt, prints)))
-    placed = large.join(components(links), F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t"))
-    parts = cut(placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("texts")))
-    most = parts.groupBy("value").agg(F.max(F.struct("texts", "root")).alias("most"), F.sum("texts").alias("all"))
-    most = cut(most.where("most.texts < all").select("value", F.col("most.root").alias("main"), (F.col("all") - F.col("most.texts")).alias("outside")))
+    return _compared(large.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own))), prints)
+
+
+def _every_block(large: DataFrame, prints: DataFrame) -> DataFrame | None:
+    """Links of the texts outside the largest component of a bucket with all its texts, in a bucket for each pair of blocks."""
+    parts = cut(large.groupBy("view", "value", "root").agg(F.count(F.lit(1)).alias("texts")))
+    most = parts.groupBy("view", "value").agg(F.max(F.struct("texts", "root")).alias("most"), F.sum("texts").alias("all"))
+    most = cut(most.select("view", "value", F.col("most.root").alias("main"), (F.col("all") - F.col("most.texts")).alias("outside")))
     if most.isEmpty():
-        return links
-    # Texts outside the largest component meet every block of texts, in a bucket for each pair of blocks.
+        return None
     half = BUCKET_ROWS // 2
-    rest = placed.join(most, "value").withColumn("own", F.pmod(F.xxhash64("t"), F.ceil(F.col("n") / half).cast("long"))).withColumn("out", F.ceil(F.col("outside") / half).cast("long"))
-    others = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / half).cast("long") - 1)
-    mine = F.pmod(F.xxhash64(F.lit("out"), "t"), F.col("out"))
+    count = lambda c: F.ceil(F.col(c) / half).cast("long")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     pair = lambda block, out: block * F.lit(1 << 31) + out
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("out") - 1), lambda o: pair(F.col("own"), o))
-    meets = F.when(F.col("root") == F.col("main"), meets).otherwise(F.array_union(meets, F.transform(others, lambda b: pair(b, mine))))
-    return links.union(_compared(rest.withColumn("block", F.explode(meets)).select("t", *_BUCKET), prints))
+    own, mine = F.pmod(F.xxhash64("t"), count("n")), F.pmod(F.xxhash64(F.lit("out"), "t"), count("outside"))
+    meets = F.transform(each(count("outside")), lambda o: pair(own, o))
+    meets = F.when(F.col("root") == F.col("main"), meets).otherwise(F.array_union(meets, F.transform(each(count("n")), lambda b: pair(b, mine))))
+    return _compared(large.join(most, ["view", "value"]).withColumn("block", F.explode(meets)), prints)
 
 
 def text_links(docs: DataFrame) -> DataFrame:
-    """Edges (u, v) between text hashes that join all near copies."""
+    """Edges (u, v) between text hashes that join all near copies.
+
+    Buckets go in rounds, and only where texts of several components meet: the
+    whole texts' and the first views, the other views, the blocks of large
+    buckets, the prefixes of what is open in those, and those in every block.
+    """
     prints = docs.select("text").mapInArrow(T.mapper(_prints), PRINT)
     prints = cut(prints.groupBy("t").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "kept", "shingles")]))
     near = components(simhash.links(prints.select("fp").distinct(), RADIUS))
     whole = prints.select("t", "fp").join(near, F.col("fp") == F.col("node"), "left").select("t", F.lit(VIEWS).alias("view"), F.coalesce("root", "fp").alias("value"))
-    small, large = _sized(prints.select("t", F.posexplode("views").alias("view", "value")).union(whole))
-    links = _compared(small, prints)
-    hot = _of_hot(large, prints)
-    return links if hot is None else links.union(hot)
+    spots = prints.select("t", F.posexplode("views").alias("view", "value")).union(whole)
+    fits = F.col("n") <= BUCKET_ROWS
+    no_block = F.lit(0).cast("long")
+    early = F.col("view").isin(VIEWS, *range(FIRST_VIEWS))
+    links = _more(None, _compared(_open(_rooted(spots.where(early), None)).where(fits).withColumn("block", no_block), prints))
+    links = _more(links, _compared(_open(_rooted(spots.where(~early), links)).where(fits).withColumn("block", no_block), prints))
+    large = cut(_open(_rooted(spots, links)).where(~fits))
+    if large.isEmpty():
+        return links
+    links = _more(links, _blocks(large, prints))
+    texts = cut(_open(_rooted(large.select("t", "view", "value"), links)).select("t").distinct())
+    if texts.isEmpty():
+        return links
+    again = cut(_prefixes(texts.join(prints, "t")).select("t", F.lit(-1).alias("view"), "value"))
+    links = _more(links, _compared(_open(_rooted(again, links)).where(fits).withColumn("block", no_block), prints))
+    large = cut(_open(_rooted(again, links)).where(~fits))
+    if large.isEmpty():
+        return links
+    links = _more(links, _blocks(large, prints))
+    rest = _every_block(cut(_open(_rooted(large.select("t", "view", "value"), links))), prints)
+    return links if rest is None else links.union(rest)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
