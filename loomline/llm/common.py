@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,26 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that setting is absent, as in local tests, one is made.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not given:
-        given = context._jsc.sc().getCheckpointDir()
-        given = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="loomline-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(given)
-    return given
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors don't matter."""
     folder = shared_folder(df.sparkSession)
