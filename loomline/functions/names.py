@@ -28,9 +28,9 @@ def short_id(wid: Column, most: int = 80) -> Column:
     return F.substring(F.translate(wid, ":/", "__"), 1, most)
 
 
-def is_semantic(entity: Column) -> Column:
-    """Whether a general entity is a word of its own: no key, value or number."""
-    return ~entity.rlike("[:=]") & entity.rlike("[A-Za-z]{3}")
+def is_semantic(node_id: Column) -> Column:
+    """Whether a node is a general entity that is a word of its own: no key with a value. Other types never are."""
+    return node_id.startswith("GeneralEntity:") & ~content(node_id).rlike("[:=]")
 
 
 def text_or_template(raw_line: Column, template: Column) -> Column:

@@ -44,19 +44,26 @@ def compress_runs(records: DataFrame) -> DataFrame:
     return runs.groupBy("wid", "run").agg(F.min("template").alias("template"), F.count(F.lit(1)).alias("count"), F.min("ts_s").alias("first_ts"), F.max("ts_s").alias("last_ts"))
 
 
-def at_index(values: Column, share: float) -> Column:
-    """The value at floor(share * n) of the sorted values: an exact percentile by index."""
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) * share) + 1).cast("int"))
+def percentiles(values: DataFrame, label: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """For each label the value at floor(share * n) of its sorted values: exact percentiles by index.
+
+    Equal values are counted first, so what is ordered has a row for each distinct value.
+    """
+    counts = values.groupBy(label, value).agg(F.count(F.lit(1)).alias("_n"))
+    by = W.partitionBy(label)
+    counts = counts.withColumn("_upto", F.sum("_n").over(by.orderBy(value))).withColumn("_all", F.sum("_n").over(by))
+    return counts.groupBy(label).agg(*[F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * share), F.col(value))).alias(name) for name, share in shares.items()])
 
 
 def compression_stats(compressed: DataFrame, labels: DataFrame) -> DataFrame:
     """For each label: windows, lines before and after, share kept, and percentiles of records by window."""
     sizes = compressed.groupBy("wid").agg(F.sum("count").alias("before"), F.count(F.lit(1)).alias("after"))
-    return sizes.join(labels, "wid").groupBy("label").agg(
+    sizes = sizes.join(labels, "wid")
+    stats = sizes.groupBy("label").agg(
         F.count(F.lit(1)).alias("windows"), F.sum("before").alias("lines"), F.sum("after").alias("records"),
         F.round(F.sum("after") / F.sum("before"), 6).alias("kept"), F.round(F.avg("after"), 6).alias("mean_records"),
-        at_index(F.collect_list("after"), 0.5).alias("p50"), at_index(F.collect_list("after"), 0.9).alias("p90"),
-    )
+    )
+    return stats.join(percentiles(sizes, "label", "after", {"p50": 0.5, "p90": 0.9}), "label")
 
 
 def token_frequency(lines_tokens: DataFrame) -> DataFrame:

@@ -14,7 +14,16 @@ CONFIG_QUOTED = (
     r"['`]([a-z][a-z0-9_]{4,}_(?:threshold|size|count|time|rate|interval|max|min|enable|num|sec|ms|bytes?|in_byte|in_b|class|proportion|mb|kb|"
     r"pool_size|thread|gb|cache|hold|tail|memtable|dir|mode|level|protocol|factor|capacity|window|round|deadline|len|length))['`]"
 )
-COMMAND = r"\b(SHOW [A-Z_]+(?:\s+[A-Z_]+)?|FLUSH|KILL\s+(?:QUERY|ALL QUERIES)|SET TTL|UNSET TTL|EXPLAIN(?:\s+ANALYZE)?|MIGRATE REGION)\b"
+COMMAND = (
+    r"\b(SHOW [A-Z_]+(?:\s+[A-Z_]+)?|FLUSH|KILL\s+(?:QUERY|ALL QUERIES)|START REPAIR DATA|STOP REPAIR DATA|SET SYSTEM TO (?:READONLY|RUNNING)|"
+    r"SET CONFIGURATION|SET SQL_DIALECT|LOAD CONFIGURATION|MIGRATE REGION|REMOVE (?:DATANODE|CONFIGNODE)|EXPLAIN(?:\s+ANALYZE)?|SET TTL|UNSET TTL|"
+    r"CREATE (?:DATABASE|TIMESERIES|ALIGNED TIMESERIES)|DELETE (?:TIMESERIES|STORAGE GROUP|DATABASE)|COUNT (?:TIMESERIES|DEVICES))\b"
+)
+TOOL = (
+    r"(?:^|[\s/`'\"(])((?:health_check|print-iotdb-data-dir|print-tsfile(?:-sketch|-resource-files)?|start-cli|start-datanode|start-confignode|"
+    r"stop-datanode|stop-confignode|destroy-datanode|export-tsfile|import-tsfile|export-csv|import-csv|export-schema)\.(?:sh|bat))"
+)
+VARIABLE = r"\b(IOTDB_HEAP_SIZE|IOTDB_JMX_OPTS|CONFIGNODE_JMX_OPTS|MAX_DIRECT_MEMORY_SIZE|MAX_HEAP_SIZE|MEMORY_SIZE|JAVA_HOME|JAVA_OPTS|IOTDB_HOME|IOTDB_CONF)\b"
 
 
 def plain_hyphens(text: Column) -> Column:
@@ -43,11 +52,12 @@ def citation_validity(cited: DataFrame, known: Column) -> DataFrame:
 
 
 def mentions(text: Column) -> dict[str, Column]:
-    """Distinct settings (lower case) and commands (upper case) that a report names."""
+    """Distinct settings (lower case), commands (upper case), tools and environment variables that a report names."""
     text = plain_hyphens(text)
     settings = F.concat(F.regexp_extract_all(text, F.lit(CONFIG_SET), F.lit(1)), F.regexp_extract_all(text, F.lit(CONFIG_QUOTED), F.lit(1)))
     commands = F.regexp_extract_all(text, F.lit(COMMAND), F.lit(1))
-    return {"settings": F.array_sort(F.array_distinct(F.transform(settings, F.lower))), "commands": F.array_sort(F.array_distinct(F.transform(commands, lambda c: F.upper(F.trim(c)))))}
+    named = {kind: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))) for kind, pattern in (("tools", TOOL), ("variables", VARIABLE))}
+    return named | {"settings": F.array_sort(F.array_distinct(F.transform(settings, F.lower))), "commands": F.array_sort(F.array_distinct(F.transform(commands, lambda c: F.upper(F.trim(c)))))}
 
 
 def unknown_settings(settings: Column, valid: list[str]) -> Column:
@@ -55,6 +65,11 @@ def unknown_settings(settings: Column, valid: list[str]) -> Column:
     return F.array_except(settings, F.array(*[F.lit(v.lower()) for v in valid])) if valid else F.lit(None).cast("array<string>")
 
 
+def outside(names: Column, known: list[str]) -> Column:
+    """Names that are not among the known ones."""
+    return F.array_except(names, F.array(*map(F.lit, known)).cast("array<string>"))
+
+
 def unknown_commands(commands: Column, known: list[str]) -> Column:
     """Commands of which no known one is a prefix, and which are no prefix of a known one."""
     whitelist = F.array(*map(F.lit, known))

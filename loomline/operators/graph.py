@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Distinct sets of hot entities in a block.
+SET_BLOCK = 2048
+
 
 def nodes(windows: DataFrame, records: DataFrame, window_entities: DataFrame, most_text: int = 200) -> DataFrame:
     """(node_type, node_id, content) of windows (wid, label), lines, labels and entities, each once."""
@@ -48,13 +53,52 @@ def hot_entities(window_entity: DataFrame, most: int) -> DataFrame:
     return window_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("coverage")).where(F.col("coverage") > most)
 
 
-def shared_entity_scores(window_entity: DataFrame, most: int, within: list[str] | None = None) -> DataFrame:
-    """(wid, neighbor, score): number of shared entities of windows that share one of at most ``most`` windows.
+def _best_sets(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each left set of a pair of blocks the k right ones of the largest overlap, ties by their first window."""
+    left, right = rows[rows["left"]], rows[rows["right"]]
+    holders = right["hot"].explode().reset_index(drop=True)
+    at = np.repeat(np.arange(len(right)), right["hot"].str.len())
+    postings = {word: at[places] for word, places in holders.groupby(holders).indices.items()}
+    place, both = right["first"].rank(method="first").to_numpy(), []
+    for name, hot in zip(left["set"], left["hot"]):
+        common = np.bincount(np.concatenate([at[:0], *(postings[e] for e in hot if e in postings)]), minlength=len(right))
+        best = np.lexsort((place, -common))[:k]
+        both += [(name, right["set"].iat[j], int(common[j])) for j in best.tolist() if common[j]]
+    return pd.DataFrame(both, columns=["set", "other", "score"])
+
 
-    The bridge join has rare entities only, so an entity makes at most
-    ``most`` squared rows and the whole grows with the input. Overlaps in hot
-    entities are added from one array for each window. ``within`` names columns
-    that both windows must agree on.
+def _hot_neighbors(sets: DataFrame, within: list[str], k: int) -> DataFrame:
+    """(wid, neighbor, score): for each window, those k of the largest overlap in hot entities, by name among equals.
+
+    Windows of one set of hot entities are alike here. Distinct sets meet in
+    pairs of blocks; a task gives the k + 1 best for each, of which the windows that
+    come first by name are taken.
+    """
+    first = k + 1
+    marked = sets.withColumn("set", F.xxhash64(*within, F.array_join("hot", "\x01")))
+    few = W.partitionBy("set").orderBy("wid")
+    named = marked.select("set", "wid", F.row_number().over(few).alias("i")).where(F.col("i") <= first).select("set", "wid")
+    distinct = marked.groupBy("set", "hot", *within).agg(F.min("wid").alias("first"))
+    groups = distinct.groupBy(*within).agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).alias("blocks"))
+    distinct = distinct.join(groups, within) if within else distinct.crossJoin(groups)
+    own, each = F.pmod(F.xxhash64("set"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    a = distinct.select("set", "hot", "first", *within, own.alias("block"), F.explode(each).alias("with"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    b = distinct.select("set", "hot", "first", *within, F.explode(each).alias("block"), own.alias("with"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    best = a.union(b).groupBy(*within, "block", "with").applyInPandas(lambda rows: _best_sets(rows, first), "set long, other long, score long")
+    windows = best.join(named.select(F.col("set").alias("other"), F.col("wid").alias("neighbor")), "other")
+    rank = F.row_number().over(W.partitionBy("set").orderBy(F.desc("score"), "neighbor"))
+    best = windows.withColumn("rank", rank).where(F.col("rank") <= first).drop("rank", "other")
+    return marked.select("wid", "set").join(best, "set").where("wid <> neighbor").select("wid", "neighbor", "score")
+
+
+def shared_entity_scores(window_entity: DataFrame, most: int, k: int, within: list[str] | None = None) -> DataFrame:
+    """(wid, neighbor, score): number of shared entities, for pairs of windows that hold each window's k best.
+
+    Pairs that share an entity of at most ``most`` windows come from a join over
+    such entities, so these make at most ``most`` squared rows each; overlaps in
+    hot entities are added from one array for each window. Pairs that share hot entities
+    only come from :func:`_hot_neighbors`, so ``most`` changes the work and never
+    the k best. ``within`` names columns that both windows must agree on.
     """
     within = within or []
     hot = hot_entities(window_entity, most).select("entity")
@@ -62,11 +106,12 @@ def shared_entity_scores(window_entity: DataFrame, most: int, within: list[str]
     a = rare.select(F.col("wid"), "entity", *within)
     b = rare.select(F.col("wid").alias("neighbor"), "entity", *within)
     pairs = a.join(b, ["entity", *within]).where("wid <> neighbor").groupBy("wid", "neighbor").agg(F.count(F.lit(1)).alias("rare"))
-    sets = window_entity.join(hot, "entity", "left_semi").groupBy("wid").agg(F.collect_set("entity").alias("hot"))
+    sets = window_entity.join(hot, "entity", "left_semi").groupBy("wid", *within).agg(F.sort_array(F.collect_set("entity")).alias("hot"))
     mine, theirs = sets.select("wid", F.col("hot").alias("h1")), sets.select(F.col("wid").alias("neighbor"), F.col("hot").alias("h2"))
     both = pairs.join(mine, "wid", "left").join(theirs, "neighbor", "left")
     shared = F.coalesce(F.size(F.array_intersect("h1", "h2")), F.lit(0))
-    return both.select("wid", "neighbor", (F.col("rare") + F.greatest(shared, F.lit(0))).alias("score"))
+    scored = both.select("wid", "neighbor", (F.col("rare") + F.greatest(shared, F.lit(0))).alias("score"))
+    return scored.union(_hot_neighbors(sets, within, k)).groupBy("wid", "neighbor").agg(F.max("score").alias("score"))
 
 
 def top_neighbors(scores: DataFrame, k: int) -> DataFrame:

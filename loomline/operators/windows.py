@@ -28,8 +28,8 @@ def count_windows(df: DataFrame, stream: str, order: list[str], bucket: Column,
 
 
 def primary_label(types: Column, known: tuple[str, ...] = CLASSES) -> Column:
-    """The first known type of an array, null if there is none."""
-    return F.get(F.filter(types, lambda t: t.isin(*known)), F.lit(0))
+    """The first known type of an array, else NORMAL."""
+    return F.coalesce(F.get(F.filter(types, lambda t: t.isin(*known)), F.lit(0)), F.lit(NORMAL))
 
 
 def window_types(lines: DataFrame) -> DataFrame:
@@ -46,11 +46,25 @@ def hash_order(key: str, seed: int) -> Column:
 
 def stratified_split(df: DataFrame, key: str, label: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``split``: of each label, floor(train * n) rows and floor(val * n) rows in hash order, the rest is test."""
+    ranked = _ranked(df, key, label, seed)
+    first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
+    return ranked.withColumn("split", F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= first + second, "val").otherwise("test")).drop("_rank", "_n")
+
+
+def _ranked(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Adds the rank of a row in its label by hash order, and the label's rows ``_n``.
+
+    Rows are ranked within (label, first digits of the hash); a running sum over the
+    few counts supplies the offsets, so no task ranks a whole label.
+    """
+    dealt = df.withColumn("_order", hash_order(key, seed)).withColumn("_deal", F.substring("_order", 1, 3))
+    counts = dealt.groupBy(label, "_deal").agg(F.count(F.lit(1)).alias("_rows"))
     by = W.partitionBy(label)
-    n = F.count(F.lit(1)).over(by)
-    rank = F.row_number().over(by.orderBy(hash_order(key, seed), key))
-    first, second = F.floor(n * train), F.floor(n * val)
-    return df.withColumn("split", F.when(rank <= first, "train").when(rank <= first + second, "val").otherwise("test"))
+    before = F.sum("_rows").over(by.orderBy("_deal").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(F.col(label).alias("_label"), F.col("_deal").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(by).alias("_n"))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(label, "_deal").orderBy("_order", key))
+    joined = dealt.join(offsets, dealt[label].eqNullSafe(F.col("_label")) & (F.col("_deal") == F.col("_of")))
+    return joined.withColumn("_rank", rank).drop("_order", "_deal", "_label", "_of", "_before")
 
 
 def stratified_sample(df: DataFrame, key: str, label: str, most: int, seed: int = 42) -> DataFrame:
@@ -58,8 +72,7 @@ def stratified_sample(df: DataFrame, key: str, label: str, most: int, seed: int
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     quota = counts.crossJoin(total).select(F.col(label).alias("_label"), F.greatest(F.lit(1), F.floor(F.lit(most) * F.col("_n") / F.col("_total"))).alias("_quota"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(hash_order(key, seed), key))
-    return df.withColumn("_rank", rank).join(quota, df[label].eqNullSafe(F.col("_label"))).where("_rank <= _quota").drop("_rank", "_label", "_quota")
+    return _ranked(df, key, label, seed).drop("_n").join(quota, df[label].eqNullSafe(F.col("_label"))).where("_rank <= _quota").drop("_rank", "_label", "_quota")
 
 
 def sample_per_class(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,14 @@ from ..functions import entities as E
 from ..functions import names
 from ..operators import compress, evaluate, graph, learn, measure, retrieval, windows
 from ..operators.windows import CLASSES
+from ..session import shared_folder
 from ..sources import eventlog, knowledge
 from ..streaming import windows as streams
-from .twins import CONSENSUS, ENTITIES, LABELS, LINES, MASK, RECORDS, THREAD, TOKENS, found, q, scores, thread_group
+from .twins import CONSENSUS, CORPUS_TOKENS, ENTITIES, LABELS, LINES, MASK, RECORDS, THREAD, found, q, scores, thread_group
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Windows that an entity may stand in and still lead to neighbours, neighbours kept, pool sizes.
+#: Windows of an entity from which on it counts as hot (neighbours are the same for any number), neighbours kept.
 MOST_WINDOWS, NEIGHBORS = 40, 4
 
 
@@ -163,10 +163,10 @@ def subsystem_tags(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    return compress.token_frequency(eventlog.lines(spark, sf_dir).select(E.tokens(E.message(F.col("raw_line"))).alias("tokens")))
+    return compress.token_frequency(eventlog.lines(spark, sf_dir).select(E.corpus_tokens(E.message(F.col("raw_line"))).alias("tokens")))
 
 
-_DF = f"WITH {LINES}, t AS (SELECT unnest({TOKENS}) AS token FROM said), df AS (SELECT token, count(*) AS n, len(regexp_extract_all(token, '[a-zA-Z]+|[0-9]+|[^a-zA-Z0-9]+')) AS complexity FROM t GROUP BY token)"
+_DF = f"WITH {LINES}, t AS (SELECT unnest({CORPUS_TOKENS}) AS token FROM said), df AS (SELECT token, count(*) AS n, len(regexp_extract_all(token, '[a-zA-Z]+|[0-9]+|[^a-zA-Z0-9]+')) AS complexity FROM t GROUP BY token)"
 
 
 @query(_DF + " SELECT token, n, complexity FROM df")
@@ -179,10 +179,10 @@ def valid_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir).where((F.col("n") >= 5) & (E.token_complexity(F.col("token")) >= 2))
 
 
-@query(_DF + f""", l AS (SELECT event_id, {TOKENS} AS tokens FROM said), v AS (SELECT list(token) AS valid FROM df WHERE n >= 5 AND complexity >= 2),
+@query(_DF + f""", l AS (SELECT event_id, {CORPUS_TOKENS} AS tokens FROM said), v AS (SELECT list(token) AS valid FROM df WHERE n >= 5 AND complexity >= 2),
  x AS (SELECT event_id, unnest(tokens) AS token FROM l) SELECT event_id, string_agg(token, ',' ORDER BY token) AS statistical FROM x WHERE token IN (SELECT token FROM df WHERE n >= 5 AND complexity >= 2) GROUP BY event_id""")
 def statistical_entities(spark, sf_dir):
-    rows = eventlog.lines(spark, sf_dir).select("event_id", F.explode(E.tokens(E.message(F.col("raw_line")))).alias("token"))
+    rows = eventlog.lines(spark, sf_dir).select("event_id", F.explode(E.corpus_tokens(E.message(F.col("raw_line")))).alias("token"))
     valid = valid_tokens(spark, sf_dir).select("token")
     return rows.join(valid, "token", "left_semi").groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list("token")), ",").alias("statistical"))
 
@@ -280,9 +280,9 @@ def hot_entities(spark, sf_dir):
     return graph.hot_entities(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS)
 
 
-@query(_WE + f", {scores(MOST_WINDOWS)} SELECT wid, neighbor, score, rank FROM ranked WHERE rank <= {NEIGHBORS}")
+@query(_WE + f", {scores()} SELECT wid, neighbor, score, rank FROM ranked WHERE rank <= {NEIGHBORS}")
 def window_topk_neighbors(spark, sf_dir):
-    return graph.top_neighbors(graph.shared_entity_scores(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS), NEIGHBORS)
+    return graph.top_neighbors(graph.shared_entity_scores(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS, NEIGHBORS), NEIGHBORS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,35 +292,35 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAME = _WE.replace("we AS (SELECT DISTINCT wid, ", f"{LABELS}, we AS (SELECT DISTINCT wid, label, ").replace("FROM ents)", "FROM ents JOIN labelled USING (wid))")
 
 
-@query(_SAME + f", {scores(MOST_WINDOWS, 'AND a.label = b.label')} SELECT wid, neighbor, score, rank FROM ranked WHERE rank <= {NEIGHBORS}")
+@query(_SAME + f", {scores('AND a.label = b.label')} SELECT wid, neighbor, score, rank FROM ranked WHERE rank <= {NEIGHBORS}")
 def sameclass_neighbors(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
     known = _window_entity(lines).join(_labels(lines).select("wid", "label"), "wid")
-    return graph.top_neighbors(graph.shared_entity_scores(known, MOST_WINDOWS, ["label"]), NEIGHBORS)
+    return graph.top_neighbors(graph.shared_entity_scores(known, MOST_WINDOWS, NEIGHBORS, ["label"]), NEIGHBORS)
 
 
 def _with_split(sql: str) -> str:
     return sql.replace(ENTITIES, _SPLIT.removeprefix("WITH ").replace(LINES, ENTITIES))
 
 
-@query(_with_split(_WE) + f""", {scores(MOST_WINDOWS)} SELECT wid, neighbor, score, rank, row_number() OVER (PARTITION BY wid ORDER BY score DESC, neighbor) AS pool_rank FROM
+@query(_with_split(_WE) + f""", {scores()} SELECT wid, neighbor, score, rank, row_number() OVER (PARTITION BY wid ORDER BY score DESC, neighbor) AS pool_rank FROM
  (SELECT r.* FROM ranked r JOIN split s ON s.wid = r.neighbor WHERE r.rank <= 20 AND s.split <> 'test') QUALIFY pool_rank <= {NEIGHBORS}""")
 def pool_neighbors(spark, sf_dir):
     """The index keeps 20 neighbours; of these, those of the pool that is allowed. Cut first, then filtered."""
     lines = eventlog.lines(spark, sf_dir)
-    index = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS), 20)
+    index = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS, 20), 20)
     pool = _split(lines).where("split <> 'test'").select(F.col("wid").alias("neighbor"))
     return graph.top_neighbors(index.withColumnRenamed("rank", "index_rank").join(pool, "neighbor", "left_semi"), NEIGHBORS).select("wid", "neighbor", "score", F.col("index_rank").alias("rank"), F.col("rank").alias("pool_rank"))
 
 
-_EGO = _WE + f""", {scores(MOST_WINDOWS)}, tg AS (SELECT wid AS target, neighbor AS wid FROM ranked WHERE rank <= {NEIGHBORS} UNION SELECT wid, wid FROM lines),
+_EGO = _WE + f""", {scores()}, tg AS (SELECT wid AS target, neighbor AS wid FROM ranked WHERE rank <= {NEIGHBORS} UNION SELECT wid, wid FROM lines),
  le AS (SELECT wid, log_idx, entity_type || ':' || entity AS entity FROM ents), ego AS (SELECT DISTINCT target, wid, log_idx, entity FROM tg JOIN le USING (wid)),
  num AS (SELECT *, dense_rank() OVER (PARTITION BY target ORDER BY wid) - 1 AS window_no, dense_rank() OVER (PARTITION BY target ORDER BY wid, log_idx) - 1 AS line_no, dense_rank() OVER (PARTITION BY target ORDER BY entity) - 1 AS entity_no FROM ego)"""
 
 
 def _ego(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS), NEIGHBORS)
+    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS, NEIGHBORS), NEIGHBORS)
     targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
     return graph.ego_edges(targets, _entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
 
@@ -456,12 +456,12 @@ def class_filtered_specificity_topk(spark, sf_dir):
     return retrieval.cosine_topk(*_vectors(spark, sf_dir), 5, on="label", boost=1 / F.sqrt(1 + F.col("id") % 3))
 
 
-@query("""SELECT doc_id, concat_ws(chr(10), 'Title: ' || source, 'Symptom: ' || left(text, 80), 'Root cause: ' || lang, CASE WHEN n_chars > 500 THEN 'Fix: shorten | split' END, 'Anomaly classes: ' || lang, CASE WHEN doc_id % 2 = 0 THEN 'Tags: even' END) AS entry FROM documents""")
+@query("""SELECT doc_id, concat_ws(chr(10), 'Title: ' || source, 'Symptom: ' || text, 'Root cause: ' || lang, CASE WHEN n_chars > 500 THEN 'Fix: shorten | split' END, 'Anomaly classes: ' || lang, CASE WHEN doc_id % 2 = 0 THEN 'Tags: even' END) AS entry FROM documents""")
 def entry_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     none = F.array().cast("array<string>")
     rows = docs.select(
-        "doc_id", F.col("source").alias("title"), F.substring("text", 1, 80).alias("symptom"), F.col("lang").alias("root_cause"),
+        "doc_id", F.col("source").alias("title"), F.col("text").alias("symptom"), F.col("lang").alias("root_cause"),
         F.when(F.col("n_chars") > 500, F.array(F.lit("shorten"), F.lit("split"))).otherwise(none).alias("fix"), F.array("lang").alias("classes"), none.alias("subsystems"),
         F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("even"))).otherwise(none).alias("tags"),
     )
@@ -499,7 +499,7 @@ def fingerprint_clusters(spark, sf_dir):
 # Reports
 
 
-_REPORTED = """SELECT event_id, 'Do it (see TS‑' || (k % 12) || ') and (see AB-' || k || '), Tuple ' || (k % 6) || ', tuple ' || (k % 3) || '; SET CONFIGURATION ''heap_' || event_type || '_size''=' || k || ', SHOW ' || upper(event_type) || '. FLUSH `' || event_type || '_pool_size`' AS text, k, event_type"""
+_REPORTED = """SELECT event_id, 'Do it (see TS‑' || (k % 12) || ') and (see AB-' || k || '), Tuple ' || (k % 6) || ', tuple ' || (k % 3) || '; SET CONFIGURATION ''heap_' || event_type || '_size''=' || k || ', SHOW ' || upper(event_type) || '. FLUSH `' || event_type || '_pool_size`; DELETE STORAGE GROUP, REMOVE DATANODE, SET SYSTEM TO READONLY; run `start-cli.sh` or (export-' || CASE WHEN k % 2 = 0 THEN 'csv' ELSE 'tsfile' END || '.bat, with JAVA_HOME and IOTDB_CONF' AS text, k, event_type"""
 _EVIDENCE = "['TS-' || (k % 5), 'TS-' || (k % 12), 'AB-' || (k % 40)]"
 _KNOWN_IDS = [f"TS-{i}" for i in range(12)] + [f"AB-{i}" for i in range(50)]
 _REPORTS = f"WITH {LINES}, rep AS ({_REPORTED} FROM lines), n AS (SELECT *, regexp_replace(text, '[‐‑–—]', '-', 'g') AS t, {_EVIDENCE} AS evidence FROM rep), cited AS (SELECT *, list_sort(list_distinct(regexp_extract_all(t, {q(evaluate.CITED_ID)}, 1))) AS ids, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.CITED_RANK)}, 1), lambda x: CAST(x AS BIGINT)))) AS ranks FROM n)"
@@ -526,17 +526,21 @@ def citation_validity(spark, sf_dir):
     return judged.select("event_id", "valid_ids", "existing_ids", "bogus_ids", "valid_ranks", "invalid_ranks")
 
 
-_COMMANDS = ["SHOW VIEW", "SHOW CLICK STREAM", "FLUSH"]
+_COMMANDS = ["SHOW VIEW", "SHOW CLICK STREAM", "FLUSH", "REMOVE DATANODE"]
+_TOOLS, _VARIABLES = ["start-cli.sh", "export-csv.bat"], ["JAVA_HOME"]
 _SETTINGS = ["heap_view_size", "view_pool_size", "click_pool_size"]
 
 
-@query(_REPORTS + f""", m AS (SELECT event_id, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.CONFIG_SET)}, 1) || regexp_extract_all(t, {q(evaluate.CONFIG_QUOTED)}, 1), lambda x: lower(x)))) AS s, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.COMMAND)}, 1), lambda x: upper(trim(x))))) AS c FROM n)
+@query(_REPORTS + f""", m AS (SELECT event_id, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.CONFIG_SET)}, 1) || regexp_extract_all(t, {q(evaluate.CONFIG_QUOTED)}, 1), lambda x: lower(x)))) AS s, list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(evaluate.COMMAND)}, 1), lambda x: upper(trim(x))))) AS c,
+ list_sort(list_distinct(regexp_extract_all(t, {q(evaluate.TOOL)}, 1))) AS o, list_sort(list_distinct(regexp_extract_all(t, {q(evaluate.VARIABLE)}, 1))) AS v FROM n)
  SELECT event_id, array_to_string(s, ',') AS settings, array_to_string(c, ',') AS commands, array_to_string(list_filter(s, lambda x: NOT list_contains([{', '.join(map(q, _SETTINGS))}], x)), ',') AS unknown_settings,
- array_to_string(list_filter(c, lambda x: NOT ({' OR '.join(f"starts_with(x, {q(k)}) OR starts_with({q(k)}, x)" for k in _COMMANDS)})), ',') AS unknown_commands FROM m""")
+ array_to_string(list_filter(c, lambda x: NOT ({' OR '.join(f"starts_with(x, {q(k)}) OR starts_with({q(k)}, x)" for k in _COMMANDS)})), ',') AS unknown_commands,
+ array_to_string(o, ',') AS tools, array_to_string(v, ',') AS variables, array_to_string(list_filter(o, lambda x: NOT list_contains([{', '.join(map(q, _TOOLS))}], x)), ',') AS unknown_tools,
+ array_to_string(list_filter(v, lambda x: NOT list_contains([{', '.join(map(q, _VARIABLES))}], x)), ',') AS unknown_variables FROM m""")
 def hallucination_antijoin(spark, sf_dir):
     rows = _reports(spark, sf_dir)
     rows = rows.select("event_id", *[c.alias(k) for k, c in evaluate.mentions(F.col("text")).items()])
-    return rows.select("event_id", F.array_join("settings", ",").alias("settings"), F.array_join("commands", ",").alias("commands"), F.array_join(evaluate.unknown_settings(F.col("settings"), _SETTINGS), ",").alias("unknown_settings"), F.array_join(evaluate.unknown_commands(F.col("commands"), _COMMANDS), ",").alias("unknown_commands"))
+    return rows.select("event_id", F.array_join("settings", ",").alias("settings"), F.array_join("commands", ",").alias("commands"), F.array_join(evaluate.unknown_settings(F.col("settings"), _SETTINGS), ",").alias("unknown_settings"), F.array_join(evaluate.unknown_commands(F.col("commands"), _COMMANDS), ",").alias("unknown_commands"), F.array_join("tools", ",").alias("tools"), F.array_join("variables", ",").alias("variables"), F.array_join(evaluate.outside(F.col("tools"), _TOOLS), ",").alias("unknown_tools"), F.array_join(evaluate.outside(F.col("variables"), _VARIABLES), ",").alias("unknown_variables"))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE contains(lower(text), 'que') OR contains(lower(text), 'the')) AS hits FROM documents GROUP BY lang")
@@ -571,7 +575,7 @@ _TOUCH = _EGO + ", own AS (SELECT DISTINCT wid AS target, entity FROM le), touch
 
 def _touching(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS), NEIGHBORS)
+    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS, NEIGHBORS), NEIGHBORS)
     targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
     return graph.touching_lines(targets, _entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
 
@@ -586,10 +590,10 @@ def ego_sampled_lines(spark, sf_dir):
     return graph.sampled_lines(_touching(spark, sf_dir), 60)
 
 
-@query(_WE + f""", {scores(MOST_WINDOWS)}, e AS (SELECT wid, neighbor FROM ranked WHERE rank <= 2), h2 AS (SELECT DISTINCT a.wid, b.neighbor FROM e a JOIN e b ON a.neighbor = b.wid WHERE a.wid <> b.neighbor)
+@query(_WE + f""", {scores()}, e AS (SELECT wid, neighbor FROM ranked WHERE rank <= 2), h2 AS (SELECT DISTINCT a.wid, b.neighbor FROM e a JOIN e b ON a.neighbor = b.wid WHERE a.wid <> b.neighbor)
  SELECT wid, neighbor, 1 AS hop FROM e UNION ALL SELECT wid, neighbor, 2 FROM h2 WHERE (wid, neighbor) NOT IN (SELECT (wid, neighbor) FROM e)""")
 def two_hop_neighbors(spark, sf_dir):
-    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS), 2)
+    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(eventlog.lines(spark, sf_dir)), MOST_WINDOWS, 2), 2)
     return graph.hops(near, 2)
 
 
@@ -625,10 +629,10 @@ def top_coverage(spark, sf_dir):
 
 
 @query(_NODES + """ SELECT node_id, regexp_replace(node_id, '^[^:]*:', '') AS content, left(translate(node_id, ':/', '__'), 80) AS short_id,
- NOT regexp_matches(content, '[:=]') AND regexp_matches(content, '[A-Za-z]{3}') AS semantic FROM (SELECT DISTINCT node_id, regexp_replace(node_id, '^[^:]*:', '') AS content FROM nodes)""")
+ starts_with(node_id, 'GeneralEntity:') AND NOT regexp_matches(content, '[:=]') AS semantic FROM (SELECT DISTINCT node_id, regexp_replace(node_id, '^[^:]*:', '') AS content FROM nodes)""")
 def node_names(spark, sf_dir):
     ids = _graph(spark, sf_dir)[0].select("node_id").distinct()
-    return ids.select("node_id", names.content(F.col("node_id")).alias("content"), names.short_id(F.col("node_id")).alias("short_id"), names.is_semantic(names.content(F.col("node_id"))).alias("semantic"))
+    return ids.select("node_id", names.content(F.col("node_id")).alias("content"), names.short_id(F.col("node_id")).alias("short_id"), names.is_semantic(F.col("node_id")).alias("semantic"))
 
 
 @query(f"WITH {LINES}, {LABELS} SELECT wid, CASE label WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 6 END AS code FROM labelled")
@@ -682,7 +686,7 @@ def spark_ml_classifier(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
     """Run a streaming plan over the events to its end and return what it wrote."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-")
+    folder = shared_folder(spark)
     path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

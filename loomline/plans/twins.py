@@ -42,6 +42,7 @@ KEEPS = f"""CASE WHEN length(v) < 3 OR length(v) >= 40 THEN false
  ELSE true END"""
 
 TOKENS = "list_distinct(" + " || ".join(found(p, 0, "msg") for p in E.TOKENS) + ")"
+CORPUS_TOKENS = "list_filter(list_distinct(" + " || ".join(found(p, 0, "msg") for p in E.CORPUS_TOKENS) + f"), lambda v: length(v) >= 3 AND NOT regexp_matches(v, {q(E.TIMESTAMP_ID)}))"
 CONSENSUS = f"list_transform(list_zip({found(E.CONSENSUS, 1)}, {found(E.CONSENSUS, 2)}), lambda x: x[1] || ':' || x[2])"
 
 
@@ -68,7 +69,7 @@ _PARTS = [
 ENTITIES = LINES + ", ents AS (" + "\nUNION\n".join(_PARTS) + ")"
 LABELS = """typed AS (
  SELECT wid, list(event_type ORDER BY n DESC, event_type) AS types FROM (SELECT wid, event_type, count(*) AS n FROM lines GROUP BY ALL) GROUP BY wid
-), labelled AS (SELECT wid, types, types[1] AS label FROM typed)"""
+), labelled AS (SELECT wid, types, coalesce(types[1], 'normal') AS label FROM typed)"""
 MASK = "regexp_replace(regexp_replace(msg, " + q(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}") + ", '<*>', 'g'), " + q(r"0x[0-9a-fA-F]+|\d+") + ", '<*>', 'g')"
 RECORDS = f"""recs AS (
  SELECT s.wid, s.log_idx, s.ts_s, s.raw_line, s.thread, {MASK} AS template, e.entities FROM said s
@@ -79,9 +80,7 @@ RECORDS = f"""recs AS (
 )"""
 
 
-def scores(most: int, within: str = "") -> str:
+def scores(within: str = "") -> str:
     """Neighbour scores over a CTE we(wid, entity, ...)."""
-    return f"""cov AS (SELECT entity, count(*) AS c FROM we GROUP BY entity),
-pairs AS (SELECT DISTINCT a.wid, b.wid AS neighbor FROM we a JOIN we b ON a.entity = b.entity {within} JOIN cov ON cov.entity = a.entity WHERE c <= {most} AND a.wid <> b.wid),
-scored AS (SELECT p.wid, p.neighbor, count(*) AS score FROM pairs p JOIN we a ON a.wid = p.wid JOIN we b ON b.wid = p.neighbor AND b.entity = a.entity GROUP BY ALL),
+    return f"""scored AS (SELECT a.wid, b.wid AS neighbor, count(*) AS score FROM we a JOIN we b ON a.entity = b.entity {within} AND a.wid <> b.wid GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY score DESC, neighbor) AS rank FROM scored)"""

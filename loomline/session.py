@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +20,17 @@ def local_session(cpus: int | None = None, app: str = "loomline") -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Local sessions without one get one of their own."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and context._jsc.sc().getCheckpointDir().isDefined():
+        given = context._jsc.sc().getCheckpointDir().get()
+    if not given and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    given = given or tempfile.mkdtemp(prefix="loomline-")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(given)
+    return given

@@ -80,14 +80,19 @@ def test_coverage_filter_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(compress.coverage_filter(once, coverage, 2).collect()) and {r.entity for r in once.collect()} == {"a"}
 
 
-@pytest.mark.parametrize("most", [2, 3, 100])
-def test_scores_are_symmetric_and_equal_brute_force(spark, most):
-    sets = {f"w{i}": {f"e{j}" for j in range(12) if (i * j + i) % 5 < 2 or j == 0} for i in range(9)}
-    rows = frame(spark, [(w, e) for w, s in sets.items() for e in s], "wid string, entity string")
-    got = {(r.wid, r.neighbor): r.score for r in graph.shared_entity_scores(rows, most).collect()}
-    cover = {e: sum(e in s for s in sets.values()) for s in sets.values() for e in s}
-    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a != b and any(cover[e] <= most for e in sets[a] & sets[b])}
-    assert got == want
+@pytest.mark.parametrize("most, block", [(2, 2048), (3, 2), (0, 2), (100, 2048)])
+def test_best_neighbors_equal_brute_force(spark, monkeypatch, most, block):
+    """The number of windows from which an entity is hot, and the blocks, change no neighbour."""
+    monkeypatch.setattr(graph, "SET_BLOCK", block)
+    sets = {f"w{i}": {f"e{j}" for j in range(12) if (i * j + i) % 5 < 2 or j == 0} for i in range(9)} | {"x": {"e0"}, "y": {"e0"}, "z": {"other"}}
+    rows = frame(spark, [(w, e, "odd" if w in ("w1", "x", "w3") else "even") for w, s in sets.items() for e in s], "wid string, entity string, label string")
+    true = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a != b and sets[a] & sets[b]}
+    for k, within in ((1, []), (4, []), (2, ["label"])):
+        alike = {p: n for p, n in true.items() if not within or (p[0] in ("w1", "x", "w3")) == (p[1] in ("w1", "x", "w3"))}
+        best = {(a, *p) for a in sets for p in sorted(((b, n) for (x, b), n in alike.items() if x == a), key=lambda p: (-p[1], p[0]))[:k]}
+        scores = graph.shared_entity_scores(rows, most, k, within)
+        assert all(alike[r.wid, r.neighbor] == r.score for r in scores.collect())
+        assert {(r.wid, r.neighbor, r.score) for r in graph.top_neighbors(scores, k).collect()} == best
 
 
 def test_belongs_to_needs_both_ends(spark):
