@@ -51,6 +51,12 @@ def citation_validity(cited: DataFrame, known: Column) -> DataFrame:
     )
 
 
+def cites_evidence(text: Column, evidence: Column) -> Column:
+    """Whether the text holds the id of a piece of evidence literally, or a tuple by rank."""
+    text = plain_hyphens(text)
+    return F.exists(evidence, lambda x: (x != "") & F.contains(text, x)) | text.rlike(CITED_RANK)
+
+
 def mentions(text: Column) -> dict[str, Column]:
     """Distinct settings (lower case), commands (upper case), tools and environment variables that a report names."""
     text = plain_hyphens(text)

@@ -526,6 +526,14 @@ def citation_validity(spark, sf_dir):
     return judged.select("event_id", "valid_ids", "existing_ids", "bogus_ids", "valid_ranks", "invalid_ranks")
 
 
+@query(_REPORTS + f" SELECT event_id, list_bool_or(list_transform(evidence, lambda x: contains(t, x))) OR regexp_matches(t, {q(evaluate.CITED_RANK)}) AS cites, list_bool_or(list_transform(evidence, lambda x: contains(t, x))) AS cites_id FROM n")
+def literal_citations(spark, sf_dir):
+    """With the ranks, and the ids alone."""
+    rows = _reports(spark, sf_dir)
+    without = F.regexp_replace("text", evaluate.CITED_RANK, "")
+    return rows.select("event_id", evaluate.cites_evidence(F.col("text"), F.col("evidence")).alias("cites"), evaluate.cites_evidence(without, F.col("evidence")).alias("cites_id"))
+
+
 _COMMANDS = ["SHOW VIEW", "SHOW CLICK STREAM", "FLUSH", "REMOVE DATANODE"]
 _TOOLS, _VARIABLES = ["start-cli.sh", "export-csv.bat"], ["JAVA_HOME"]
 _SETTINGS = ["heap_view_size", "view_pool_size", "click_pool_size"]
