@@ -2,9 +2,10 @@
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary of all frames after it; every record is one frame. A task writes
-one archive, named for its partition, under a hidden name first and then
-renames it, so retries and lost executors leave whole archives only. Reading
-goes through Spark's binary source. The dictionary is trained on the first
+an archive for each ``ARCHIVE_BYTES`` of records, named for its partition, under a
+hidden name first and then renames it, so retries and lost executors leave whole
+archives only. Reading goes through Spark's binary source and takes records of all
+kinds of WARC 1.0 and 1.1. The dictionary is trained on the first
 ``TRAIN_ROWS`` payloads of an archive.
 
 Of records with equal payloads of ``REVISIT_BYTES`` or more, that with the
@@ -17,7 +18,9 @@ are percent-encoded in a url's header. No rows, no archives. Extra columns are i
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -37,17 +40,29 @@ LEVEL = 3
 _PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))  # the rest of a url is percent-encoded in its header
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, error string"
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, error string, record_id string, refers_to_id string"
+COLUMNS = [field.split()[0] for field in READ.split(", ")]
+VERSIONS = ("WARC/1.0", "WARC/1.1")
+REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+#: Bytes of records after which a task begins another archive, so a reader never holds more.
+ARCHIVE_BYTES = 256 << 20
+#: Parts that a group of equal payloads is dealt to.
+SALTS = 16
 
 
 def revisit_plan(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, bytes, digest, refers_to): refers_to is null for responses."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), F.sha1(html.cast("binary")).alias("digest"))
-    shared = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, ["digest", "bytes"], "left")
+    small, large = rows.where(F.col("bytes") < REVISIT_BYTES), rows.where(F.col("bytes") >= REVISIT_BYTES)
+    shared = large.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A payload may be a third of all rows: its rows are dealt to SALTS parts, each of which gets the first page.
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    each = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = salted.join(each, ["digest", "bytes", "salt"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "html", "bytes", "digest", refers.alias("refers_to"))
+    columns = ["page_id", "url", "html", "bytes", "digest"]
+    return joined.select(*columns, refers.alias("refers_to")).union(small.select(*columns, F.lit(None).cast("long")))
 
 
 def _urn(page_id: int | None) -> str:
@@ -94,14 +109,25 @@ def archive_frames(records: Iterable[bytes]) -> Iterator[bytes]:
         yield packer.compress(one)
 
 
+def _bounded(records: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """The next records of about ``most`` bytes."""
+    held = 0
+    for one in records:
+        yield one
+        held += len(one)
+        if held >= most:
+            return
+
+
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    folder = re.sub("^s3[an]://", "s3://", folder)
     if "://" in folder or folder.startswith("file:"):
         return pafs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
     return pafs.LocalFileSystem(), folder
 
 
-def write_archives(plan: DataFrame, folder: str) -> int:
-    """Write the rows of :func:`revisit_plan` to ``folder``; returns the number of archives."""
+def write_archives(plan: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> int:
+    """Write the rows of :func:`revisit_plan` to ``folder``, about ``most`` bytes of records an archive; returns the number of archives."""
 
     def rows(batches):
         for batch in batches:
@@ -111,18 +137,18 @@ def write_archives(plan: DataFrame, folder: str) -> int:
     def run(batches):
         task = TaskContext.get()
         files, path = _file_system(folder)
-        name = f"part-{task.partitionId():06d}.warc.zst"
-        hidden = f"{path}/.{name}.{task.taskAttemptId()}"
-        frames = archive_frames(rows(batches))
-        first = next(frames, None)
-        if first is not None:
+        records, n = rows(batches), 0
+        while (first := next(frames := archive_frames(_bounded(records, most)), None)) is not None:
+            name = f"part-{task.partitionId():06d}-{n:04d}.warc.zst"
+            hidden = f"{path}/.{name}.{task.taskAttemptId()}"
             files.create_dir(path, recursive=True)
             with files.open_output_stream(hidden, compression=None) as out:
                 out.write(first)
                 for frame in frames:
                     out.write(frame)
             files.move(hidden, f"{path}/{name}")
-        yield pa.RecordBatch.from_pydict({"n": pa.array([int(first is not None)], pa.int64())})
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return plan.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
@@ -151,35 +177,109 @@ def frames(archive: bytes):
         yield b"".join(out)
 
 
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Fields by lower-case name; a line that begins with a blank goes on with the field before it."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise ValueError("bad header")
+        fields[name] = value.strip()
+    return fields
+
+
+def _check_digest(given: str, data: bytes, what: str) -> None:
+    """Compare with a labelled digest, in hexadecimal or base32; unknown algorithms pass."""
+    kind, _, value = given.rpartition(":")
+    kind = (kind or "sha1").lower().replace("-", "")
+    if kind not in hashlib.algorithms_guaranteed or kind.startswith("shake"):
+        return
+    own = hashlib.new(kind, data).digest()
+    if value.lower() != own.hex() and value.rstrip("=").upper() != base64.b32encode(own).decode().rstrip("="):
+        raise ValueError(f"wrong {what} digest")
+
+
+def _bare(digest: str) -> str | None:
+    """A labelled SHA-1 as bare hexadecimal; null if it is none."""
+    kind, _, value = digest.rpartition(":")
+    if kind.lower() not in ("", "sha1", "sha-1"):
+        return None
+    if len(value) == 32:
+        return base64.b32decode(value.upper()).hex()
+    return value.lower() if len(value) == 40 else None
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A body without its chunked transfer coding."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        n = int(body[at:end].split(b";")[0], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        if len(out[-1]) < n:
+            raise ValueError("a chunk is cut short")
+        at = end + 4 + n
+
+
+def _http(block: bytes, truncated: bool) -> tuple[int | None, bytes]:
+    """The length that the head of an HTTP message states, and its body."""
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        raise ValueError("bad HTTP head")
+    fields = _headers(head.decode("utf-8", "replace").split("\r\n")[1:])
+    if "chunked" in fields.get("transfer-encoding", "").lower() and body:
+        return None, body if truncated else _unchunked(body)
+    size = fields.get("content-length")
+    return int(size) if size is not None else None, body
+
+
 def parse(one: bytes) -> dict:
-    """A record's fields; ``error`` says what is wrong with its headers or lengths."""
-    out: dict = dict.fromkeys(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "error"))
+    """A record's fields, of WARC 1.0 or 1.1; ``error`` says what is wrong with its headers, lengths or digests.
+
+    Field names go in any letter case and may be folded. The payload of an HTTP
+    message is its body, that of any other record its block. Digests are checked where they
+    are given; ``payload_digest`` is the payload's SHA-1 in hexadecimal.
+    """
+    out: dict = dict.fromkeys(COLUMNS)
     head, found, rest = one.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
     try:
-        if not found or lines[0] != "WARC/1.1" or len(fields) != len(lines) - 1:
+        if not found or lines[0] not in VERSIONS:
             raise ValueError("bad header")
-        missing = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Payload-Digest", "Content-Length"} - fields.keys()
+        fields = _headers(lines[1:])
+        missing = [name for name in REQUIRED if name.lower() not in fields]
         if missing:
-            raise ValueError(f"no {min(missing)}")
-        n = int(fields["Content-Length"])
+            raise ValueError(f"no {missing[0]}")
+        n = int(fields["content-length"])
         if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
             raise ValueError("wrong record length")
-        http, found, payload = rest[:n].partition(b"\r\n\r\n")
-        size = next((int(x[16:]) for x in http.decode("ascii", "replace").split("\r\n") if x.startswith("Content-Length: ")), None)
-        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        if not found or size is None:
-            raise ValueError("bad HTTP head")
-        if fields["WARC-Type"] == "response":
-            if len(payload) != size:
+        block, kind, truncated = rest[:n], fields["warc-type"].lower(), "warc-truncated" in fields
+        if "warc-block-digest" in fields:
+            _check_digest(fields["warc-block-digest"], block, "block")
+        given = fields.get("warc-payload-digest")
+        is_http = kind in ("response", "request", "revisit") and fields.get("content-type", "").lower().startswith("application/http")
+        size, payload = _http(block, truncated) if is_http and block else (None, block)
+        if kind == "revisit":
+            if payload and is_http:
+                raise ValueError("bad revisit")
+            payload = b""
+            digest = _bare(given) if given else None
+        else:
+            if size not in (None, len(payload)) and not truncated:
                 raise ValueError("wrong payload length")
-            if hashlib.sha1(payload).hexdigest() != digest:
-                raise ValueError("wrong payload digest")
-        elif fields["WARC-Type"] != "revisit" or payload or "WARC-Refers-To-Page" not in fields:
-            raise ValueError("bad revisit")
-        out |= {"payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "payload": payload or None, "url": fields.get("WARC-Target-URI")}
-        out |= {k: int(fields[f]) for k, f in (("page_id", "WARC-Page-ID"), ("refers_to", "WARC-Refers-To-Page")) if f in fields}
+            if given and not truncated:
+                _check_digest(given, payload, "payload")
+            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        out |= {"payload_bytes": size, "payload_digest": digest, "record_type": kind, "payload": payload or None, "url": fields.get("warc-target-uri")}
+        out |= {k: int(fields[f]) for k, f in (("page_id", "warc-page-id"), ("refers_to", "warc-refers-to-page")) if f in fields}
+        out |= {"record_id": fields["warc-record-id"], "refers_to_id": fields.get("warc-refers-to")}
     except ValueError as e:
         out["error"] = str(e)
     return out
@@ -187,7 +287,8 @@ def parse(one: bytes) -> dict:
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each record of all archives in ``folder``; broken archives end in a row with an error."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(name, types[kind]) for name, kind in map(str.split, READ.split(", "))])
 
     def records(archive):
         try:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import struct
 
@@ -63,3 +64,42 @@ def test_broken_archives():
 
 def test_empty_table(spark, tmp_path):
     assert warc.write_archives(warc.revisit_plan(pages(spark, ROWS).limit(0)), f"file://{tmp_path}/none") == 0
+
+
+def foreign(kind, block, *fields, version="WARC/1.0", content="application/http; msgtype=response"):
+    lines = [version, f"WARC-Type: {kind}", "warc-record-id:<urn:x>", "WARC-DATE: 2020-01-01T00:00:00Z", f"content-type: {content}", *fields, f"Content-length:  {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers():
+    body = b"<html>hi</html>"
+    sha = hashlib.sha1(body)
+    http = b"HTTP/1.1 200 OK\r\nCONTENT-LENGTH: 15\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5;x=1\r\n<html\r\na\r\n>hi</html>\r\n0\r\n\r\n"
+    in_base32 = "WARC-Payload-Digest: SHA1:" + base64.b32encode(sha.digest()).decode()
+    for one in (foreign("response", http, in_base32), foreign("response", chunked, in_base32, version="WARC/1.1"), foreign("response", http.replace(b"CONTENT-LENGTH: 15\r\n", b"")), foreign("resource", body, content="text/html")):
+        r = warc.parse(one)
+        assert (r["error"], r["payload"], r["payload_bytes"], r["payload_digest"], r["record_id"]) == (None, body, 15, sha.hexdigest(), "<urn:x>")
+    info = warc.parse(foreign("warcinfo", b"software: x\r\n", content="application/warc-fields"))
+    assert (info["error"], info["record_type"], info["payload"]) == (None, "warcinfo", b"software: x\r\n")
+    asked = warc.parse(foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", content="application/http;msgtype=request"))
+    assert (asked["error"], asked["record_type"], asked["payload"]) == (None, "request", None)
+    folded = warc.parse(foreign("metadata", b"a: b", "WARC-Target-URI: http://a/", "\tb", content="application/warc-fields"))
+    assert (folded["error"], folded["url"]) == (None, "http://a/ b")
+    again = warc.parse(foreign("revisit", b"", "WARC-Refers-To: <urn:y>", in_base32))
+    assert (again["error"], again["refers_to_id"], again["payload_digest"], again["payload"]) == (None, "<urn:y>", sha.hexdigest(), None)
+    cut = warc.parse(foreign("response", http[:-3], "WARC-Truncated: length"))
+    assert (cut["error"], cut["payload"]) == (None, body[:-3])
+    for bad, error in ((foreign("response", http[:-3]), "wrong payload length"), (foreign("resource", body, "WARC-Block-Digest: sha256:00"), "wrong block digest"), (foreign("response", http, "no colon here"), "bad header"), (foreign("revisit", http, in_base32), "bad revisit")):
+        assert warc.parse(bad)["error"] == error
+
+
+def test_archives_of_bounded_size(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 700) for i in range(20)] + [(100 + i, "v", LONG) for i in range(50)]
+    plan = warc.revisit_plan(pages(spark, rows)).coalesce(1)
+    seen = [r.refers_to for r in plan.where("page_id >= 100").collect()]
+    assert sorted(seen, key=str) == [149] * 49 + [None]
+    folder = f"file://{tmp_path}/many"
+    assert warc.write_archives(plan, folder, 10_000) > 5
+    got = warc.read_archives(spark, folder, payloads=False).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows) and not any(r.error for r in got)
