@@ -9,9 +9,10 @@ turn); ties go to the smaller state in ``STATES``. Each repaired turn is
 rendered as a piece; a conversation is its pieces in the order of ``seq``.
 
 Turns are ordered by turn (nulls first), then by a hash of role and text; rows
-that repeat are turns of their own. All turns are dealt by range of
-(conv_id, turn) into chunks of about ``CHUNK_ROWS``, so one conversation may
-span any number of tasks: a chunk sums up the cut conversations at its ends as
+that repeat are turns of their own (which of them comes first makes no
+difference). All turns are dealt by range of (conv_id, turn) to at most
+``MOST_PARTS`` sorted partitions, and these are cut into chunks of at most
+``CHUNK_ROWS``, so one conversation may span any number of tasks: a chunk sums up the cut conversations at its ends as
 (min, +) matrices, these are chained for each conversation, and the chunks are
 repaired from their entry state to their exit state. A null conv_id is a
 conversation of its own, null roles are unknown, null texts empty. Extra
@@ -31,6 +32,7 @@ from .common import cut
 STATES = ("", "system", "user", "assistant")
 ROLES = STATES[1:]
 CHUNK_ROWS = 5000
+MOST_PARTS = 20_000
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 2, 1, 1, 3
 FAR = 1 << 40
 OPEN, CLOSE, GLUE = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
@@ -166,10 +168,12 @@ def role_repair(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("~"))).withColumn("tie", F.xxhash64("role", "text")).withColumn("own", F.monotonically_increasing_id())
-    n = max(1, -(-rows.count() // CHUNK_ROWS))
+    n = max(1, min(-(-rows.count() // CHUNK_ROWS), MOST_PARTS))
     order = ["key", "turn", "tie", "own"]
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "key", F.spark_partition_id().cast("long").alias("chunk"), F.monotonically_increasing_id().alias("seq"))
-    placed = cut(placed)
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "key", F.monotonically_increasing_id().alias("seq"))
+    # An id is the partition's number times 2^33 and the row's place, so chunks never span partitions and keep their order.
+    place = F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(placed.withColumn("chunk", F.col("seq") - place + F.floor(place / CHUNK_ROWS)))
 
     def ends(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")

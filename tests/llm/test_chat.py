@@ -60,9 +60,10 @@ def table(spark):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq long").repartition(3)
 
 
-@pytest.mark.parametrize("chunk", [5000, 37])
-def test_repairs_are_legal_whole_and_cheapest(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, parts", [(5000, 20_000), (37, 20_000), (37, 2)])
+def test_repairs_are_legal_whole_and_cheapest(spark, monkeypatch, chunk, parts):
     monkeypatch.setattr(chat, "CHUNK_ROWS", chunk)  # 37: conversation 99 spans many chunks
+    monkeypatch.setattr(chat, "MOST_PARTS", parts)
     frame = table(spark)
     rows = chat.role_repair(frame).orderBy("seq").collect()
     assert len(rows) == frame.count()
