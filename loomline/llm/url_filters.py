@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 Z = 1.645
 BAD_RATE = 0.25
 #: What is thought of all pages before any label.
@@ -84,19 +86,21 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(host, mean, low): posterior mean and lower bound of each host's bad rate.
 
     ``hosts`` has (page_id, host), ``outcomes`` (page_id, bad) with bad 0 or 1.
-    The joins below are with one row, or with counts that Spark sizes itself.
+    The joins below are with one row, or with counts that Spark sizes itself. The
+    counts of hosts and the levels above them are written once, since each level is read
+    for its strength and for its means.
     """
     labelled = hosts.join(outcomes, "page_id", "left")
-    host = with_levels(labelled.groupBy("host").agg(F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.count("bad").alias("n")))
-    domain = host.groupBy("suffix", "domain").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    host = cut(with_levels(labelled.groupBy("host").agg(F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.count("bad").alias("n"))))
+    domain = cut(host.groupBy("suffix", "domain").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
     suffix = domain.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     root = suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + PRIOR_RATE * PRIOR_COUNT) / (F.coalesce(F.sum("n"), F.lit(0)) + PRIOR_COUNT)).alias("p"))
     level = suffix.crossJoin(F.broadcast(root))
     mean = (F.col("bad") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m"))
     level = level.crossJoin(F.broadcast(_strength(level, []))).select("suffix", mean.alias("p"))
-    level = domain.join(level, "suffix")
+    level = cut(domain.join(level, "suffix"))
     level = level.crossJoin(F.broadcast(_strength(level, []))).select("suffix", "domain", mean.alias("p"))
-    level = host.join(level, ["suffix", "domain"])
+    level = cut(host.join(level, ["suffix", "domain"]))
     level = level.crossJoin(F.broadcast(_strength(level, []))).withColumn("mean", mean)
     weight = F.col("n") + F.col("m")
     return level.select("host", "mean", (F.col("mean") - F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))).alias("low"))
