@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import bounded_sample
+from .common import bounded_sample, cut
 
 PREFIXES = (5, 7, 9, None)
 BUCKET_BITS = 20
@@ -45,11 +45,12 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int, n_passages
 
 @dataclass
 class Model:
-    """Counts by bucket, the overall logit, the extreme-value law and the logistic curve."""
+    """Counts by bucket, the share of toxic tokens and of toxic labels, the extreme-value law and the logistic curve."""
 
     seen: np.ndarray
     toxic: np.ndarray
     rate: float
+    share: float = 0.0
     lam: float = 1.0
     k: float = 1.0
     curve: tuple[float, float, float] | None = None
@@ -167,25 +168,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     seen, toxic = np.zeros(size, np.float32), np.zeros(size, np.float32)
     at = table["bucket"].to_numpy()
     seen[at], toxic[at] = table["seen"].to_numpy(), table["toxic"].to_numpy()
+    share = float(chosen.agg(F.avg("toxic")).first()[0] or 0.0)
     if not 0 < toxic.sum() < seen.sum():
-        share = chosen.agg(F.avg("toxic")).first()[0]
-        return Model(seen, toxic, float(share or 0.0))
-    model = Model(seen, toxic, float(toxic.sum(dtype=float) / seen.sum(dtype=float)))
+        return Model(seen, toxic, 0.0, share)
+    model = Model(seen, toxic, float(toxic.sum(dtype=float) / seen.sum(dtype=float)), share)
     shared = context.broadcast(model)
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
         n, sums = zip(*((n, [s for *_, s in found]) for n, found, *_ in _by_doc(shared.value, part.column("text"))))
         return pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64()), "sums": pa.array(sums, pa.list_(pa.float64())), "toxic": part.column("toxic")})
 
-    # As many rows as labels calibrate: LABEL_BOUND / 4 or so.
-    seen_rows = rows.where(fold() == FOLDS - 1).select("text", "toxic").mapInArrow(T.mapper(measure), "n long, sums array<double>, toxic int").toArrow()
-    n, y, sums = seen_rows["n"].to_numpy(), seen_rows["toxic"].to_numpy(), seen_rows["sums"].to_pylist()
+    # As many rows as labels calibrate, LABEL_BOUND / 4 or so; the driver sees a few numbers of each and no list of segments.
+    measured = cut(rows.where(fold() == FOLDS - 1).select("text", "toxic").mapInArrow(T.mapper(measure), "n long, sums array<double>, toxic int"))
+    best = measured.select("n", "toxic", F.coalesce(F.array_max("sums"), F.lit(0.0)).alias("best")).toArrow()
+    n, y = best["n"].to_numpy(), best["toxic"].to_numpy()
     if not 0 < y.sum() < len(y):
         return model
-    clean = np.flatnonzero((y == 0) & (n > 0))
-    if len(clean):
-        model.lam, model.k = _law(n[clean].astype(float), np.array([max(sums[i], default=0.0) for i in clean]))
-    model.curve = _logistic(np.array([_excess(model, a, b) for a, b in zip(n, sums)]), y)
+    clean = (y == 0) & (n > 0)
+    if clean.any():
+        model.lam, model.k = _law(n[clean].astype(float), best["best"].to_numpy()[clean])
+    floor = F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))
+    over = measured.select("toxic", floor.alias("floor"), F.transform("sums", lambda s: s * model.lam - floor).alias("over"))
+    above = F.aggregate("over", F.lit(0.0), lambda total, x: total + F.greatest(x, F.lit(0.0)))
+    points = over.select("toxic", F.coalesce(F.array_max("over"), -F.col("floor")).alias("a"), F.log1p(above).alias("b")).toArrow()
+    model.curve = _logistic(np.column_stack([points["a"].to_numpy(), points["b"].to_numpy()]), points["toxic"].to_numpy())
     return model
 
 
@@ -198,7 +204,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
         score, count, passages = [], [], []
         for n, found, start, end, data, offset in _by_doc(m, part.column("text")) if 0 < m.rate < 1 else (((0, [], None, None, None, 0),) * part.num_rows):
             if m.curve is None:
-                score.append(m.rate)
+                score.append(m.share)
             else:
                 a, b = _excess(m, n, [s for *_, s in found])
                 score.append(float(1 / (1 + np.exp(-np.clip(m.curve[0] + m.curve[1] * a + m.curve[2] * b, -30, 30)))))
