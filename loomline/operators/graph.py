@@ -185,3 +185,14 @@ def hops(near: DataFrame, n: int) -> DataFrame:
         edge = edge.join(reached, ["wid", "neighbor"], "left_anti").withColumn("hop", F.lit(hop))
         reached = reached.union(edge)
     return reached
+
+
+def frequency_edges(levels: DataFrame) -> DataFrame:
+    """Edges from windows to their entities with how many lines hold them, in percent and as a level; input is that of ``compress.frequency_levels``."""
+    return levels.select(F.concat(F.lit("Window:"), "wid").alias("src"), F.concat_ws(":", "entity_type", "entity").alias("dst"), F.lit("CONTAINS").alias("relation"), "lines", "percent", "level")
+
+
+def postings(window_entity: DataFrame, digits: int = 2) -> DataFrame:
+    """(entity, block, windows, wids): the windows of an entity, dealt to 16^digits blocks by a hash, so no row holds all windows of a common one."""
+    block = F.substring(F.md5("wid"), 1, digits).alias("block")
+    return window_entity.groupBy("entity", block).agg(F.count(F.lit(1)).alias("windows"), F.array_join(F.sort_array(F.collect_list("wid")), ",").alias("wids"))

@@ -50,7 +50,10 @@ def match_templates(lines: DataFrame, templates: DataFrame, masked: str = "maske
     known = lines.select(F.col(masked).alias("masked")).distinct().withColumn("w", F.split("masked", " "))
     fits = F.forall(F.arrays_zip(F.col("w").alias("a"), F.split("template", " ").alias("b")), lambda p: (p["b"] == HOLE) | (p["a"] == p["b"]))
     holes = F.size(F.filter(F.split("template", " "), lambda x: x == HOLE))
-    matched = known.join(templates, F.size("w") == F.col("words")).where(fits).groupBy("masked").agg(F.min_by("template", F.struct(holes, "template")).alias("template"))
+    # A template's first word is a line's own or a hole, so lines meet templates of their length and first word only.
+    known = known.withColumn("_first", F.explode(F.array_distinct(F.array(F.element_at("w", 1), F.lit(HOLE)))))
+    keyed = templates.withColumn("_first", F.element_at(F.split("template", " "), 1)).withColumnRenamed("words", "_words")
+    matched = known.withColumn("_words", F.size("w")).join(keyed, ["_words", "_first"]).where(fits).groupBy("masked").agg(F.min_by("template", F.struct(holes, "template")).alias("template"))
     return lines.join(matched, lines[masked] == matched["masked"], "left").drop(matched["masked"]).withColumn("template", F.coalesce("template", F.lit("<UNKNOWN>")))
 
 

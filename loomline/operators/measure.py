@@ -94,3 +94,51 @@ def report_metrics(reports: DataFrame, by: list[str]) -> DataFrame:
 def mistakes(predictions: DataFrame, label: str) -> DataFrame:
     """Where the rows of one label went wrong, most frequent first."""
     return predictions.where((F.col("label") == label) & (F.col("pred") != label)).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_counts(records: DataFrame) -> DataFrame:
+    """The ablation of counts: each record stands once."""
+    return records.withColumn("count", F.lit(1).cast("long"))
+
+
+#: Kinds of names that a report mentions.
+KINDS = ("settings", "commands", "tools", "variables")
+
+
+def mention_metrics(checked: DataFrame, by: list[str]) -> DataFrame:
+    """For each class: names mentioned and unknown by kind with their rate, and reports with an unknown name.
+
+    ``checked`` has an array for each of ``KINDS`` and its ``unknown_`` part. A rate of nothing is 0.
+    """
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    unknown = sum((size(f"unknown_{k}") for k in KINDS), F.lit(0))
+    sums = [F.sum(size(k)).alias(k) for k in KINDS] + [F.sum(size(f"unknown_{k}")).alias(f"unknown_{k}") for k in KINDS]
+    out = checked.groupBy(*by).agg(F.count(F.lit(1)).alias("reports"), *sums, F.count_if(unknown > 0).alias("with_unknown"))
+    rates = {f"{k}_unknown_rate": F.round(F.col(f"unknown_{k}") / F.greatest(F.col(k), F.lit(1)), 6) for k in KINDS}
+    return out.withColumns(rates | {"unknown_report_rate": F.round(F.col("with_unknown") / F.col("reports"), 6)})
+
+
+def frequent_names(checked: DataFrame, names: str, k: int) -> DataFrame:
+    """(name, n): the k most frequent names of an array column, ties by name."""
+    counts = checked.select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "name").limit(k)
+
+
+def citation_metrics(judged: DataFrame, by: list[str]) -> DataFrame:
+    """Citations by id and by rank for each class, and the shares of valid and of bogus ones; a share of nothing is 0."""
+    ids = F.sum(F.col("valid_ids") + F.col("existing_ids") + F.col("bogus_ids"))
+    ranks = F.sum(F.col("valid_ranks") + F.col("invalid_ranks"))
+    share = lambda part, whole: F.round(F.sum(part) / F.greatest(whole, F.lit(1)), 6)
+    return judged.groupBy(*by).agg(
+        ids.alias("id_cites"), F.sum("valid_ids").alias("valid_ids"), F.sum("existing_ids").alias("existing_ids"), F.sum("bogus_ids").alias("bogus_ids"),
+        share("valid_ids", ids).alias("id_valid_rate"), share("bogus_ids", ids).alias("id_bogus_rate"),
+        ranks.alias("rank_cites"), F.sum("valid_ranks").alias("valid_ranks"), F.sum("invalid_ranks").alias("invalid_ranks"), share("valid_ranks", ranks).alias("rank_valid_rate"),
+    )
+
+
+def retrieval_hits(evidence: DataFrame, by: str) -> DataFrame:
+    """For each label: windows whose first piece of evidence, and whose any piece, is of their class; input has (wid, label, rank, class)."""
+    right = F.col("class") == F.col("label")
+    windows = evidence.groupBy("wid", by).agg(F.max(F.when(F.col("rank") == 1, right)).alias("top1"), F.max(right).alias("topk"))
+    rate = lambda c: F.round(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")), 6)
+    return windows.groupBy(by).agg(F.count(F.lit(1)).alias("windows"), F.count_if("top1").alias("top1"), F.count_if("topk").alias("topk"), rate("top1").alias("top1_pct"), rate("topk").alias("topk_pct"))

@@ -72,3 +72,37 @@ def fingerprint_clusters(evidence: DataFrame, n: int) -> DataFrame:
     number = F.row_number().over(W.orderBy(F.desc("size"), "label", "fingerprint"))  # one row a cluster
     named = clusters.withColumn("cluster", number.cast("long"))
     return tops.join(named, ["label", "fingerprint"]).select("wid", "label", "fingerprint", "cluster", "size", (F.col("wid") == F.col("representative")).alias("is_representative"))
+
+
+def evidence_block(evidence: DataFrame, key: str, width: int = 300, most_fixes: int = 4) -> DataFrame:
+    """(key, evidence): pieces of evidence in order of rank as one passage for a prompt.
+
+    ``evidence`` has rank, sim and the fields of an entry. Fixed values: the layout below.
+    """
+    text = lambda c: F.substring(F.coalesce(c, F.lit("(none)")), 1, width)
+    listed = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
+    fixes = F.array_join(F.slice("fix", 1, most_fixes), "\n      ")
+    sim = F.format_string("%.3f", F.floor(F.col("sim") * 1000 + 0.5) / 1000)
+    piece = F.concat(
+        F.lit("## Tuple "), F.col("rank").cast("string"), F.lit(": `"), F.col("id"), F.lit("` (sim="), sim, F.lit(")\n- Source: "), F.coalesce("source", F.lit("None")),
+        F.lit("\n- Title: "), F.coalesce("title", F.lit("None")), F.lit("\n- Symptom: "), text("symptom"), F.lit("\n- Root cause: "), text("root_cause"),
+        F.lit("\n- Fix:\n      "), F.coalesce(F.nullif(fixes, F.lit("")), F.lit("(no explicit fix)")),
+        F.lit("\n- Anomaly classes: "), listed("classes"), F.lit("\n- Subsystems: "), listed("subsystems"), F.lit("\n"),
+    )
+    ranked = F.sort_array(F.collect_list(F.struct("rank", piece.alias("piece"))))
+    return evidence.groupBy(key).agg(F.array_join(F.transform(ranked, lambda s: s["piece"]), "\n").alias("evidence"))
+
+
+def prompt(contexts: DataFrame, actions_only: bool = False) -> Column:
+    """The prompt of a window with label, counts, top_templates, entities and evidence: for an explanation, or for actions alone."""
+    head = F.concat(F.lit("Predicted anomaly: "), F.col("label"))
+    window = F.concat(F.lit("Log lines: "), F.col("log_count_original").cast("string"), F.lit(" in "), F.col("log_count").cast("string"), F.lit(" records"))
+    entities = F.concat(F.lit("Frequent entities: "), F.coalesce("entities", F.lit("(none)")))
+    task = "List the actions to take, each with the tuple that supports it." if actions_only else "Explain the anomaly, its root cause and the actions to take. Cite tuples as (see ID)."
+    facts = [head] if actions_only else [head, window, F.lit("Top log templates by count:"), F.col("top_templates"), entities]
+    return F.concat_ws("\n", *facts, F.lit("Evidence:"), F.coalesce("evidence", F.lit("(none)")), F.lit(task))
+
+
+def cluster_ratio(clusters: DataFrame) -> DataFrame:
+    """(label, windows, clusters, ratio) of clustered windows."""
+    return clusters.groupBy("label").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("cluster").alias("clusters"), F.round(F.count(F.lit(1)) / F.count_distinct("cluster"), 6).alias("ratio"))

@@ -270,9 +270,9 @@ def belongs_to(spark, sf_dir):
     return graph.belongs_to(_entities(eventlog.lines(spark, sf_dir)))
 
 
-@query(_WE + " SELECT entity, count(*) AS windows, string_agg(wid, ',' ORDER BY wid) AS wids FROM we GROUP BY entity")
+@query(_WE + " SELECT entity, left(md5(wid), 2) AS block, count(*) AS windows, string_agg(wid, ',' ORDER BY wid) AS wids FROM we GROUP BY ALL")
 def inverted_index(spark, sf_dir):
-    return _window_entity(eventlog.lines(spark, sf_dir)).groupBy("entity").agg(F.count(F.lit(1)).alias("windows"), F.array_join(F.sort_array(F.collect_list("wid")), ",").alias("wids"))
+    return graph.postings(_window_entity(eventlog.lines(spark, sf_dir)))
 
 
 @query(_WE + f" SELECT entity, count(*) AS coverage FROM we GROUP BY entity HAVING count(*) > {MOST_WINDOWS}")
@@ -675,6 +675,174 @@ def stub_reports(spark, sf_dir):
     return context.select("wid", names.stub_report(F.col("top_templates")).alias("report"))
 
 
+# Merges, counts, ablations, prompts, metrics, sinks
+
+
+_LOST = ENTITIES.replace(" AS thread FROM lines)", " AS thread FROM (SELECT * REPLACE ('2024-01-01 00:00:00,000 [unknown] INFO  noop - ' || regexp_replace(raw_line, " + q(E.HEADER) + ", '') AS raw_line) FROM lines))")
+
+
+@query(f"WITH {_LOST} SELECT entity_type, entity, count(*) AS n FROM ents GROUP BY ALL")
+def message_entities(spark, sf_dir):
+    """Entities of messages without their headers."""
+    lines = eventlog.lines(spark, sf_dir)
+    return _entities(lines.withColumn("raw_line", E.message_line(E.message(F.col("raw_line"))))).groupBy("entity_type", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ENTITIES}, x AS (SELECT wid, 'Node' AS entity_type, 'given' AS entity FROM lines WHERE k % 3 = 1 UNION ALL SELECT e.wid, entity_type, entity FROM ents e JOIN lines l ON e.wid = l.wid AND e.log_idx = l.log_idx WHERE k % 3 IS DISTINCT FROM 1) SELECT wid, entity_type, entity, count(*) AS n FROM x GROUP BY ALL")
+def given_or_found_entities(spark, sf_dir):
+    """A third of the lines have entities already; of the others some have an empty list, some none."""
+    struct = "array<struct<type:string,value:string>>"
+    node = F.array(F.struct(F.lit("Node").alias("type"), F.lit("given").alias("value"))).cast(struct)
+    given = F.when(F.col("k") % 3 == 1, node).when(F.col("k") % 3 == 2, F.array().cast(struct))
+    rows = eventlog.lines(spark, sf_dir).select("wid", F.explode(E.given_or_found(given, F.col("raw_line"))).alias("e"))
+    return rows.groupBy("wid", F.col("e.type").alias("entity_type"), F.col("e.value").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ORACLE_SQL["entity_frequency_levels"].replace("SELECT wid, entity_type, entity, c.lines", "SELECT 'Window:' || wid AS src, entity_type || ':' || entity AS dst, 'CONTAINS' AS relation, c.lines"))
+def kg_frequency_edges(spark, sf_dir):
+    return graph.frequency_edges(entity_frequency_levels(spark, sf_dir))
+
+
+_STRUCTURED = f"""s AS (SELECT wid, log_idx, thread, {found(E.REGION)} || {found(E.REGION_TO_IP)} AS regions, {found(E.PEER, 2)} AS pn, {found(E.PEER, 1)} AS pi, {found(E.NODE_ID)} AS own, nullif(regexp_extract(raw_line, {q(E.ENDPOINT_IP)}, 1), '') AS ip, {CONSENSUS} AS groups FROM said),
+ pairs AS (SELECT wid, log_idx, unnest(list_transform(list_zip(pn, pi), lambda x: x[1] || '=' || x[2]) || CASE WHEN ip IS NULL THEN [] ELSE list_transform(list_filter(own, lambda n: NOT list_contains(pn, n)), lambda n: n || '=' || ip) END) AS pair FROM s),
+ kept AS (SELECT wid, split_part(pair, '=', 1) AS node, arg_max(pair, {{'i': log_idx, 'p': pair}}) AS pair FROM pairs GROUP BY ALL), ips AS (SELECT wid, string_agg(pair, ',' ORDER BY pair) AS node_ips FROM kept GROUP BY wid),
+ sets AS (SELECT wid, list_sort(list_distinct(flatten(list(regions)))) AS regions, list_sort(list_distinct(flatten(list(own || pn)))) AS nodes, list_sort(list_distinct(flatten(list(groups)))) AS groups, arg_min(thread, log_idx) FILTER (WHERE thread IS NOT NULL) AS thread FROM s GROUP BY wid)"""
+
+
+@query(f"WITH {LINES}, {_STRUCTURED} SELECT wid, array_to_string(regions, ',') AS regions, array_to_string(nodes, ',') AS nodes, array_to_string(groups, ',') AS groups, thread, coalesce(node_ips, '') AS node_ips FROM sets LEFT JOIN ips USING (wid)")
+def entities_merged(spark, sf_dir):
+    rows = E.merged(eventlog.lines(spark, sf_dir), "wid", "log_idx")
+    return rows.select("wid", "thread", *[F.array_join(c, ",").alias(c) for c in ("regions", "nodes", "groups", "node_ips")])
+
+
+@query(f"WITH {LINES}, {_STRUCTURED} SELECT wid, coalesce(string_agg(pair, ',' ORDER BY pair), '') AS node_ips FROM sets LEFT JOIN (SELECT * FROM kept WHERE CAST(node AS INT) % 2 = 0) USING (wid) GROUP BY wid")
+def surviving_addresses(spark, sf_dir):
+    """Addresses of the nodes of even number, as if a filter had dropped the others."""
+    rows = E.merged(eventlog.lines(spark, sf_dir), "wid", "log_idx")
+    even = F.filter("nodes", lambda n: n.cast("int") % 2 == 0)
+    return rows.select("wid", F.array_join(E.surviving_addresses(F.col("node_ips"), even), ",").alias("node_ips"))
+
+
+@query(_DF + f""", {_STRUCTURED} SELECT 'data_regions' AS kind, count(DISTINCT r) AS n FROM (SELECT unnest(regions) AS r FROM sets) UNION ALL SELECT 'nodes', count(DISTINCT r) FROM (SELECT unnest(nodes) AS r FROM sets)
+ UNION ALL SELECT 'consensus_groups', count(DISTINCT r) FROM (SELECT unnest(groups) AS r FROM sets) UNION ALL SELECT 'node_ip_mappings', count(DISTINCT node) FROM kept UNION ALL SELECT 'statistical_entities', count(*) FROM df WHERE n >= 5 AND complexity >= 2""")
+def corpus_unique_counts(spark, sf_dir):
+    statistical = valid_tokens(spark, sf_dir).agg(F.count("token").alias("n")).select(F.lit("statistical_entities").alias("kind"), "n")
+    return E.unique_counts(eventlog.lines(spark, sf_dir)).unionByName(statistical)
+
+
+@query(f"WITH {ENTITIES}, {RECORDS}, t AS (SELECT wid, template, coalesce(arg_min(thread, log_idx) FILTER (WHERE log_idx = first), min(thread)) AS thread, list_sort(list_distinct(list(thread))) AS threads FROM (SELECT *, min(log_idx) OVER (PARTITION BY wid, template) AS first FROM recs) GROUP BY ALL) SELECT wid, template, thread, array_to_string(list_filter(threads, lambda x: x IS DISTINCT FROM thread), ',') AS extra_threads FROM t")
+def window_compress_threads(spark, sf_dir):
+    return _compressed(spark, sf_dir).select("wid", "template", "thread", F.array_join("extra_threads", ",").alias("extra_threads"))
+
+
+@query(f"WITH {ENTITIES}, {RECORDS}, o AS (SELECT wid, template, row_number() OVER (PARTITION BY wid ORDER BY first_ts, first_idx, template) - 1 AS pos FROM comp) SELECT wid, template, pos FROM o WHERE pos < 40")
+def count_ablation(spark, sf_dir):
+    return measure.expanded(measure.without_counts(_compressed(spark, sf_dir)), 40).select("wid", "template", "pos")
+
+
+@query("SELECT label, count(*) AS windows, count(DISTINCT cluster) AS clusters, round(count(*) / count(DISTINCT cluster), 6) AS ratio FROM (" + ORACLE_SQL["fingerprint_clusters"] + ") GROUP BY label")
+def cluster_ratio(spark, sf_dir):
+    return retrieval.cluster_ratio(fingerprint_clusters(spark, sf_dir))
+
+
+_FOUND = f"SELECT t.qid, t.rank, t.sim, d.* FROM ({_top('a.label = b.label', '1', 3)}) t JOIN documents d ON d.doc_id = t.id"
+
+
+@query(f"""SELECT qid, string_agg('## Tuple ' || rank || ': `D-' || doc_id || '` (sim=' || printf('%.3f', floor(sim * 1000 + 0.5) / 1000) || ')' || chr(10) || '- Source: ' || coalesce(source, 'None') || chr(10) || '- Title: ' || coalesce(lang, 'None') || chr(10) || '- Symptom: ' || left(coalesce(text, '(none)'), 300) || chr(10)
+ || '- Root cause: (none)' || chr(10) || '- Fix:' || chr(10) || '      ' || CASE WHEN n_chars > 500 THEN 'shorten' || chr(10) || '      split' ELSE '(no explicit fix)' END || chr(10) || '- Anomaly classes: ' || coalesce(lang, '') || chr(10) || '- Subsystems: ' || chr(10), chr(10) ORDER BY rank) AS evidence FROM ({_FOUND}) GROUP BY qid""")
+def evidence_blocks(spark, sf_dir):
+    """The evidence of every query vector: documents as entries."""
+    queries, base = _vectors(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("title"), F.col("text").alias("symptom"), F.lit(None).cast("string").alias("root_cause"), F.when(F.col("n_chars") > 500, F.array(F.lit("shorten"), F.lit("split"))).otherwise(none).alias("fix"), F.array_compact(F.array("lang")).alias("classes"), none.alias("subsystems"))
+    evidence = retrieval.cosine_topk(queries, base, 3, on="label").join(docs, "id").withColumn("id", F.concat(F.lit("D-"), "id"))
+    return retrieval.evidence_block(evidence, "qid")
+
+
+@query(_CONTEXT + """ SELECT wid, 'Predicted anomaly: ' || label || chr(10) || 'Log lines: ' || log_count_original || ' in ' || log_count || ' records' || chr(10) || 'Top log templates by count:' || chr(10) || top_templates || chr(10) || 'Frequent entities: ' || coalesce(entities, '(none)') || chr(10) || 'Evidence:' || chr(10) || '(none)' || chr(10)
+ || 'Explain the anomaly, its root cause and the actions to take. Cite tuples as (see ID).' AS prompt, 'Predicted anomaly: ' || label || chr(10) || 'Evidence:' || chr(10) || '(none)' || chr(10) || 'List the actions to take, each with the tuple that supports it.' AS actions FROM ctx JOIN labelled USING (wid) LEFT JOIN fq USING (wid)""")
+def prompts(spark, sf_dir):
+    """Both prompts of every window, without evidence."""
+    context = window_context(spark, sf_dir).join(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), "wid").withColumn("evidence", F.lit(None).cast("string"))
+    return context.select("wid", retrieval.prompt(context).alias("prompt"), retrieval.prompt(context, actions_only=True).alias("actions"))
+
+
+def _kinds(form: str) -> str:
+    return ", ".join(form.format(k) for k in measure.KINDS)
+
+
+_MENTIONED = "h AS (SELECT event_type, " + ", ".join(f"CASE WHEN {u}{k} = '' THEN 0 ELSE len(string_split({u}{k}, ',')) END AS {u}{k}" for u in ("", "unknown_") for k in measure.KINDS) + " FROM (" + ORACLE_SQL["hallucination_antijoin"] + ") JOIN events USING (event_id))"
+
+
+@query("WITH " + _MENTIONED + f""", g AS (SELECT event_type, count(*) AS reports, {_kinds("CAST(sum({0}) AS BIGINT) AS {0}")}, {_kinds("CAST(sum(unknown_{0}) AS BIGINT) AS unknown_{0}")}, count(*) FILTER (WHERE {" + ".join(f"unknown_{k}" for k in measure.KINDS)} > 0) AS with_unknown FROM h GROUP BY event_type)
+ SELECT *, {_kinds("round(unknown_{0} / greatest({0}, 1), 6) AS {0}_unknown_rate")}, round(with_unknown / reports, 6) AS unknown_report_rate FROM g""")
+def mention_metrics(spark, sf_dir):
+    names = hallucination_antijoin(spark, sf_dir)
+    arrays = {c: F.filter(F.split(c, ","), lambda x: x != "") for k in measure.KINDS for c in (k, f"unknown_{k}")}
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    return measure.mention_metrics(names.withColumns(arrays).join(kinds, "event_id"), ["event_type"])
+
+
+@query("WITH x AS (SELECT unnest(string_split(unknown_settings, ',')) AS name FROM (" + ORACLE_SQL["hallucination_antijoin"] + ")) SELECT name, count(*) AS n FROM x WHERE name <> '' GROUP BY name ORDER BY n DESC, name LIMIT 15")
+def frequent_unknown_settings(spark, sf_dir):
+    names = hallucination_antijoin(spark, sf_dir)
+    return measure.frequent_names(names.select(F.filter(F.split("unknown_settings", ","), lambda x: x != "").alias("names")), "names", 15)
+
+
+@query("WITH v AS (SELECT * FROM (" + ORACLE_SQL["citation_validity"] + """) JOIN (SELECT event_id, event_type FROM events) USING (event_id)), g AS (SELECT event_type, CAST(sum(valid_ids + existing_ids + bogus_ids) AS BIGINT) AS id_cites, CAST(sum(valid_ids) AS BIGINT) AS valid_ids, CAST(sum(existing_ids) AS BIGINT) AS existing_ids, CAST(sum(bogus_ids) AS BIGINT) AS bogus_ids,
+ CAST(sum(valid_ranks + invalid_ranks) AS BIGINT) AS rank_cites, CAST(sum(valid_ranks) AS BIGINT) AS valid_ranks, CAST(sum(invalid_ranks) AS BIGINT) AS invalid_ranks FROM v GROUP BY event_type)
+ SELECT *, round(valid_ids / greatest(id_cites, 1), 6) AS id_valid_rate, round(bogus_ids / greatest(id_cites, 1), 6) AS id_bogus_rate, round(valid_ranks / greatest(rank_cites, 1), 6) AS rank_valid_rate FROM g""")
+def citation_metrics(spark, sf_dir):
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    return measure.citation_metrics(citation_validity(spark, sf_dir).join(kinds, "event_id"), ["event_type"])
+
+
+@query(f"""WITH ev AS ({_top("true", "1", 5)}), x AS (SELECT qid, a.label, bool_or(rank = 1 AND b.label = a.label) AS top1, bool_or(b.label = a.label) AS topk FROM ev JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = id GROUP BY qid, a.label)
+ SELECT label, count(*) AS windows, count(*) FILTER (WHERE top1) AS top1, count(*) FILTER (WHERE topk) AS topk, round(avg(CASE WHEN top1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1_pct, round(avg(CASE WHEN topk THEN 1.0::DOUBLE ELSE 0 END), 6) AS topk_pct FROM x GROUP BY label""")
+def retrieval_hits(spark, sf_dir):
+    """Whether the nearest vectors of a query are of its class."""
+    queries, base = _vectors(spark, sf_dir)
+    found_rows = retrieval.cosine_topk(queries.drop("label"), base.drop("label"), 5).join(queries.select("qid", "label"), "qid")
+    classes = base.select("id", F.col("label").alias("class"))
+    return measure.retrieval_hits(found_rows.join(classes, "id").withColumnRenamed("qid", "wid"), "label")
+
+
+@query(_SPLIT + " SELECT wid, label, split FROM split")
+def chunked_sink(spark, sf_dir):
+    """Splits written in chunks, the second time over the first, and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    rows = _split(eventlog.lines(spark, sf_dir)).select("wid", "label", "split")
+    knowledge.write_chunks(rows, path, "wid")
+    knowledge.write_chunks(rows.where("split <> 'test'"), path, "wid")
+    return spark.read.parquet(path).select("wid", "label", "split")
+
+
+@query(f"WITH {LINES} SELECT wid, log_idx, ts_s, raw_line FROM lines")
+def window_files(spark, sf_dir):
+    """Windows written as JSON lines and read back as lines."""
+    path = f"{shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    line = F.struct("log_idx", F.struct("raw_line", F.col("ts_s").alias("timestamp")).alias("log"))
+    logs = F.transform(F.sort_array(F.collect_list(line)), lambda s: s["log"])
+    knowledge.write_windows(eventlog.lines(spark, sf_dir).groupBy("wid").agg(logs.alias("logs")), path)
+    return knowledge.log_lines(knowledge.windows_lines(spark, [path]))
+
+
+@query(f"WITH {LINES}, {LABELS} SELECT wid, label FROM labelled")
+def parameter_table(spark, sf_dir):
+    """Labels written with the parameters that made them, and read under the same."""
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    made = {"lines": str(eventlog.WINDOW_LINES), "streams": str(eventlog.STREAMS)}
+    knowledge.write_with_parameters(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), path, made)
+    return knowledge.read_compatible(spark, path, made)
+
+
+@query("""WITH w AS (SELECT 'f' || (user_id % 4) AS stream, date_trunc('hour', ts) AS start, count(*) AS lines FROM events GROUP BY ALL)
+ SELECT stream, strftime(start, '%Y-%m-%d %H') AS start, lines FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def stream_window_counts(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, lambda rows: streams.stream_window_counts(rows), "append")
+    return rows.select("stream", F.date_format("start", "yyyy-MM-dd HH").alias("start"), "lines")
+
+
 # Not for SQL: template trees, learning, streams
 
 

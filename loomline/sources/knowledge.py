@@ -121,3 +121,15 @@ def read_compatible(spark: SparkSession, path: str, wanted: dict[str, str]) -> D
     if wrong:
         raise ValueError(f"made with other parameters (have, wanted): {wrong}")
     return spark.read.parquet(f"{path}/rows")
+
+
+def write_chunks(df: DataFrame, path: str, key: str, chunks: int = 64) -> None:
+    """Write results by split and chunk of the key. A rerun replaces the chunks that it writes whole, so nothing doubles."""
+    dealt = df.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
+    writer = dealt.repartition("split", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("split", "chunk").parquet(path)
+
+
+def write_windows(windows: DataFrame, path: str) -> None:
+    """Windows as JSON lines, as :func:`windows_lines` reads them."""
+    windows.write.json(path)

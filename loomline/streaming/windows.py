@@ -15,7 +15,8 @@ COUNTED = "stream string, window_no long, log_idx long, event_id long"
 def stream_count_windows(lines: DataFrame, size: int) -> DataFrame:
     """Number the lines of each stream across micro-batches; the state of a stream is its line count.
 
-    Lines of one batch are numbered in order of (ts, event_id).
+    Lines of one batch are numbered in order of (ts, event_id). A task holds the
+    lines of a stream in one batch; bound these at the source (maxFilesPerTrigger).
     """
 
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -28,6 +29,12 @@ def stream_count_windows(lines: DataFrame, size: int) -> DataFrame:
     return lines.groupBy("stream").applyInPandasWithState(number, COUNTED, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_window_counts(lines: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Lines of each stream and tumbling window. Windows that end within ``late`` of the last line stay open and are not written."""
+    counts = lines.withWatermark("ts", late).groupBy(F.window("ts", length), "stream").agg(F.count(F.lit(1)).alias("lines"))
+    return counts.select("stream", F.col("window.start").alias("start"), "lines")
+
+
 def stream_time_windows(lines: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Lines and distinct users (approximate) of each stream and tumbling window, final once the watermark has passed."""
     return (
