@@ -42,6 +42,12 @@ def _entities(lines: DataFrame) -> DataFrame:
     return E.entity_rows(lines, ["wid", "log_idx"])
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """What several branches of a plan read, found once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def _records(lines: DataFrame) -> DataFrame:
     line = F.col("raw_line")
     named = F.transform(E.clean_entities(line), lambda e: F.concat_ws(":", e["type"], e["value"]))
@@ -195,9 +201,9 @@ def entities_clean(spark, sf_dir):
 _COVERED = _SPLIT.replace(LINES, ENTITIES) + ", cov AS (SELECT entity_type, entity, count(DISTINCT wid) AS coverage FROM ents JOIN split USING (wid) WHERE split = 'train' GROUP BY ALL)"
 
 
-def _train_coverage(lines):
+def _train_coverage(lines, entities=None):
     train = _split(lines).where("split = 'train'").select("wid")
-    return compress.entity_coverage(_entities(lines).join(train, "wid", "left_semi"))
+    return compress.entity_coverage((entities or _entities(lines)).join(train, "wid", "left_semi"))
 
 
 @query(_COVERED + " SELECT * FROM cov")
@@ -208,13 +214,15 @@ def entity_coverage(spark, sf_dir):
 @query(_COVERED + " SELECT wid, log_idx, entity_type, entity FROM ents SEMI JOIN (SELECT * FROM cov WHERE coverage >= 2) c USING (entity_type, entity)")
 def coverage_filter(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    return compress.coverage_filter(_entities(lines), _train_coverage(lines), 2).select("wid", "log_idx", "entity_type", "entity")
+    entities = _once(_entities(lines))
+    return compress.coverage_filter(entities, _train_coverage(lines, entities), 2).select("wid", "log_idx", "entity_type", "entity")
 
 
 @query(_COVERED + " SELECT l.wid, count(*) AS lines, count(*) FILTER (WHERE k.wid IS NULL) AS without FROM lines l LEFT JOIN (SELECT DISTINCT wid, log_idx FROM ents SEMI JOIN (SELECT * FROM cov WHERE coverage >= 20) c USING (entity_type, entity)) k ON l.wid = k.wid AND l.log_idx = k.log_idx GROUP BY l.wid")
 def zero_entity_records(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    kept = compress.coverage_filter(_entities(lines), _train_coverage(lines), 20).select("wid", "log_idx").distinct().withColumn("has", F.lit(1))
+    entities = _once(_entities(lines))
+    kept = compress.coverage_filter(entities, _train_coverage(lines, entities), 20).select("wid", "log_idx").distinct().withColumn("has", F.lit(1))
     return lines.join(kept, ["wid", "log_idx"], "left").groupBy("wid").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("has").isNull()).alias("without"))
 
 
@@ -236,9 +244,11 @@ _NODES = f"""WITH {ENTITIES}, {LABELS}, nodes AS (SELECT 'Window' AS node_type,
  UNION SELECT 'Window:' || wid, 'Anomaly:' || label, 'HAS_ANOMALY' FROM labelled)"""
 
 
-def _graph(spark, sf_dir):
+def _graph(spark, sf_dir, shared=False):
+    """Nodes and edges; ``shared`` if several branches read the entities."""
     lines = eventlog.lines(spark, sf_dir)
     labels, ents = _labels(lines).select("wid", "label"), _entities(lines)
+    ents = _once(ents) if shared else ents
     return graph.nodes(labels, lines, ents), graph.edges(labels, lines, ents)
 
 
@@ -249,12 +259,12 @@ def kg_nodes(spark, sf_dir):
 
 @query(_NODES + " SELECT * FROM edges")
 def kg_edges(spark, sf_dir):
-    return _graph(spark, sf_dir)[1]
+    return _graph(spark, sf_dir, shared=True)[1]
 
 
 @query(_NODES + " SELECT 'node' AS kind, node_type AS type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relation, count(*) FROM edges GROUP BY ALL")
 def kg_stats(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir, shared=True)
     count = F.count(F.lit(1)).alias("n")
     return nodes.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("type")).agg(count).union(edges.groupBy(F.lit("edge"), "relation").agg(count))
 
@@ -320,9 +330,10 @@ _EGO = _WE + f""", {scores()}, tg AS (SELECT wid AS target, neighbor AS wid FROM
 
 def _ego(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS, NEIGHBORS), NEIGHBORS)
+    found_in = _once(_entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+    near = _once(graph.top_neighbors(graph.shared_entity_scores(found_in.select("wid", "entity").distinct(), MOST_WINDOWS, NEIGHBORS), NEIGHBORS))
     targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
-    return graph.ego_edges(targets, _entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+    return graph.ego_edges(targets, found_in)
 
 
 @query(_EGO + " SELECT target, wid, log_idx, entity, window_no, line_no, entity_no FROM num")
@@ -583,9 +594,10 @@ _TOUCH = _EGO + ", own AS (SELECT DISTINCT wid AS target, entity FROM le), touch
 
 def _touching(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    near = graph.top_neighbors(graph.shared_entity_scores(_window_entity(lines), MOST_WINDOWS, NEIGHBORS), NEIGHBORS)
+    found_in = _once(_entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+    near = _once(graph.top_neighbors(graph.shared_entity_scores(found_in.select("wid", "entity").distinct(), MOST_WINDOWS, NEIGHBORS), NEIGHBORS))
     targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
-    return graph.touching_lines(targets, _entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+    return graph.touching_lines(targets, found_in)
 
 
 @query(_TOUCH + " SELECT target, wid, count(*) AS lines FROM touch GROUP BY ALL")

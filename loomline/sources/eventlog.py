@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import count_windows
 
 WINDOW_LINES = 50
+FEW_SPLITS = 32
 STREAMS = 4
 
 THREAD = """CASE user_id % 6
@@ -32,6 +33,12 @@ MESSAGE = """CASE event_type
 RAW_LINE = f"'- ' || ts_s || ' [' || ({THREAD}) || '] INFO  app.' || event_type || ':' || k || ' - ' || ({MESSAGE})"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, and than ``FEW_SPLITS``, dealt over all cores; larger ones are not shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream, wid, log_idx, event_id, ts_s, event_type, user_id, k, raw_line), cut into windows of WINDOW_LINES a stream."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -41,7 +48,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS").alias("ts_s"),
         F.expr(f"'f' || (user_id % {STREAMS})").alias("stream"),
     )
-    cut = count_windows(rows, "stream", ["ts", "event_id"], F.date_trunc("hour", "ts"), WINDOW_LINES)
+    cut = count_windows(spread(rows), "stream", ["ts", "event_id"], F.date_trunc("hour", "ts"), WINDOW_LINES)
     wid = F.concat("stream", F.lit(":count:"), F.col("window_no"))
     return cut.select("stream", wid.alias("wid"), "log_idx", "event_id", "ts_s", "event_type", "user_id", "k", F.expr(RAW_LINE).alias("raw_line"))
 
