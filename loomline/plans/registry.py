@@ -11,7 +11,7 @@ from ..functions import entities as E
 from ..functions import names
 from ..operators import compress, evaluate, graph, learn, measure, retrieval, windows
 from ..operators.windows import CLASSES
-from ..session import shared_folder
+from ..session import scratch_folder, shared_folder
 from ..sources import eventlog, knowledge
 from ..streaming import windows as streams
 from .twins import CONSENSUS, CORPUS_TOKENS, ENTITIES, LABELS, LINES, MASK, RECORDS, THREAD, found, q, scores, thread_group
@@ -822,7 +822,7 @@ def retrieval_hits(spark, sf_dir):
 @query(_SPLIT + " SELECT wid, label, split FROM split")
 def chunked_sink(spark, sf_dir):
     """Splits written in chunks, the second time over the first, and read back."""
-    path = f"{shared_folder(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/chunks-{uuid.uuid4().hex}"
     rows = _split(eventlog.lines(spark, sf_dir)).select("wid", "label", "split")
     knowledge.write_chunks(rows, path, "wid")
     knowledge.write_chunks(rows.where("split <> 'test'"), path, "wid")
@@ -832,7 +832,7 @@ def chunked_sink(spark, sf_dir):
 @query(f"WITH {LINES} SELECT wid, log_idx, ts_s, raw_line FROM lines")
 def window_files(spark, sf_dir):
     """Windows written as JSON lines and read back as lines."""
-    path = f"{shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/windows-{uuid.uuid4().hex}"
     line = F.struct("log_idx", F.struct("raw_line", F.col("ts_s").alias("timestamp")).alias("log"))
     logs = F.transform(F.sort_array(F.collect_list(line)), lambda s: s["log"])
     knowledge.write_windows(eventlog.lines(spark, sf_dir).groupBy("wid").agg(logs.alias("logs")), path)
@@ -842,7 +842,7 @@ def window_files(spark, sf_dir):
 @query(f"WITH {LINES}, {LABELS} SELECT wid, label FROM labelled")
 def parameter_table(spark, sf_dir):
     """Labels written with the parameters that made them, and read under the same."""
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
     made = {"lines": str(eventlog.WINDOW_LINES), "streams": str(eventlog.STREAMS)}
     knowledge.write_with_parameters(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), path, made)
     return knowledge.read_compatible(spark, path, made)
@@ -874,8 +874,7 @@ def spark_ml_classifier(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
     """Run a streaming plan over the events to its end and return what it wrote."""
-    folder = shared_folder(spark)
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = source.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.expr(f"'f' || (user_id % {eventlog.STREAMS})").alias("stream"))

@@ -34,3 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(given)
     return given
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, deleted when its driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark).rstrip('/')}/loomline-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if system.mkdirs(path):
+        system.deleteOnExit(path)
+    return folder
