@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
 from . import chat, decontamination, mixing, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filters, warc
-from .common import shared_folder, table
+from .common import table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}"
     written = warc.write_archives(warc.revisit_plan(table(spark, sf_dir, "pages")), folder)
     if not written:
         return spark.createDataFrame([], warc.READ).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
