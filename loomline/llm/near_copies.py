@@ -21,8 +21,9 @@ than BUCKET_ROWS texts, blocks and pivots come first, too, and then the texts
 outside the largest component meet every block. Buckets whose texts are of one
 component already are passed over in every round.
 
-Exact copies are one text, told by a 64-bit hash; null and empty are the same
-text. Of a group the row with the smallest (doc_id, hash) stays, one if rows
+Exact copies are one text, told by a 128-bit hash; null and empty are the same
+text. Texts go by the hash's first half ``t``; where different texts share that,
+all but one go by a hash of both halves. Of a group the row with the smallest (doc_id, hash) stays, one if rows
 repeat; null doc_ids come last. All columns are kept.
 """
 
@@ -45,7 +46,7 @@ BUCKET_ROWS, PIVOTS, FIRST_VIEWS = 2048, 64, 3
 ORDER_BITS = 20  # of the table of shingle counts by which the prefix filter orders
 _ORDERS = np.random.default_rng(7).integers(0, 2**63, (VIEWS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-PRINT = "t long, fp long, views array<long>, level int, kept int, shingles array<int>"
+PRINT = "t long, t2 long, fp long, views array<long>, level int, kept int, shingles array<int>"
 
 
 def _majority(a, b, c, d):
@@ -82,9 +83,9 @@ def _prints(part: pa.RecordBatch) -> pa.RecordBatch | None:
             n = int(np.searchsorted(mine, np.uint64(1 << (64 - k))))
         levels.append(k)
         kept.append(n)
-    t1, _ = text_keys(column.take(pa.array(of[first])))
+    t1, t2 = text_keys(column.take(pa.array(of[first])))
     upper = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)], pa.int32()), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(fp), pa.array(list(np.stack(views, axis=1).view(np.int64)), pa.list_(pa.int64())), pa.array(levels, pa.int32()), pa.array(kept, pa.int32()), upper], names=[c.split()[0] for c in PRINT.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(fp), pa.array(list(np.stack(views, axis=1).view(np.int64)), pa.list_(pa.int64())), pa.array(levels, pa.int32()), pa.array(kept, pa.int32()), upper], names=[c.split()[0] for c in PRINT.split(", ")])
 
 
 def _under(sketch: np.ndarray, level: int) -> int:
@@ -278,15 +279,38 @@ def _every_block(large: DataFrame, prints: DataFrame) -> DataFrame | None:
     return _compared(large.join(most, ["view", "value"]).withColumn("block", F.explode(meets)), prints)
 
 
-def text_links(docs: DataFrame) -> DataFrame:
-    """Edges (u, v) between text hashes that join all near copies.
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, t2, rows) of each document's text."""
+
+    def keys(part: pa.RecordBatch) -> pa.RecordBatch:
+        t1, t2 = text_keys(part.column("text"))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(t1), pa.array(t2)], names=["doc_id", "t", "t2"])
+
+    ids = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.mapper(keys), "doc_id long, t long, t2 long")
+    return ids.groupBy("doc_id", "t", "t2").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def shared_halves(texts: DataFrame) -> DataFrame:
+    """(t, least): the first halves that different texts (t, t2) share, with the least second half."""
+    return cut(texts.groupBy("t").agg(F.min("t2").alias("least"), F.max("t2").alias("most")).where("least < most").select("t", "least"))
+
+
+def told_apart(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Texts (t, t2, ...) with a t for each text: that of the least t2 stays, the others' become a hash of both halves."""
+    other = F.when(F.col("t2") > F.col("least"), F.xxhash64("t", "t2")).otherwise(F.col("t"))
+    return texts.join(shared, "t", "left").withColumn("t", other).drop("least")
+
+
+def text_links(docs: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) between texts' t, told apart by their shared halves, that join all near copies.
 
     Buckets go in rounds, and only where texts of several components meet: the
     whole texts' and the first views, the other views, the blocks of large
     buckets, the prefixes of what is open in those, and those in every block.
     """
     prints = docs.select("text").mapInArrow(T.mapper(_prints), PRINT)
-    prints = cut(prints.groupBy("t").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "kept", "shingles")]))
+    prints = prints.groupBy("t", "t2").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "kept", "shingles")])
+    prints = cut(told_apart(prints, shared_halves(_hashed(docs)) if shared is None else shared).drop("t2"))
     near = components(simhash.links(prints.select("fp").distinct(), RADIUS))
     whole = prints.select("t", "fp").join(near, F.col("fp") == F.col("node"), "left").select("t", F.lit(VIEWS).alias("view"), F.coalesce("root", "fp").alias("value"))
     spots = prints.select("t", F.posexplode("views").alias("view", "value")).union(whole)
@@ -315,29 +339,28 @@ def text_links(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies of a kept one, with all their columns."""
     schema = docs.schema
-
-    def keys(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(text_keys(part.column("text"))[0])], names=["doc_id", "t"])
-
-    ids = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.mapper(keys), "doc_id long, t long").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("rows")))
-    placed = ids.join(components(text_links(docs)), F.col("t") == F.col("node"), "left").withColumn("group", F.coalesce("root", "t"))
+    ids = cut(_hashed(docs))
+    halves = shared_halves(ids)
+    ids = told_apart(ids.withColumn("t1", F.col("t")), halves)
+    placed = ids.join(components(text_links(docs, halves)), F.col("t") == F.col("node"), "left").withColumn("group", F.coalesce("root", "t"))
     groups = cut(placed.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "t")).alias("one"), F.sum("rows").alias("n")).where("n > 1").select("group", F.col("one.doc_id").alias("one_id"), F.col("one.t").alias("one_t")))
     stays = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("t") == F.col("one_t"))
-    key, key_id, key_t, one = fresh(docs, "_key", "_id", "_t", "_one")
+    key, key2, key_id, key_t, key_t2, one = fresh(docs, "_key", "_key2", "_id", "_t", "_t2", "_one")
     # Of these rows the first kind goes; of the second, repeated, one stays.
-    judged = cut(placed.join(groups, "group").where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias(key_id), F.col("t").alias(key_t), stays.alias(one)))
+    judged = cut(placed.join(groups, "group").where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias(key_id), F.col("t1").alias(key_t), F.col("t2").alias(key_t2), stays.alias(one)))
     shared = bitmap(judged.select(key_t).distinct(), key_t)
-    keyed = docs.withColumn(key, F.lit(0).cast("long")).schema
+    keyed = docs.withColumns({key: F.lit(0).cast("long"), key2: F.lit(0).cast("long")}).schema
 
     def clear(part: pa.RecordBatch) -> pa.RecordBatch:
         return part.filter(pa.array(~in_bitmap(shared, text_keys(part.column("text"))[0])))
 
     def in_doubt(part: pa.RecordBatch) -> pa.RecordBatch:
-        t = text_keys(part.column("text"))[0]
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(t)], names=keyed.names).filter(pa.array(in_bitmap(shared, t)))
+        t1, t2 = text_keys(part.column("text"))
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(t1), pa.array(t2)], names=keyed.names).filter(pa.array(in_bitmap(shared, t1)))
 
-    doubt = docs.mapInArrow(T.mapper(in_doubt), keyed).join(judged, (F.col(key) == F.col(key_t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)), "left")
+    same = (F.col(key) == F.col(key_t)) & (F.col(key2) == F.col(key_t2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key_id))
+    doubt = docs.mapInArrow(T.mapper(in_doubt), keyed).join(judged, same, "left")
     names = [F.col(f"`{c}`") for c in schema.names]
     single = doubt.where(F.col(one).isNull()).select(*names)
-    repeated = doubt.where(F.col(one)).dropDuplicates([key_id, key_t]).select(*names)
+    repeated = doubt.where(F.col(one)).dropDuplicates([key_id, key_t, key_t2]).select(*names)
     return docs.mapInArrow(T.mapper(clear), schema).union(single).union(repeated)

@@ -110,6 +110,14 @@ def test_one_of_each_group_stays(spark, monkeypatch, rows, sketch):
     assert set(rows) == set(first.values())
 
 
+def test_texts_that_share_half_a_hash_are_told_apart(spark):
+    texts = spark.createDataFrame([(1, 5, 7), (2, 5, 3), (3, 5, 3), (4, 6, 9), (5, 5, 8)], "doc_id long, t long, t2 long")
+    shared = near_copies.shared_halves(texts)
+    assert [tuple(r) for r in shared.collect()] == [(5, 3)]
+    t = {r.doc_id: r.t for r in near_copies.told_apart(texts, shared).collect()}
+    assert t[2] == t[3] == 5 and t[4] == 6 and len({t[1], t[2], t[4], t[5]}) == 4
+
+
 @pytest.mark.parametrize("rows", [2048, 8])
 def test_links_join_all_near_copies(spark, monkeypatch, rows):
     """Against brute force: texts of one template, of which some are near copies, in buckets that are too large."""
