@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import chat, decontamination, mixing, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filters, warc
+from . import chat, decontamination, mixing, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filters, vector_codes, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(docs, ratio)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 def _strength(level: str) -> str:
@@ -110,5 +115,27 @@ g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE p
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM p LEFT JOIN g USING (payload_digest, payload_bytes)"""
 
+
+
+def _op13_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """All vectors of one length, a multiple of 8; integers that fit in longs."""
+    out = f"""WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, embedding AS v, len(embedding) // 8 AS s FROM embeddings
+ WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+e AS MATERIALIZED (SELECT r, i // s AS p, i % s AS j, floor(4096 * v[i + 1]::DOUBLE)::BIGINT AS x FROM (SELECT *, unnest(range(len(v))) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, j, x AS c FROM e WHERE r <= {vector_codes.ENTRIES})"""
+    for t in range(rounds + 1):
+        out += f""",
+d{t} AS (SELECT r, p, k, sum((x - c) * (x - c))::BIGINT AS d FROM e JOIN b{t} USING (p, j) GROUP BY ALL), a{t} AS MATERIALIZED (SELECT r, p, arg_min(k, d::HUGEINT * 16 + k) AS k, min(d) AS d FROM d{t} GROUP BY ALL)"""
+        if t < rounds:
+            out += f""",
+s{t} AS (SELECT p, k, j, sum(x)::BIGINT AS s, count(*) AS n FROM e JOIN a{t} USING (r, p) GROUP BY ALL),
+b{t + 1} AS MATERIALIZED (SELECT p, k, j, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM b{t} LEFT JOIN s{t} USING (p, k, j))"""
+    return f"""{out},
+w AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, k, j)) FROM b{rounds}) AS codebooks_sha256 FROM w JOIN kept USING (r)"""
+
+
+OP13_SQL = _op13_sql()
+
 #: The others hash words, fit models, search or iterate; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_warc": OP7_SQL, "op13_vector_codes": OP13_SQL}
