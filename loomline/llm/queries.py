@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import chat, decontamination, mixing, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filters, vector_codes, warc
+from . import chat, decontamination, mixing, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, toxicity, url_filters, vector_codes, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(docs, ratio)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
+    "op11_substring_dedup": op11_substring_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -116,6 +121,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND p
  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM p LEFT JOIN g USING (payload_digest, payload_bytes)"""
 
 
+OP11_SQL = r"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+hit AS MATERIALIZED (SELECT doc_id, i FROM win JOIN (SELECT h, min(doc_id) AS least FROM win GROUP BY h) USING (h) WHERE doc_id > least),
+each AS (SELECT w.doc_id, word, j, coalesce(max(hit.i) OVER (PARTITION BY w.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) >= j - 49, false) AS gone
+ FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w) w LEFT JOIN hit ON hit.doc_id = w.doc_id AND hit.i = j),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM each GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
 def _op13_sql(rounds: int = vector_codes.ROUNDS) -> str:
     """All vectors of one length, a multiple of 8; integers that fit in longs."""
@@ -138,4 +150,4 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 OP13_SQL = _op13_sql()
 
 #: The others hash words, fit models, search or iterate; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_warc": OP7_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_warc": OP7_SQL, "op11_substring_dedup": OP11_SQL, "op13_vector_codes": OP13_SQL}
