@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import chat, decontamination, mixing, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, toxicity, url_filters, vector_codes, warc
+from . import chat, collocations, decontamination, mixing, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, toxicity, url_filters, vector_codes, warc
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_collocations": op12_collocations,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -129,6 +134,18 @@ each AS (SELECT w.doc_id, word, j, coalesce(max(hit.i) OVER (PARTITION BY w.doc_
 k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM each GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
+OP12_SQL = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, {collocations.LONGEST + 1}) t(k))) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+ JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ') JOIN n ON n.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cuts),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(w[1:k - 1], ' ') AS phrase, a FROM c UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM c) GROUP BY ALL),
+x AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best LEFT JOIN inside USING (lang, phrase) WHERE nth = 1 AND (longer IS NULL OR longer < a))
+SELECT * FROM x WHERE rank <= {collocations.BEST}"""
+
+
 def _op13_sql(rounds: int = vector_codes.ROUNDS) -> str:
     """All vectors of one length, a multiple of 8; integers that fit in longs."""
     out = f"""WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, embedding AS v, len(embedding) // 8 AS s FROM embeddings
@@ -150,4 +167,4 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 OP13_SQL = _op13_sql()
 
 #: The others hash words, fit models, search or iterate; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_warc": OP7_SQL, "op11_substring_dedup": OP11_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_warc": OP7_SQL, "op11_substring_dedup": OP11_SQL, "op12_collocations": OP12_SQL, "op13_vector_codes": OP13_SQL}

@@ -44,8 +44,6 @@ COVER = (0, 1, 3, 8, 12, 18)
 ANCHOR = WINDOW - PERIOD + 1
 #: Cuts are where the hash of GRAM words is 0 modulo CUT; longer blocks than MOST windows are cut again.
 GRAM, CUT, MOST = 4, 32, 256
-#: Words whose bytes are hashed at once.
-_SLICE = 1 << 16
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
@@ -68,11 +66,7 @@ class Words:
         self.left = self.counts[self.doc] - self.place  # words from here to the end of the document
 
     def spans(self) -> T.Spans:
-        data, h = np.frombuffer(self.line, np.uint8), np.zeros(len(self.start), np.uint64)
-        for at in range(0, len(h), _SLICE):
-            start, end = self.start[at : at + _SLICE], self.end[at : at + _SLICE]
-            h[at : at + _SLICE] = T.Spans(data[start[0] : end[-1]]).hash(start - start[0], end - start[0])
-        return T.Spans(h)
+        return T.Spans(T.word_hashes(np.frombuffer(self.line, np.uint8), self.start, self.end))
 
     def bytes(self, a: int, b: int) -> bytes:
         return self.line[self.start[a] : self.end[b - 1]]

@@ -65,6 +65,15 @@ class Spans:
         return mix(h + (end - start).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """A hash of each word; memory is bounded by the bytes of ``at_once`` words."""
+    h = np.zeros(len(start), np.uint64)
+    for at in range(0, len(h), at_once):
+        a, b = start[at : at + at_once], end[at : at + at_once]
+        h[at : at + at_once] = Spans(data[a[0] : b[-1]]).hash(a - a[0], b - a[0])
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word, and the index of its document; ``between`` marks the bytes between words."""
     n = len(data)
