@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import written
 
 #: Distinct sets of hot entities in a block.
 SET_BLOCK = 2048
@@ -103,8 +103,7 @@ def shared_entity_scores(window_entity: DataFrame, most: int, k: int, within: li
     the k best. ``within`` names columns that both windows must agree on.
     """
     within = within or []
-    shared_folder(window_entity.sparkSession)
-    window_entity = window_entity.checkpoint()  # read by every branch below, found once
+    window_entity = written(window_entity)  # read by every branch below, found once
     hot = hot_entities(window_entity, most).select("entity")
     rare = window_entity.join(hot, "entity", "left_anti")
     a = rare.select(F.col("wid"), "entity", *within)

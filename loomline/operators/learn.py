@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..sources.chunks import ChunkTable
+
 HOLE = "<*>"
 
 
@@ -75,6 +77,19 @@ def encoder(encode):
     return run
 
 
+def add_vectors(texts: DataFrame, table: ChunkTable, encode, text: str = "text") -> int:
+    """Encode the texts that ``table`` has no vector of, each once, and publish their vectors by the texts' digests."""
+    rows = texts.select(F.col(text).alias("text")).where("text is not null").distinct().withColumn(table.key, F.sha2("text", 256))
+    return table.add(rows, lambda new: new.select(table.key, encode(F.col("text")).alias("vector")))
+
+
+def with_vectors(texts: DataFrame, table: ChunkTable, size: int, text: str = "text") -> DataFrame:
+    """Adds ``vector``: of a text without one, ``size`` zeros."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
+    known = table.read().withColumnRenamed(table.key, "_digest")
+    return texts.withColumn("_digest", F.sha2(F.col(text), 256)).join(known, "_digest", "left").drop("_digest").withColumn("vector", F.coalesce("vector", zeros))
+
+
 def classify(rows: DataFrame, label: str, split: str = "split") -> DataFrame:
     """Predictions of a weighted logistic regression that is trained on the rows of split "train"; adds pred."""
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)

@@ -11,8 +11,9 @@ from ..functions import entities as E
 from ..functions import names
 from ..operators import compress, evaluate, graph, learn, measure, retrieval, windows
 from ..operators.windows import CLASSES
-from ..session import scratch_folder, shared_folder
-from ..sources import eventlog, knowledge
+from ..session import scratch_folder, written
+from ..sources import eventlog, knowledge, one_object
+from ..sources.chunks import ChunkTable
 from ..streaming import windows as streams
 from .twins import CONSENSUS, CORPUS_TOKENS, ENTITIES, LABELS, LINES, MASK, RECORDS, THREAD, found, q, scores, thread_group
 
@@ -42,12 +43,6 @@ def _entities(lines: DataFrame) -> DataFrame:
     return E.entity_rows(lines, ["wid", "log_idx"])
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """What several branches of a plan read, found once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def _records(lines: DataFrame) -> DataFrame:
     line = F.col("raw_line")
     named = F.transform(E.clean_entities(line), lambda e: F.concat_ws(":", e["type"], e["value"]))
@@ -214,14 +209,14 @@ def entity_coverage(spark, sf_dir):
 @query(_COVERED + " SELECT wid, log_idx, entity_type, entity FROM ents SEMI JOIN (SELECT * FROM cov WHERE coverage >= 2) c USING (entity_type, entity)")
 def coverage_filter(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    entities = _once(_entities(lines))
+    entities = written(_entities(lines))
     return compress.coverage_filter(entities, _train_coverage(lines, entities), 2).select("wid", "log_idx", "entity_type", "entity")
 
 
 @query(_COVERED + " SELECT l.wid, count(*) AS lines, count(*) FILTER (WHERE k.wid IS NULL) AS without FROM lines l LEFT JOIN (SELECT DISTINCT wid, log_idx FROM ents SEMI JOIN (SELECT * FROM cov WHERE coverage >= 20) c USING (entity_type, entity)) k ON l.wid = k.wid AND l.log_idx = k.log_idx GROUP BY l.wid")
 def zero_entity_records(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    entities = _once(_entities(lines))
+    entities = written(_entities(lines))
     kept = compress.coverage_filter(entities, _train_coverage(lines, entities), 20).select("wid", "log_idx").distinct().withColumn("has", F.lit(1))
     return lines.join(kept, ["wid", "log_idx"], "left").groupBy("wid").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("has").isNull()).alias("without"))
 
@@ -248,7 +243,7 @@ def _graph(spark, sf_dir, shared=False):
     """Nodes and edges; ``shared`` if several branches read the entities."""
     lines = eventlog.lines(spark, sf_dir)
     labels, ents = _labels(lines).select("wid", "label"), _entities(lines)
-    ents = _once(ents) if shared else ents
+    ents = written(ents) if shared else ents
     return graph.nodes(labels, lines, ents), graph.edges(labels, lines, ents)
 
 
@@ -330,8 +325,8 @@ _EGO = _WE + f""", {scores()}, tg AS (SELECT wid AS target, neighbor AS wid FROM
 
 def _ego(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    found_in = _once(_entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
-    near = _once(graph.top_neighbors(graph.shared_entity_scores(found_in.select("wid", "entity").distinct(), MOST_WINDOWS, NEIGHBORS), NEIGHBORS))
+    found_in = written(_entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+    near = written(graph.top_neighbors(graph.shared_entity_scores(found_in.select("wid", "entity").distinct(), MOST_WINDOWS, NEIGHBORS), NEIGHBORS))
     targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
     return graph.ego_edges(targets, found_in)
 
@@ -594,8 +589,8 @@ _TOUCH = _EGO + ", own AS (SELECT DISTINCT wid AS target, entity FROM le), touch
 
 def _touching(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    found_in = _once(_entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
-    near = _once(graph.top_neighbors(graph.shared_entity_scores(found_in.select("wid", "entity").distinct(), MOST_WINDOWS, NEIGHBORS), NEIGHBORS))
+    found_in = written(_entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
+    near = written(graph.top_neighbors(graph.shared_entity_scores(found_in.select("wid", "entity").distinct(), MOST_WINDOWS, NEIGHBORS), NEIGHBORS))
     targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
     return graph.touching_lines(targets, found_in)
 
@@ -821,12 +816,60 @@ def retrieval_hits(spark, sf_dir):
 
 @query(_SPLIT + " SELECT wid, label, split FROM split")
 def chunked_sink(spark, sf_dir):
-    """Splits written in chunks, the second time over the first, and read back."""
-    path = f"{scratch_folder(spark)}/chunks-{uuid.uuid4().hex}"
-    rows = _split(eventlog.lines(spark, sf_dir)).select("wid", "label", "split")
-    knowledge.write_chunks(rows, path, "wid")
-    knowledge.write_chunks(rows.where("split <> 'test'"), path, "wid")
-    return spark.read.parquet(path).select("wid", "label", "split")
+    """Half of the windows published, a second half staged by a job that dies, then the rest by resuming; test labels replaced; compacted."""
+    table = ChunkTable(spark, f"{scratch_folder(spark)}/chunks-{uuid.uuid4().hex}", "wid", 5000)
+    rows = written(_split(eventlog.lines(spark, sf_dir)).select("wid", "label", "split"))
+    half = F.pmod(F.xxhash64("wid"), F.lit(2)) == 0
+    table.add(rows.where(half).withColumn("label", F.when(F.col("split") == "test", "stale").otherwise(F.col("label"))))
+    table.stage(rows.where(~half))
+    table.add(rows)
+    table.replace(rows.where("split = 'test'"))
+    table.compact()
+    table.vacuum()
+    return table.read().select("wid", "label", "split")
+
+
+@query(f"WITH {LINES}, {LABELS} SELECT wid, label FROM labelled WHERE wid BETWEEN 'f1:count:10' AND 'f1:count:12'")
+def chunk_lookup(spark, sf_dir):
+    """A small range of windows looked up in a table of chunks: only those that can hold them are read."""
+    table = ChunkTable(spark, f"{scratch_folder(spark)}/chunks-{uuid.uuid4().hex}", "wid", 20)
+    rows = _labels(eventlog.lines(spark, sf_dir)).select("wid", "label")
+    table.add(rows)
+    return table.lookup(rows.where("wid between 'f1:count:10' and 'f1:count:12'"))
+
+
+_VECTOR = "[length(text), length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^ ]', '', 'g'))]"
+
+
+@query(f"""WITH {LINES}, {LABELS}, t AS (SELECT DISTINCT regexp_replace(raw_line, '^.*? - ', '') AS text, user_id % 5 < 3 AS known FROM lines), u AS (SELECT text, bool_or(known) AS known FROM t GROUP BY text)
+ SELECT sha256(text) AS digest, (CASE WHEN known THEN {_VECTOR}[1] ELSE 0 END)::DOUBLE AS v0, (CASE WHEN known THEN {_VECTOR}[2] ELSE 0 END)::DOUBLE AS v1, (CASE WHEN known THEN {_VECTOR}[3] ELSE 0 END)::DOUBLE AS v2 FROM u""")
+def vector_cache(spark, sf_dir):
+    """Vectors of distinct messages, added in two runs, the second of which encodes what is new only; messages of other users are unknown."""
+    table = ChunkTable(spark, f"{scratch_folder(spark)}/vectors-{uuid.uuid4().hex}", "digest")
+    lines = written(eventlog.lines(spark, sf_dir).select(F.regexp_replace("raw_line", "^.*? - ", "").alias("text"), F.expr("user_id % 5").alias("u")))
+    encode = learn.encoder(lambda texts: [(len(t), sum(c in "0123456789" for c in t), t.count(" ")) for t in texts])
+    learn.add_vectors(lines.where("u < 2"), table, encode)
+    learn.add_vectors(lines.where("u < 3"), table, encode)
+    rows = learn.with_vectors(lines.select("text").distinct(), table, 3)
+    return rows.select(F.sha2("text", 256).alias("digest"), *[F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(3)])
+
+
+@query(f"WITH {LINES} SELECT wid, log_idx, ts_s, raw_line FROM lines")
+def window_objects(spark, sf_dir):
+    """Windows written as one JSON object a stream, and read back in ranges of 64 KB."""
+    path = f"{scratch_folder(spark)}/objects-{uuid.uuid4().hex}"
+    line = F.struct("log_idx", F.struct("raw_line", F.col("ts_s").alias("timestamp")).alias("log"))
+    logs = F.transform(F.sort_array(F.collect_list(line)), lambda s: s["log"])
+    one_object.write_object(eventlog.lines(spark, sf_dir).groupBy("stream", "wid").agg(logs.alias("logs")).repartition(eventlog.STREAMS, "stream").drop("stream"), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name in names:  # the default ranges of 128 MB would leave a small file whole
+            spark.conf.set(name, "65536")
+        return knowledge.log_lines(knowledge.windows_json(spark, [path]))
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
 
 
 @query(f"WITH {LINES} SELECT wid, log_idx, ts_s, raw_line FROM lines")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "loomline") -> SparkSession:
@@ -45,3 +46,10 @@ def scratch_folder(spark: SparkSession) -> str:
     if system.mkdirs(path):
         system.deleteOnExit(path)
     return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a table in this application's folder: found once, by executors that may be lost, whatever reads them."""
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .one_object import windows_object
+
 WINDOW = "label_file string, window_start string, window_end string, anomaly_types array<string>, logs array<struct<raw_line:string,timestamp:string>>"
 TUPLE = "id string, title string, symptom string, root_cause string, fix array<string>, config_params array<string>, anomaly_classes array<string>, subsystems array<string>, version string, tags array<string>, issue_url string"
 CODE = "code int, name string, meaning string, common_root_cause string, subsystems array<string>, severity string, fix_hint string, tags array<string>"
@@ -14,10 +16,8 @@ ENTRY = ["id", "origin_file", "doc_type", "title", "symptom", "root_cause", "fix
 
 
 def windows_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(wid, *WINDOW) from files that each hold one object of windows by id. Such a file is one task; convert large ones to JSON lines."""
-    rows = spark.read.text(paths, wholetext=True)
-    parsed = rows.select(F.from_json("value", f"map<string,struct<{_struct(WINDOW)}>>").alias("w"))
-    return parsed.select(F.explode("w").alias("wid", "w")).select("wid", "w.*")
+    """(wid, *WINDOW) from files that each hold one object of windows by id, of any length."""
+    return windows_object(spark, paths, _struct(WINDOW))
 
 
 def windows_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -95,11 +95,6 @@ def remaining(targets: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return targets.join(done.select(key).distinct(), key, "left_anti")
 
 
-def append_split(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Append results, partitioned by split, in files of bounded size."""
-    df.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("split").parquet(path)
-
-
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence files of a folder tree with the explanation text that stands beside each."""
     stem = F.regexp_replace(F.input_file_name(), r"_(?:evidence\.json|explanation\.md)$", "")
@@ -123,13 +118,6 @@ def read_compatible(spark: SparkSession, path: str, wanted: dict[str, str]) -> D
     return spark.read.parquet(f"{path}/rows")
 
 
-def write_chunks(df: DataFrame, path: str, key: str, chunks: int = 64) -> None:
-    """Write results by split and chunk of the key. A rerun replaces the chunks that it writes whole, so nothing doubles."""
-    dealt = df.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
-    writer = dealt.repartition("split", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("split", "chunk").parquet(path)
-
-
 def write_windows(windows: DataFrame, path: str) -> None:
     """Windows as JSON lines, as :func:`windows_lines` reads them."""
     windows.write.json(path)
