@@ -1,4 +1,4 @@
-"""Template mining, text vectors and a baseline window classifier."""
+"""Vectors of texts and a baseline window classifier."""
 
 from __future__ import annotations
 
@@ -11,53 +11,6 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from ..sources.chunks import ChunkTable
 
-HOLE = "<*>"
-
-
-def similar_template(template: list[str], words: list[str]) -> float:
-    """Share of places with the same word, holes not counted."""
-    return sum(a == b for a, b in zip(template, words)) / max(len(words), 1)
-
-
-def merged(template: list[str], words: list[str]) -> list[str]:
-    return [a if a == b else HOLE for a, b in zip(template, words)]
-
-
-def _mined(rows: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one (length, first word) group, grown from its masked lines in order of frequency."""
-    found: list[tuple[list[str], int]] = []
-    for masked, n in rows.sort_values(["n", "masked"], ascending=[False, True])[["masked", "n"]].itertuples(index=False):
-        words = masked.split(" ")
-        best = max(range(len(found)), key=lambda i: (similar_template(found[i][0], words), -i), default=None)
-        if best is not None and similar_template(found[best][0], words) >= 0.4:
-            found[best] = merged(found[best][0], words), found[best][1] + n
-        else:
-            found.append((words, n))
-    return pd.DataFrame([(len(t), " ".join(t), n) for t, n in found], columns=["words", "template", "size"])
-
-
-def mine_templates(lines: DataFrame, masked: str = "masked") -> DataFrame:
-    """(words, template, size): a fixed-depth tree of word count and first word, then merging of similar lines.
-
-    Lines are counted by their mask first, so a group holds distinct masks
-    only, and the result does not depend on the order of lines.
-    """
-    counts = lines.groupBy(F.col(masked).alias("masked")).agg(F.count(F.lit(1)).alias("n"))
-    words = F.split("masked", " ")
-    return counts.groupBy(F.size(words).alias("_len"), F.element_at(words, 1).alias("_first")).applyInPandas(_mined, "words int, template string, size long")
-
-
-def match_templates(lines: DataFrame, templates: DataFrame, masked: str = "masked") -> DataFrame:
-    """Adds the template that a line fits word by word; the one with the fewest holes, else <UNKNOWN>. Distinct masks are matched once."""
-    known = lines.select(F.col(masked).alias("masked")).distinct().withColumn("w", F.split("masked", " "))
-    fits = F.forall(F.arrays_zip(F.col("w").alias("a"), F.split("template", " ").alias("b")), lambda p: (p["b"] == HOLE) | (p["a"] == p["b"]))
-    holes = F.size(F.filter(F.split("template", " "), lambda x: x == HOLE))
-    # A template's first word is a line's own or a hole, so lines meet templates of their length and first word only.
-    known = known.withColumn("_first", F.explode(F.array_distinct(F.array(F.element_at("w", 1), F.lit(HOLE)))))
-    keyed = templates.withColumn("_first", F.element_at(F.split("template", " "), 1)).withColumnRenamed("words", "_words")
-    matched = known.withColumn("_words", F.size("w")).join(keyed, ["_words", "_first"]).where(fits).groupBy("masked").agg(F.min_by("template", F.struct(holes, "template")).alias("template"))
-    return lines.join(matched, lines[masked] == matched["masked"], "left").drop(matched["masked"]).withColumn("template", F.coalesce("template", F.lit("<UNKNOWN>")))
-
 
 def text_vectors(texts: DataFrame, text: str, size: int = 256) -> DataFrame:
     """Adds ``features``: hashed word counts with inverse document frequency, unit length. Any encoder of texts may take its place."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import names
-from ..operators import compress, evaluate, graph, learn, measure, retrieval, windows
+from ..operators import compress, evaluate, graph, learn, measure, retrieval, templates, windows
 from ..operators.windows import CLASSES
 from ..session import scratch_folder, written
 from ..sources import eventlog, knowledge, one_object
@@ -901,10 +901,28 @@ def stream_window_counts(spark, sf_dir):
 # Not for SQL: template trees, learning, streams
 
 
-@query()
+#: What the sequential tree finds of each kind of line once it has seen enough of them.
+_TEMPLATE = """CASE event_type WHEN 'click' THEN '<*> - opened <*> <*> streamId=7' WHEN 'purchase' THEN '<*> - Flush MemTable <*> <*> <*>'
+ WHEN 'view' THEN '<*> - PartitionCache:276 cache miss for <*> <*> t:1' WHEN 'error' THEN '<*> - OutOfMemory in <*> <*> retry=3 <*>'
+ ELSE '<*> - <*> <*> port:6667), <*> elected, TConsensusGroupId(type:DataRegion, <*>' END"""
+
+
+def _messages(spark, sf_dir):
+    return eventlog.lines(spark, sf_dir).select("wid", "log_idx", "event_id", "event_type", E.message(F.col("raw_line")).alias("message"))
+
+
+@query(f"WITH {LINES} SELECT {_TEMPLATE} AS template, count(*) AS lines FROM lines GROUP BY ALL")
 def drain_templates(spark, sf_dir):
-    lines = eventlog.lines(spark, sf_dir).select(compress.template_mask(E.message(F.col("raw_line"))).alias("masked"))
-    return learn.match_templates(lines, learn.mine_templates(lines)).groupBy("template").agg(F.count(F.lit(1)).alias("lines"))
+    return templates.mine_templates(_messages(spark, sf_dir), "message", ["event_id"]).select("template", F.col("size").alias("lines"))
+
+
+@query(f"WITH {LINES} SELECT wid, log_idx, CASE WHEN event_type = 'error' THEN '<UNKNOWN>' ELSE {_TEMPLATE} END AS template FROM lines")
+def template_matches(spark, sf_dir):
+    """Lines of all windows matched against the templates of training windows; errors, held back there, stay unknown."""
+    lines = written(_messages(spark, sf_dir))
+    train = _split(eventlog.lines(spark, sf_dir)).where("split = 'train'").select("wid")
+    known = templates.mine_templates(lines.where("event_type <> 'error'").join(train, "wid", "left_semi"), "message", ["event_id"])
+    return templates.match_templates(lines, known, "message", ["event_id"]).select("wid", "log_idx", "template")
 
 
 @query()

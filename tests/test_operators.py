@@ -108,14 +108,6 @@ def test_class_weights_and_report(spark):
     assert report == {"a": (3, 0.666667, 0.666667, 0.666667), "b": (1, 0.0, 0.0, 0.0)}
 
 
-def test_templates_grow_and_match(spark):
-    rows = frame(spark, [("open file <*> now",)] * 3 + [("open door <*> now",), ("close",)], "masked string")
-    templates = learn.mine_templates(rows)
-    assert {(r.template, r["size"]) for r in templates.collect()} == {("open <*> <*> now", 4), ("close", 1)}
-    got = learn.match_templates(frame(spark, [("open book <*> now",), ("shut",)], "masked string"), templates).collect()
-    assert {r.template for r in got} == {"open <*> <*> now", "<UNKNOWN>"}
-
-
 def test_reports_are_checked(spark):
     text = "x (see TS‑HC‑4) (see AB-1, CD-2) Tuple 3 <think>a\nb</think>. SHOW REGIONS; FLUSH; SHOW X"
     row = evaluate.citations(frame(spark, [(text, ["TS-HC-4", "Q"])], "text string, evidence array<string>"))
