@@ -38,31 +38,32 @@ BEST = 2000
 SLOTS = 1 << 20
 #: Bytes of text whose phrases a task counts before it hands them on.
 _CHUNK = 1 << 21
-_BREAK = 0xFF  # no byte of UTF-8
-_MARKED = bytes(_BREAK if c in b".,;:!?\n\v\f\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BREAK = 0x0A
+_MARKED = np.array([_BREAK if c in b".,;:!?\n\v\f\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_APART = np.isin(np.arange(256), (_BREAK, 0x20))
 _UINT = np.uint64
 
 
 class Phrases:
-    """The words of some texts in one buffer, joined by single spaces; a mark stands between pieces."""
+    """The words of some texts in one buffer, a space after each, and how many words there are from each to the end of its piece."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
-        mark = bytes([_BREAK])
-        lists = [(v.as_py() or "").encode().translate(_MARKED).replace(mark, b" \xff ").split() + [mark] for v in texts]
-        every = [w for ws in lists for w in ws]
-        self.line = b" ".join(every)
-        lengths = np.fromiter(map(len, every), np.int64, len(every))
-        self.end = np.cumsum(lengths + 1) - 1
-        self.start = self.end - lengths
-        self.data = np.frombuffer(self.line, np.uint8)
-        self.word = self.data[self.start] != _BREAK if len(every) else np.zeros(0, bool)
-        self.doc = np.repeat(np.arange(len(lists)), list(map(len, lists)))
+        data, offsets = T.utf8(texts)
+        data = _MARKED[data]
+        start, end, self.doc = T.words(data, offsets, _APART)
+        size = end - start + 1
+        self.end = np.cumsum(size) - 1
+        self.start = self.end - size + 1
+        self.data = data[np.minimum(np.repeat(start - self.start, size) + np.arange(int(size.sum())), max(len(data) - 1, 0))]
+        self.data[self.end] = 0x20
+        breaks = np.r_[0, np.cumsum(data == _BREAK)][start]
+        edge = np.flatnonzero((breaks[1:] != breaks[:-1]) | (self.doc[1:] != self.doc[:-1])) + 1
+        ends = np.r_[edge, len(start)]
+        self.room = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(start))
         self.langs = langs
         known: dict[str, int] = {}
         of = np.array([known.setdefault(x, xxhash.xxh3_64_intdigest(x.encode())) for x in langs.to_pylist()], _UINT)
-        self.salt = T.mix(of)[self.doc] if len(of) else np.zeros(0, _UINT)
-        breaks = np.flatnonzero(~self.word)
-        self.room = breaks[np.searchsorted(breaks, np.arange(len(every)))] - np.arange(len(every)) if len(every) else np.zeros(0, np.int64)
+        self.salt = T.mix(of)[self.doc]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of each word and its language."""
@@ -75,8 +76,11 @@ class Phrases:
         return np.flatnonzero(self.room >= k)
 
     def rows(self, at: np.ndarray, k: int, n: np.ndarray) -> pa.RecordBatch:
-        text = [self.line[i:j] for i, j in zip(self.start[at].tolist(), self.end[at + k - 1].tolist())]
-        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.doc[at])), pa.array(text, pa.binary()).cast(pa.string()), pa.array(n)], ["lang", "phrase", "n"])
+        start, size = self.start[at], self.end[at + k - 1] - self.start[at]
+        ends = np.cumsum(size)
+        text = self.data[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
+        phrases = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(text)])
+        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.doc[at])), phrases.cast(pa.string()), pa.array(n)], ["lang", "phrase", "n"])
 
 
 def _long(h: np.ndarray, k: int) -> np.ndarray:
@@ -171,8 +175,8 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(k), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["lang", "phrase", "k", "h", "g"])
 
 
-def _slot_counts(shared):
-    """One row of a task: how often each slot's phrase occurs."""
+def _slot_counts(shared, known: list):
+    """One row of a task: how often each slot's phrase occurs. ``known`` has the bitmap of each level but the last."""
 
     def run(batches):
         table = shared.value
@@ -180,9 +184,15 @@ def _slot_counts(shared):
         for part in T.chunks(batches, limit=_CHUNK):
             phrases = _phrases(part)
             h, g = phrases.keys()
+            frequent = np.ones(len(h) + 1, bool)
             for k in range(1, LONGEST + 1):
                 at = phrases.at(k)
-                slots = table.slots(_long(h, k)[at], _long(g, k)[at])
+                at = at[frequent[at] & frequent[at + 1]]
+                hs, gs = _long(h, k), _long(g, k)
+                if k <= len(known):
+                    frequent[: len(hs)] = in_bitmap(known[k - 1], hs)
+                    at = at[frequent[at]]
+                slots = table.slots(hs[at], gs[at])
                 total += np.bincount(slots[slots >= 0], minlength=len(total))
         yield pa.RecordBatch.from_pydict({"counts": [total.tobytes()]})
 
@@ -232,19 +242,20 @@ _SCORED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.in
 _KEYED = "lang string, phrase string, k long, h long, g long"
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, h, g) of all phrases of up to LONGEST words that occur ``least`` times, and (lang, n) of all words."""
+def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, list]:
+    """(lang, phrase, k, h, g) of all phrases of up to LONGEST words that occur ``least`` times, (lang, n) of all words, and the bitmaps of all levels but the last."""
     words = cut(docs.mapInArrow(T.mapper(_words, limit=_CHUNK), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     levels = [cut(words.where(F.col("n") >= least).select("lang", "phrase").mapInArrow(_keyed, _KEYED))]
+    known: list = []
     for k in range(2, LONGEST + 1):
-        known = bitmap(levels[-1], "h")
-        seen = docs.mapInArrow(T.mapper(_longer(known, k, least), limit=_CHUNK), "lang string, phrase string, n long")
+        known.append(bitmap(levels[-1], "h"))
+        seen = docs.mapInArrow(T.mapper(_longer(known[-1], k, least), limit=_CHUNK), "lang string, phrase string, n long")
         sums = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         levels.append(cut(sums.where(F.col("n") >= least).select("lang", "phrase").mapInArrow(_keyed, _KEYED)))
-    return reduce(DataFrame.unionAll, levels), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return reduce(DataFrame.unionAll, levels), words.groupBy("lang").agg(F.sum("n").alias("n")), known
 
 
-def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, phrases: DataFrame, known: list) -> DataFrame:
     """(lang, phrase, k, f0, ...) of each phrase of two words or more: its count and those of both parts of each cut."""
     spark = docs.sparkSession
     blocks = -(-phrases.count() // SLOTS)
@@ -254,7 +265,7 @@ def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
         keys = phrases.where(block == b).select("h", "g").toArrow()  # about SLOTS keys
         table = PerfectHash(np.column_stack([keys.column(i).to_numpy().view(_UINT) for i in (0, 1)]))
         shared = spark.sparkContext.broadcast(table)
-        each = docs.mapInArrow(_slot_counts(shared), "counts binary").rdd.map(lambda row: np.frombuffer(row.counts, np.int64))
+        each = docs.mapInArrow(_slot_counts(shared, known), "counts binary").rdd.map(lambda row: np.frombuffer(row.counts, np.int64))
         total = each.treeAggregate(0, operator.add, operator.add)
         read = spark.sparkContext.broadcast((table, total))
         out.append(candidates.mapInArrow(_parts(read), f"lang string, phrase string, k long, {', '.join(f'{f} long' for f in _F)}"))
@@ -266,9 +277,9 @@ def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases."""
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    phrases, totals = frequent_phrases(rows, least)
+    phrases, totals, known = frequent_phrases(rows, least)
     # Tables of a row for each language and for each candidate, written so that the joins with them can be split or broadcast.
-    totals, parts = cut(totals), cut(counted(rows, phrases))
+    totals, parts = cut(totals), cut(counted(rows, phrases, known))
     scored = cut(parts.join(totals, "lang").select("lang", "phrase", "k", "n", *_F).mapInArrow(_scored, "lang string, phrase string, k long, a long, l long, r long, n long, score long"))
     head, tail = F.expr("substring_index(phrase, ' ', cast(k - 1 as int))"), F.expr("substring(phrase, instr(phrase, ' ') + 1)")
     # A phrase inside a longer one of the same count is inside one of one word more.
