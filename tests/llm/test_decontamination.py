@@ -38,6 +38,25 @@ def test_cases(spark):
     assert kept == {i for i, (_, want) in enumerate(CASES.values()) if not want} | {len(CASES), len(CASES) + 1}
 
 
+TOM = "Tom buys 12 red apples at the market. Tom gives 3 apples to his sister. Tom eats 2 more. How many apples does Tom have left?"
+REWRITES = {
+    "a name that begins sentences": TOM.replace("Tom", "Kim").replace("12", "40").replace(" 3 ", " 9 ").replace(" 2 ", " 5 "),
+    "names and numbers of two words": TOM.replace("Tom", "Mary Ann").replace("12", "twenty-five").replace(" 3 ", " nine "),
+    "another name each time": TOM.replace("Tom buys", "Kim buys").replace("Tom gives", "Ann gives").replace("Tom eats", "Bob eats").replace("12", "40").replace(" 3 ", " 9 ").replace(" 2 ", " 5 "),
+    "begins inside a sentence": "They say that " + TOM.replace("Tom", "Kim"),
+    "other words around the numbers": "Tom sold 12 blue cars in the city. Tom sent 3 letters to his mother. Tom drank 2 more. How many coins did Tom find?",
+}
+
+
+def test_questions_with_other_names_and_numbers(spark):
+    frame = docs(spark, list(REWRITES.values()))
+    got = {r.doc_id: (r.covered_tokens, r.n_tokens) for r in D.contaminated(frame, bench(spark, [(1, TOM)])).collect()}
+    assert set(got) == {0, 1, 3} and all(c == n for c, n in got.values())
+    boston = "The train from Boston to New York takes 4 hours and stops at every small station along the old coast"
+    other = boston.replace("Boston", "Los Angeles").replace("New York", "Reno").replace("4", "thirty six")
+    assert [r.covered_tokens == r.n_tokens for r in D.contaminated(docs(spark, [other]), bench(spark, [(1, boston)])).collect()] == [True]
+
+
 def test_slots_that_change_within_a_document_do_not_fit(spark):
     item = "In the town of Rome 5 men met Anna and in the town of Rome 5 women met Anna again"
     good, bad = item.replace("Rome", "Oslo"), item.replace("Rome", "Oslo", 1).replace("Rome", "Bern", 1)
@@ -74,49 +93,52 @@ def test_items_shorter_than_a_window(spark):
 
 
 def plain_tokens(text):
-    """(lower case, kind) of each token, read word by word."""
-    out, before = [], 0
+    """Lower-case tokens, and units as (text, kind, first token, last token + 1), read word by word."""
+    tokens, units, before, was = [], [], 0, 0
     for m in re.finditer(r"(?:[0-9A-Za-z\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", text or ""):
         token, low = m[0], m[0].lower()
-        number = token[0] in "0123456789" or low in D.NUMBER_WORDS
         gap = text[before : m.start()]
-        if number:
+        inside = bool(tokens) and not set(gap) & set('.!?:;\n"')
+        if token[0] in "0123456789" or low in D.NUMBER_WORDS:
             kind = 1
-        elif out and out[-1][1] == 1 and low in D.UNITS:
+        elif was == 1 and low in D.UNITS:
             kind = 2
         else:
-            kind = 3 * bool(out and not set(gap) & set('.!?:;\n"') and ("A" <= token[0] <= "Z" or "À" <= token[0] <= "Þ"))
-        out.append((low, kind))
-        before = m.end()
-    return out
+            kind = 3 * (("A" <= token[0] <= "Z" or "À" <= token[0] <= "Þ") and (inside or low not in D.COMMON))
+        if kind in (1, 3) and kind == was and gap in (" ", "-"):
+            units[-1] = (units[-1][0] + " " + low, kind, units[-1][2], len(tokens) + 1)
+        else:
+            units.append((low, kind, len(tokens), len(tokens) + 1))
+        tokens.append(low)
+        before, was = m.end(), kind
+    return tokens, units
 
 
 def brute(texts, items):
     found = set()
     for i, text in enumerate(texts):
-        doc = plain_tokens(text)
+        doc, doc_units = plain_tokens(text)
         for item_id, item_text in items:
-            item = plain_tokens(item_text)
-            n, width = len(item), min(len(item), D.WINDOW)
-            if n < D.SHORTEST:
-                continue
-            windows = set()
-            for line in range(-n, len(doc)):
-                exact, fit, pairs, words = set(), set(), set(), set()
-                for p in range(n - width + 1):
-                    if not 0 <= p + line <= len(doc) - width:
+            item, units = plain_tokens(item_text)
+            n, tokens = len(item), set()
+            width = min(n, D.WINDOW)
+            for p in range(n - width + 1) if n >= D.SHORTEST else ():
+                if any(doc[q : q + width] == item[p : p + width] for q in range(len(doc) - width + 1)):
+                    tokens |= set(range(p, p + width))
+            m, width = len(units), min(len(units), D.WINDOW)
+            for line in range(-m, len(doc_units)) if m >= D.SHORTEST else ():
+                fit, pairs, words = set(), set(), set()
+                for p in range(m - width + 1):
+                    if not 0 <= p + line <= len(doc_units) - width:
                         continue
-                    a, b = item[p : p + width], doc[p + line : p + line + width]
-                    if [x for x, _ in a] == [x for x, _ in b]:
-                        exact.add(p)
-                    held = [k for k, (_, kind) in enumerate(a) if kind]
-                    if held and width - len(held) >= D.WINDOW_LITERAL and [k or x for x, k in a] == [k or x for x, k in b]:
-                        fit.add(p)
-                        pairs |= {(a[k], b[k]) for k in held}
+                    a, b = units[p : p + width], doc_units[p + line : p + line + width]
+                    held = [k for k in range(width) if a[k][1]]
+                    if held and width - len(held) >= D.WINDOW_LITERAL and [x[1] or x[0] for x in a] == [x[1] or x[0] for x in b]:
+                        fit |= set(range(a[0][2], a[-1][3]))
+                        pairs |= {(a[k][:2], b[k][:2]) for k in held}
                         words |= {p + k for k in range(width) if k not in held}
-                consistent = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}) and len(words) >= D.LEAST_LITERAL
-                windows |= exact | (fit if consistent else set())
-            tokens = {p + k for p in windows for k in range(width)}
+                if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}) and len(words) >= D.LEAST_LITERAL:
+                    tokens |= fit
             longest = run = 0
             for k in range(n):
                 run = run + 1 if k in tokens else 0
