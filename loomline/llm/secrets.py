@@ -3,8 +3,11 @@
 Each text is the first layer of a worklist. A layer is scanned with the three
 patterns and then unwrapped in every way that applies: percent escapes and
 Unicode escapes over the whole layer, base64 runs one by one (those broken over
-lines of one length joined), and compressed payloads (gzip, zlib, bz2, xz,
-Zstandard, of several members, too) in base64 or written as escaped bytes. New
+lines of one length joined, and words glued to their front passed over), and
+compressed payloads (gzip, zlib, bz2, xz, Zstandard, of several members, too, and
+raw deflate) in base64 or written as escaped bytes. A payload is read as UTF-8,
+UTF-16 and Latin-1; whatever it holds is scanned, and what is nine tenths
+printable in one of these is a layer, unwrapped further. New
 layers join the list until none is left. A layer with the text and place of one
 seen before is dropped, so cycles end, and each occurrence of a blob counts.
 Every layer carries a map of its positions to the text's, and a finding is
@@ -59,6 +62,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PARTS = [re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")]
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+# How gzip, zlib, bz2, xz and Zstandard begin in base64.
+_HEADS = re.compile(r"H4sI|eAE|eF4|eJ[w-z]|eN[o-r]|Qlpo|/Td6|_Td6|KLUv")
 # Escaped bytes that begin as a compressed payload does, in the manner of a URL or of a string literal.
 _URL_BYTES = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%(?:01|5[eE]|9[cC]|[dD][aA])|%[fF][dD]7zXZ|(?:%28|\()%[bB]5(?:%2[fF]|/)%[fF][dD]|BZh[1-9]1AY%26SY)(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])*")
 _LITERAL_BYTES = re.compile(r"(?:\\x1[fF]\\x8[bB]|x(?:\\x01|\^|\\x9[cC]|\\x[dD][aA])|\\x[fF][dD]7zXZ|\(\\x[bB]5/\\x[fF][dD]|BZh[1-9]1AY&SY)(?:\\x[0-9A-Fa-f]{2}|\\[\\'\"nrt0]|[\x20!#-\[\]-~])*")
@@ -220,19 +225,42 @@ def _kinds_in(data: bytes) -> set[str]:
     return kinds
 
 
-def _text_of(data: bytes) -> str | None:
+def _readings(data: bytes):
+    """Texts that a payload may be, and whether each looks like one that is worth unwrapping; only the first may be sure."""
+    likely = lambda text: sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text)
+    text = data.decode("utf-8" if _is_utf8(data) else "latin-1")
+    yield text, likely(text)
+    if b"\0" in data:  # of ASCII in UTF-16, in whichever order, every other byte is zero
+        for at in (0, 1):
+            text = data[at:].decode("utf-16-le", "replace")
+            yield text, likely(text)
+
+
+def _is_utf8(data: bytes) -> bool:
     try:
-        text = data.decode()
+        data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text) else None
+        return False
+    return True
 
 
-def _decoded(run: str) -> bytes | None:
-    """The bytes that a base64 run stands for."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
+def _deflated(data: bytes) -> tuple[bytes, bool] | None:
+    """What is in a payload of raw deflate, and whether there is more; None if it is none."""
+    one = zlib.decompressobj(-15)
+    try:
+        out = one.decompress(data, MOST_INFLATED + 1)
+    except zlib.error:
         return None
+    if len(out) > MOST_INFLATED:
+        return out, True
+    return (out, False) if out and one.eof and not one.unused_data else None
+
+
+def _decoded(run: str, glued: int = 0) -> bytes | None:
+    """The bytes that a base64 run stands for, without so many characters in front."""
+    body = run[glued:].rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:  # no whole byte is lost with the last character
+        body = body[:-1]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
@@ -263,8 +291,9 @@ def _blobs(text: str):
     for choices in _joined_lines(text):
         yield [(a, z, data) for a, z, run in choices if (data := _decoded(run)) is not None]
     for m in _RUN.finditer(text):
-        if (data := _decoded(m[0])) is not None:
-            yield [(*m.span(), data)]
+        # A run that a word is glued to is read from one of four places; a compressed one from its beginning only.
+        yield [(m.start() + k, m.end(), data) for k in range(4) if (data := _decoded(m[0], k)) is not None]
+        yield from ([(m.start() + head.start(), m.end(), data)] for head in _HEADS.finditer(m[0], 1) if (data := _decoded(m[0], head.start())) is not None)
         tried = {m.span()}
         for parts in _PARTS if "/" in m[0] or "_" in m[0] or "-" in m[0] else []:
             for part in parts.finditer(text, *m.span()):
@@ -290,16 +319,23 @@ def all_spans(text: str) -> tuple[list, list, bool]:
         new = [layer.replaced(_PERCENT, _percent) if "%" in layer.text else None, layer.replaced(_UNICODE, _unicode) if "\\" in layer.text or "&#" in layer.text else None]
         for choices in _blobs(layer.text):
             for a, z, data in choices:
-                if (opened := _opened(data)) is None:
-                    continue
-                inner, more = opened
                 root = (*layer.root(a, z)[:2], True)
+                inner, more = _opened(data) or (data, False)
                 if more:
                     truncated = True
                     found.update((kind, *root[:2]) for kind in _kinds_in(inner))
                     break
-                if (inner_text := _text_of(inner)) is not None:
-                    new.append(_Layer(inner_text, [0], [root]))
+                readings, sure = list(_readings(inner)), _is_utf8(inner)
+                if not (sure and readings[0][1]) and (deflated := _deflated(inner)) is not None:
+                    truncated |= deflated[1]
+                    inner, more = _opened(deflated[0]) or deflated
+                    readings += _readings(inner)
+                for inner_text, likely in readings:
+                    if likely and inner_text:
+                        new.append(_Layer(inner_text, [0], [root]))
+                    else:
+                        found.update((kind, *root[:2]) for kind, *_ in base_spans(inner_text))
+                if sure and inner and readings[0][1]:
                     break
         for one in new:
             if one is None or (mark := (hash(one.text), hash(tuple(one.starts)), hash(tuple(one.roots)))) in seen:

@@ -82,6 +82,43 @@ def test_every_copy_of_a_blob_is_found(copies):
     assert blob not in S.redacted(text, found)
 
 
+def _raw(t):
+    one = zlib.compressobj(wbits=-15)
+    return one.compress(t.encode()) + one.flush()
+
+
+PAYLOADS = {
+    "utf-16": lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+    "utf-16 of the other order": lambda t: base64.b64encode(b"\xfe\xff" + t.encode("utf-16-be")).decode(),
+    "latin-1": lambda t: base64.b64encode(f"caf\xe9 {t} \xfc\xdf".encode("latin-1")).decode(),
+    "binary record": lambda t: base64.b64encode(bytes(range(256)) + t.encode() + bytes(range(255, -1, -1))).decode(),
+    "utf-16 in a binary record": lambda t: base64.b64encode(bytes(range(128, 255)) + t.encode("utf-16-le") + b"\x01\x9f").decode(),
+    "raw deflate": lambda t: base64.b64encode(_raw(t + " and more of it")).decode(),
+    **{f"glued to {k} letters": lambda t, k=k: "blobs"[:k] + base64.b64encode(t.encode()).decode() for k in range(1, 6)},
+    "gzip glued to a word": lambda t: "blob" + "x" + base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+    "utf-16 in gzip": lambda t: base64.b64encode(gzip.compress(t.encode("utf-16-le"), mtime=0)).decode(),
+    "url in utf-16": lambda t: base64.b64encode(quote(t, safe="").encode("utf-16-le")).decode(),
+}
+
+
+@pytest.mark.parametrize("name", PAYLOADS)
+def test_payloads_that_are_no_utf8(name):
+    line = "password = hunter2hunter2hunter2"
+    text = f"run {PAYLOADS[name](line)} now"
+    _, found, truncated = S.all_spans(text)
+    assert any(kind == "assign" for kind, *_ in found) and not truncated
+    clean = S.redacted(text, found)
+    assert PAYLOADS[name](line)[8:] not in clean and clean.startswith("run ") and clean.endswith(" now")
+
+
+def test_random_bytes_hold_nothing():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "see " + base64.b64encode(rng.randbytes(rng.randint(12, 3000))).decode() + " ok"
+        base, found, _ = S.all_spans(text)
+        assert found == base
+
+
 def test_random_nestings():
     rng, made = random.Random(3), list(LAYERS.values())
     for _ in range(150):
