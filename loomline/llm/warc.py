@@ -4,8 +4,10 @@ An archive starts with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary of all frames after it; every record is one frame. A task writes
 an archive for each ``ARCHIVE_BYTES`` of records, named for its partition, under a
 hidden name first and then renames it, so retries and lost executors leave whole
-archives only. Reading goes through Spark's binary source and takes records of all
-kinds of WARC 1.0 and 1.1. The dictionary is trained on the first
+archives only. Reading takes every ``*.warc.zst`` of a folder and records of all kinds
+of WARC 1.0 and 1.1; Spark lists the archives and loads those of up to ``WHOLE_BYTES``,
+larger ones a task reads as a stream. An archive may have no dictionary, and skippable
+frames among its records are passed over. The dictionary is trained on the first
 ``TRAIN_ROWS`` payloads of an archive.
 
 Of records with equal payloads of ``REVISIT_BYTES`` or more, that with the
@@ -34,6 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVISIT_BYTES = 1000
+SKIPPABLE_KINDS = 0x184D2A50, 0x184D2A5F
+#: Archives up to this size are loaded as one value; bytes of a stream that are read at once.
+WHOLE_BYTES, PIECE_BYTES = 1 << 29, 1 << 15
 SKIPPABLE = 0x184D2A5D
 DICT_BYTES, TRAIN_ROWS = 16 << 10, 200
 LEVEL = 3
@@ -153,28 +158,54 @@ def write_archives(plan: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> i
     return plan.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def frames(archive: bytes):
-    """The records of an archive, each from its own frame, by the dictionary in the leading frame."""
-    view = memoryview(archive)
-    if len(view) < 8:
-        raise ValueError("no leading frame")
-    magic, n = struct.unpack("<II", view[:8])
-    if magic != SKIPPABLE or len(view) < 8 + n:
-        raise ValueError("the leading frame holds no dictionary")
-    raw = bytes(view[8 : 8 + n])
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        raw = zstandard.ZstdDecompressor().decompress(raw)
-    unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-    at = 8 + n
-    while at < len(view):
-        one, out = unpacker.decompressobj(), []
+class _Stream:
+    """A file that is read in pieces, with what was read too far."""
+
+    def __init__(self, file):
+        self.file, self.held = file, b""
+
+    def piece(self, most: int = PIECE_BYTES) -> bytes:
+        out, self.held = (self.held[:most], self.held[most:]) if self.held else (self.file.read(most), b"")
+        return out
+
+    def take(self, n: int) -> bytes:
+        """n bytes, or what is left."""
+        out = []
+        while n and (one := self.piece(min(n, PIECE_BYTES))):
+            out.append(one)
+            n -= len(one)
+        return b"".join(out)
+
+
+def frames(archive) -> Iterator[bytes]:
+    """The records of an archive (bytes or a file), each from its own frame, by the dictionary in the leading frame."""
+    stream = _Stream(archive if hasattr(archive, "read") else pa.BufferReader(archive))
+    unpacker, first = zstandard.ZstdDecompressor(), True
+    while head := stream.take(8):
+        magic, n = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
+        if SKIPPABLE_KINDS[0] <= magic <= SKIPPABLE_KINDS[1]:
+            if first and magic == SKIPPABLE:
+                if len(raw := stream.take(n)) < n:
+                    raise ValueError("the leading frame is cut short")
+                if raw[:4] == b"\x28\xb5\x2f\xfd":
+                    raw = zstandard.ZstdDecompressor().decompress(raw)
+                unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+            else:
+                while n and (one := stream.piece(min(n, PIECE_BYTES))):
+                    n -= len(one)
+                if n:
+                    raise ValueError("a skippable frame is cut short")
+            first = False
+            continue
+        first, stream.held, one, out = False, head + stream.held, unpacker.decompressobj(), []
         while not one.eof:
-            if at >= len(view):
+            if not (piece := stream.piece()):
                 raise ValueError("a frame is cut short")
-            piece = view[at : at + 32768]
             out.append(one.decompress(piece))
-            at += len(piece) - len(one.unused_data)
+            stream.held = one.unused_data + stream.held
         yield b"".join(out)
+    if first:
+        raise ValueError("no leading frame")
 
 
 def _headers(lines: list[str]) -> dict[str, str]:
@@ -297,18 +328,27 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         except (ValueError, zstandard.ZstdError) as e:
             yield {"error": f"archive: {e}"}
 
-    def run(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                rows, held = [], 0
-                for row in records(memoryview(content.as_buffer())):
-                    held += row.get("payload_bytes") or 0
-                    rows.append(row if payloads else row | {"payload": None})
-                    if held > 4 << 20 or len(rows) >= 5000:
+    def run(opened):
+        def rows_of(batches):
+            for batch in batches:
+                for value in batch.column(0):
+                    rows, held = [], 0
+                    for row in records(opened(value)):
+                        held += row.get("payload_bytes") or 0
+                        rows.append(row if payloads else row | {"payload": None})
+                        if held > 4 << 20 or len(rows) >= 5000:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+                    if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("content")
-    return found.mapInArrow(run, READ)
+        return rows_of
+
+    def streamed(path):
+        files, inner = _file_system(path.as_py())
+        return files.open_input_stream(inner, compression=None)
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", True).load(folder)
+    small = found.where(F.col("length") <= WHOLE_BYTES).select("content").mapInArrow(run(lambda value: value.as_buffer()), READ)
+    # Without its content a file is only listed.
+    return small.unionAll(found.where(F.col("length") > WHOLE_BYTES).select("path").mapInArrow(run(streamed), READ))

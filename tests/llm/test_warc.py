@@ -62,6 +62,30 @@ def test_broken_archives():
             list(warc.frames(bad))
 
 
+def skippable(data, kind=0x184D2A53):
+    return struct.pack("<II", kind, len(data)) + data
+
+
+@pytest.mark.parametrize("whole", [1 << 29, 0])
+def test_archives_of_other_writers(spark, tmp_path, monkeypatch, whole):
+    """Any name, folders in folders, no dictionary, skippable frames anywhere; loaded whole or streamed."""
+    monkeypatch.setattr(warc, "WHOLE_BYTES", whole)
+    records = [warc.record(i, f"http://x/{i}", b"payload %d " % i * 5000, hashlib.sha1(b"payload %d " % i * 5000).hexdigest(), None) for i in range(30)]
+    own = b"".join(warc.archive_frames(records[:10]))
+    pack = zstandard.ZstdCompressor().compress
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/CC-MAIN-2024-00001.warc.zst").write_bytes(own + skippable(b"") + skippable(b"x" * 100_000))
+    (tmp_path / "a/b/other.warc.zst").write_bytes(skippable(b"not a dictionary") + b"".join(skippable(b"y" * 9) + pack(r) for r in records[10:20]))
+    (tmp_path / "plain.warc.zst").write_bytes(b"".join(pack(r) for r in records[20:]))
+    (tmp_path / "readme.txt").write_text("no archive")
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in rows) == list(range(30)) and not any(r.error for r in rows)
+    assert all(bytes(r.payload) == b"payload %d " % r.page_id * 5000 for r in rows)
+    for cut in (4, 8, len(own) - 1):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(warc.frames(own[:cut]))
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.write_archives(warc.revisit_plan(pages(spark, ROWS).limit(0)), f"file://{tmp_path}/none") == 0
 
