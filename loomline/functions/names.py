@@ -37,6 +37,10 @@ def text_or_template(raw_line: Column, template: Column) -> Column:
     return F.coalesce(F.nullif(raw_line, F.lit("")), template)
 
 
+#: How a report begins that no generator wrote.
+STUB = "[stub report]"
+
+
 def stub_report(prompt: Column) -> Column:
     """What stands for a generated report where no generator is set."""
-    return F.concat(F.lit("[stub report] prompt of "), F.length(prompt).cast("string"), F.lit(" characters"))
+    return F.concat(F.lit(STUB + " prompt of "), F.length(prompt).cast("string"), F.lit(" characters"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import STUB
+from .evaluate import cites_evidence
+
 
 def class_weights(labels: DataFrame, cap: float | None = None) -> DataFrame:
     """(label, n, weight): weights total / (classes * n), scaled to sum to the number of classes, then capped."""
@@ -79,18 +82,34 @@ def positional_encoding(size: int, position="pos"):
 
 
 def report_metrics(reports: DataFrame, by: list[str]) -> DataFrame:
-    """Ratios of checked reports by class: cited at all, valid citations, keyword hits, mean length. Nothing cited counts as valid."""
-    cited = F.sum(F.col("valid_ids") + F.col("existing_ids") + F.col("bogus_ids"))
+    """Ratios of checked reports by class. Blank ones and stubs count as reports only; citations, keywords and shares are those of the rest.
+
+    ``citation_rate``: reports that hold an id of their evidence literally or a tuple by rank; ``valid_share`` and
+    ``real_share``: of the ids cited those in evidence, and those that exist at all. Nothing cited counts as valid.
+    """
+    real = (F.trim("text") != "") & ~F.col("text").startswith(STUB)
+    n_real = F.count_if(real)
+    valid, exist, bogus = (F.sum(F.when(real, F.col(c)).otherwise(0)) for c in ("valid_ids", "existing_ids", "bogus_ids"))
+    cited = valid + exist + bogus
+    rate = lambda what: F.round(F.count_if(real & what) / F.greatest(n_real, F.lit(1)), 6)
     return reports.groupBy(*by).agg(
         F.count(F.lit(1)).alias("reports"),
-        F.round(F.avg((F.col("valid_ids") + F.col("existing_ids") + F.col("bogus_ids") > 0).cast("double")), 6).alias("citation_rate"),
-        F.round(F.when(cited > 0, F.sum("valid_ids") / cited).otherwise(1.0), 6).alias("valid_share"),
-        F.round(F.when(cited > 0, F.sum(F.col("valid_ids") + F.col("existing_ids")) / cited).otherwise(1.0), 6).alias("real_share"),
-        F.round(F.avg(F.col("hit").cast("double")), 6).alias("keyword_rate"),
+        n_real.alias("n_with_report"),
+        rate(cites_evidence(F.col("text"), F.col("evidence"))).alias("citation_rate"),
+        F.round(F.when(cited > 0, valid / cited).otherwise(1.0), 6).alias("valid_share"),
+        F.round(F.when(cited > 0, (valid + exist) / cited).otherwise(1.0), 6).alias("real_share"),
+        rate(F.col("hit")).alias("keyword_rate"),
         F.round(F.avg(F.length("text")), 6).alias("mean_chars"),
     )
 
 
+def examples(names: DataFrame, kind: str, column: str, k: int) -> DataFrame:
+    """(kind, name, n, rank): the k most frequent names of an array column for each kind, ties by name."""
+    counts = names.select(kind, F.explode(column).alias("name")).groupBy(kind, "name").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(W.partitionBy(kind).orderBy(F.desc("n"), "name"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
 def mistakes(predictions: DataFrame, label: str) -> DataFrame:
     """Where the rows of one label went wrong, most frequent first."""
     return predictions.where((F.col("label") == label) & (F.col("pred") != label)).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,20 +13,59 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Rows of a block of queries and of the base; a pair of blocks is one matrix product.
+QUERY_BLOCK, BASE_BLOCK = 1024, 4096
+
+
+def _best(rank: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest of each row, ties by id."""
+    kth = np.partition(rank, -k, axis=1)[:, -k] if rank.shape[1] > k else np.full(len(rank), -np.inf)
+    row, col = np.nonzero(rank >= kth[:, None])
+    order = np.lexsort((ids[col], -rank[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(rank)))
+    best = np.arange(len(row)) - first[row] < k
+    return row[best], col[best]
+
+
+def _matrix(vectors: pa.ListScalar) -> np.ndarray:
+    rows = vectors.values
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
 def cosine_topk(queries: DataFrame, base: DataFrame, k: int, on: str | None = None, boost: Column | None = None) -> DataFrame:
     """The k entries of the base most similar to each query.
 
-    ``queries`` has (qid, qvec), ``base`` (id, vec), vectors of unit length;
-    both have ``on`` if a class must agree. ``boost`` multiplies the rank, not
-    the reported similarity. A knowledge base is a small table; Spark decides
-    by its size whether it is broadcast. Ties go by id.
+    ``queries`` has (qid, qvec), ``base`` (id, vec), vectors of unit length and of one size; both
+    have ``on`` if a class must agree. ``boost``, of the base's columns, multiplies the rank, not
+    the reported similarity. Ties go by id. Vectors that are null are no one's neighbour.
+
+    Both sides are dealt into blocks by hash. A pair of blocks is a matrix product that keeps
+    the k best of each query, and the best of all blocks are merged: nothing holds all pairs, and a
+    class of any size is as many blocks as it takes.
     """
-    pairs = queries.join(base, on) if on else queries.join(base, F.col("vec").isNotNull())
-    pairs = pairs.withColumn("sim", dot(F.col("qvec"), F.col("vec")))
-    ranked = F.col("sim") * boost if boost is not None else F.col("sim")
-    pairs = pairs.withColumn("_rank", F.round(ranked, 9))
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("_rank"), "id"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
+    n_queries, n_base = (-(-df.count() // size) or 1 for df, size in ((queries, QUERY_BLOCK), (base, BASE_BLOCK)))
+    same = [on] if on else []
+    left = queries.where("qvec is not null").withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(n_queries))).groupBy(*same, "_q").agg(F.collect_list(F.struct("qid", "qvec")).alias("_left"))
+    right = base.where("vec is not null").withColumn("_boost", (boost if boost is not None else F.lit(1.0)).cast("double")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n_base)))
+    right = right.groupBy(*same, "_b").agg(F.collect_list(F.struct("id", "vec", "_boost")).alias("_right"))
+    pairs = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1)))).join(right, [*same, "_b"])
+    blocks = pairs.select("_left.qid", "_left.qvec", "_right.id", "_right.vec", "_right._boost")
+    kinds = dict(queries.dtypes) | dict(base.dtypes)
+    schema = f"qid {kinds['qid']}, id {kinds['id']}, sim double, _rank double"
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qid, qvec, ids, vec, weight = (batch.column(c)[i] for c in range(5))
+                sim = _matrix(qvec) @ _matrix(vec).T
+                rank = np.round(sim * weight.values.to_numpy(zero_copy_only=False), 9)
+                row, col = _best(rank, np.unique(ids.values.to_numpy(zero_copy_only=False), return_inverse=True)[1], k)
+                yield pa.RecordBatch.from_arrays([qid.values.take(pa.array(row)), ids.values.take(pa.array(col)), pa.array(sim[row, col]), pa.array(rank[row, col])], ["qid", "id", "sim", "_rank"])
+
+    merged = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("_rank"), "id"))
+    best = blocks.mapInArrow(run, schema).withColumn("rank", merged.cast("long")).where(F.col("rank") <= k)
+    return best.select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
 def entry_text(df: DataFrame) -> Column:

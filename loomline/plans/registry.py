@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,11 @@ def _entities(lines: DataFrame) -> DataFrame:
 
 
 def _records(lines: DataFrame) -> DataFrame:
+    """Lines with thread, template and entities. Message and thread group are columns first, so each is found once and not by every pattern."""
     line = F.col("raw_line")
-    named = F.transform(E.clean_entities(line), lambda e: F.concat_ws(":", e["type"], e["value"]))
-    return lines.select("wid", "log_idx", "ts_s", "raw_line", E.thread(line).alias("thread"), compress.template_mask(E.message(line)).alias("template"), named.alias("entities"))
+    staged = lines.select("wid", "log_idx", "ts_s", "raw_line", E.thread(line).alias("thread"), E.message(line).alias("_text")).withColumn("_group", E.normal_thread(F.col("thread")))
+    named = F.transform(E.clean_entities(line, F.col("_text"), F.col("_group")), lambda e: F.concat_ws(":", e["type"], e["value"]))
+    return staged.select("wid", "log_idx", "ts_s", "raw_line", "thread", compress.template_mask(F.col("_text")).alias("template"), named.alias("entities"))
 
 
 def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,10 +209,11 @@ def entity_coverage(spark, sf_dir):
     return _train_coverage(eventlog.lines(spark, sf_dir))
 
 
-@query(_COVERED + " SELECT wid, log_idx, entity_type, entity FROM ents SEMI JOIN (SELECT * FROM cov WHERE coverage >= 2) c USING (entity_type, entity)")
+@query(_SPLIT.replace(LINES, ENTITIES.replace("ents AS (", "ents AS MATERIALIZED (")) + """, frequent AS MATERIALIZED (SELECT entity_type, entity FROM (SELECT DISTINCT entity_type, entity, wid FROM ents) WHERE wid IN (SELECT wid FROM split WHERE split = 'train') GROUP BY ALL HAVING count(*) >= 2)
+ SELECT wid, log_idx, entity_type, entity FROM ents JOIN frequent USING (entity_type, entity)""")
 def coverage_filter(spark, sf_dir):
     lines = eventlog.lines(spark, sf_dir)
-    entities = written(_entities(lines))
+    entities = _entities(lines)
     return compress.coverage_filter(entities, _train_coverage(lines, entities), 2).select("wid", "log_idx", "entity_type", "entity")
 
 
@@ -666,13 +670,19 @@ def class_mistakes(spark, sf_dir):
     return measure.mistakes(_predictions(spark, sf_dir), "error")
 
 
-@query(_REPORTS + f""", v AS (SELECT event_type, text, list_filter(ids, lambda x: list_contains(evidence, x)) AS a, list_filter(ids, lambda x: NOT list_contains(evidence, x) AND list_contains({_ALL_IDS}, x)) AS b, ids, contains(lower(text), 'pool') AND event_type <> 'error' AS hit FROM cited)
- SELECT event_type, count(*) AS reports, round(avg(CASE WHEN len(ids) > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS citation_rate, round(CASE WHEN sum(len(ids)) > 0 THEN sum(len(a)) / sum(len(ids)) ELSE 1.0 END, 6) AS valid_share,
- round(CASE WHEN sum(len(ids)) > 0 THEN sum(len(a) + len(b)) / sum(len(ids)) ELSE 1.0 END, 6) AS real_share, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS keyword_rate, round(avg(length(text)), 6) AS mean_chars FROM v GROUP BY event_type""")
+@query(f"""WITH {LINES}, rep AS ({_REPORTED} FROM lines), n AS (SELECT * EXCLUDE (text), CASE k % 10 WHEN 3 THEN '[stub report] prompt of 9 characters' WHEN 4 THEN ' ' ELSE text END AS text, {_EVIDENCE} AS evidence FROM rep),
+ t AS (SELECT *, regexp_replace(text, '[‐‑–—]', '-', 'g') AS t FROM n), cited AS (SELECT *, list_distinct(regexp_extract_all(t, {q(evaluate.CITED_ID)}, 1)) AS ids, trim(text) <> '' AND NOT starts_with(text, '[stub report]') AS real FROM t),
+ v AS (SELECT *, len(list_filter(ids, lambda x: list_contains(evidence, x))) AS a, len(list_filter(ids, lambda x: NOT list_contains(evidence, x) AND list_contains({_ALL_IDS}, x))) AS b, contains(lower(text), 'pool') AND event_type <> 'error' AS hit,
+ list_bool_or(list_transform(evidence, lambda x: contains(t, x))) OR regexp_matches(t, {q(evaluate.CITED_RANK)}) AS cites FROM cited),
+ g AS (SELECT event_type, count(*) AS reports, count(*) FILTER (WHERE real) AS n_with_report, count(*) FILTER (WHERE real AND cites) AS n_cites, count(*) FILTER (WHERE real AND hit) AS n_hits, coalesce(sum(len(ids)) FILTER (WHERE real), 0) AS ids, coalesce(sum(a) FILTER (WHERE real), 0) AS a, coalesce(sum(b) FILTER (WHERE real), 0) AS b, avg(length(text)) AS chars FROM v GROUP BY event_type)
+ SELECT event_type, reports, n_with_report, round(n_cites / greatest(n_with_report, 1), 6) AS citation_rate, round(CASE WHEN ids > 0 THEN a / ids ELSE 1.0 END, 6) AS valid_share, round(CASE WHEN ids > 0 THEN (a + b) / ids ELSE 1.0 END, 6) AS real_share, round(n_hits / greatest(n_with_report, 1), 6) AS keyword_rate, round(chars, 6) AS mean_chars FROM g""")
 def report_metrics(spark, sf_dir):
-    judged = evaluate.citation_validity(evaluate.citations(_reports(spark, sf_dir)), F.array(*map(F.lit, _KNOWN_IDS)))
-    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    rows = judged.join(kinds, "event_id").withColumn("hit", evaluate.keyword_hit(F.col("text"), F.array(F.lit("POOL"))) & (F.col("event_type") != "error"))
+    """Of reports some of which are stubs or blank."""
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    reports = _reports(spark, sf_dir).join(kinds, "event_id")
+    reports = reports.withColumn("text", F.when(F.col("k") % 10 == 3, "[stub report] prompt of 9 characters").when(F.col("k") % 10 == 4, " ").otherwise(F.col("text")))
+    judged = evaluate.citation_validity(evaluate.citations(reports), F.array(*map(F.lit, _KNOWN_IDS)))
+    rows = judged.withColumn("hit", evaluate.keyword_hit(F.col("text"), F.array(F.lit("POOL"))) & (F.col("event_type") != "error"))
     return measure.report_metrics(rows, ["event_type"])
 
 
@@ -796,6 +806,18 @@ def frequent_unknown_settings(spark, sf_dir):
     return measure.frequent_names(names.select(F.filter(F.split("unknown_settings", ","), lambda x: x != "").alias("names")), "names", 15)
 
 
+@query(_REPORTS + f""", x AS (SELECT 'ids' AS kind, unnest(list_filter(ids, lambda x: NOT list_contains(evidence, x) AND NOT list_contains({_ALL_IDS}, x))) AS name FROM cited UNION ALL SELECT kind, unnest(string_split(names, ',')) FROM (SELECT * FROM ({ORACLE_SQL["hallucination_antijoin"]}))
+ UNPIVOT (names FOR kind IN (unknown_settings AS 'settings', unknown_commands AS 'commands', unknown_tools AS 'tools', unknown_variables AS 'variables'))), c AS (SELECT kind, name, count(*) AS n FROM x WHERE name <> '' GROUP BY ALL)
+ SELECT kind, name, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) AS rank FROM c) WHERE rank <= 10""")
+def unknown_examples(spark, sf_dir):
+    """The ten most frequent names of each kind that no list knows, and ids that nothing has."""
+    reports = evaluate.citations(_reports(spark, sf_dir))
+    ids = F.array_except(F.array_except("cited_ids", "evidence"), F.array(*map(F.lit, _KNOWN_IDS)))
+    names = hallucination_antijoin(spark, sf_dir)
+    kinds = [reports.select(F.lit("ids").alias("kind"), ids.alias("names"))] + [names.select(F.lit(k).alias("kind"), F.filter(F.split(f"unknown_{k}", ","), lambda x: x != "").alias("names")) for k in measure.KINDS]
+    return measure.examples(reduce(DataFrame.unionByName, kinds), "kind", "names", 10)
+
+
 @query("WITH v AS (SELECT * FROM (" + ORACLE_SQL["citation_validity"] + """) JOIN (SELECT event_id, event_type FROM events) USING (event_id)), g AS (SELECT event_type, CAST(sum(valid_ids + existing_ids + bogus_ids) AS BIGINT) AS id_cites, CAST(sum(valid_ids) AS BIGINT) AS valid_ids, CAST(sum(existing_ids) AS BIGINT) AS existing_ids, CAST(sum(bogus_ids) AS BIGINT) AS bogus_ids,
  CAST(sum(valid_ranks + invalid_ranks) AS BIGINT) AS rank_cites, CAST(sum(valid_ranks) AS BIGINT) AS valid_ranks, CAST(sum(invalid_ranks) AS BIGINT) AS invalid_ranks FROM v GROUP BY event_type)
  SELECT *, round(valid_ids / greatest(id_cites, 1), 6) AS id_valid_rate, round(bogus_ids / greatest(id_cites, 1), 6) AS id_bogus_rate, round(valid_ranks / greatest(rank_cites, 1), 6) AS rank_valid_rate FROM g""")

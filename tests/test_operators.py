@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import entities as E
-from loomline.operators import compress, evaluate, graph, learn, measure, windows
+from loomline.operators import compress, evaluate, graph, learn, measure, retrieval, windows
 from loomline.sources import eventlog, knowledge
 
 SF = "/root/testdata/sf0.001"
@@ -143,3 +143,20 @@ def test_window_files_and_resume(spark, tmp_path):
 def test_encoder_hook(spark):
     encode = learn.encoder(lambda texts: [[len(t), 1.0] for t in texts])
     assert frame(spark, [("abc",)], "t string").select(encode("t").alias("v")).first().v == [3.0, 1.0]
+
+
+@pytest.mark.parametrize("queries, base, k, on", [(3, 5, 4, None), (2, 3, 3, "label"), (100, 4096, 2, "label")])
+def test_best_entries_equal_brute_force(spark, monkeypatch, queries, base, k, on):
+    """Blocks of any size, ties, classes of one and of many, null vectors."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", queries)
+    monkeypatch.setattr(retrieval, "BASE_BLOCK", base)
+    rows = [(f"v{i:02d}", [float((i * j) % 5) for j in range(1, 4)], "ab"[i % 4 == 0]) for i in range(30)] + [("null", None, "a")]
+    table = spark.createDataFrame(rows, "id string, vec array<double>, label string")
+    asked = table.where("id < 'v09' or id = 'null'").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "label")
+    got = {(r.qid, r["rank"]): (r.id, r.sim) for r in retrieval.cosine_topk(asked if on else asked.drop("label"), table, k, on, 1 / F.length("label")).collect()}
+    want = {}
+    for q, v, x in rows[:9]:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w, y in rows[:-1] if not on or x == y)
+        want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(scored[:k])}
+    assert got == want
+    assert "NestedLoop" not in retrieval.cosine_topk(asked.drop("label"), table, k)._jdf.queryExecution().toString()
