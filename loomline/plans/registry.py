@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import names
-from ..operators import compress, evaluate, graph, learn, measure, retrieval, templates, windows
+from ..operators import compress, evaluate, graph, learn, measure, network, retrieval, templates, train, windows
 from ..operators.windows import CLASSES
 from ..session import scratch_folder, written
 from ..sources import eventlog, knowledge, one_object
@@ -955,6 +955,53 @@ def spark_ml_classifier(spark, sf_dir):
     return measure.class_report(predicted.where("split <> 'train'").select("label", "pred"))
 
 
+_RELATIONS = {"HAS": ("log", "entity"), "OF": ("entity", "log")}
+
+
+def _encoded(records):
+    """Records of windows with vectors of the local encoder, small weights; a record's own vector is of a few figures."""
+    vec = F.array(*[F.log1p(c.cast("double")) for c in (F.col("count"), F.length("template"), F.size("entities"), F.length("raw_line"))])
+    return network.encode_windows(records.select("wid", F.col("first_idx").alias("pos"), "count", vec.alias("vec")), network.LocalEncoder(4, 32, 4, 2, 64))
+
+
+@query()
+def encoded_windows(spark, sf_dir):
+    return _encoded(_compressed(spark, sf_dir)).select("wid", "pos", *[F.round(F.col("encoded")[i], 5).alias(f"e{i}") for i in range(4)])
+
+
+def _passed(records):
+    """Encoded records after two layers of messages between records and entities."""
+    record = F.concat_ws(":", "wid", "first_idx").alias("src")
+    held = written(records.select(record, F.explode("entities").alias("dst")))
+    edges = held.select("src", F.lit("HAS").alias("relation"), "dst").unionByName(held.select(F.col("dst").alias("src"), F.lit("OF").alias("relation"), F.col("src").alias("dst")))
+    own = [F.pmod(F.xxhash64("dst", F.lit(i)), F.lit(2001)) / 1000.0 - 1 for i in range(32)]
+    nodes = written(_encoded(records).select(F.lit("log").alias("kind"), F.concat_ws(":", "wid", "pos").alias("id"), F.col("encoded").alias("x")).unionByName(held.select("dst").distinct().select(F.lit("entity").alias("kind"), F.col("dst").alias("id"), F.array(*own).alias("x"))))
+    for seed in range(2):
+        nodes = written(network.pass_messages(nodes, edges, network.TypedLayer(_RELATIONS, 32, 4, seed)))
+    return nodes
+
+
+@query()
+def typed_messages(spark, sf_dir):
+    nodes = _passed(written(_compressed(spark, sf_dir)))
+    return nodes.select("kind", "id", *[F.round(F.col("x")[i], 5).alias(f"x{i}") for i in range(4)])
+
+
+@query()
+def trained_classifier(spark, sf_dir):
+    """Windows as means of their records after messages, classified by a network that is trained on the cluster."""
+    lines = eventlog.lines(spark, sf_dir)
+    x = F.array(*[F.avg(F.col("x")[i]) for i in range(32)])
+    pooled = _passed(written(compress.compress_windows(_records(lines)))).where("kind = 'log'").groupBy(F.regexp_replace("id", ":[0-9]+$", "").alias("id")).agg(x.alias("x"))
+    code = F.element_at(F.create_map(*[F.lit(v) for i, c in enumerate(CLASSES) for v in (c, i)]), F.col("label"))
+    rows = written(pooled.join(_split(lines).select(F.col("wid").alias("id"), "label", "split"), "id").where(F.col("label").isin(*CLASSES)).withColumn("y", code.cast("long")))
+    trainer = train.Trainer(f"{scratch_folder(spark)}/train-{uuid.uuid4().hex}", len(CLASSES), 32, 128, batches=2)
+    weights = trainer.fit(rows.where("split = 'train'").select("id", "x", "y"), rows.where("split = 'val'").select("id", "x", "y"), 5)
+    predicted = train.predict(rows.where("split <> 'train'").select("label", "x"), weights)
+    names = F.array(*map(F.lit, CLASSES))
+    return measure.class_report(predicted.select("label", names[F.col("pred").cast("int")].alias("pred")))
+
+
 def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
     """Run a streaming plan over the events to its end and return what it wrote."""
     path = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
