@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import names
-from ..operators import compress, evaluate, graph, learn, measure, network, retrieval, templates, train, windows
+from ..operators import compress, evaluate, generate, graph, learn, measure, network, retrieval, templates, train, windows
 from ..operators.windows import CLASSES
 from ..session import scratch_folder, written
 from ..sources import eventlog, knowledge, one_object
@@ -863,6 +863,43 @@ def chunk_lookup(spark, sf_dir):
 _VECTOR = "[length(text), length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^ ]', '', 'g'))]"
 
 
+@query(_CONTEXT + " SELECT wid, '[' || length(top_templates) || '] ' || left(top_templates, 20) AS report FROM ctx")
+def generated_reports(spark, sf_dir):
+    """Prompts answered by a generator that only says how long they are; equal prompts are asked once."""
+    prompts = written(retrieval.window_context(_compressed(spark, sf_dir)).select("wid", F.col("top_templates").alias("prompt")))
+    table = ChunkTable(spark, f"{scratch_folder(spark)}/answers-{uuid.uuid4().hex}", "digest")
+    generate.answer(prompts, table, lambda prompt: f"[{len(prompt)}] {prompt[:20]}")
+    return prompts.withColumn("digest", F.sha2("prompt", 256)).join(table.read(), "digest").select("wid", F.col("answer").alias("report"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace('<think>' || source || chr(10) || '</think>' || text || '<think></think> ', '(?s)<think>.*?</think>', '', 'g'))) AS plain FROM documents")
+def plain_answers(spark, sf_dir):
+    """Answers of a model without what it has marked as thinking."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.concat(F.lit("<think>"), "source", F.lit("\n</think>"), "text", F.lit("<think></think> "))
+    return docs.select("doc_id", F.md5(evaluate.without_thoughts(text)).alias("plain"))
+
+
+@query("""SELECT 'T-' || doc_id AS id, 'guide' AS doc_type, lang AS title, source AS symptom, NULL AS root_cause, CASE WHEN n_chars > 500 THEN 'shorten|split' ELSE '' END AS fix, lang AS anomaly_classes FROM documents
+ UNION ALL SELECT DISTINCT 'CFG-size_' || n_chars, 'config', 'Configuration: size_' || n_chars, 'characters', 'type int; default ' || n_chars, '', 'length' FROM documents WHERE n_chars > 500""")
+def knowledge_entries(spark, sf_dir):
+    """Tuples and parameters written as knowledge files of bounded size, and read back as entries of one form."""
+    folder = f"{scratch_folder(spark)}/knowledge-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fix = F.when(F.col("n_chars") > 500, F.array(F.lit("shorten"), F.lit("split"))).otherwise(F.array().cast("array<string>"))
+    entry = F.struct(F.concat(F.lit("T-"), "doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("symptom"), fix.alias("fix"), F.array("lang").alias("anomaly_classes"))
+    shard = F.floor(F.col("doc_id") / 2000).alias("shard")
+    tuples = docs.groupBy("source", shard).agg(F.collect_list(entry).alias("tuples")).select("source", F.to_json(F.struct(F.lit("guide").alias("doc_type"), "tuples")).alias("value"))
+    one = {"maxRecordsPerFile": 1}  # a file holds one object
+    tuples.write.partitionBy("source").options(**one).text(f"{folder}/tuples")
+    classes = F.when(F.col("n_chars") > 500, F.array(F.lit("length"))).otherwise(F.array().cast("array<string>"))
+    setting = F.struct(F.concat(F.lit("size_"), "n_chars").alias("name"), F.lit("characters").alias("description"), F.lit("int").alias("type"), F.col("n_chars").cast("string").alias("default"), classes.alias("anomaly_classes"))
+    sizes = docs.select("n_chars").where("n_chars is not null").distinct()
+    sizes.groupBy(F.floor(F.col("n_chars") / 2000)).agg(F.collect_list(setting).alias("parameters")).select(F.to_json(F.struct("parameters")).alias("value")).write.options(**one).text(f"{folder}/config")
+    rows = knowledge.tuple_entries(spark, [f"{folder}/tuples"]).unionByName(knowledge.parameter_entries(spark, [f"{folder}/config"]))
+    return rows.select("id", "doc_type", "title", "symptom", "root_cause", F.array_join("fix", "|").alias("fix"), F.array_join("anomaly_classes", "|").alias("anomaly_classes"))
+
+
 @query(f"""WITH {LINES}, {LABELS}, t AS (SELECT DISTINCT regexp_replace(raw_line, '^.*? - ', '') AS text, user_id % 5 < 3 AS known FROM lines), u AS (SELECT text, bool_or(known) AS known FROM t GROUP BY text)
  SELECT sha256(text) AS digest, (CASE WHEN known THEN {_VECTOR}[1] ELSE 0 END)::DOUBLE AS v0, (CASE WHEN known THEN {_VECTOR}[2] ELSE 0 END)::DOUBLE AS v1, (CASE WHEN known THEN {_VECTOR}[3] ELSE 0 END)::DOUBLE AS v2 FROM u""")
 def vector_cache(spark, sf_dir):

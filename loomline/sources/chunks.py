@@ -126,6 +126,12 @@ class ChunkTable:
                 self._files.delete(self._at(f"{self.path}/{part}/{attempt}"), True)
         return len(there - used)
 
+    def remove(self, part: str) -> None:
+        """Delete a folder beside the table's own."""
+        if part in ("data", "manifest", "commits"):
+            raise ValueError(part)
+        self._files.delete(self._at(f"{self.path}/{part}"), True)
+
     # Reading
 
     def _chunks(self, version: int | None) -> list[str]:

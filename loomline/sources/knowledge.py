@@ -15,13 +15,26 @@ PARAMETER = "name string, description string, type string, default string, effec
 ENTRY = ["id", "origin_file", "doc_type", "title", "symptom", "root_cause", "fix", "config_params", "anomaly_classes", "subsystems", "tags"]
 
 
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths or patterns that match anything: a corpus is read without the files that it lacks."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+            out.append(path)
+    return out
+
+
 def windows_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(wid, *WINDOW) from files that each hold one object of windows by id, of any length."""
     return windows_object(spark, paths, _struct(WINDOW))
 
 
 def windows_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same from JSON lines with wid: splittable."""
+    """The same from JSON lines with wid. Missing files are passed over; without any there are no rows."""
+    paths = present(spark, paths)
+    if not paths:
+        return spark.createDataFrame([], "wid string, " + WINDOW)
     return spark.read.schema("wid string, " + WINDOW).json(paths)
 
 

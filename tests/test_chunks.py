@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import learn
+from loomline.operators import generate, learn
 from loomline.sources.chunks import ChunkTable
 
 
@@ -101,3 +101,32 @@ def test_each_text_is_encoded_once(spark, tmp_path):
     assert seen.value == 4
     got = learn.with_vectors(texts.union(spark.createDataFrame([("new",)], "text string")), table, 2)
     assert sorted(("-" if r.text is None else r.text, r.vector) for r in got.collect()) == [("", [0.0, 1.0]), ("-", [0.0, 0.0]), ("a", [1.0, 1.0]), ("a", [1.0, 1.0]), ("bb", [2.0, 1.0]), ("new", [0.0, 0.0])]
+
+
+def test_each_prompt_is_answered_once(spark, tmp_path):
+    """A generator that fails at first, a prompt that breaks the job, and a second run."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def ask(prompt):
+        import os
+        import uuid
+
+        if prompt == "p7" and not os.path.exists(log / "mended"):
+            raise TimeoutError("down")
+        if not list(log.glob(f"{prompt}.tried-*")):
+            (log / f"{prompt}.tried-{uuid.uuid4().hex}").touch()
+            raise TimeoutError("busy")
+        (log / f"{prompt}.answer-{uuid.uuid4().hex}").touch()
+        return prompt.upper()
+
+    table = ChunkTable(spark, str(tmp_path / "t"), "digest")
+    prompts = spark.createDataFrame([(f"p{i % 20}",) for i in range(60)] + [(None,)], "prompt string").repartition(1)
+    with pytest.raises(Exception, match="down"):
+        generate.answer(prompts, table, ask, attempts=2, pause=0.01, in_flight=1)
+    assert table.version() == 0
+    (log / "mended").touch()
+    generate.answer(prompts, table, ask, attempts=3, pause=0.01)
+    generate.answer(prompts, table, ask, attempts=1)
+    assert sorted(r.answer for r in table.read().collect()) == sorted(f"P{i}" for i in range(20))
+    assert all(len(list(log.glob(f"p{i}.answer-*"))) == 1 for i in range(20)) and not (tmp_path / "t/journal").exists()

@@ -131,6 +131,13 @@ def test_knowledge_files(spark, tmp_path):
     assert rows["SC-605"].anomaly_classes == ["flush"] and rows["SC-605"].fix == ["h"] and rows["SC-605"].tags == ["smoking_gun"] and not rows["SC-7"].tags
 
 
+def test_missing_files_are_passed_over(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"wid": "w", "logs": []}))
+    there, missing = str(tmp_path / "a.json"), str(tmp_path / "b.json")
+    assert knowledge.windows_lines(spark, [there, missing]).count() == 1 and knowledge.windows_lines(spark, [missing]).count() == 0
+    assert knowledge.windows_lines(spark, [str(tmp_path / "*.json")]).count() == 1
+
+
 def test_window_files_and_resume(spark, tmp_path):
     path = tmp_path / "w.json"
     path.write_text(json.dumps({f"f:count:{i}:1.0": {"label_file": "f", "anomaly_types": ["error"], "logs": [{"raw_line": "a", "timestamp": "1"}, {"raw_line": "", "timestamp": "2"}]} for i in range(3)}))
