@@ -1055,6 +1055,8 @@ def stream_count_windows(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda rows: streams.stream_count_windows(rows, eventlog.WINDOW_LINES), "append")
 
 
-@query()
+@query("""WITH w AS (SELECT 'f' || (user_id % 4) AS stream, date_trunc('hour', ts) AS start, count(*) AS lines, count(DISTINCT user_id) AS users FROM events GROUP BY ALL)
+ SELECT stream, strftime(start, '%Y-%m-%d %H') AS start, lines, users FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def stream_time_windows(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda rows: streams.stream_time_windows(rows), "append")
+    rows = _streamed(spark, sf_dir, lambda rows: streams.stream_time_windows(rows), "append")
+    return rows.select("stream", F.date_format("start", "yyyy-MM-dd HH").alias("start"), "lines", "users")
