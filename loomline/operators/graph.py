@@ -135,6 +135,20 @@ def ego_edges(targets: DataFrame, line_entities: DataFrame) -> DataFrame:
     return rows.select("target", "wid", "log_idx", "entity", number("wid").alias("window_no"), number("wid", "log_idx").alias("line_no"), number("entity").alias("entity_no"))
 
 
+def ego_sizes(targets: DataFrame, line_entities: DataFrame) -> DataFrame:
+    """(target, windows, lines, entities, edges) of each subgraph of :func:`ego_edges`, without building it.
+
+    A line is in one window, so lines and edges are sums over windows; only entities can be in several.
+    """
+    count = F.count(F.lit(1))
+    by_line = line_entities.select("wid", "log_idx", "entity").distinct().groupBy("wid", "log_idx").agg(count.alias("n"))
+    windows = by_line.groupBy("wid").agg(count.alias("_lines"), F.sum("n").alias("_edges"))
+    targets = targets.select("target", "wid").distinct()
+    sums = targets.join(windows, "wid").groupBy("target").agg(count.alias("windows"), F.sum("_lines").alias("lines"), F.sum("_edges").alias("edges"))
+    entities = targets.join(line_entities.select("wid", "entity").distinct(), "wid").select("target", "entity").distinct().groupBy("target").agg(count.alias("entities"))
+    return sums.join(entities, "target").select("target", "windows", "lines", "entities", "edges")
+
+
 def upsert(node_updates: DataFrame) -> DataFrame:
     """(node_id, key, value) merged from updates with ``at``: the last value of each key that is not null wins."""
     return node_updates.where("value is not null").groupBy("node_id", "key").agg(F.max_by("value", "at").alias("value"))

@@ -228,7 +228,7 @@ def zero_entity_records(spark, sf_dir):
 @query(f"""WITH {ENTITIES}, t AS (SELECT wid, count(*) AS total FROM lines GROUP BY wid), c AS (SELECT wid, entity_type, entity, count(*) AS lines FROM ents GROUP BY ALL)
  SELECT wid, entity_type, entity, c.lines, round(c.lines * 100.0::DOUBLE / total, 2) AS percent, CASE WHEN c.lines * 100.0::DOUBLE / total > 50 THEN 'high' WHEN c.lines * 100.0::DOUBLE / total > 10 THEN 'medium' ELSE 'low' END AS level FROM c JOIN t USING (wid)""")
 def entity_frequency_levels(spark, sf_dir):
-    lines = eventlog.lines(spark, sf_dir)
+    lines = _numbered(spark, sf_dir)
     return compress.frequency_levels(_entities(lines), lines.groupBy("wid").agg(F.count(F.lit(1)).alias("total")))
 
 
@@ -243,11 +243,15 @@ _NODES = f"""WITH {ENTITIES}, {LABELS}, nodes AS (SELECT 'Window' AS node_type,
  UNION SELECT 'Window:' || wid, 'Anomaly:' || label, 'HAS_ANOMALY' FROM labelled)"""
 
 
-def _graph(spark, sf_dir, shared=False):
-    """Nodes and edges; ``shared`` if several branches read the entities."""
-    lines = eventlog.lines(spark, sf_dir)
-    labels, ents = _labels(lines).select("wid", "label"), _entities(lines)
-    ents = written(ents) if shared else ents
+def _numbered(spark, sf_dir):
+    """Lines with their windows, numbered once for all branches of a plan."""
+    return written(eventlog.lines(spark, sf_dir).select("wid", "log_idx", "event_type", "raw_line"))
+
+
+def _graph(spark, sf_dir):
+    """Nodes and edges; lines and entities are found once."""
+    lines = _numbered(spark, sf_dir)
+    labels, ents = _labels(lines).select("wid", "label"), written(_entities(lines))
     return graph.nodes(labels, lines, ents), graph.edges(labels, lines, ents)
 
 
@@ -258,12 +262,12 @@ def kg_nodes(spark, sf_dir):
 
 @query(_NODES + " SELECT * FROM edges")
 def kg_edges(spark, sf_dir):
-    return _graph(spark, sf_dir, shared=True)[1]
+    return _graph(spark, sf_dir)[1]
 
 
 @query(_NODES + " SELECT 'node' AS kind, node_type AS type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relation, count(*) FROM edges GROUP BY ALL")
 def kg_stats(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir, shared=True)
+    nodes, edges = _graph(spark, sf_dir)
     count = F.count(F.lit(1)).alias("n")
     return nodes.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("type")).agg(count).union(edges.groupBy(F.lit("edge"), "relation").agg(count))
 
@@ -328,21 +332,21 @@ _EGO = _WE + f""", {scores()}, tg AS (SELECT wid AS target, neighbor AS wid FROM
 
 
 def _ego(spark, sf_dir):
-    lines = eventlog.lines(spark, sf_dir)
+    """(target, wid) of each window's subgraph, and (wid, log_idx, entity) of the lines."""
+    lines = _numbered(spark, sf_dir)
     found_in = written(_entities(lines).select("wid", "log_idx", F.concat_ws(":", "entity_type", "entity").alias("entity")))
     near = written(graph.top_neighbors(graph.shared_entity_scores(found_in.select("wid", "entity").distinct(), MOST_WINDOWS, NEIGHBORS), NEIGHBORS))
-    targets = near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct())
-    return graph.ego_edges(targets, found_in)
+    return near.select(F.col("wid").alias("target"), F.col("neighbor").alias("wid")).union(lines.select("wid", "wid").distinct()), found_in
 
 
 @query(_EGO + " SELECT target, wid, log_idx, entity, window_no, line_no, entity_no FROM num")
 def ego_subgraph_edges(spark, sf_dir):
-    return _ego(spark, sf_dir)
+    return graph.ego_edges(*_ego(spark, sf_dir))
 
 
 @query(_EGO + " SELECT target, count(DISTINCT wid) AS windows, count(DISTINCT (wid, log_idx)) AS lines, count(DISTINCT entity) AS entities, count(*) AS edges FROM num GROUP BY target HAVING count(DISTINCT wid) + count(DISTINCT (wid, log_idx)) + count(DISTINCT entity) <= 200000")
 def ego_subgraph_sizes(spark, sf_dir):
-    sizes = _ego(spark, sf_dir).groupBy("target").agg(F.count_distinct("window_no").alias("windows"), F.count_distinct("line_no").alias("lines"), F.count_distinct("entity_no").alias("entities"), F.count(F.lit(1)).alias("edges"))
+    sizes = graph.ego_sizes(*_ego(spark, sf_dir))
     return sizes.where(F.col("windows") + F.col("lines") + F.col("entities") <= 200_000)
 
 
