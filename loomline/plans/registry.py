@@ -488,16 +488,24 @@ _CONTEXT = f"""WITH {ENTITIES}, {RECORDS}, {LABELS}, k AS (SELECT *, row_number(
  fq AS (SELECT wid, string_agg(entity || '(x' || n || ')', ', ' ORDER BY r) AS entities FROM fr WHERE r <= 5 GROUP BY wid)"""
 
 
-@query(_CONTEXT + " SELECT wid, log_count_original, log_count, top_templates, entities FROM ctx LEFT JOIN fq USING (wid)")
-def window_context(spark, sf_dir):
-    lines = eventlog.lines(spark, sf_dir)
+#: A context keeps eight frequent entities; the query that is made of it has five.
+_WIDE_CONTEXT = _CONTEXT.replace("FROM fr WHERE r <= 5", "FROM fr WHERE r <= 8")
+
+
+def _contexts(spark, sf_dir, entities):
+    lines = _numbered(spark, sf_dir).withColumn("ts_s", F.regexp_extract("raw_line", r"^- (\S+ \S+) ", 1))
     context = retrieval.window_context(compress.compress_windows(_records(lines)))
-    return context.join(retrieval.frequent_entities(_entities(lines), 5), "wid", "left")
+    return context.join(retrieval.frequent_entities(_entities(lines), entities), "wid", "left").join(_labels(lines).select("wid", "label"), "wid")
+
+
+@query(_WIDE_CONTEXT + " SELECT wid, log_count_original, log_count, top_templates, entities FROM ctx LEFT JOIN fq USING (wid)")
+def window_context(spark, sf_dir):
+    return _contexts(spark, sf_dir, 8).drop("label")
 
 
 @query(_CONTEXT + " SELECT wid, 'Predicted anomaly: ' || label || chr(10) || 'Top log templates by count:' || chr(10) || top_templates || coalesce(chr(10) || 'Frequent entities: ' || entities, '') AS query FROM ctx JOIN labelled USING (wid) LEFT JOIN fq USING (wid)")
 def prompt_text(spark, sf_dir):
-    context = window_context(spark, sf_dir).join(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), "wid")
+    context = _contexts(spark, sf_dir, 5)
     return context.select("wid", retrieval.retrieval_query(context).alias("query"))
 
 
@@ -780,11 +788,17 @@ def evidence_blocks(spark, sf_dir):
     return retrieval.evidence_block(evidence, "qid")
 
 
-@query(_CONTEXT + """ SELECT wid, 'Predicted anomaly: ' || label || chr(10) || 'Log lines: ' || log_count_original || ' in ' || log_count || ' records' || chr(10) || 'Top log templates by count:' || chr(10) || top_templates || chr(10) || 'Frequent entities: ' || coalesce(entities, '(none)') || chr(10) || 'Evidence:' || chr(10) || '(none)' || chr(10)
- || 'Explain the anomaly, its root cause and the actions to take. Cite tuples as (see ID).' AS prompt, 'Predicted anomaly: ' || label || chr(10) || 'Evidence:' || chr(10) || '(none)' || chr(10) || 'List the actions to take, each with the tuple that supports it.' AS actions FROM ctx JOIN labelled USING (wid) LEFT JOIN fq USING (wid)""")
+_OF_LABEL = "50 * CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in names.LABEL_CODES.items()) + f" ELSE {names.NORMAL_CODE} END"
+
+
+@query(_WIDE_CONTEXT + f", found AS ({ORACLE_SQL['evidence_blocks']})" + """ SELECT wid, 'Predicted anomaly: ' || label || chr(10) || 'Log lines: ' || log_count_original || ' in ' || log_count || ' records' || chr(10) || 'Top log templates by count:' || chr(10) || top_templates || chr(10) || 'Frequent entities: ' || coalesce(entities, '(none)') || chr(10) || 'Evidence:' || chr(10) || coalesce(evidence, '(none)') || chr(10)
+ || 'Explain the anomaly, its root cause and the actions to take. Cite tuples as (see ID).' AS prompt, 'Predicted anomaly: ' || label || chr(10) || 'Evidence:' || chr(10) || coalesce(evidence, '(none)') || chr(10) || 'List the actions to take, each with the tuple that supports it.' AS actions FROM ctx JOIN labelled USING (wid) LEFT JOIN fq USING (wid) LEFT JOIN found ON found.qid = """ + _OF_LABEL)
 def prompts(spark, sf_dir):
-    """Both prompts of every window, without evidence."""
-    context = window_context(spark, sf_dir).join(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"), "wid").withColumn("evidence", F.lit(None).cast("string"))
+    """Both prompts of every window, with the evidence that was found for the query vector of its label."""
+    found = written(evidence_blocks(spark, sf_dir))
+    context = _contexts(spark, sf_dir, 8)
+    code = names.label_code(F.col("label")) * 50
+    context = context.join(found, code == F.col("qid"), "left")
     return context.select("wid", retrieval.prompt(context).alias("prompt"), retrieval.prompt(context, actions_only=True).alias("actions"))
 
 
