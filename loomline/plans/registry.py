@@ -873,7 +873,7 @@ def chunked_sink(spark, sf_dir):
 def chunk_lookup(spark, sf_dir):
     """A small range of windows looked up in a table of chunks: only those that can hold them are read."""
     table = ChunkTable(spark, f"{scratch_folder(spark)}/chunks-{uuid.uuid4().hex}", "wid", 20)
-    rows = _labels(eventlog.lines(spark, sf_dir)).select("wid", "label")
+    rows = written(_labels(eventlog.lines(spark, sf_dir)).select("wid", "label"))
     table.add(rows)
     return table.lookup(rows.where("wid between 'f1:count:10' and 'f1:count:12'"))
 
