@@ -122,12 +122,37 @@ def _array(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
-def _merge(parts: pd.DataFrame, heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One (top, sum, weighted sum) of several: sums of exponentials by head, each relative to its own top."""
-    top, total, message = (_array(parts[c]) for c in ("top", "total", "message"))
-    most = top.max(axis=0)
-    scale = np.exp(top - most)
-    return most, (total * scale).sum(axis=0), (message.reshape(len(top), heads, -1) * scale[:, :, None]).sum(axis=0).ravel()
+def _merge(first: np.ndarray, top: np.ndarray, total: np.ndarray, message: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of rows that begin at ``first`` as one each: sums of exponentials by head, and of messages, each relative to its own top."""
+    most = np.maximum.reduceat(top, first, axis=0)
+    scale = np.exp(top - np.repeat(most, np.diff(np.r_[first, len(top)]), axis=0))
+    weighted = message.reshape(len(top), top.shape[1], -1) * scale[:, :, None]
+    return most, np.add.reduceat(total * scale, first, axis=0), np.add.reduceat(weighted, first, axis=0).reshape(len(first), -1)
+
+
+def _runs(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Rows in order of their keys, one for each run of equal ones."""
+    first = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
+    merged = _merge(first, *(_array(rows[c]) for c in ("top", "total", "message")))
+    return rows.iloc[first][keys].reset_index(drop=True).assign(**{c: list(x) for c, x in zip(("top", "total", "message"), merged)})
+
+
+def _merged(keys: list[str]):
+    """Over a partition in order of its keys, a row for each; what a batch ends with waits for the next."""
+
+    def run(frames):
+        held = None
+        for f in frames:
+            f = f[[*keys, "top", "total", "message"]]
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if len(f):
+                out = _runs(f, keys)
+                yield out.iloc[:-1]
+                held = out.iloc[-1:]
+        if held is not None:
+            yield held
+
+    return run
 
 
 def pass_messages(nodes: DataFrame, edges: DataFrame, layer: TypedLayer) -> DataFrame:
@@ -157,16 +182,9 @@ def pass_messages(nodes: DataFrame, edges: DataFrame, layer: TypedLayer) -> Data
         for f in frames:
             if not len(f):
                 continue
-            s, m = shared.value.scores(_array(f["query"]), _array(f["key"])), _array(f["message"])
-            f = f.assign(top=list(s), total=list(np.ones_like(s)), message=list(m))
-            rows = [(*node, *_merge(part, layer.heads)) for node, part in f.groupby(["to", "dst", "share"])]
-            yield pd.DataFrame(rows, columns=["to", "dst", "share", "top", "total", "message"])
-
-    def merged(share: bool):
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(part["to"].iloc[0], part["dst"].iloc[0], *([part["share"].iloc[0]] if share else []), *_merge(part, layer.heads))], columns=["to", "dst", *(["share"] if share else []), "top", "total", "message"])
-
-        return run
+            s = shared.value.scores(_array(f["query"]), _array(f["key"]))
+            f = f.assign(top=list(s), total=list(np.ones_like(s))).sort_values(["to", "dst", "share"])
+            yield _runs(f, ["to", "dst", "share"])
 
     def updated(frames):
         for f in frames:
@@ -181,7 +199,8 @@ def pass_messages(nodes: DataFrame, edges: DataFrame, layer: TypedLayer) -> Data
     share = F.pmod(F.xxhash64("src", "relation"), F.lit(SHARES))
     along = edges.join(offered, ["relation", "src"]).join(asked, ["to", "dst"]).select("to", "dst", share.alias("share"), "query", "key", "message")
     parts = along.mapInPandas(weighed, f"to string, dst {ids}, share long, {arrays}")
-    shares = parts.groupBy("to", "dst", "share").applyInPandas(merged(True), f"to string, dst {ids}, share long, {arrays}")
-    received = written(shares.groupBy("to", "dst").applyInPandas(merged(False), f"to string, dst {ids}, {arrays}"))
+    shares, whole = ["to", "dst", "share"], ["to", "dst"]
+    parts = parts.repartition(*shares).sortWithinPartitions(*shares).mapInPandas(_merged(shares), f"to string, dst {ids}, share long, {arrays}")
+    received = written(parts.repartition(*whole).sortWithinPartitions(*whole).mapInPandas(_merged(whole), f"to string, dst {ids}, {arrays}"))
     joined = nodes.join(received, (F.col("kind") == F.col("to")) & (F.col("id") == F.col("dst")), "left").select("kind", "id", "x", "total", "message")
     return joined.mapInPandas(updated, f"kind string, id {ids}, x array<double>")
