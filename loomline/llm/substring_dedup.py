@@ -188,15 +188,22 @@ def removals(docs: DataFrame) -> DataFrame:
     again = left.mapInArrow(T.mapper(anchors), "h long, doc long").groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     still = bitmap(cut(again.where("first < last").select("h")), "h")
 
-    def windows(part: pa.RecordBatch) -> pa.RecordBatch:
+    def windows(part: pa.RecordBatch, repeated=None) -> pa.RecordBatch:
         words, place, at, h = placed(part)
         a = np.flatnonzero(_candidates(words, at[in_bitmap(still, h)]))
-        digests, of = words.digests(a, a + WINDOW), pa.array(words.doc[a])
+        digests = words.digests(a, a + WINDOW)
+        if repeated is not None:
+            held = in_bitmap(repeated, digests[:, 0])
+            a, digests = a[held], digests[held]
+        of = pa.array(words.doc[a])
         return pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), part.column("doc_id").take(of), part.column("key").take(of), pa.array(place[a])], ["h", "g", "doc_id", "key", "at"])
 
-    compared = left.mapInArrow(T.mapper(windows), "h long, g long, doc_id long, key long, at long")
+    kinds = "h long, g long, doc_id long, key long, at long"
+    compared = left.mapInArrow(T.mapper(windows), kinds)
     # Written first, so that the join by window is one that Spark can split; a window may be in a third of all documents.
     smallest = cut(compared.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first"))
+    repeated = bitmap(smallest, "h")
+    compared = left.mapInArrow(T.mapper(lambda part: windows(part, repeated)), kinds)
     found = compared.join(smallest, ["h", "g"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
     found = cut(found).withColumnsRenamed({"doc_id": "of", "key": "of_key"})
 
