@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import bounded_sample
+from .common import bitmap, cut, in_bitmap
 
 BUCKET_BITS = 16
 HELD_OUT, QUANTILE, MARGIN = 5, 0.005, 0.05
-#: At most about so many trusted labels are used, chosen by a hash of doc_id.
-TRUSTED_BOUND = 200_000
+#: Bins of a mean log ratio of 1, from which its quantile is found.
+BINS = 1 << 12
 MIN_WORDS = 10
 #: Percent of words in repeated windows above which the base rule fails.
 MAX_REPEAT_PERCENT = 20
@@ -112,35 +112,65 @@ def measure(column: pa.Array, ratio: Ratio) -> dict[str, np.ndarray]:
     }
 
 
+def _quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of a column llr, interpolated; the driver gets counts of bins and the distinct values of one or two bins."""
+    values = cut(values)
+    bins = F.floor(F.col("llr") * BINS)
+    rows = values.groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").toArrow()
+    upto = np.cumsum(rows["n"].to_numpy())
+    if not len(upto):
+        return None
+    place = (upto[-1] - 1) * share
+    first, second = int(place), min(int(place) + 1, int(upto[-1]) - 1)
+    low, high = np.searchsorted(upto, [first, second], side="right")
+    near = values.where(bins.between(rows["bin"][int(low)].as_py(), rows["bin"][int(high)].as_py()))
+    near = near.groupBy("llr").agg(F.count(F.lit(1)).alias("n")).orderBy("llr").toArrow()
+    before = int(upto[low - 1]) if low else 0
+    at = np.searchsorted(np.cumsum(near["n"].to_numpy()) + before, [first, second], side="right")
+    a, b = near["llr"].to_numpy()[at]
+    return float(a + (b - a) * (place - first))
+
+
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with such ids, and the columns of these; a bitmap keeps most others from being moved."""
+    shared = bitmap(ids.select(F.xxhash64(F.col("doc_id").cast("long")).alias("_key")), "_key")
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shared, batch.column("_key").to_numpy())))
+
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("_key"))
+    return keyed.mapInArrow(likely, keyed.schema).drop("_key").join(ids, "doc_id")
+
+
 def fitted_ratio(docs: DataFrame, trusted_ids: DataFrame) -> Ratio:
-    """Log ratio of every bucket, from all documents and trusted ones, and the threshold.
+    """Log ratio of every bucket, from all documents and all trusted ones, and the threshold.
 
-    ``trusted_ids`` has doc_id; it is cut to ``TRUSTED_BOUND`` rows, which is
-    what makes the broadcast joins safe. Counts are summed within a task, so a
+    ``trusted_ids`` has doc_id. Counts are summed within a task, so a
     task sends at most one row for each bucket.
     """
-    chosen = bounded_sample(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", TRUSTED_BOUND)
-    chosen = F.broadcast(chosen.withColumn("counted", F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(HELD_OUT)) > 0))
-    texts = docs.select("doc_id", "text")
+    ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
+    ids = cut(ids.withColumn("counted", F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(HELD_OUT)) > 0))
+    trusted = cut(_of(docs, ids))
     size = 1 << BUCKET_BITS
 
     def count(batches):
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n = np.zeros(size, np.int64)
         for part in T.chunks(batches):
-            bucket, of, *_ = _features(*T.utf8(part.column("text")))
-            trusted = part.column("counted").fill_null(False).to_numpy(zero_copy_only=False)
-            raw += np.bincount(bucket, minlength=size)
-            target += np.bincount(bucket[trusted[of]], minlength=size)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": at, "n_raw": raw[at], "n_target": target[at]})
-
-    rows = texts.join(chosen, "doc_id", "left").select("text", "counted").mapInArrow(count, "bucket long, n_raw long, n_target long")
-    rows = rows.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")).toArrow()
-    raw, target = np.zeros(size), np.zeros(size)
-    at = rows["bucket"].to_numpy()
-    raw[at], target[at] = rows["n_raw"].to_numpy(), rows["n_target"].to_numpy()
+            n += np.bincount(_features(*T.utf8(part.column("text")))[0], minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"bucket": at, "n": n[at]})
+
+    def counts(texts: DataFrame) -> np.ndarray:
+        rows = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size)
+        out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+        return out
+
+    target = counts(trusted.where("counted"))
     if not target.sum():
         return Ratio(np.zeros(size))
+    raw = counts(docs)
     p_raw = (raw + 1) / (raw.sum() + size)
     p_target = (target + size * p_raw) / (target.sum() + size)
     ratio = Ratio(np.log(p_target) - np.log(p_raw))
@@ -150,10 +180,9 @@ def fitted_ratio(docs: DataFrame, trusted_ids: DataFrame) -> Ratio:
         found = measure(part.column("text"), shared.value)
         return pa.RecordBatch.from_pydict({"llr": found["llr"][~found["base_failed"]]})
 
-    # A row for each held-out trusted document, TRUSTED_BOUND / HELD_OUT or so.
-    held = texts.join(chosen.where("not counted"), "doc_id").select("text").mapInArrow(T.mapper(means), "llr double").toArrow()["llr"].to_numpy()
-    if len(held):
-        ratio.threshold = float(np.quantile(held, QUANTILE)) - MARGIN
+    threshold = _quantile(trusted.where("not counted").select("text").mapInArrow(T.mapper(means), "llr double"), QUANTILE)
+    if threshold is not None:
+        ratio.threshold = threshold - MARGIN
     return ratio
 
 

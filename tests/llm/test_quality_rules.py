@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from loomline.llm import quality_rules as Q
 
@@ -49,3 +50,18 @@ def test_no_trusted_text_and_empty_table(spark):
     assert not Q.fitted_ratio(docs(spark), none).weights.any()
     ratio = Q.fitted_ratio(empty(spark), none)
     assert Q.quality_report(empty(spark), ratio).collect() == [] == Q.quality_filter(empty(spark), ratio).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_threshold_is_the_quantile_of_all_held_out_documents(spark, n):
+    values = np.round(np.random.default_rng(n).normal(0, 0.01, n), 4)
+    got = Q._quantile(spark.createDataFrame([(float(v),) for v in values], "llr double"), 0.37)
+    assert got == pytest.approx(np.quantile(values, 0.37), abs=1e-12)
+    assert Q._quantile(spark.createDataFrame([], "llr double"), 0.37) is None
+
+
+def test_every_trusted_document_counts(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(50)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    assert sorted(r.doc_id for r in Q._of(docs, ids).collect()) == list(range(0, 50, 3))
+    assert not hasattr(Q, "TRUSTED_BOUND")
