@@ -167,3 +167,28 @@ def test_best_entries_equal_brute_force(spark, monkeypatch, queries, base, k, on
         want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(scored[:k])}
     assert got == want
     assert "NestedLoop" not in retrieval.cosine_topk(asked.drop("label"), table, k)._jdf.queryExecution().toString()
+
+
+def test_overlaps_ask_for_blocks_of_numbers(spark):
+    """Each pair of blocks meets once, and pairs that share a rare entity carry no sets of entities."""
+    rows = frame(spark, [(f"w{i}", f"e{j}") for i in range(9) for j in range(6) if (i + j) % 4] + [("w1", "r"), ("w2", "r")], "wid string, entity string")
+    plan = graph.shared_entity_scores(rows, 2, 2)._jdf.queryExecution().toString()
+    assert "array_intersect" not in plan
+    assert {r.score for r in graph.shared_entity_scores(rows, 2, 2).where("wid = 'w1' and neighbor = 'w2'").collect()} == {5}
+
+
+def test_touching_lines_move_no_lines_to_the_driver(spark):
+    """Line tables look small as Parquet files, so they must not be broadcast; lines of other windows stay if they share an entity."""
+    lines = frame(spark, [("a", 0, "x"), ("b", 0, "x"), ("b", 1, "y"), ("a", 1, "z")], "wid string, log_idx long, entity string")
+    got = graph.touching_lines(frame(spark, [("a", "a"), ("a", "b")], "target string, wid string"), lines)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", "a", 0), ("a", "a", 1), ("a", "b", 0)]
+
+
+def test_words_of_subsystems_stand_in_their_patterns(spark):
+    """A pattern is only tried where one of its words stands, so each branch of it must hold one."""
+    texts = ["FLUSH x", "Compact", "CompactionRecover", "a.tsfile", "LOG_INPROGRESS", "segmentedraftlog", "WriteAheadLog", "OutOfMemory", "grpc-1", "requestVote", "leader x election", "minorgc", "GarbageCollect", "coordinator", "bloomfilter", "CreateRegionGroups", "StateMachineProcedure", "elected", "plain"]
+    found = {r.t: set(r.s) for r in frame(spark, [(t,) for t in texts], "t string").select("t", E.subsystems(F.col("t")).alias("s")).collect()}
+    import re
+    for text in texts:
+        assert found[text] == {name for name, p in E.SUBSYSTEMS if re.search(p, text)}
