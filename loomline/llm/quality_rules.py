@@ -140,7 +140,7 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(in_bitmap(shared, batch.column("_key").to_numpy())))
 
     keyed = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("_key"))
-    return keyed.mapInArrow(likely, keyed.schema).drop("_key").join(ids, "doc_id")
+    return keyed.mapInArrow(likely, keyed.schema).drop("_key").join(ids.hint("merge"), "doc_id")  # a broadcast would grow with the labels
 
 
 def fitted_ratio(docs: DataFrame, trusted_ids: DataFrame) -> Ratio:
