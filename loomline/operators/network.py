@@ -2,24 +2,24 @@
 
 Weights are seeded NumPy arrays, a few MB whatever the data, broadcast to the tasks.
 Vectors are double arrays. The local encoder sees one window at a time, at most
-``MOST_POSITIONS`` places of it. Messages are joins and aggregations over the edge
-table: sums over the edges of a node are formed in shares of edges first, so a
+``MOST_POSITIONS`` places of it. Edges meet in blocks, to which each vector goes once;
+sums over the edges of a node are formed in its blocks first, so a
 node with a third of all edges is no one task's.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
 
 MOST_POSITIONS = 150
-#: Shares of a node's edges.
-SHARES = 16
+#: Edges of a block, about, and of those weighed at once.
+EDGES, STEP = 1 << 18, 1 << 16
 
 
 def _linear(rng: np.random.Generator, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +118,14 @@ class TypedLayer:
         return 0.5 * (smooth @ w + b) + 0.5 * x
 
 
-def _array(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
+def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length, as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
 
 
 def _merge(first: np.ndarray, top: np.ndarray, total: np.ndarray, message: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,77 +136,109 @@ def _merge(first: np.ndarray, top: np.ndarray, total: np.ndarray, message: np.nd
     return most, np.add.reduceat(total * scale, first, axis=0), np.add.reduceat(weighted, first, axis=0).reshape(len(first), -1)
 
 
-def _runs(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Rows in order of their keys, one for each run of equal ones."""
-    first = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
-    merged = _merge(first, *(_array(rows[c]) for c in ("top", "total", "message")))
-    return rows.iloc[first][keys].reset_index(drop=True).assign(**{c: list(x) for c, x in zip(("top", "total", "message"), merged)})
-
+def _meet(edges: pa.Table, ends: pa.Table, layer: TypedLayer, schema: pa.Schema) -> pa.Table:
+    """Of the edges of a block that lead to one node: the top score of each head, the sum of exponentials, and that of messages."""
+    out = []
+    x, kinds, ids = _rows(ends["x"]), ends["kind"].combine_chunks(), ends["id"].combine_chunks()
+    at = {k: np.flatnonzero(pc.equal(kinds, k).to_numpy(zero_copy_only=False)) for k in pc.unique(kinds).to_pylist()}
+    for relation in pc.unique(edges["relation"]).to_pylist():
+        source, target = layer.relations[relation]
+        if source not in at or target not in at:
+            continue
+        rows = edges.filter(pc.equal(edges["relation"], relation))
+        found = [pc.fill_null(pc.index_in(rows[c], value_set=ids.take(pa.array(at[k]))), -1).to_numpy() for c, k in (("src", source), ("dst", target))]
+        known = (found[0] >= 0) & (found[1] >= 0)
+        order = np.argsort(found[1][known], kind="stable")
+        src, dst = (f[known][order] for f in found)
+        query = layer.query(target, x[at[target]])
+        key, message = layer.sent(relation, x[at[source]])
+        for a in range(0, len(src), STEP):
+            s, d = src[a : a + STEP], dst[a : a + STEP]
+            first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            score = layer.scores(query[d], key[s])
+            merged = _merge(first, score, np.ones_like(score), message[s])
+            named = ids.take(pa.array(at[target][d[first]]))
+            out.append(pa.table([pa.array([target] * len(first), pa.string()), named, *map(_lists, merged), pa.nulls(len(first), pa.list_(pa.float64()))], schema=schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
+
+
+def _updates(layer: TypedLayer):
+    """Over a partition in order of (kind, id), each node with all that it receives; what a batch ends with waits for the next."""
+
+    def of(table: pa.Table) -> pa.RecordBatch:
+        kind, ids = table["kind"].combine_chunks(), table["id"].combine_chunks()
+        own = table["x"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        run = np.cumsum(_changes(kind, ids)) - 1
+        received = np.zeros((run[-1] + 1, layer.size))
+        if not own.all():
+            parts, of_run = table.filter(pa.array(~own)), run[~own]
+            first = np.flatnonzero(np.r_[True, of_run[1:] != of_run[:-1]])
+            _, total, message = _merge(first, *(_rows(parts[c]) for c in ("top", "total", "message")))
+            received[of_run[first]] = (message.reshape(len(first), layer.heads, -1) / total[:, :, None]).reshape(len(first), -1)
+        nodes, received = table.filter(pa.array(own)), received[run[own]]
+        x, kinds = _rows(nodes["x"]).copy(), nodes["kind"].combine_chunks()
+        for k in pc.unique(kinds).to_pylist():
+            mine = pc.equal(kinds, k).to_numpy(zero_copy_only=False)
+            x[mine] = layer.updated(k, x[mine], received[mine])
+        return pa.RecordBatch.from_arrays([kinds, nodes["id"].combine_chunks(), _lists(x)], ["kind", "id", "x"])
 
-def _merged(keys: list[str]):
-    """Over a partition in order of its keys, a row for each; what a batch ends with waits for the next."""
-
-    def run(frames):
+    def run(batches):
         held = None
-        for f in frames:
-            f = f[[*keys, "top", "total", "message"]]
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            if len(f):
-                out = _runs(f, keys)
-                yield out.iloc[:-1]
-                held = out.iloc[-1:]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = int(np.flatnonzero(_changes(table["kind"].combine_chunks(), table["id"].combine_chunks()))[-1])
+            if last:
+                yield of(table.slice(0, last))
+            held = table.slice(last)
         if held is not None:
-            yield held
+            yield of(held)
 
     return run
 
 
-def pass_messages(nodes: DataFrame, edges: DataFrame, layer: TypedLayer) -> DataFrame:
-    """(kind, id, x) after one layer; ``nodes`` is the same before it, ``edges`` has (src, relation, dst).
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    return np.r_[True, np.any([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in columns], axis=0)]
+
+
+def dealt(nodes: DataFrame, edges: DataFrame, relations: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Edges (block, src, relation, dst) in blocks of some ``EDGES``, and the ends (block, kind, id) of each block, once.
+
+    A block has all edges of its nodes of the kind that has more of them, so a vector goes once to
+    each block where it is needed and not along every edge. A node of over an eighth of ``EDGES`` is dealt to several blocks.
+    """
+    many = {r["kind"]: r["count"] for r in nodes.groupBy("kind").count().collect()}  # a row for each kind
+    edges = edges.where(F.col("relation").isin(*relations)).select("src", "relation", "dst")
+    by_src = [r for r, (source, target) in relations.items() if many.get(source, 0) >= many.get(target, 0)]
+    first = F.col("relation").isin(*by_src) if by_src else F.lit(False)
+    edges = edges.withColumns({"_own": F.when(first, F.col("src")).otherwise(F.col("dst")), "_other": F.when(first, F.col("dst")).otherwise(F.col("src"))})
+    part = max(EDGES // 8, 1)
+    counts = written(edges.groupBy("_own").agg(F.count(F.lit(1)).alias("_n")))
+    blocks = max(1, -(-(counts.agg(F.sum("_n")).first()[0] or 0) // EDGES))
+    heavy = counts.where(F.col("_n") > part)
+    share = F.coalesce(F.pmod(F.xxhash64("_other"), F.ceil(F.col("_n") / part)), F.lit(0))
+    edges = edges.join(F.broadcast(heavy), "_own", "left").select(F.pmod(F.xxhash64("_own", share), F.lit(blocks)).alias("block"), "src", "relation", "dst")
+    kind = lambda end: F.element_at(F.create_map(*[F.lit(v) for r, pair in relations.items() for v in (r, pair[end])]), F.col("relation"))
+    both = F.explode(F.array(F.struct(kind(0).alias("kind"), F.col("src").alias("id")), F.struct(kind(1).alias("kind"), F.col("dst").alias("id")))).alias("e")
+    return edges, written(edges.select("block", both).select("block", "e.kind", "e.id").distinct())
+
+
+def pass_messages(nodes: DataFrame, edges: DataFrame, layer: TypedLayer, ends: DataFrame | None = None) -> DataFrame:
+    """(kind, id, x) after one layer; ``nodes`` is the same before it, ``edges`` has (src, relation, dst), or is what :func:`dealt` gives, with its ``ends``.
 
     A node weighs the messages of all its edges by one softmax a head. Nodes without
     an edge receive zeros. Edges whose ends are not among the nodes are left out.
     """
+    if ends is None:
+        edges, ends = dealt(nodes, edges, layer.relations)
     shared = nodes.sparkSession.sparkContext.broadcast(layer)
-    ids = dict(nodes.dtypes)["id"]
-
-    def queries(frames):
-        for f in frames:
-            for kind, rows in f.groupby("kind"):
-                yield pd.DataFrame({"to": kind, "dst": rows["id"], "query": list(shared.value.query(kind, _array(rows["x"])))})
-
-    def sent(frames):
-        for f in frames:
-            for kind, rows in f.groupby("kind"):
-                for relation, (source, target) in shared.value.relations.items():
-                    if source == kind:
-                        key, message = shared.value.sent(relation, _array(rows["x"]))
-                        yield pd.DataFrame({"relation": relation, "src": rows["id"], "to": target, "key": list(key), "message": list(message)})
-
-    def weighed(frames):
-        """Of the edges of a batch that lead to one node: the top score of each head, the sum of exponentials, and that of messages."""
-        for f in frames:
-            if not len(f):
-                continue
-            s = shared.value.scores(_array(f["query"]), _array(f["key"]))
-            f = f.assign(top=list(s), total=list(np.ones_like(s))).sort_values(["to", "dst", "share"])
-            yield _runs(f, ["to", "dst", "share"])
-
-    def updated(frames):
-        for f in frames:
-            for kind, rows in f.groupby("kind"):
-                x = _array(rows["x"])
-                received = np.stack([np.zeros(x.shape[1]) if m is None else (np.reshape(m, (layer.heads, -1)) / np.array(t)[:, None]).ravel() for m, t in zip(rows["message"], rows["total"])])
-                yield pd.DataFrame({"kind": kind, "id": rows["id"], "x": list(shared.value.updated(kind, x, received))})
-
-    arrays = "top array<double>, total array<double>, message array<double>"
-    asked = written(nodes.mapInPandas(queries, f"to string, dst {ids}, query array<double>"))
-    offered = written(nodes.mapInPandas(sent, f"relation string, src {ids}, to string, key array<double>, message array<double>"))
-    share = F.pmod(F.xxhash64("src", "relation"), F.lit(SHARES))
-    along = edges.join(offered, ["relation", "src"]).join(asked, ["to", "dst"]).select("to", "dst", share.alias("share"), "query", "key", "message")
-    parts = along.mapInPandas(weighed, f"to string, dst {ids}, share long, {arrays}")
-    shares, whole = ["to", "dst", "share"], ["to", "dst"]
-    parts = parts.repartition(*shares).sortWithinPartitions(*shares).mapInPandas(_merged(shares), f"to string, dst {ids}, share long, {arrays}")
-    received = written(parts.repartition(*whole).sortWithinPartitions(*whole).mapInPandas(_merged(whole), f"to string, dst {ids}, {arrays}"))
-    joined = nodes.join(received, (F.col("kind") == F.col("to")) & (F.col("id") == F.col("dst")), "left").select("kind", "id", "x", "total", "message")
-    return joined.mapInPandas(updated, f"kind string, id {ids}, x array<double>")
+    ids, lists = dict(nodes.dtypes)["id"], "top array<double>, total array<double>, message array<double>, x array<double>"
+    schema = pa.schema([("kind", pa.string()), ("id", pa.int64() if ids == "bigint" else pa.int32() if ids == "int" else pa.string()), *[(c, pa.list_(pa.float64())) for c in ("top", "total", "message", "x")]])
+    given = ends.join(nodes.hint("merge"), ["kind", "id"]).select("block", "kind", "id", "x")
+    parts = edges.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lambda e, g: _meet(e, g, shared.value, schema), f"kind string, id {ids}, {lists}")
+    none = F.lit(None).cast("array<double>")
+    rows = parts.unionByName(nodes.select("kind", "id", *[none.alias(c) for c in ("top", "total", "message")], "x"))
+    rows = rows.repartition("kind", "id").sortWithinPartitions("kind", "id")
+    return rows.mapInArrow(lambda batches: _updates(shared.value)(batches), f"kind string, id {ids}, x array<double>")

@@ -79,6 +79,25 @@ def test_messages_equal_plain_numpy(spark):
     assert set(got) == set(nodes) and all(np.allclose(got[k], nodes[k]) for k in nodes)
 
 
+@pytest.mark.parametrize("block", [1 << 18, 40, 8])
+def test_vectors_go_to_blocks_once(spark, monkeypatch, block):
+    """Not along edges: with one block each vector is needed once; with many, and nodes of more edges than a block holds, messages are the same."""
+    monkeypatch.setattr(N, "EDGES", block)
+    rng = np.random.default_rng(5)
+    relations = {"HAS": ("log", "entity"), "OF": ("entity", "log")}
+    nodes = {(k, f"{k}{i}"): rng.normal(size=8) for k, n in (("log", 20), ("entity", 12)) for i in range(n)}
+    links = [(f"log{i}", f"entity{j}") for i in range(20) for j in range(12) if i == 3 or j == 1 or (i * j) % 3 == 1]
+    edges = [(i, "HAS", j) for i, j in links] + [(j, "OF", i) for i, j in links] + [("log1", "OTHER", "log2")]
+    frame = spark.createDataFrame([(k, i, x.tolist()) for (k, i), x in nodes.items()], "kind string, id string, x array<double>")
+    table = spark.createDataFrame(edges, "src string, relation string, dst string").repartition(3)
+    cells, ends = N.dealt(frame, table, relations)
+    assert cells.count() == len(edges) - 1 and (block < 1000 or ends.count() == 32)
+    layer = N.TypedLayer(relations, 8, 2, 0)
+    got = {(r.kind, r.id): r.x for r in N.pass_messages(frame, cells, layer, ends).collect()}
+    want = plain_messages(layer, nodes, edges[:-1])
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
 @pytest.mark.parametrize("gamma", [0.0, 1.0, 2.0])
 def test_gradient_agrees_with_differences(gamma):
     rng = np.random.default_rng(4)
