@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import fresh
+from .common import bitmap, cut, fresh, in_bitmap
 
 WINDOW = 8
 SHORTEST = 4
@@ -243,7 +243,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
-    key, of = fresh(docs, "_contaminated", "_of")
-    bad = contaminated(docs, benchmark).select(F.col("text_key").alias(key), F.col("doc_id").alias(of)).distinct()
-    return docs.join(bad, (F.xxhash64(docs["text"]) == F.col(key)) & docs["doc_id"].cast("long").eqNullSafe(F.col(of)), "left_anti")
+    """The documents that no item contaminates, with all their columns. Only those with a contaminated text's key in a bitmap are moved for it."""
+    key, of, own = fresh(docs, "_contaminated", "_of", "_own")
+    bad = cut(contaminated(docs, benchmark).select(F.col("text_key").alias(key), F.col("doc_id").alias(of)).distinct())
+    screen, schema = bitmap(bad, key), docs.schema
+
+    def held(inside: bool) -> DataFrame:
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            return part.filter(pa.array(in_bitmap(screen, part.column(own).to_numpy()) == inside)).select(schema.names)
+
+        return docs.withColumn(own, F.xxhash64("text")).mapInArrow(T.mapper(run), schema)
+
+    doubt = held(True)
+    clean = doubt.join(bad, (F.xxhash64(doubt["text"]) == F.col(key)) & doubt["doc_id"].cast("long").eqNullSafe(F.col(of)), "left_anti")
+    return held(False).union(clean)

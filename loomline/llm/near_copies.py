@@ -19,7 +19,7 @@ prefix filter, which loses no pair: under one order of all shingles, rare ones
 first, texts at 0.8 share one of the first fifth of theirs. If a shingle has more
 than BUCKET_ROWS texts, blocks and pivots come first, too, and then the texts
 outside the largest component meet every block. Buckets whose texts are of one
-component already are passed over in every round.
+component already are passed over in every round, and of buckets of views that hold the same texts all but one.
 
 Exact copies are one text, told by a 128-bit hash; null and empty are the same
 text. Texts go by the hash's first half ``t``; where different texts share that,
@@ -244,10 +244,16 @@ def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(components(links), F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t")).drop("node")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Members (t, view, value, root) of the buckets that hold texts of two components, with the number n of their texts."""
-    sizes = rows.groupBy("view", "value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return rows.join(cut(sizes.where("low < high").select("view", "value", "n")), ["view", "value"])
+def _open(rows: DataFrame, once: bool = False) -> DataFrame:
+    """Members (t, view, value, root) of the buckets that hold texts of two components, with the number n of their texts.
+
+    With ``once``, for rows without repetition, one of the buckets that hold the same texts, told by a 128-bit hash of the set.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "t")).alias(f"mark{i}") for i in range(2)] if once else []
+    sizes = rows.groupBy("view", "value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *marks).where("low < high")
+    if once:
+        sizes = sizes.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("view", "value")).alias("one")).select("one.view", "one.value", "n")
+    return rows.join(cut(sizes.select("view", "value", "n")), ["view", "value"])
 
 
 def _more(links: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -301,25 +307,38 @@ def told_apart(texts: DataFrame, shared: DataFrame) -> DataFrame:
     return texts.join(shared, "t", "left").withColumn("t", other).drop("least")
 
 
-def text_links(docs: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+def _each_print(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The prints of each text once. Only texts whose t is not alone in ``ids`` are moved for it, told by a bitmap."""
+    again = bitmap(ids.groupBy("t").agg(F.sum("rows").alias("n")).where("n > 1").select("t"), "t")
+
+    def of(repeated: bool):
+        def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+            part = part.filter(pa.array(in_bitmap(again, text_keys(part.column("text"))[0]) == repeated))
+            return _prints(part) if part.num_rows else None
+
+        return docs.select("text").mapInArrow(T.mapper(run), PRINT)
+
+    return of(False).union(of(True).groupBy("t", "t2").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "kept", "shingles")]))
+
+
+def text_links(docs: DataFrame, shared: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) between texts' t, told apart by their shared halves, that join all near copies.
 
     Buckets go in rounds, and only where texts of several components meet: the
     whole texts' and the first views, the other views, the blocks of large
     buckets, the prefixes of what is open in those, and those in every block.
     """
-    prints = docs.select("text").mapInArrow(T.mapper(_prints), PRINT)
-    prints = prints.groupBy("t", "t2").agg(*[F.first(c).alias(c) for c in ("fp", "views", "level", "kept", "shingles")])
-    prints = cut(told_apart(prints, shared_halves(_hashed(docs)) if shared is None else shared).drop("t2"))
+    ids = cut(_hashed(docs)) if ids is None else ids
+    prints = cut(told_apart(_each_print(docs, ids), shared_halves(ids) if shared is None else shared).drop("t2"))
     near = components(simhash.links(prints.select("fp").distinct(), RADIUS))
     whole = prints.select("t", "fp").join(near, F.col("fp") == F.col("node"), "left").select("t", F.lit(VIEWS).alias("view"), F.coalesce("root", "fp").alias("value"))
     spots = prints.select("t", F.posexplode("views").alias("view", "value")).union(whole)
     fits = F.col("n") <= BUCKET_ROWS
     no_block = F.lit(0).cast("long")
     early = F.col("view").isin(VIEWS, *range(FIRST_VIEWS))
-    links = _more(None, _compared(_open(_rooted(spots.where(early), None)).where(fits).withColumn("block", no_block), prints))
-    links = _more(links, _compared(_open(_rooted(spots.where(~early), links)).where(fits).withColumn("block", no_block), prints))
-    large = cut(_open(_rooted(spots, links)).where(~fits))
+    links = _more(None, _compared(_open(_rooted(spots.where(early), None), True).where(fits).withColumn("block", no_block), prints))
+    links = _more(links, _compared(_open(_rooted(spots.where(~early), links), True).where(fits).withColumn("block", no_block), prints))
+    large = cut(_open(_rooted(spots, links), True).where(~fits))
     if large.isEmpty():
         return links
     links = _more(links, _blocks(large, prints))
@@ -341,8 +360,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     schema = docs.schema
     ids = cut(_hashed(docs))
     halves = shared_halves(ids)
+    links = text_links(docs, halves, ids)
     ids = told_apart(ids.withColumn("t1", F.col("t")), halves)
-    placed = ids.join(components(text_links(docs, halves)), F.col("t") == F.col("node"), "left").withColumn("group", F.coalesce("root", "t"))
+    placed = ids.join(components(links), F.col("t") == F.col("node"), "left").withColumn("group", F.coalesce("root", "t"))
     groups = cut(placed.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "t")).alias("one"), F.sum("rows").alias("n")).where("n > 1").select("group", F.col("one.doc_id").alias("one_id"), F.col("one.t").alias("one_t")))
     stays = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("t") == F.col("one_t"))
     key, key2, key_id, key_t, key_t2, one = fresh(docs, "_key", "_key2", "_id", "_t", "_t2", "_one")

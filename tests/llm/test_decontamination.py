@@ -177,3 +177,14 @@ def test_empty_tables(spark):
     assert D.contaminated(empty(spark), bench(spark)).collect() == []
     assert D.contaminated(docs(spark), bench(spark, [])).collect() == []
     assert D.decontaminate(docs(spark), bench(spark, [])).count() == docs(spark).count()
+
+
+def test_clean_texts_are_not_moved(spark):
+    """Only texts with a contaminated one's key are joined; a row of the same text is told by its doc_id."""
+    item = " ".join(f"item{i} word{i}" for i in range(12))
+    frame = docs(spark, [prose(random.Random(1), 60), "start " + item + " end", None, prose(random.Random(2), 60)])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = D.decontaminate(frame, benchmark)
+    assert kept.columns == frame.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in frame.collect() if not (r.text or "").startswith("start"))
+    assert "Union" in kept._jdf.queryExecution().optimizedPlan().toString()

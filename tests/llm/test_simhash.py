@@ -165,3 +165,19 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == [] == near_copies.one_of_each(empty(spark)).collect()
+
+
+def test_buckets_of_the_same_texts_are_met_once(spark):
+    """Near copies share most views, so most of their buckets hold the same texts; those with others stay."""
+    rows = [(t, view, 5, t) for view in range(4) for t in (1, 2, 3)] + [(1, 7, 9, 1), (2, 7, 9, 2), (4, 8, 1, 4)]
+    frame = spark.createDataFrame(rows, "t long, view int, value long, root long")
+    got = sorted((r.view, r.t, r.n) for r in near_copies._open(frame, True).collect())
+    assert got == [(0, 1, 3), (0, 2, 3), (0, 3, 3), (7, 1, 2), (7, 2, 2)]
+
+
+def test_texts_that_are_alone_are_not_moved_for_their_prints(spark):
+    texts = [(i, " ".join(f"w{(i * j) % 97}" for j in range(30))) for i in range(1, 9)]
+    frame = spark.createDataFrame(texts + [(20, texts[0][1]), (1, texts[0][1])], "doc_id long, text string")
+    prints = near_copies._each_print(frame, near_copies.cut(near_copies._hashed(frame)))
+    assert prints.count() == prints.select("t").distinct().count() == 8
+    assert "Union" in prints._jdf.queryExecution().optimizedPlan().toString()
