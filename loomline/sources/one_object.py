@@ -154,9 +154,19 @@ def windows_object(spark: SparkSession, paths: list[str], window: str) -> DataFr
     return entries(spark, paths).select(F.explode(parsed).alias("wid", "w")).select("wid", "w.*")
 
 
-def write_object(windows: DataFrame, path: str, key: str = "wid") -> None:
-    """Windows as one object a file, as many files as there are partitions; empty partitions write none."""
-    columns = [c for c in windows.columns if c != key]
+def range_bytes(spark: SparkSession, path: str, least: int, a_core: int) -> int:
+    """Bytes of a range so that what is in ``path`` has at most ``a_core`` ranges a core, but not under ``least`` nor over 128 MB."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return min(max(least, whole // (a_core * spark.sparkContext.defaultParallelism)), 128 << 20)
+
+
+def write_object(windows: DataFrame, path: str, key: str = "wid", together: str | None = None, files: int = 1) -> None:
+    """Windows as one object a file, as many files as there are partitions; empty partitions write none.
+
+    With ``together`` those of equal values of that column, which is not written, go to one of ``files``, as finished texts.
+    """
+    columns = [c for c in windows.columns if c not in (key, together)]
     entry = F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(": "), F.to_json(F.struct(*columns)))
 
     def run(batches):
@@ -169,4 +179,6 @@ def write_object(windows: DataFrame, path: str, key: str = "wid") -> None:
         if some:
             yield pa.RecordBatch.from_pydict({"value": ["}"]})
 
-    windows.select(entry.alias("entry")).mapInArrow(run, "value string").write.text(path)
+    texts = windows.select(entry.alias("entry"), *([together] if together else []))
+    texts = texts.repartition(files, together).select("entry") if together else texts
+    texts.mapInArrow(run, "value string").write.text(path)

@@ -74,3 +74,18 @@ def test_broken_files_are_errors(spark, tmp_path, text):
     (tmp_path / "w.json").write_text(text)
     with pytest.raises((ValueError, PySparkException)):
         knowledge.windows_json(spark, [str(tmp_path / "w.json")]).collect()
+
+
+def test_ranges_grow_with_the_object(spark, tmp_path):
+    """So that a large object is not read by a task for every 64 KB; small ones keep small ranges."""
+    (tmp_path / "a").write_bytes(b"x" * 1_000_000)
+    cores = spark.sparkContext.defaultParallelism
+    assert one_object.range_bytes(spark, str(tmp_path), 65536, 32) == 65536
+    assert one_object.range_bytes(spark, str(tmp_path), 100, 32) == 1_000_000 // (32 * cores)
+
+
+def test_windows_of_a_value_share_an_object(spark, tmp_path):
+    rows = spark.createDataFrame([(f"w{i}", "ab"[i % 2], i) for i in range(9)], "wid string, stream string, n int").repartition(5)
+    one_object.write_object(rows, str(tmp_path / "o"), together="stream", files=2)
+    got = one_object.windows_object(spark, [str(tmp_path / "o")], "n int").collect()
+    assert sorted((r.wid, r.n) for r in got) == [(f"w{i}", i) for i in range(9)]
