@@ -192,3 +192,24 @@ def test_words_of_subsystems_stand_in_their_patterns(spark):
     import re
     for text in texts:
         assert found[text] == {name for name, p in E.SUBSYSTEMS if re.search(p, text)}
+
+
+def test_fast_tokens_equal_the_patterns_of_sql(spark):
+    """Random texts of what the patterns tell apart, letters that are not ASCII and combining marks among it."""
+    import random
+    pick = random.Random(7)
+    parts = ["a", "B", "_", "7", "12", "é", "́", "٣", "=", ":", "[", "]", "[3]", "-", ".", ".log", ".TSFILE", ".wal", ".conf", " ", "$", "K", "term:1", "Flush:12", "TsFile:1234"]
+    texts = [("".join(pick.choices(parts, k=pick.randint(0, 14))),) for _ in range(4000)]
+    plain = F.array_distinct(F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in E.TOKENS]))
+    found = frame(spark, texts, "t string").select("t", F.array_sort(plain).alias("plain"), F.array_sort(E.tokens(F.col("t"))).alias("fast"))
+    assert [r.t for r in found.where("plain <> fast").collect()] == []
+    assert found.where("size(plain) > 1").count() > 1000
+
+
+def test_entities_are_found_before_lines_are_written(spark):
+    """Small files are read back by one task a core, so what costs most must not come after them."""
+    from loomline.plans import registry
+    lines = registry._numbered(spark, SF)
+    assert "regexp" not in registry._entities(lines)._jdf.queryExecution().toString()
+    assert registry._entities(lines).exceptAll(E.entity_rows(lines.drop("found"), ["wid", "log_idx"])).count() == 0
+    assert "regexp_extract_all" not in registry.entity_coverage(spark, SF)._jdf.queryExecution().toString()
