@@ -213,3 +213,84 @@ def test_entities_are_found_before_lines_are_written(spark):
     assert "regexp" not in registry._entities(lines)._jdf.queryExecution().toString()
     assert registry._entities(lines).exceptAll(E.entity_rows(lines.drop("found"), ["wid", "log_idx"])).count() == 0
     assert "regexp_extract_all" not in registry.entity_coverage(spark, SF)._jdf.queryExecution().toString()
+
+
+def _subgraphs(spark):
+    """Targets and lines, in rows and in sets: repeated rows, lines and windows without entities, targets of windows that are not there."""
+    rows = [("a", 0, "x"), ("a", 0, "x"), ("a", 0, "z"), ("a", 2, "y"), ("b", 5, "z"), ("b", 1, "w"), ("c", 0, "z"), ("c", 7, "v"), ("c", 7, "x")]
+    targets = [("a", "a"), ("a", "b"), ("a", "b"), ("b", "b"), ("b", "c"), ("b", "a"), ("c", "c"), ("d", "d"), ("d", "c"), ("c", "e")]
+    lines = frame(spark, rows, "wid string, log_idx long, entity string")
+    sets = lines.groupBy("wid", "log_idx").agg(F.collect_set("entity").alias("entities")).union(frame(spark, [("a", 1, []), ("d", 0, [])], "wid string, log_idx long, entities array<string>"))
+    return set(targets), set(rows), frame(spark, targets, "target string, wid string"), lines, sets
+
+
+def test_edges_of_a_subgraph_are_ranked_before_targets_join(spark):
+    targets, rows, of, lines, sets = _subgraphs(spark)
+    want = set()
+    for target in {t for t, _ in targets}:
+        mine = {r for r in rows if (target, r[0]) in targets}
+        orders = [sorted({f(r) for r in mine}) for f in (lambda r: r[0], lambda r: r[:2], lambda r: r[2])]
+        want |= {(target, *r, orders[0].index(r[0]), orders[1].index(r[:2]), orders[2].index(r[2])) for r in mine}
+    for given in (lines, sets):
+        got = graph.ego_edges(of, given)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan[: plan.index("Join Inner")]
+
+
+def test_sizes_of_subgraphs_come_from_windows(spark):
+    targets, rows, of, lines, sets = _subgraphs(spark)
+    want = set()
+    for target in {t for t, _ in targets}:
+        mine = {r for r in rows if (target, r[0]) in targets}
+        want |= {(target, len({r[0] for r in mine}), len({r[:2] for r in mine}), len({r[2] for r in mine}), len(mine))}
+    for given in (lines, sets):
+        assert {tuple(r) for r in graph.ego_sizes(of, given).collect()} == want
+
+
+def test_touching_lines_come_out_once(spark):
+    targets, rows, of, lines, sets = _subgraphs(spark)
+    own = {t: {r[2] for r in rows if r[0] == t} for t, _ in targets}
+    want = sorted({(t, *r[:2]) for t, w in targets for r in rows if r[0] == w and (t == w or r[2] in own[t])})
+    for given in (lines, sets):
+        got = graph.touching_lines(of, given)
+        assert sorted(map(tuple, got.collect())) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
+def test_meeting_blocks_equal_brute_force(spark, monkeypatch):
+    """Bounds, stripes, products of matrices and columns of several entities change no overlap and no tie."""
+    import numpy as np
+    import pyarrow as pa
+    pick = np.random.default_rng(3)
+    sets = {i: sorted(set(pick.integers(0, 12, pick.integers(0, 9)).tolist()) | ({20, 21} if i % 3 else set())) for i in range(60)}
+    names, block = {i: f"w{pick.integers(1000)}:{i}" for i in sets}, {i: i % 2 for i in sets}
+    for lo, hi in ((0, 0), (0, 1)):
+        there = [i for i in sets if block[i] in (lo, hi)]
+        table = pa.table({"set": pa.array(there), "hot": pa.array([sets[i] for i in there], pa.list_(pa.int32())), "first": [names[i] for i in there], "block": [block[i] for i in there], "lo": [lo] * len(there), "hi": [hi] * len(there)})
+        pairs = [(i, j) for i in there for j in there if block[i] == lo and block[j] == hi]
+        want = {(i, j, None, len(set(sets[i]) & set(sets[j]))) for i, j in pairs[::3]}
+        for i in there:
+            scored = sorted((-len(set(sets[i]) & set(sets[j])), names[j], j) for j in there if lo == hi or block[i] != block[j])
+            want |= {(i, j, name, -n) for n, name, j in scored[:4] if n}
+        for stripe, ahead, dense, columns in ((128, 2048, 0.004, 1024), (3, 5, 2.0, 4), (7, 2, 0.0, 3), (4, 30, 0.2, 1)):
+            for name, value in (("STRIPE", stripe), ("AHEAD", ahead), ("DENSE", dense), ("COLUMNS", columns)):
+                monkeypatch.setattr(graph, name, value)
+            got = graph._meet(table, pa.table({"l": [i for i, _ in pairs[::3]], "r": [j for _, j in pairs[::3]]}), 4)
+            assert len(got) == len(want) and set(zip(*(got[c].to_pylist() for c in ("set", "other", "first", "score")))) == want
+    a = graph._Block(table)
+    assert len(graph._holders(a, a)[2]) == 13 and graph._holders(a, a)[2].sum() == 14  # 20 and 21 are one column
+
+
+def test_entities_do_not_hang_on_time(spark):
+    """Lines that differ in time share what is found; headers that are none, digits at their edges and null lines stay apart."""
+    tails = ["[3@group-00010-X] INFO  app.view:43 - Flush root.sg1[43] size=43", "[17052436725] WARN  a - 1-0-0.tsfile nodeId=3", "[t] info x root.a1.b", "[] INFO  a1", "@group-12] INFO  x=1", "-1-2-3.tsfile [t] INFO a"]
+    heads = ["", "- 2024-01-01 00:00:00,000 ", "2025-12-31 23:59:59,999\t", " -  2024-01-02  03:04:05,678   ", "- 2024-01-01 00:00:00,000", "2024-01-01 00:00:00,00 ", "1705243672500"]
+    texts = [(i, h + t) for i, (h, t) in enumerate([(h, t) for h in heads for t in tails])] + [(-1, None), (-2, ""), (-3, None)]
+    lines = frame(spark, texts, "id int, raw_line string")
+    want = {r.id: None if r.e is None else sorted(map(tuple, r.e)) for r in lines.select("id", E.clean_entities(F.col("raw_line")).alias("e")).collect()}
+    got = {r.id: None if r.found is None else sorted(map(tuple, r.found)) for r in E.with_entities(lines, ["id"]).collect()}
+    assert got == want and any(want.values())
+    assert lines.where(E.timeless(F.col("raw_line")) == F.col("raw_line")).count() > 20
+    assert lines.where("raw_line like '%Flush%' and id >= 0").select(E.timeless(F.col("raw_line"))).distinct().count() < 6
