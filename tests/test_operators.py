@@ -283,6 +283,11 @@ def test_meeting_blocks_equal_brute_force(spark, monkeypatch):
     assert len(graph._holders(a, a)[2]) == 13 and graph._holders(a, a)[2].sum() == 14  # 20 and 21 are one column
 
 
+def test_neighbors_of_two_hops_are_ranked_once(spark):
+    from loomline.plans import registry
+    assert "Window" not in registry.two_hop_neighbors(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entities_do_not_hang_on_time(spark):
     """Lines that differ in time share what is found; headers that are none, digits at their edges and null lines stay apart."""
     tails = ["[3@group-00010-X] INFO  app.view:43 - Flush root.sg1[43] size=43", "[17052436725] WARN  a - 1-0-0.tsfile nodeId=3", "[t] info x root.a1.b", "[] INFO  a1", "@group-12] INFO  x=1", "-1-2-3.tsfile [t] INFO a"]
